@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import minhash, mixing, quality, urls, warc
 from .common import table
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, name = quality.judge(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
     return judged.select("doc_id", *[F.col(f"{name}.{c}").alias(c) for c in cols])
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
