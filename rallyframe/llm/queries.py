@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, urls, warc
+from . import contamination, langid, minhash, mixing, pii, quality, secrets, urls, warc
 from .common import table
 
 
@@ -19,10 +19,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"{name}.{c}").alias(c) for c in cols])
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -31,5 +43,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_warc, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination)
+}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
