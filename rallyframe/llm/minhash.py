@@ -154,6 +154,126 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     return full.mapInArrow(_confirmer(width, percent, to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}").distinct()
 
 
+#: Texts and shingles of one side of a block at most, but for a single text.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 100_000
+
+
+def missed(source: DataFrame, shared: DataFrame, own: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of one bucket that lie in different components.
+
+    A text counts only if the signature of some other in its bucket and another component suggests
+    enough similarity. The sets of those that are left meet in blocks of bounded size, a task a
+    pair of blocks, where all pairs are compared in full; only links that join components come out,
+    fewer than a block's texts. So many texts that are almost similar enough cost no row per pair.
+    """
+    placed = shared.filter("size > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "center", F.coalesce("component", "rep").alias("part"))
+    placed = placed.join(parts.select(F.col("node").alias("center"), F.col("component").alias("home")), "center", "left").select("band", "rep", "part", F.coalesce("home", "center").alias("home"))
+    placed = placed.join(placed.filter("part <> home").select("band").distinct(), "band", "left_semi")
+    placed = written(placed.join(own, "rep").select("band", "rep", "part", "home", F.struct("n", "sig").alias("own")), "placed")
+
+    def side(name: str) -> DataFrame:
+        return placed.select("band", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "part", "home", "own")])
+
+    different = plausible(percent, "own_x", "own_y") & (F.col("part_x") != F.col("part_y"))
+    x, y = side("x").filter("part_x <> home_x"), side("y")
+    left = written(x.join(y, (x.band == y.band) & different, "left_semi").select("band", F.col("rep_x").alias("rep"), F.col("part_x").alias("part"), F.col("own_x.n").alias("n")), "apart")
+    if not left.limit(1).count():
+        return left.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    again = left.join(own.select("rep", F.struct("n", "sig").alias("own_x")), "rep").select("band", F.col("part").alias("part_x"), "own_x")
+    right = written(y.join(again, (y.band == again.band) & different, "left_semi").select("band", F.col("rep_y").alias("rep"), F.col("part_y").alias("part"), F.col("own_y.n").alias("n")), "others")
+    blocks = right.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = left.join(blocks, "band").select("band", "rep", "part", mine.alias("i"), every.alias("j"), F.lit(True).alias("x"))
+    second = right.join(blocks, "band").select("band", "rep", "part", mine.alias("j"), every.alias("i"), F.lit(False).alias("x")).select("band", "rep", "part", "i", "j", "x")
+    kind = source.schema["id"].dataType
+    name = kind.simpleString()
+    ids = left.select("rep").union(right.select("rep")).distinct()
+    sets = keep_ids(source, ids, "id").mapInArrow(_setter(width, to_arrow_type(kind)), f"id {name}, values array<long>")
+    sets = written(sets.groupBy("id").agg(F.first("values").alias("values")), "sets")
+    met = first.unionByName(second).join(sets, F.col("rep") == F.col("id")).select("band", "i", "j", "x", "rep", "part", "values")
+    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return met.mapInArrow(_linker(percent, to_arrow_type(kind)), f"a {name}, b {name}").distinct()
+
+
+def _setter(width: int, id_type: pa.DataType):
+    schema = pa.schema([("id", id_type), ("values", pa.list_(pa.int64()))])
+
+    def make(batches):
+        for batch in batches:
+            for start, texts in in_slices(batch, 1_000_000, 1):
+                values = [np.unique(shingles(word_ids(words_of(t)), width)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(values, pa.list_(pa.int64()))], schema=schema)
+
+    return make
+
+
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all x with all y; of sets as arrays of distinct values."""
+    if len(xs) * len(ys) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in ys] for x in xs], np.int64)
+    # Only values that both sides have; a few thousand at a time, as columns of two 0/1 matrices.
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in (xs, ys)]
+    vocabulary = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for k in range(0, len(vocabulary), 4096):
+        part = vocabulary[k : k + 4096]
+        both = []
+        for (values, row), n in zip(sides, (len(xs), len(ys)), strict=True):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _linker(percent: int, id_type: pa.DataType):
+    schema = pa.schema([("a", id_type), ("b", id_type)])
+
+    def links(group: list[tuple]):
+        xs, ys = [r for r in group if r[0]], [r for r in group if not r[0]]
+        if not xs or not ys:
+            return
+        nx, ny = np.array([len(r[3]) for r in xs]), np.array([len(r[3]) for r in ys])
+        common = common_counts([r[3] for r in xs], [r[3] for r in ys])
+        good = 100 * common >= percent * (nx[:, None] + ny[None, :] - common)
+        joined: dict = {}
+
+        def root(p):
+            while joined.get(p, p) != p:
+                p = joined[p]
+            return p
+
+        for i, j in zip(*np.nonzero(good), strict=True):
+            p, q = root(xs[i][2]), root(ys[j][2])
+            if p != q:
+                joined[max(p, q)] = min(p, q)
+                yield (xs[i][1], ys[j][1]) if xs[i][1] < ys[j][1] else (ys[j][1], xs[i][1])
+
+    def link(batches):
+        key, group, out = None, [], []
+        for batch in batches:
+            band, i, j, x, rep, part = (batch.column(k).to_pylist() for k in range(6))
+            lists = batch.column(6)
+            flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            for k in range(batch.num_rows):
+                if (at := (band[k], i[k], j[k])) != key:
+                    out += links(group)
+                    key, group = at, []
+                group.append((x[k], rep[k], part[k], flat[ends[k] : ends[k + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, id_type) for c in zip(*out, strict=True)], schema=schema)
+                out = []
+        out += links(group)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, id_type) for c in zip(*out, strict=True)], schema=schema)
+
+    return link
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs."""
     kind = docs.schema[id].dataType
@@ -177,16 +297,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     likely = written(pairs.join(signatures("b"), "b").join(signatures("a"), "a").filter(plausible(percent, "of_a", "of_b")).select("a", "b"), "likely")
     links = written(links.union(confirmed(source, likely, width, percent)), "confirmed")
     parts = components(links)
-    # What the smallest of a bucket hasn't joined: compare with texts of other components.
-    placed = shared.filter("size > 2 and rep <> center").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "center", F.coalesce("component", "rep").alias("part"))
-    placed = placed.join(parts.select(F.col("node").alias("center"), F.col("component").alias("home")), "center", "left").select("band", "rep", "part", F.coalesce("home", "center").alias("home"))
-    placed = written(placed.join(own, "rep").select("band", "rep", "part", "home", F.struct("n", "sig").alias("own")), "placed")
-    apart = placed.filter("part <> home").select("band", F.col("rep").alias("x"), F.col("part").alias("part_x"), F.col("own").alias("of_x"))
-    other = placed.select("band", F.col("rep").alias("y"), F.col("part").alias("part_y"), F.col("home").alias("home_y"), F.col("own").alias("of_y"))
-    left = apart.join(other, "band").filter("part_x <> part_y and (part_y = home_y or x < y)").filter(plausible(percent, "of_x", "of_y"))
-    more = written(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        parts = components(links.union(confirmed(source, more, width, percent)))
+    links = written(links.union(missed(source, shared, own, parts, width, percent)), "links")
+    parts = components(links)
     found = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
     out = signed.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select("id", "n_shingles", F.coalesce("c", "id").alias("component_id"))
     return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

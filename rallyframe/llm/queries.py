@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, langid, minhash, mixing, pii, quality, secrets, urls, warc
+from . import contamination, langid, minhash, mixing, passages, pii, quality, secrets, urls, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination)
+    for f in (op1_language_id, op2_warc, op3_substring_dedup, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
