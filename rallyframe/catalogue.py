@@ -1,4 +1,510 @@
-"""All queries of the engine itself, by name, with their SQL for DuckDB."""
+"""All queries of the engine itself, by name, with their SQL for DuckDB where SQL can express them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .operators import cleaning as C
+from .operators import frames as R
+from .operators import players as P
+from .operators import rallies as L
+from .operators import sync as Y
+from .oracle import BALL, S, r, sql
+from .plans import batch
+from .sources import sinks
+from .sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+A, B = "cam66", "cam68"
+BALLS = ("camera_name", "frame_id", "detected", "ball_u", "ball_v", "ball_conf")
+SHOULDERS = [f"{p}_{j}_{x}" for p in ("p0", "p1") for j in ("ls", "rs") for x in "uv"]
+
+
+def query(select: str | None = None, chain: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if select:
+            ORACLE_SQL[f.__name__] = sql(select) if chain else select
+        return f
+
+    return add
+
+
+def detections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.events_to_detections(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def rule_rows(df: DataFrame) -> DataFrame:
+    return df.select(*BALLS, F.col("outlier_rule").alias("rule"))
+
+
+def upto(df: DataFrame, cams: DataFrame, stage: int) -> DataFrame:
+    """Cleaning up to a stage: 2 bounds, 5 the fixpoint, 6 static, 7 segments, 8 crossing time, 9 half court."""
+    df = C.out_of_bounds(C.low_conf(C.gate(df)))
+    steps = {5: lambda d: C.kinematic_fixpoint(d, cams), 6: C.static_cluster, 7: C.short_segment, 8: lambda d: C.crossing_time(d, cams), 9: lambda d: C.half_court(d, cams)}
+    for k, f in steps.items():
+        if k <= stage:
+            df = f(df)
+    return df
+
+
+def cleaned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clean(detections_of(spark, sf_dir), T.cameras(spark))
+
+
+def match_of(spark: SparkSession, sf_dir: str) -> batch.Match:
+    return batch.analyse(cleaned_of(spark, sf_dir), T.cameras(spark))
+
+
+@query("SELECT * FROM det")
+def detections(spark, sf_dir):
+    return detections_of(spark, sf_dir)
+
+
+@query(f"SELECT {BALL}, rule FROM r1")
+def r1_low_conf(spark, sf_dir):
+    return rule_rows(C.low_conf(C.gate(detections_of(spark, sf_dir))))
+
+
+@query(f"SELECT {BALL}, rule FROM f0")
+def r2_bounds(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 2))
+
+
+@query(f"SELECT {BALL}, rule FROM f1")
+def r345_pass1(spark, sf_dir):
+    return rule_rows(C.kinematic_pass(upto(detections_of(spark, sf_dir), T.cameras(spark), 2), T.cameras(spark)))
+
+
+@query(f"SELECT {BALL}, rule FROM f{S.passes}")
+def r345_fixpoint(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 5))
+
+
+@query(f"SELECT {BALL}, rule FROM st")
+def r6_static(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 6))
+
+
+@query(f"SELECT {BALL}, rule FROM sg")
+def r7_segments(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 7))
+
+
+@query(f"SELECT {BALL}, rule FROM ct")
+def r8_crossing_time(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 8))
+
+
+@query(f"SELECT {BALL}, rule FROM hc")
+def r9_half_court(spark, sf_dir):
+    return rule_rows(upto(detections_of(spark, sf_dir), T.cameras(spark), 9))
+
+
+@query(f"SELECT {BALL}, rule FROM lp")
+def disambiguate(spark, sf_dir):
+    return rule_rows(C.low_conf_path(upto(detections_of(spark, sf_dir), T.cameras(spark), 9)))
+
+
+@query("SELECT camera_name, frame_id, clean_u, clean_v, interp_u, interp_v, was_interpolated, is_outlier, outlier_rule FROM it")
+def interpolate(spark, sf_dir):
+    return cleaned_of(spark, sf_dir).select("camera_name", "frame_id", "clean_u", "clean_v", "interp_u", "interp_v", "was_interpolated", "is_outlier", "outlier_rule")
+
+
+@query(f"SELECT camera_name, raw_detections, outliers, raw_detections - outliers AS clean, interpolated, final_valid, {r('100.0::DOUBLE * outliers / greatest(raw_detections, 1)', 1)} AS outlier_pct FROM (SELECT camera_name, count(*) FILTER (detected = 1) AS raw_detections, count(*) FILTER (is_outlier) AS outliers, count(*) FILTER (was_interpolated) AS interpolated, count(interp_u) AS final_valid FROM it GROUP BY 1)")
+def clean_summary(spark, sf_dir):
+    return C.summary(cleaned_of(spark, sf_dir)).drop("by_rule")
+
+
+@query("SELECT camera_name, outlier_rule, count(*) AS n FROM it WHERE is_outlier GROUP BY 1, 2")
+def rule_counts(spark, sf_dir):
+    return C.rule_counts(cleaned_of(spark, sf_dir))
+
+
+@query("SELECT outlier_rule, count(*) FILTER (camera_name = 'cam66') AS cam66, count(*) FILTER (camera_name = 'cam68') AS cam68 FROM it WHERE is_outlier GROUP BY 1")
+def rule_pivot(spark, sf_dir):
+    return C.rule_pivot(cleaned_of(spark, sf_dir), [A, B])
+
+
+HOLES = "frame_id % 50 NOT BETWEEN 20 AND 24 AND frame_id % 97 < 90"
+
+
+@query(f"SELECT s.camera_name, s.frame_id, coalesce(d.detected, 0) AS detected, d.ball_u, d.ball_v, coalesce(d.ball_conf, 0.0) AS ball_conf FROM (SELECT camera_name, CAST(unnest(generate_series(min(frame_id), max(frame_id))) AS BIGINT) AS frame_id FROM det WHERE {HOLES} GROUP BY 1) s LEFT JOIN (SELECT * FROM det WHERE {HOLES}) d USING (camera_name, frame_id)")
+def dense_spine(spark, sf_dir):
+    return R.dense(detections_of(spark, sf_dir).filter(HOLES).select(*BALLS))
+
+
+_F = "coalesce(x, last_value(x IGNORE NULLS) OVER (PARTITION BY camera_name ORDER BY frame_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"
+
+
+@query(f"SELECT camera_name, frame_id, first_value(x IGNORE NULLS) OVER (PARTITION BY camera_name ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS p0_ls_u FROM (SELECT camera_name, frame_id, {_F} AS x FROM (SELECT camera_name, frame_id, CASE WHEN frame_id % 60 < 40 THEN p0_ls_u END AS x FROM det))")
+def ffill_bfill(spark, sf_dir):
+    gaps = detections_of(spark, sf_dir).select("camera_name", "frame_id", F.when(F.col("frame_id") % 60 < 40, F.col("p0_ls_u")).alias("p0_ls_u"))
+    return R.fill_both_ways(gaps, ["p0_ls_u"])
+
+
+@query("SELECT camera_name, frame_id, accel FROM sig")
+def accel_signal(spark, sf_dir):
+    return Y.accel_signal(cleaned_of(spark, sf_dir))
+
+
+@query("SELECT camera_name, count(*) FILTER (accel > 0) AS n_moving, round(avg(accel), 6) AS mean, round(stddev_pop(accel), 6) AS deviation FROM sig GROUP BY 1")
+def accel_stats(spark, sf_dir):
+    return Y.accel_signal(cleaned_of(spark, sf_dir)).groupBy("camera_name").agg(F.count_if(F.col("accel") > 0).alias("n_moving"), F.round(F.avg("accel"), 6).alias("mean"), F.round(F.stddev_pop("accel"), 6).alias("deviation"))
+
+
+@query("SELECT camera_name, frame_id, round(z, 6) AS z FROM zs")
+def z_scores(spark, sf_dir):
+    return Y.z_score(Y.accel_signal(cleaned_of(spark, sf_dir))).select("camera_name", "frame_id", F.round("z", 6).alias("z"))
+
+
+@query("SELECT lag, round(corr, 4) AS corr FROM corr")
+def lag_correlation(spark, sf_dir):
+    return Y.lag_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B).select("lag", F.round("corr", 4).alias("corr"))
+
+
+def tau_of(spark, sf_dir) -> DataFrame:
+    return Y.best_lag(Y.lag_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B))
+
+
+@query("SELECT tau, round(peak, 4) AS peak, CASE WHEN tau >= 0 THEN 'cam68 lags cam66 by ' ELSE 'cam68 leads cam66 by ' END || abs(tau) || ' frames' AS interpretation FROM tau")
+def sync_offset(spark, sf_dir):
+    return tau_of(spark, sf_dir).select("tau", F.round("peak", 4).alias("peak"), G.interpretation(A, B, F.col("tau")).alias("interpretation"))
+
+
+@query("SELECT round(max(corr) / (avg(abs(corr)) + 1e-9), 4) AS snr, max(corr) / (avg(abs(corr)) + 1e-9) < 3.0 AS weak FROM (SELECT l.lag, sum(a.z * b.z) AS corr FROM (SELECT unnest(generate_series(-400, 400)) AS lag) l, zs a, zs b WHERE a.camera_name = 'cam66' AND b.camera_name = 'cam68' AND b.frame_id = a.frame_id - l.lag GROUP BY l.lag)")
+def signal_to_noise(spark, sf_dir):
+    return Y.signal_to_noise(Y.lag_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B, 400)).withColumn("snr", F.round("snr", 4))
+
+
+@query("SELECT camera_name, frame_id, CASE WHEN camera_name = 'cam68' THEN frame_id - tau ELSE frame_id END AS aligned_frame_id FROM it, tau")
+def aligned_frames(spark, sf_dir):
+    return batch.align(cleaned_of(spark, sf_dir), A, B).select("camera_name", "frame_id", "aligned_frame_id")
+
+
+@query("SELECT s.camera_name, s.frame_id, coalesce(m.accel, 0.0) AS accel FROM sig s LEFT JOIN (SELECT camera_name, CASE WHEN camera_name = 'cam68' THEN frame_id + tau ELSE frame_id END AS frame_id, accel FROM sig, tau) m USING (camera_name, frame_id)")
+def shifted_signal(spark, sf_dir):
+    return Y.shifted(Y.accel_signal(cleaned_of(spark, sf_dir)), tau_of(spark, sf_dir), B)
+
+
+@query()
+def impact_peaks(spark, sf_dir):
+    return Y.peaks(Y.accel_signal(cleaned_of(spark, sf_dir)))
+
+
+@query()
+def sync_report(spark, sf_dir):
+    signal, tau = Y.accel_signal(cleaned_of(spark, sf_dir)), tau_of(spark, sf_dir)
+    return Y.sync_report(tau, Y.peaks(Y.shifted(signal, tau, B)), A, B)
+
+
+@query("SELECT camera_name, frame_id, row_idx, time, interp_u, interp_v, v_px, is_valid FROM mv")
+def motion_valid(spark, sf_dir):
+    return L.motion(cleaned_of(spark, sf_dir)).select("camera_name", "frame_id", "row_idx", "time", "interp_u", "interp_v", "v_px", "is_valid")
+
+
+@query("SELECT camera_name, rally_id, start_frame, end_frame, rally_start, rally_end FROM tr")
+def trajectory_rallies(spark, sf_dir):
+    return L.trajectory_rallies(L.motion(cleaned_of(spark, sf_dir)))
+
+
+@query("SELECT camera_name, frame_id, row_idx FROM cr")
+def crossings(spark, sf_dir):
+    return match_of(spark, sf_dir).crossings
+
+
+@query("SELECT camera_name, rally_id, start_frame, end_frame, rally_start, rally_end FROM ra")
+def rallies(spark, sf_dir):
+    return match_of(spark, sf_dir).rallies
+
+
+@query("SELECT camera_name, frame_id, rally_id FROM fr")
+def rally_of_frames(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return L.rally_of_frames(m.moving.select("camera_name", "frame_id"), m.rallies)
+
+
+@query("SELECT camera_name, rally_id, count(*) AS n_frames, min(frame_id) AS first_frame, max(frame_id) AS last_frame FROM fr WHERE rally_id IS NOT NULL GROUP BY 1, 2")
+def frames_of_rallies(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    inside = L.rally_of_frames(m.moving.select("camera_name", "frame_id"), m.rallies).filter("rally_id is not null")
+    return inside.groupBy("camera_name", "rally_id").agg(F.count("*").alias("n_frames"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
+
+
+@query("SELECT tr.camera_name, tr.rally_id, tr.start_frame, tr.end_frame, count(cr.frame_id) AS shots FROM tr LEFT JOIN cr ON cr.camera_name = tr.camera_name AND cr.frame_id BETWEEN tr.start_frame AND tr.end_frame GROUP BY 1, 2, 3, 4")
+def crossings_per_rally(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return L.crossings_per_rally(L.trajectory_rallies(m.moving), m.crossings).select("camera_name", "rally_id", "start_frame", "end_frame", "shots")
+
+
+_EMPTY = "SELECT camera_name, CAST(row_number() OVER (PARTITION BY camera_name ORDER BY g) AS INTEGER) AS rally_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, CAST(sum(shots) AS BIGINT) AS shots FROM (SELECT *, CASE WHEN n = 0 THEN rally_id - 1 ELSE least(g0, n - 1) END AS g FROM (SELECT *, coalesce(sum(CASE WHEN shots > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_name ORDER BY rally_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0, sum(CASE WHEN shots > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_name) AS n FROM ({})))  GROUP BY camera_name, g"
+_WINDOWS = "SELECT camera_name, CAST(frame_id // 40 + 1 AS INTEGER) AS rally_id, min(frame_id) AS start_frame, max(frame_id) AS end_frame, count(*) FILTER (frame_id IN (SELECT frame_id FROM cr WHERE cr.camera_name = mv.camera_name)) AS shots FROM mv GROUP BY 1, 2"
+
+
+@query(_EMPTY.format(_WINDOWS))
+def merged_rallies(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    hit = m.crossings.select("camera_name", "frame_id", F.lit(1).alias("hit"))
+    even = m.moving.select("camera_name", "frame_id").join(hit, ["camera_name", "frame_id"], "left").groupBy("camera_name", (F.floor(F.col("frame_id") / 40) + 1).cast("int").alias("rally_id")).agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"), F.count("hit").alias("shots"))
+    return L.merge_empty(even)
+
+
+@query("SELECT camera_name, frame_id, ball_kmh FROM sp")
+def ball_speed(spark, sf_dir):
+    return match_of(spark, sf_dir).located.select("camera_name", "frame_id", "ball_kmh")
+
+
+@query("SELECT camera_name, frame, time_s, rally_id, speed_kmh, near_player FROM ht")
+def hit_events(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return P.hit_events(m.located.drop("rally_id"), m.crossings, m.rallies)
+
+
+@query("SELECT camera_name, frame_id, near, CASE near WHEN 'p0' THEN 'p1' WHEN 'p1' THEN 'p0' END AS far, p0_x, p0_y, p1_x, p1_y FROM pl")
+def player_places(spark, sf_dir):
+    df = detections_of(spark, sf_dir).withColumns({"interp_u": F.col("ball_u"), "interp_v": F.col("ball_v")})
+    at = P.located(df, T.cameras(spark))
+    return at.select("camera_name", "frame_id", "near", "far", *[F.col(f"{p}_w.{c}").alias(f"{p}_{c}") for p in ("p0", "p1") for c in "xy"])
+
+
+_COURT = lambda x, y: f"CASE WHEN {x} IS NOT NULL THEN {r(f'greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x} / {S.court_width}::DOUBLE))', 3)} END AS x, CASE WHEN {x} IS NOT NULL THEN {r(f'greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - {y} / {S.court_length}::DOUBLE))', 3)} END AS y"
+
+
+@query(f"SELECT camera_name, frame_id, {_COURT('ball_x', 'ball_y')} FROM lo")
+def world_coords(spark, sf_dir):
+    x, y = G.to_court(F.col("ball_w"))
+    return match_of(spark, sf_dir).located.select("camera_name", "frame_id", x.alias("x"), y.alias("y"))
+
+
+@query("SELECT camera_name, rally_id, role, total_distance, avg_move_speed, max_move_speed FROM ps")
+def player_stats(spark, sf_dir):
+    return P.player_stats(match_of(spark, sf_dir).moved)
+
+
+@query("SELECT camera_name, frame_id, near_m, far_m, p0_m, p1_m FROM mo WHERE rally_id IS NOT NULL")
+def player_moves(spark, sf_dir):
+    return match_of(spark, sf_dir).moved.filter("rally_id is not null").select("camera_name", "frame_id", "near_m", "far_m", "p0_m", "p1_m")
+
+
+@query("SELECT camera_name, rally_id, start_frame, end_frame, rally_start_s, rally_end_s, duration_s, shots, dist_m FROM rs")
+def rally_stats(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return P.rally_stats(m.rallies, m.shots.filter("rally_id is not null"), m.moved)
+
+
+@query("SELECT camera_name, rally_id, total_shots, avg_ball_speed, max_ball_speed FROM bs")
+def rally_ball_stats(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return P.ball_stats(m.rallies, m.shots.filter("rally_id is not null"))
+
+
+@query("SELECT rs.*, b.avg_ball_speed, b.max_ball_speed FROM rs JOIN bs b USING (camera_name, rally_id)")
+def rally_report(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    shots = m.shots.filter("rally_id is not null")
+    return P.rally_stats(m.rallies, shots, m.moved).join(P.ball_stats(m.rallies, shots).drop("total_shots"), ["camera_name", "rally_id"])
+
+
+@query(f"SELECT c.camera_name AS camera, CAST(coalesce(n, 0) AS INTEGER) AS total_rallies, CAST(coalesce(hits, 0) AS INTEGER) AS total_hits, {r('CASE WHEN coalesce(n, 0) > 0 THEN coalesce(hits, 0) / n ELSE 0.0 END', 2)} AS avg_hits_per_rally, {r('coalesce(d, 0.0)', 2)} AS total_dist_m, {r('coalesce(speed, 0.0)', 1)} AS avg_speed_kmh, coalesce(y_net, 260.0) AS y_net_px FROM cams c LEFT JOIN (SELECT camera_name, count(*) AS n, sum(dist_m) AS d FROM rs GROUP BY 1) USING (camera_name) LEFT JOIN (SELECT camera_name, count(*) AS hits, avg(speed_kmh) AS speed FROM ht GROUP BY 1) USING (camera_name)")
+def session_summary(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    stats = P.rally_stats(m.rallies, m.shots.filter("rally_id is not null"), m.moved)
+    return P.session_summary(stats, P.hit_events(m.located.drop("rally_id"), m.crossings, m.rallies), T.cameras(spark))
+
+
+_PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(f"SELECT camera_name, frame_id, shown AS shown_rally, CAST(CASE WHEN shown IS NULL THEN 0 ELSE coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER r, 0) END AS INTEGER) AS shots, CASE WHEN shown IS NULL THEN 0.0 ELSE round(coalesce(sum(CASE WHEN rally_id IS NOT NULL THEN p0_m + p1_m ELSE 0.0 END) OVER r, 0.0), 6) END AS dist_m, coalesce(last_value(CASE WHEN hit THEN ball_kmh END IGNORE NULLS) OVER (PARTITION BY camera_name ORDER BY frame_id {_PREV}), 0.0) AS last_speed FROM (SELECT *, last_value(rally_id IGNORE NULLS) OVER (PARTITION BY camera_name ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS shown, rally_id IS NOT NULL AND (camera_name, frame_id) IN (SELECT (camera_name, frame_id) FROM cr) AS hit FROM mo) WINDOW r AS (PARTITION BY camera_name, shown ORDER BY frame_id {_PREV})")
+def panel_state(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    return P.panel(m.moved, m.crossings).withColumn("dist_m", F.round("dist_m", 6))
+
+
+def payloads_of(spark, sf_dir) -> DataFrame:
+    return batch.reports(cleaned_of(spark, sf_dir), T.cameras(spark), G.parse_iso(F.lit("2024-05-01T10:00:00Z")))
+
+
+@query("SELECT ra.camera_name, ra.rally_id, c.serial AS serial_number, strftime(TIMESTAMP '2024-05-01 10:00:00' + to_microseconds(CAST(floor(start_frame * 1000000 / 25.0) AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS start_time, (SELECT count(*) FROM lo WHERE lo.camera_name = ra.camera_name AND lo.rally_id = ra.rally_id AND ball_x IS NOT NULL) AS n_track, (SELECT count(*) FROM ht WHERE ht.camera_name = ra.camera_name AND ht.rally_id = ra.rally_id) AS n_result, b.avg_ball_speed FROM ra JOIN cams c USING (camera_name) JOIN bs b USING (camera_name, rally_id)")
+def payload_digest(spark, sf_dir):
+    j = lambda path: F.get_json_object("payload", path)
+    n = lambda path: F.json_array_length(j(path)).cast("long")
+    return payloads_of(spark, sf_dir).select("camera_name", "rally_id", j("$.serial_number").alias("serial_number"), j("$.startTime").alias("start_time"), n("$.content.trackMatrix").alias("n_track"), n("$.content.resultmatrix").alias("n_result"), j("$.content.mete.nearCount.avgBallSpeed").cast("double").alias("avg_ball_speed"))
+
+
+@query()
+def payload_json(spark, sf_dir):
+    return payloads_of(spark, sf_dir)
+
+
+@query("SELECT camera_name, count(*) AS n_sent FROM ra GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM ra")
+def payloads_sent(spark, sf_dir):
+    return sinks.sent_counts(sinks.post(payloads_of(spark, sf_dir)))
+
+
+_EXP = "SELECT camera_name, frame_id, interp_u + (frame_id % 5) AS eu, interp_v - (frame_id % 3) AS ev, is_outlier AS eo, was_interpolated AS ew, frame_id FROM it WHERE frame_id % 7 <> 0"
+
+
+def expected_of(cleaned: DataFrame) -> DataFrame:
+    """The cleaned table with known errors and missing frames."""
+    return cleaned.filter("frame_id % 7 <> 0").withColumns({"interp_u": F.col("interp_u") + F.col("frame_id") % 5, "interp_v": F.col("interp_v") - F.col("frame_id") % 3, "was_interpolated": F.col("was_interpolated") & (F.col("frame_id") % 2 == 0)})
+
+
+_ERR = "SELECT i.camera_name, i.frame_id, abs(i.interp_u - (i.interp_u + frame_id % 5)) AS u_err, abs(i.interp_v - (i.interp_v - frame_id % 3)) AS v_err, i.interp_u - (i.interp_u + frame_id % 5) AS a, i.interp_v - (i.interp_v - frame_id % 3) AS b, 1 AS is_outlier_agree, CASE WHEN was_interpolated = (was_interpolated AND frame_id % 2 = 0) THEN 1 ELSE 0 END AS was_interpolated_agree FROM it i WHERE frame_id % 7 <> 0"
+
+
+@query(f"SELECT camera_name, frame_id, u_err, v_err, sqrt(a*a + b*b) AS ball_err, CAST(is_outlier_agree AS INTEGER) AS is_outlier_agree, CAST(was_interpolated_agree AS INTEGER) AS was_interpolated_agree FROM ({_ERR})")
+def compare_errors(spark, sf_dir):
+    cleaned = cleaned_of(spark, sf_dir).drop(*SHOULDERS)
+    return R.compared(cleaned, expected_of(cleaned))
+
+
+@query(f"SELECT camera_name, round(avg(sqrt(a*a + b*b)), 6) AS ball_interp_mae_px, round(sqrt(avg(a*a + b*b)), 6) AS ball_interp_rmse_px, round(avg(u_err), 6) AS ball_interp_u_mae, round(avg(v_err), 6) AS ball_interp_v_mae, round(avg(is_outlier_agree), 6) AS outlier_agree_rate, round(avg(was_interpolated_agree), 6) AS interp_agree_rate FROM ({_ERR}) GROUP BY 1")
+def compare_mae(spark, sf_dir):
+    cleaned = cleaned_of(spark, sf_dir).drop(*SHOULDERS)
+    out = R.comparison_summary(R.compared(cleaned, expected_of(cleaned)))
+    return out.select("camera_name", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+_JOINT = " , ".join(f"avg(abs({p}_{j}_{x} - ({p}_{j}_{x} + frame_id % {3 + k}))) AS {p}_{j}_{x}" for p in ("p0", "p1") for j in ("ls", "rs") for k, x in enumerate("uv"))
+
+
+@query(f"SELECT camera_name, round((p0_ls_u + p0_ls_v) / 2, 6) AS p0_ls_mae_px, round((p0_rs_u + p0_rs_v) / 2, 6) AS p0_rs_mae_px, round(((p0_ls_u + p0_ls_v) / 2 + (p0_rs_u + p0_rs_v) / 2) / 2, 6) AS p0_avg_joint_mae_px, round(((p1_ls_u + p1_ls_v) / 2 + (p1_rs_u + p1_rs_v) / 2) / 2, 6) AS p1_avg_joint_mae_px FROM (SELECT camera_name, {_JOINT} FROM det GROUP BY 1)")
+def compare_joints(spark, sf_dir):
+    cleaned = cleaned_of(spark, sf_dir)
+    other = cleaned.withColumns({c: F.col(c) + F.col("frame_id") % (4 if c.endswith("v") else 3) for c in SHOULDERS})
+    out = R.comparison_summary(R.compared(cleaned, other))
+    return out.select("camera_name", *[F.round(c, 6).alias(c) for c in ("p0_ls_mae_px", "p0_rs_mae_px", "p0_avg_joint_mae_px", "p1_avg_joint_mae_px")])
+
+
+@query("SELECT count(*) AS n_common FROM (SELECT frame_id FROM det WHERE camera_name = 'cam66' INTERSECT SELECT frame_id FROM det WHERE camera_name = 'cam68')")
+def frame_intersection(spark, sf_dir):
+    df = detections_of(spark, sf_dir)
+    return R.common_frames(df.filter(F.col("camera_name") == A), df.filter(F.col("camera_name") == B))
+
+
+@query("SELECT DISTINCT outlier_rule AS rule FROM it WHERE camera_name = 'cam66' AND is_outlier UNION SELECT DISTINCT outlier_rule FROM it WHERE camera_name = 'cam68' AND is_outlier")
+def rule_union(spark, sf_dir):
+    hit = cleaned_of(spark, sf_dir).filter("is_outlier").select("camera_name", F.col("outlier_rule").alias("rule"))
+    return hit.filter(F.col("camera_name") == A).select("rule").union(hit.filter(F.col("camera_name") == B).select("rule")).distinct()
+
+
+@query("SELECT x AS camera_name FROM (VALUES ('cam66'), ('cam68'), ('cam70')) t(x) EXCEPT SELECT DISTINCT camera_name FROM det")
+def missing_cameras(spark, sf_dir):
+    return R.missing_cameras(spark.createDataFrame([("cam66",), ("cam68",), ("cam70",)], "camera_name string"), detections_of(spark, sf_dir))
+
+
+@query("SELECT d.camera_name, d.frame_id, coalesce(c.serial, 'UNKNOWN_' || d.camera_name) AS serial, coalesce(c.y_net, 260.0) AS y_net FROM det d LEFT JOIN (SELECT * FROM cams WHERE camera_name = 'cam66') c USING (camera_name)")
+def camera_lookup(spark, sf_dir):
+    dim = F.broadcast(T.cameras(spark, T.DEMO_CAMERAS[:1]).select("camera_name", "serial", "y_net"))
+    return detections_of(spark, sf_dir).select("camera_name", "frame_id").join(dim, "camera_name", "left").select("camera_name", "frame_id", F.coalesce("serial", F.concat(F.lit("UNKNOWN_"), F.col("camera_name"))).alias("serial"), F.coalesce("y_net", F.lit(260.0)).alias("y_net"))
+
+
+@query("SELECT a.camera_name, a.frame_id, b.ball_conf FROM (SELECT camera_name, frame_id, row_number() OVER (PARTITION BY camera_name ORDER BY frame_id) AS i FROM det) a JOIN (SELECT camera_name, ball_conf, row_number() OVER (PARTITION BY camera_name ORDER BY frame_id) AS i FROM det WHERE detected = 1) b USING (camera_name, i)")
+def zipped_results(spark, sf_dir):
+    df = detections_of(spark, sf_dir)
+    return R.zipped(df.select("camera_name", "frame_id"), df.filter("detected = 1").select("camera_name", "frame_id", "ball_conf"))
+
+
+@query("SELECT camera_name, frame_id, (camera_name, frame_id) IN (SELECT (camera_name, frame_id) FROM cr) AS is_crossing FROM mv")
+def crossing_members(spark, sf_dir):
+    m = match_of(spark, sf_dir)
+    hit = m.crossings.select("camera_name", "frame_id", F.lit(True).alias("is_crossing"))
+    return m.moving.select("camera_name", "frame_id").join(hit, ["camera_name", "frame_id"], "left").fillna(False, ["is_crossing"])
+
+
+_BOX = "SELECT camera_name, frame_id, k, CAST(100 + frame_id * 7 * k % 300 AS DOUBLE) AS x1, CAST(50 + frame_id * 5 * k % 200 AS DOUBLE) AS y1, CAST(100 + frame_id * 7 * k % 300 + 20 + frame_id * 3 * k % 90 AS DOUBLE) AS x2, CAST(50 + frame_id * 5 * k % 200 + 40 + frame_id * k % 70 AS DOUBLE) AS y2 FROM {0}, (SELECT unnest([1, 2, 3]) AS k)"
+
+
+@query(f"SELECT camera_name, frame_id, x1, y1, x2, y2, CAST(row_number() OVER (PARTITION BY camera_name, frame_id ORDER BY (y1 + y2) / 2 DESC, x1, y1, x2, y2) - 1 AS INTEGER) AS player FROM (SELECT *, row_number() OVER (PARTITION BY camera_name, frame_id ORDER BY (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2) AS rk FROM ({_BOX.format('det')})) WHERE rk <= 2")
+def top2_dedup(spark, sf_dir):
+    boxes = detections_of(spark, sf_dir).select("camera_name", "frame_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    boxes = boxes.selectExpr("camera_name", "frame_id", "struct(cast(100 + frame_id * 7 * k % 300 as double) as x1, cast(50 + frame_id * 5 * k % 200 as double) as y1, cast(100 + frame_id * 7 * k % 300 + 20 + frame_id * 3 * k % 90 as double) as x2, cast(50 + frame_id * 5 * k % 200 + 40 + frame_id * k % 70 as double) as y2) as box")
+    return R.top_players(boxes).select("camera_name", "frame_id", "box.*", "player")
+
+
+@query("SELECT camera_name, frame_id, ball_u, seq AS ingest_seq FROM (SELECT *, row_number() OVER (PARTITION BY camera_name, frame_id ORDER BY seq DESC) AS rk FROM (SELECT camera_name, frame_id // 2 AS frame_id, ball_u, frame_id AS seq FROM det)) WHERE rk = 1")
+def last_of_frame(spark, sf_dir):
+    twice = detections_of(spark, sf_dir).select("camera_name", F.floor(F.col("frame_id") / 2).alias("frame_id"), "ball_u", F.col("frame_id").alias("ingest_seq"))
+    return R.last_of_frame(twice)
+
+
+@query(f"SELECT camera_name, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY camera_name ORDER BY frame_id DESC) AS rk FROM det) WHERE rk <= {int(S.fps * S.overlap_s)}")
+def overlap_tail(spark, sf_dir):
+    return R.tail(detections_of(spark, sf_dir).select("camera_name", "frame_id"), int(S.fps * S.overlap_s))
+
+
+@query("SELECT camera_name, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY camera_name ORDER BY frame_id) AS rk FROM det) WHERE rk <= 500")
+def first_rows(spark, sf_dir):
+    return R.head(detections_of(spark, sf_dir).select("camera_name", "frame_id"), 500)
+
+
+@query("SELECT camera_name, CAST(i // 3 AS BIGINT) AS window, min(frame_id) AS first_frame, count(*) AS n, sum(ball_u) AS total FROM (SELECT *, row_number() OVER (PARTITION BY camera_name ORDER BY frame_id) - 1 AS i FROM det) GROUP BY 1, 2")
+def tumbling_triples(spark, sf_dir):
+    return R.tumbling(detections_of(spark, sf_dir), "ball_u").select("camera_name", "window", "first_frame", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT camera_name, frame_id, coalesce(lag(ball_u, 2) OVER w, first_value(ball_u) OVER w) AS a, coalesce(lag(ball_u) OVER w, first_value(ball_u) OVER w) AS b, ball_u AS c FROM det WINDOW w AS (PARTITION BY camera_name ORDER BY frame_id)")
+def sliding_triples(spark, sf_dir):
+    return R.sliding(detections_of(spark, sf_dir), "ball_u").select("camera_name", "frame_id", *[F.get("values", F.lit(k)).alias(n) for k, n in enumerate("abc")])
+
+
+_HEAT = "SELECT camera_name, frame_id, cell, CAST((frame_id * 31 + cell * 17) % 101 - 60 AS DOUBLE) / 10 AS logit FROM {0}, (SELECT CAST(unnest(generate_series(0, 11)) AS INTEGER) AS cell)"
+
+
+@query(f"SELECT camera_name, frame_id, CAST(CASE WHEN conf >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS detected, CASE WHEN conf >= 0.5 THEN (cell % 4) * 480.0::DOUBLE END AS ball_u, CASE WHEN conf >= 0.5 THEN (cell // 4) * 360.0::DOUBLE END AS ball_v, round(conf, 9) AS ball_conf FROM (SELECT camera_name, frame_id, cell, 1 / (1 + exp(-logit)) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY camera_name, frame_id ORDER BY logit DESC, cell) AS rk FROM ({_HEAT.format('det')})) WHERE rk = 1)")
+def heat_peaks(spark, sf_dir):
+    heat = detections_of(spark, sf_dir).select("camera_name", "frame_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("cell"))
+    heat = heat.selectExpr("camera_name", "frame_id", "cell", "cast((frame_id * 31 + cell * 17) % 101 - 60 as double) / 10 as logit")
+    return R.from_heat(R.heat_peak(heat), 4, 3, 1920, 1080, 0.5).withColumn("ball_conf", F.round("ball_conf", 9))
+
+
+_BUF = "SELECT camera_name, count(*) AS n_rows, CAST(max(frame_id) FILTER (true) - max(frame_id) FILTER (detected = 1) AS DOUBLE) / 25 AS quiet_s, CAST(max(frame_id) AS DOUBLE) / 25 AS since_flush_s FROM det GROUP BY 1"
+
+
+@query(f"SELECT min(n_rows) >= 200 AS enough, coalesce(bool_and(quiet_s >= 10) FILTER (quiet_s IS NOT NULL), false) AS all_quiet, max(since_flush_s) >= 300 AS overdue, min(n_rows) >= 200 AND (coalesce(bool_and(quiet_s >= 10) FILTER (quiet_s IS NOT NULL), false) OR max(since_flush_s) >= 300) AS flush FROM ({_BUF})")
+def flush_decision(spark, sf_dir):
+    last = F.max("frame_id")
+    buffers = detections_of(spark, sf_dir).groupBy("camera_name").agg(F.count("*").alias("n_rows"), ((last - F.max(F.when(F.col("detected") == 1, F.col("frame_id")))).cast("double") / 25).alias("quiet_s"), (last.cast("double") / 25).alias("since_flush_s"))
+    return R.flush_decision(buffers)
+
+
+@query("SELECT camera_name, y_far, px_width_far, y_near, px_width_near, round(k * ((px_width_near - px_width_far) / (y_near - y_far)), 9) AS alpha, round(k * px_width_far - k * ((px_width_near - px_width_far) / (y_near - y_far)) * y_far, 9) AS beta FROM (SELECT *, v_max_ms / (fps * court_width_m) AS k FROM cams)")
+def calibration(spark, sf_dir):
+    clicks = F.array(*[F.array(x, y) for x, y in ((F.lit(100.0), F.col("y_far")), (F.lit(100.0) + F.col("px_width_far"), F.col("y_far")), (F.lit(20.0), F.col("y_near")), (F.lit(20.0) + F.col("px_width_near"), F.col("y_near")))])
+    out = T.cameras(spark).select("camera_name", G.calibration(clicks, F.col("fps"), F.col("v_max_ms"), F.col("court_width_m")).alias("c")).select("camera_name", "c.*")
+    return out.withColumns({c: F.round(c, 9) for c in ("alpha", "beta")})
+
+
+@query("SELECT label, 'uploads/cal_' || label || '.json' AS path, count(*) AS n, bool_or(stream) AS stream FROM (SELECT regexp_extract('out/x/' || camera_name || '_video_' || event_id || '.mp4', '([^/_]*)_[^/]*$', 1) AS label, lower('RTSP://h/' || camera_name) LIKE 'rtsp://%' AS stream FROM ev) GROUP BY 1", True)
+def labels_of_files(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CASE WHEN user_id % 4 < 2 THEN 'cam66' ELSE 'cam68' END AS camera_name")
+    label = T.camera_label(F.concat(F.lit("out/x/"), F.col("camera_name"), F.lit("_video_"), F.col("event_id").cast("string"), F.lit(".mp4")))
+    e = e.select(label.alias("label"), T.is_stream(F.concat(F.lit("RTSP://h/"), F.col("camera_name"))).alias("stream"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.bool_or("stream").alias("stream")).select("label", T.calibration_path(F.col("label")).alias("path"), "n", "stream")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events", False)
+def iso_times(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", G.iso_seconds(F.col("ts")).alias("iso"))
+
+
+@query("SELECT camera_name, frame_id, detected, CASE WHEN detected = 1 THEN ball_u END AS ball_u, CASE WHEN detected = 1 THEN ball_v END AS ball_v, p0_ls_u, p1_rs_v FROM det")
+def flattened_frames(spark, sf_dir):
+    joint = lambda p, j: f"named_struct('u', {p}_{j}_u, 'v', {p}_{j}_v, 'conf', cast(0.9 as double))"
+    none = "cast(null as struct<u:double,v:double,conf:double>)"
+    player = lambda p: f"named_struct('ls', {joint(p, 'ls')}, 'rs', {joint(p, 'rs')}, 'le', {none}, 're', {none}, 'lw', {none}, 'rw', {none}, 'bbox', cast(null as struct<x1:double,y1:double,x2:double,y2:double>))"
+    nested = detections_of(spark, sf_dir).selectExpr("camera_name", "frame_id", "named_struct('detected', detected = 1, 'u', ball_u, 'v', ball_v, 'conf', ball_conf) as ball", f"array({player('p0')}, {player('p1')}) as players")
+    return T.flatten_frames(nested).select("camera_name", "frame_id", "detected", "ball_u", "ball_v", "p0_ls_u", "p1_rs_v")
+
+
+@query(f"SELECT camera_name, frame_id, CASE WHEN detected = 1 AND ball_conf >= {S.conf_thr} THEN 1 ELSE 0 END AS detected, CASE WHEN detected = 1 AND ball_conf >= {S.conf_thr} THEN ball_u END AS ball_u FROM det")
+def detection_gate(spark, sf_dir):
+    seen = (F.col("detected") == 1) & (F.col("ball_conf") >= S.conf_thr)
+    return detections_of(spark, sf_dir).select("camera_name", "frame_id", F.when(seen, 1).otherwise(0).alias("detected"), F.when(seen, F.col("ball_u")).alias("ball_u"))
