@@ -15,6 +15,7 @@ from .operators import rallies as L
 from .operators import sync as Y
 from .oracle import BALL, S, r, sql
 from .plans import batch
+from .plans.storage import stored
 from .sources import sinks
 from .sources import tables as T
 
@@ -45,7 +46,7 @@ def rule_rows(df: DataFrame) -> DataFrame:
 
 def upto(df: DataFrame, cams: DataFrame, stage: int) -> DataFrame:
     """Cleaning up to a stage: 2 bounds, 5 the fixpoint, 6 static, 7 segments, 8 crossing time, 9 half court."""
-    df = C.out_of_bounds(C.low_conf(C.gate(df)))
+    df = C.out_of_bounds(C.low_conf(C.gate(df.select(*BALLS))))
     steps = {5: lambda d: C.kinematic_fixpoint(d, cams), 6: C.static_cluster, 7: C.short_segment, 8: lambda d: C.crossing_time(d, cams), 9: lambda d: C.half_court(d, cams)}
     for k, f in steps.items():
         if k <= stage:
@@ -54,7 +55,7 @@ def upto(df: DataFrame, cams: DataFrame, stage: int) -> DataFrame:
 
 
 def cleaned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean(detections_of(spark, sf_dir), T.cameras(spark))
+    return stored(C.clean(detections_of(spark, sf_dir), T.cameras(spark)), "cleaned")
 
 
 def match_of(spark: SparkSession, sf_dir: str) -> batch.Match:

@@ -87,22 +87,18 @@ def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Se
     """Passes until none flags a row, at most s.passes; per camera, each pass vectorised.
 
     A pass reads the survivors of the one before, so rows of one camera meet in one task, as they do
-    in a window; only the columns that the rules read are sent to Python, and flags come back.
+    in a window. All columns of df go through Python: hand it the narrow table that clean() makes.
     """
     import numpy as np
 
-    own = [*keys, "frame_id"]
-    narrow = with_calibration(df, cameras).filter(alive()).select(*own, "ball_u", "ball_v", "_alpha", "_beta")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.select(*own).schema) + ", _rule string"
-
     def settle(pdf):
         pdf = pdf.sort_values("frame_id", kind="stable").reset_index(drop=True)
+        live = np.flatnonzero((pdf["detected"].to_numpy(float) == 1) & ~pdf["is_outlier"].to_numpy(bool))
         u, v, f = (pdf[c].to_numpy(float) for c in ("ball_u", "ball_v", "frame_id"))
-        rule = np.full(len(pdf), None, object)
+        rule = pdf["outlier_rule"].to_numpy(object).copy()
         a, b = pdf["_alpha"].to_numpy(float), pdf["_beta"].to_numpy(float)
         top = np.maximum(s.floor_px, a * v + b)
-        snap, iso = np.where(np.isnan(top), s.flat_snap, top * s.snap_mult), np.where(np.isnan(top), s.flat_iso, top * s.iso_mult)
-        live = np.arange(len(pdf))
+        snap, iso = np.where(np.isnan(a + b), s.flat_snap, top * s.snap_mult), np.where(np.isnan(a + b), s.flat_iso, top * s.iso_mult)
         for _ in range(s.passes):
             du, dv, dt = np.diff(u[live]), np.diff(v[live]), np.maximum(np.diff(f[live]), 1)
             d = np.sqrt(du * du + dv * dv)
@@ -117,16 +113,32 @@ def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Se
             back = (into > near_snap) & (out > near_snap) & (cos <= s.snap_cos)
             spike = (into > near_iso) & (out > near_iso)
             apart = inner & (d_in > near_iso) & (d_out > near_iso)
-            hit = np.where(back, "snap_back", np.where(spike, "speed_spike", np.where(apart, "spatial_isolation", "")))
+            hit = np.where(back, "snap_back", np.where(spike, "speed_spike", np.where(apart, "spatial_isolation", "")))[: len(live)]
             if not (hit != "").any():
                 break
             rule[live[hit != ""]] = hit[hit != ""]
             live = live[hit == ""]
-        pdf["_rule"] = rule
-        return pdf.loc[pdf["_rule"].notna(), [*own, "_rule"]]
+        return marked(pdf, rule)
+
+    return through(with_calibration(df, cameras), df, keys, settle)
+
+
+def marked(pdf, rule):
+    """pdf with the flags that follow from each row's rule."""
+    out = rule != ""
+    pdf["outlier_rule"], pdf["is_outlier"] = rule, out
+    pdf.loc[out, ["clean_u", "clean_v"]] = None
+    return pdf
+
 
-    flagged = narrow.groupBy(*keys).applyInPandas(settle, schema)
-    return flag(df.join(flagged, own, "left"), F.col("_rule").isNotNull(), F.col("_rule")).drop("_rule")
+def through(wide: DataFrame, like: DataFrame, keys: Sequence[str], step) -> DataFrame:
+    """step on each camera's rows; returns the columns of `like`, dealt out by camera again for the windows to come.
+
+    Windows over survivors also partition by a flag that each rule changes; rows dealt by camera alone
+    serve all of them, so the rules that follow add sorts but no exchange.
+    """
+    names = like.columns
+    return wide.groupBy(*keys).applyInPandas(lambda pdf: step(pdf)[names], like.schema).repartition(*keys)
 
 
 def static_cluster(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
@@ -177,18 +189,16 @@ def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAU
     """Where survivors jump between two heights, the cluster of lower mean confidence in a short look-ahead.
 
     A decision covers s.path_window survivors, and the next is looked for after them, so which jumps
-    decide is a fold; it runs per camera over the survivors.
+    decide is a fold; it runs per camera.
     """
     import numpy as np
 
-    own = [*keys, "frame_id"]
-    narrow = df.filter(alive()).select(*own, "ball_v", "ball_conf")
-
     def choose(pdf):
         pdf = pdf.sort_values("frame_id", kind="stable").reset_index(drop=True)
-        v, conf = pdf["ball_v"].to_numpy(float), pdf["ball_conf"].to_numpy(float)
-        lose = np.zeros(len(pdf), bool)
-        jumps = np.flatnonzero(np.abs(np.diff(v)) >= s.path_px) if len(pdf) >= 4 else []
+        live = np.flatnonzero((pdf["detected"].to_numpy(float) == 1) & ~pdf["is_outlier"].to_numpy(bool))
+        v, conf = pdf["ball_v"].to_numpy(float)[live], pdf["ball_conf"].to_numpy(float)[live]
+        lose = np.zeros(len(live), bool)
+        jumps = np.flatnonzero(np.abs(np.diff(v)) >= s.path_px) if len(live) >= 4 else []
         free = 0
         for i in jumps:
             if i < free:
@@ -200,10 +210,11 @@ def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAU
             a, b = np.nanmean(conf[part][first]), np.nanmean(conf[part][~first])
             lose[part] |= ~first if a >= b else first
             free = i + s.path_window
-        return pdf.loc[lose, own]
+        rule = pdf["outlier_rule"].to_numpy(object).copy()
+        rule[live[lose]] = "low_conf_path"
+        return marked(pdf, rule)
 
-    losers = narrow.groupBy(*keys).applyInPandas(choose, narrow.select(*own).schema).withColumn("_lost", F.lit(True))
-    return flag(df.join(losers, own, "left"), F.col("_lost"), "low_conf_path").drop("_lost")
+    return through(df, df, keys, choose)
 
 
 def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
@@ -219,13 +230,20 @@ def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULT
 
 
 def clean(df: DataFrame, cameras: DataFrame | None = None, net_rule: bool = True, threshold: float | None = None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
-    """All rules in order, then gap filling. net_rule: whether runs across the net are judged."""
-    df = out_of_bounds(low_conf(gate(df), threshold, keys, s), s)
-    df = kinematic_fixpoint(df, cameras, keys, s)
-    df = crossing_time(short_segment(static_cluster(df, keys, s), keys, s), cameras, keys, s)
+    """All rules in order, then gap filling. net_rule: whether runs across the net are judged.
+
+    Rules see the ball's columns only; others are joined to the result by camera and frame, of which each
+    row must be the only one.
+    """
+    ball = [*keys, "frame_id", "detected", "ball_u", "ball_v", "ball_conf"]
+    out = out_of_bounds(low_conf(gate(df.select(*ball)), threshold, keys, s), s)
+    out = kinematic_fixpoint(out, cameras, keys, s)
+    out = crossing_time(short_segment(static_cluster(out, keys, s), keys, s), cameras, keys, s)
     if net_rule:
-        df = half_court(df, cameras, keys, s)
-    return interpolate(low_conf_path(df, keys, s), keys, s)
+        out = half_court(out, cameras, keys, s)
+    out = interpolate(low_conf_path(out, keys, s), keys, s)
+    rest = [c for c in df.columns if c not in ball]
+    return out.join(df.select(*keys, "frame_id", *rest), [*keys, "frame_id"]) if rest else out
 
 
 def summary(cleaned: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

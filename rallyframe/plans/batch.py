@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, frames, players, rallies, sync
 from ..settings import DEFAULTS, Settings
+from .storage import stored
 
 
 @dataclass(frozen=True)
 class Match:
-    """Tables of an analysed match; each is lazy."""
+    """Tables of an analysed match."""
 
     moving: DataFrame
     crossings: DataFrame
@@ -24,15 +25,11 @@ class Match:
 
 
 def analyse(cleaned: DataFrame, cameras: DataFrame, s: Settings = DEFAULTS) -> Match:
-    """Motion, crossings, rallies, places, speeds and moves of cleaned detections.
-
-    Tables that several later ones read are kept (memory, then disk) when first computed; a lost part is
-    computed again.
-    """
-    moving = rallies.motion(cleaned.persist(), s=s).persist()
-    hits = rallies.crossings(moving, cameras, s=s).persist()
-    found = rallies.rallies(moving, hits, s=s)
-    located = players.ball_speeds(players.located(rallies.rally_of_frames(moving, found), cameras), s=s).persist()
+    """Motion, crossings, rallies, places, speeds and moves of cleaned detections; the first four are stored tables."""
+    moving = stored(rallies.motion(cleaned, s=s), "moving")
+    hits = stored(rallies.crossings(moving, cameras, s=s), "crossings")
+    found = stored(rallies.rallies(moving, hits, s=s), "rallies")
+    located = stored(players.ball_speeds(players.located(rallies.rally_of_frames(moving, found), cameras), s=s), "located")
     shots = located.join(hits.select("camera_name", "frame_id"), ["camera_name", "frame_id"], "left_semi")
     moved = players.moves_by_player(players.moves_by_role(located, s=s), s=s)
     return Match(moving, hits, found, located, shots, moved)
@@ -53,5 +50,5 @@ def align(cleaned: DataFrame, a: str, b: str, s: Settings = DEFAULTS) -> DataFra
 
 def run(detections: DataFrame, cameras: DataFrame, a: str, b: str, video_start: Column, net_rule: bool = False, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(aligned table, reports) of a batch of two cameras."""
-    cleaned = cleaning.clean(frames.dense(detections), cameras, net_rule, s=s)
+    cleaned = stored(cleaning.clean(frames.dense(detections), cameras, net_rule, s=s), "cleaned")
     return align(cleaned, a, b, s), reports(cleaned, cameras, video_start, s)
