@@ -2,16 +2,17 @@
 
 Patterns find protected entities: mail addresses, IP addresses, card and phone numbers. Terms that
 stand near an entity may reveal it even when it is masked. The corpus tells how strongly: the
-pointwise mutual information of term and entity over distinct texts, against the information content
+pointwise mutual information of term and entity over documents, against the information content
 of the entity itself. A term whose share of it reaches `disclosure`, seen with the entity in at least
 `support` different surroundings, is a span too, and is generalised, or removed if it gives away nearly all.
 
 At scale: one pass finds spans and surroundings, without a shuffle of texts; pairs of entity and term
-are counted with map-side sums. How many texts hold a term is counted over the whole corpus, for
+are counted with map-side sums. How many documents hold a term is counted over the whole corpus, for
 terms that passed the support only: they are sent to every task if few, else joined.
 
 Defined cases: null and empty texts have no spans; texts of any length are searched whole, in time
-linear in their length; repeated rows are all judged, but equal texts count once; empty tables give
+linear in their length; repeated rows are all judged and counted, but equal surroundings support a pair
+once; empty tables give
 empty results.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -127,43 +129,44 @@ def _finder(id_type: pa.DataType):
 
 
 def _holders(terms: frozenset):
-    schema = pa.schema([("key", pa.binary()), ("term", pa.string())])
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
-    def search(batches):
+    def count(batches):
+        held: Counter = Counter()  # as many as there are terms, at most
         for batch in batches:
             for _, texts in in_slices(batch, 4_000_000, 0):
-                rows = []
                 for text in texts:
-                    if held := terms & set(map(term_of, set(text.split()))):
-                        key = hashlib.md5(text.encode()).digest()
-                        rows += [(key, t) for t in held]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    held.update(terms.intersection(map(term_of, set(text.split()))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
 
-    return search
+    return count
 
 
-def texts_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how many distinct texts hold each of terms. docs: (id, text)."""
+def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_term): how many documents hold each of terms. docs: (id, text)."""
     few = [r.term for r in terms.limit(BROADCAST_TERMS + 1).collect()]
     if len(few) <= BROADCAST_TERMS:
-        held = docs.select("text").mapInArrow(_holders(frozenset(few)), "key binary, term string")
+        held = docs.select("text").mapInArrow(_holders(frozenset(few)), "term string, n long")
     else:
-        words = F.explode(F.array_distinct(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(F.lower(w), r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$""", ""))))
-        held = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), words.alias("term")).join(terms, "term", "left_semi")
-    return held.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+        word = F.explode(F.array_distinct(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(F.lower(w), r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$""", ""))))
+        held = docs.select(word.alias("term"), F.lit(1).alias("n")).groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+    return held.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, part): terms that reveal an entity, and what part of its information."""
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.context", "x.term")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_pair")).filter(F.col("contexts") >= support)
-    pairs = written(pairs, "pairs")
+    # A document counts once for each pair, and for each entity, however often they stand in it.
+    once = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["context"].alias("context"), x["term"].alias("term"))))
+    near = found.select(F.explode(once).alias("x")).select("x.*")
+    own_pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    n_pair = found.select(F.explode(own_pairs).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_pair"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
+    pairs = written(pairs.join(n_pair, ["entity", "term"]), "pairs")
     if not pairs.limit(1).count():
         return pairs.select("entity", "term", F.lit(0.0).alias("part"))
-    texts = found.select("key").distinct().count()
-    entity = near.groupBy("entity").agg(F.countDistinct("key").alias("n_entity"))
-    n_term = texts_with(docs, pairs.select("term").distinct())
+    texts = found.count()
+    entity = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_term = documents_with(docs, pairs.select("term").distinct())
     all_ = pairs.join(entity, "entity").join(n_term, "term")
     info = F.log(F.lit(float(texts)) / F.col("n_entity"))
     pmi = F.log(F.col("n_pair") * F.lit(float(texts)) / (F.col("n_entity") * F.col("n_term")))
