@@ -17,6 +17,7 @@ Columns whose names clash with the ones used here are left alone.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +81,10 @@ def features(text: Column) -> Column:
     return let(F.struct(*longs, worded.alias("words"), lined.alias("lines")), lambda x: x)  # else each later use of a feature would compute it again
 
 
-def flat(struct: str) -> dict[str, Column]:
-    """Feature name to column, of the struct that features() made."""
+def paths(struct: str) -> dict[str, str]:
+    """Feature name to its place in the struct that features() made."""
     plain = ("word_chars", "n_symbols", "n_upper", "n_punct", "n_ended_lines")
-    return {k: F.col(f"{struct}.{k}") for k in plain} | {"n_words": F.col(f"{struct}.words.n"), "n_repeat_words": F.col(f"{struct}.words.again"), "n_lines": F.col(f"{struct}.lines.n"), "n_dup_lines": F.col(f"{struct}.lines.dup")}
+    return {k: f"{struct}.{k}" for k in plain} | {"n_words": f"{struct}.words.n", "n_repeat_words": f"{struct}.words.again", "n_lines": f"{struct}.lines.n", "n_dup_lines": f"{struct}.lines.dup"}
 
 
 def vote_pattern(rules=RULES) -> Column:
@@ -163,9 +164,10 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, t
     name, votes = fresh(docs, "quality", "votes")
     carry = docs.columns if carry is None else carry
     seen = docs.select(*[F.col(f"`{c}`") for c in carry], features(F.col(f"`{text}`")).alias(name))
-    named = flat(name)
+    at = paths(name)
+    named = {k: F.col(v) for k, v in at.items()}
     base = (named["n_words"] < 20) | (100 * named["n_repeat_words"] > 30 * named["n_words"])
-    bound = [(k, in_terms_of(bad, named), in_terms_of(good, named)) for k, bad, good in rules]
+    bound = [(k, in_terms_of(bad, at), in_terms_of(good, at)) for k, bad, good in rules]
     pattern = vote_pattern(bound)
     stored = written(seen.select(*[F.col(f"`{c}`") for c in carry], F.struct(*[v.alias(k) for k, v in named.items()], base.alias("base_failed"), pattern.alias(votes)).alias(name)), "quality")
     counts = {r[0]: r[1] for r in stored.groupBy(F.col(f"{name}.{votes}")).count().collect()}  # at most 3 ** rules rows
@@ -175,12 +177,9 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, t
     return out.withColumn(name, F.struct(F.col(f"{name}.*"), (~F.col(f"{name}.base_failed") & (F.col(f"{name}.posterior") >= threshold)).alias("kept"))), name
 
 
-def in_terms_of(rule: str, named: dict[str, Column]) -> str:
-    """The rule, with feature names written as paths into the struct."""
-    import re
-
-    paths = {k: v._jc.toString() for k, v in named.items()}
-    return re.sub(r"[a-z_]+", lambda m: paths.get(m[0], m[0]), rule)
+def in_terms_of(rule: str, at: dict[str, str]) -> str:
+    """The rule, with feature names written as their places in the struct."""
+    return re.sub(r"[a-z_]+", lambda m: at.get(m[0], m[0]), rule)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
