@@ -19,6 +19,9 @@ document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -152,25 +155,89 @@ def dense(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + 1) for x in np.split(at, cut)]
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= percent * (len(np.unique(x)) + len(np.unique(y)) - both)
+
+
+def token_pairs(s: np.ndarray, r: np.ndarray) -> list[tuple[int, int]]:
+    """Places of equal tokens. A token that makes more than 64 pairs is paired by its turn, so pairs stay few."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(r.tolist()):
+        places.setdefault(x, []).append(j)
+    tokens = s.tolist()
+    often, turn = Counter(tokens), Counter()
+    out = []
+    for i, x in enumerate(tokens):
+        js = places.get(x, [])
+        if len(js) * often[x] > 64:
+            js, turn[x] = js[turn[x] : turn[x] + 1], turn[x] + 1
+        out += [(i, j) for j in reversed(js)]
+    return out
+
+
+def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The most pairs that rise on both sides; pairs are sorted by the first, and falling by the second."""
+    tops, ends, links = [], [], []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tops, j)
+        links.append(ends[k - 1] if k else -1)
+        tops[k : k + 1], ends[k : k + 1] = [j], [n]
+    chain, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        chain.append(pairs[at])
+        at = links[at]
+    return chain[::-1]
+
+
+def in_order(s: np.ndarray, r: np.ndarray, least: int, percent: int) -> tuple[int, int, int, int] | None:
+    """The longest similar stretch along a chain of equal tokens; a chain that has none gives way to the next."""
+    pairs = token_pairs(s, r)
+    while len(chain := longest_chain(pairs)) * 100 >= percent * least:
+        at = np.array(chain)
+        # Tokens between two pairs are similar where (100 + percent) times the pairs reach percent times both lengths.
+        level = (100 + percent) * np.arange(len(at)) - percent * at.sum(axis=1)
+        first = np.searchsorted(-np.minimum.accumulate(level), -(level + 100 - percent))
+        size = (at - at[first]).min(axis=1) + 1
+        k = int(size.argmax())
+        (a, x), (b, y) = chain[first[k]], chain[k]
+        if size[k] >= least and similar(s[a : b + 1], r[x : y + 1], percent):
+            return a, b + 1, x, y + 1
+        used = set(chain)
+        pairs = [p for p in pairs if p not in used]
+    return None
+
+
 def verified(s: np.ndarray, r: np.ndarray, least: int, percent: int, gap: int) -> list[tuple[int, int, int, int]]:
-    """Passages of s and r, at least `least` tokens each, with similar enough sets; from the widest down."""
-    out, todo = [], dense(np.isin(s, r), gap)
+    """Passages of s and r, at least `least` tokens each, with similar enough sets; from the widest down.
+
+    A run of s that isn't similar to any run of r is trimmed to what it has in common with each of them; where
+    nothing is left to trim, the longest stretch in one order is taken, and the rest is looked at again.
+    """
+    out, met = [], set()
+    todo = [(a, b, 0, len(r)) for a, b in dense(np.isin(s, r), gap)]
     while todo:
-        a, b = todo.pop()
-        if b - a < least:
+        state = a, b, x, y = todo.pop()
+        if min(b - a, y - x) < least or state in met:
             continue
+        met.add(state)
         own = s[a:b]
-        other = max(dense(np.isin(r, own), gap), key=lambda x: x[1] - x[0], default=(0, 0))
-        theirs = r[slice(*other)]
-        both = len(np.intersect1d(own, theirs))
-        if other[1] - other[0] >= least and 100 * both >= percent * (len(np.unique(own)) + len(np.unique(theirs)) - both):
-            out.append((a, b, *other))
+        runs = [(x + u, x + v) for u, v in dense(np.isin(r[x:y], own), gap) if v - u >= least]
+        if same := next((run for run in sorted(runs, key=lambda z: z[0] - z[1]) if similar(own, r[slice(*run)], percent)), None):
+            out.append((a, b, *same))
             continue
-        at = np.flatnonzero(np.isin(own, theirs))
-        holes = np.diff(at)
-        if len(holes) and holes.max() > 1:
-            k = int(holes.argmax())
-            todo += [(a + int(at[0]), a + int(at[k]) + 1), (a + int(at[k + 1]), a + int(at[-1]) + 1)]
+        smaller = [(a + p, a + q, u, v) for u, v in runs for p, q in dense(np.isin(own, r[u:v]), gap)]
+        if smaller != [state]:
+            todo += smaller
+        elif part := in_order(own, r[x:y], least, percent):
+            p, q, u, v = part
+            out.append((a + p, a + q, x + u, x + v))
+            todo += [(a, a + p, x, y), (a + q, b, x, y)]
+        else:
+            at = np.flatnonzero(np.isin(own, r[x:y]))
+            k = int(np.diff(at).argmax()) if len(at) > 1 else 0
+            if len(at) > 1 and at[k + 1] - at[k] > 1:
+                todo += [(a + int(at[0]), a + int(at[k]) + 1, x, y), (a + int(at[k + 1]), a + int(at[-1]) + 1, x, y)]
     return out
 
 

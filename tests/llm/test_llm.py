@@ -197,6 +197,34 @@ def test_passages(spark):
     assert passages.substring_dedup(table(spark, texts).limit(0)).count() == 0
 
 
+def brute_passage(s, r, least, percent=80):
+    """Whether any stretch of s is as similar to one of r of the same length."""
+    return any(100 * (n := len(x & y)) >= percent * (len(x) + len(y) - n) for a in range(len(s) - least + 1) for b in range(len(r) - least + 1) for x, y in [(set(s[a : a + least]), set(r[b : b + least]))])
+
+
+@pytest.mark.parametrize(("line", "size", "edits"), [(15, 55, 0), (20, 60, 0), (25, 80, 0), (30, 100, 0), (15, 70, 1), (40, 60, 0)])
+def test_passages_beside_lines_in_another_order(line, size, edits):
+    rnd = random.Random(line)
+    row, shared, gone, least = words(rnd, line), words(rnd, size), words(rnd, 40), passages.WORDS - 4
+    edited = list(shared)
+    for k in range(edits):
+        edited[size // 2 + k] = "edit"
+    tokens = lambda w: passages.shingles(passages.word_ids([x.encode() for x in w]), 5)
+    for x, y in [(words(rnd, 60) + row + edited, shared + gone + row), (row + edited + row, shared + gone + row), (row + gone[:20] + edited, shared + row + words(rnd, 90) + row + shared[:30])]:
+        for s, r in ((tokens(x), tokens(y)), (tokens(y), tokens(x))):
+            assert brute_passage(s.tolist(), r.tolist(), least)
+            got = passages.verified(s, r, least, 80, 10)
+            assert max(b - a for a, b, _, _ in got) >= size - 4 - 5 * edits
+            assert all(passages.similar(s[a:b], r[u:v], 80) and min(b - a, v - u) >= least for a, b, u, v in got)
+
+
+def test_no_passage_of_lines_alone():
+    rnd = random.Random(77)
+    rows = [words(rnd, 15) for _ in range(12)]
+    tokens = lambda w: passages.shingles(passages.word_ids([x.encode() for y in w for x in y]), 5)
+    assert passages.verified(tokens(rows), tokens(rnd.sample(rows, 12) + [words(rnd, 400)]), passages.WORDS - 4, 80, 3) == []
+
+
 def test_compact_windows_stand_for_every_run():
     rnd = np.random.default_rng(3)
     values = rnd.integers(0, 30, 60).astype(np.uint64)
