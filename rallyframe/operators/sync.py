@@ -54,6 +54,32 @@ def lag_correlation(signal: DataFrame, a: str, b: str, max_lag: int | None = DEF
     return pairs.groupBy("lag").agg(F.sum(F.col("za") * F.col("zb")).alias("corr"))
 
 
+def full_correlation(signal: DataFrame, a: str, b: str) -> DataFrame:
+    """(lag, corr) over all lags at which a frame of a meets one of b, by Fourier transform of the two cameras' frames."""
+    import numpy as np
+    import pandas as pd
+
+    def correlate(pdf):
+        x, y = (pdf[pdf["camera_name"] == c] for c in (a, b))
+        if x.empty or y.empty:
+            return pd.DataFrame({"lag": np.array([], np.int64), "corr": np.array([], float)})
+        low_x, low_y = int(x["frame_id"].min()), int(y["frame_id"].min())
+        i, j = x["frame_id"].to_numpy() - low_x, y["frame_id"].to_numpy() - low_y
+        n = int(i.max() + j.max()) + 1
+        size = 1 << (n - 1).bit_length()
+
+        def product(u, v):
+            left, right = np.bincount(i, u, size), np.bincount(j, v, size)
+            return np.roll(np.fft.irfft(np.fft.rfft(left) * np.conj(np.fft.rfft(right)), size), int(j.max()))[:n]
+
+        met = np.rint(product(np.ones(len(i)), np.ones(len(j)))) > 0
+        lags = np.arange(n) - int(j.max()) + low_x - low_y
+        return pd.DataFrame({"lag": lags[met], "corr": product(x["z"].to_numpy(float), y["z"].to_numpy(float))[met]})
+
+    both = z_score(signal).filter(F.col("camera_name").isin(a, b)).select("camera_name", "frame_id", "z")
+    return both.groupBy().applyInPandas(correlate, "lag long, corr double")
+
+
 def best_lag(corr: DataFrame, max_lag: int = DEFAULTS.max_lag) -> DataFrame:
     """(tau, peak): the lag of the largest correlation, the smallest of equals."""
     top = F.max(F.struct(F.col("corr"), (-F.col("lag")).alias("m")))

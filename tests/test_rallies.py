@@ -3,9 +3,11 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe import catalogue
 from rallyframe.functions import geometry as G
 from rallyframe.operators import frames as R
 from rallyframe.operators import rallies as L
@@ -38,6 +40,34 @@ def test_lag_of_seven(spark):
     assert Y.best_lag(Y.lag_correlation(signal, "x", "y")).first().tau == -7
 
 
+def test_signal_to_noise_over_all_lags(spark):
+    rnd = random.Random(8)
+    x, y = ([rnd.random() for _ in range(1200)] for _ in "xy")
+    for k in range(40):  # the same burst, 900 frames apart
+        x[1100 + k] = y[200 + k] = 30.0 * rnd.random()
+    signal = spark.createDataFrame([(c, k, v) for c, s in (("x", x), ("y", y)) for k, v in enumerate(s)], "camera_name string, frame_id long, accel double")
+    z = [(np.array(s) - np.mean(s)) / np.std(s) for s in (x, y)]
+    want = {lag: sum(z[0][f] * z[1][f - lag] for f in range(max(0, lag), min(1200, 1200 + lag))) for lag in range(-1199, 1200)}
+    corr = Y.full_correlation(signal, "x", "y")
+    got = {r.lag: r["corr"] for r in corr.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want) and max(got, key=got.get) == 900
+    snr = max(want.values()) / (np.mean(np.abs(list(want.values()))) + 1e-9)
+    r = Y.signal_to_noise(corr).first()
+    assert abs(r.snr - snr) < 1e-6 and r.weak == (snr < 3)
+    assert Y.full_correlation(signal.filter("camera_name = 'x'"), "x", "y").count() == 0
+
+
+def test_signal_to_noise_query_takes_all_lags(spark, monkeypatch):
+    x = [float(k % 97 == 0) * k + (k * 7919 % 13) for k in range(1500)]
+    signal = spark.createDataFrame([(c, k + 700 * (c == catalogue.A), v) for c in (catalogue.A, catalogue.B) for k, v in enumerate(x)], "camera_name string, frame_id long, accel double")
+    monkeypatch.setattr(catalogue, "cleaned_of", lambda *_: None)
+    monkeypatch.setattr(Y, "accel_signal", lambda _: signal)
+    r = catalogue.QUERIES["signal_to_noise"](spark, "").first()
+    z = (np.array(x) - np.mean(x)) / np.std(x)
+    corr = np.correlate(z, z, "full")
+    assert abs(r.snr - corr.max() / (np.abs(corr).mean() + 1e-9)) < 1e-3
+
+
 def test_silent_cameras_take_the_smallest_lag(spark):
     signal = spark.createDataFrame([(c, k, 0.0) for c in "xy" for k in range(150)], "camera_name string, frame_id long, accel double")
     assert Y.best_lag(Y.lag_correlation(signal, "x", "y")).first().tau == -100
