@@ -7,7 +7,9 @@ distrust has too large a part in the sum is blocked.
 
 At scale: html is read once, for link targets; edges are counted per pair of hosts before they
 are shuffled. Each round is one join of scores with edges and one sum per host, both with map-side
-sums; rounds are written to the shared folder in between. A host with a third of all pages
+sums; rounds are written to the shared folder in between. Rounds go on until every host that links
+reach has its score and further rounds can't change a verdict, so there are as many as the longest
+chain of links, whatever the number of seeds. A host with a third of all pages
 has one row among scores, and in the last join, where pages meet scores, Spark splits it.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is allowed;
@@ -17,6 +19,8 @@ the seeds as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +28,9 @@ from .common import written
 
 #: Verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, TOLERANCE = 0.85, 24, 1e-4
+DAMPING = 0.85
+#: Relative change of scores that is rounding only.
+ROUNDING = 1e-12
 #: Part of distrust in a host's scores from which it is blocked.
 THRESHOLD = 0.6
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -60,8 +66,12 @@ def host_links(pages: DataFrame, url: str, html: str) -> DataFrame:
     return found.filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust). seeds: (host, trust0, distrust0), each adding up to 1 or 0."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, trust, distrust). seeds: (host, trust0, distrust0), each adding up to 1 or 0.
+
+    Where no score changes by more than a part e, none does in a later round, so after k rounds what is left
+    is taken as 2 k e at most. Rounds end when no host got its first score and none lies that near the threshold.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     back = edges.groupBy("dst").agg(F.sum("n").alias("in"))
     flow = written(edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("in")).alias("against")), "flow")
@@ -70,17 +80,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     scores = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     if not flow.limit(1).count():
         return scores
-    for k in range(1, rounds + 1):
+    for k in count(1):
         ahead = flow.join(scores, flow.src == scores.host).select(flow.dst.alias("host"), (F.col("trust") * F.col("along")).alias("trust"), F.lit(0.0).alias("distrust"))
         behind = flow.join(scores, flow.dst == scores.host).select(flow.src.alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("against")).alias("distrust"))
         got = ahead.union(behind).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
         new = base.join(got, "host", "left").select("host", *[((1 - damping) * F.col(b) + damping * F.coalesce(g, F.lit(0.0))).alias(n) for b, g, n in (("trust0", "t", "trust"), ("distrust0", "d", "distrust"))])
-        if k % 4 and k < rounds:
+        if k % 4:
             scores = new
             continue
         old, scores = scores, written(new, "scores")
-        change = scores.alias("x").join(old.alias("y"), "host").agg(F.sum(F.abs(F.col("x.trust") - F.col("y.trust")) + F.abs(F.col("x.distrust") - F.col("y.distrust")))).first()[0]
-        if (change or 0.0) < tolerance:
+        x, y = scores.alias("x"), old.alias("y")
+        firsts = [(F.col(f"x.{c}") > 0) & (F.col(f"y.{c}") == 0) for c in ("trust", "distrust")]
+        moved = [F.when(F.col(f"x.{c}") > 0, F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) / F.col(f"x.{c}")).otherwise(0.0) for c in ("trust", "distrust")]
+        all_ = F.col("x.trust") + F.col("x.distrust")
+        room = F.when(all_ > 0, F.abs(F.col("x.distrust") / all_ - threshold))
+        seen = x.join(y, "host").agg(F.count_if(firsts[0] | firsts[1]).alias("firsts"), F.max(F.greatest(*moved)).alias("moved"), F.min(room).alias("room")).first()
+        if not seen.firsts and (seen.moved <= ROUNDING or seen.room is None or 2 * k * seen.moved < seen.room):
             break
     return scores
 
@@ -96,7 +111,7 @@ def judge_urls(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     parts = written(parts, "parts")
     total = parts.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).first()
     seeds = parts.select("host", *[(F.col(c) / F.lit(float(t)) if t else F.lit(0.0)).alias(n) for c, t, n in (("a", total.sa, "trust0"), ("b", total.sb, "distrust0"))])
-    scores = propagate(seeds, written(host_links(pages, url, html), "edges"))
+    scores = propagate(seeds, written(host_links(pages, url, html), "edges"), threshold=threshold)
     blocked = scores.select("host", F.coalesce((F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))), F.lit(False)).alias("bad"))
     method = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
     return seen.join(blocked, "host", "left").select(id, "host", "path", "rule", F.coalesce("said", method).alias("verdict"))

@@ -379,6 +379,13 @@ def test_links_carry_blame(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_blame_reaches_the_end_of_a_chain_whatever_the_seeds(spark):
+    rows = [(k, f"http://s{k}.com/de/1", "") for k in range(1, 400)] + [(0, "http://s0.com/de/1", "")]
+    rows += [(1000 + k, f"http://c{k}.net/a", f'<a href="http://{f"c{k - 1}.net" if k else "s0.com"}/">x</a>') for k in range(30)]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k in range(30) if got[1000 + k] != "block"] == []
+
+
 # WARC
 
 
