@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Items are taken in blocks of bounded size. For each block, one pass counts its words in the whole corpus,
-so that each n-gram of an item gets the probability with which words in chance order would make it. The
-improbable ones are seeds, whatever their actual count, so a passage that has leaked into very many
-documents loses none. A second pass looks for seeds, and where one hits aligns the item with the
-surrounding words. A document that holds enough of an item in order, even if edited, is contaminated.
+Items are taken in blocks of bounded size. Every n-gram of an item is a seed, however frequent, so which
+copies are found doesn't depend on the corpus. A pass over the texts looks for seeds, and where one hits
+aligns the item with the surrounding words, unless too few words of the item stand there to reach the score
+in any order. A document that holds enough of an item in order, even if edited, is contaminated.
 
-At scale: both passes stream over the texts without a shuffle; only word counts of the block's own
-words, and the hits, leave the tasks. Removal is part of the second pass: documents aren't joined.
+At scale: the pass streams over the texts without a shuffle; only the hits leave the tasks. Removal is
+part of the pass: documents aren't joined.
 
 Defined cases: null and empty texts and items match nothing; items shorter than a seed are one seed;
-an item all of whose n-grams are probable uses them all; equal items are each reported; repeated rows
+equal items are each reported; repeated rows
 are each reported; empty tables give empty results; other columns pass through whatever their names.
 """
 
@@ -29,8 +28,6 @@ from .common import in_slices
 from .tokens import shingles, word_ids
 
 SEED = 4
-#: An n-gram is rare if words in chance order make it at this share of positions at most.
-RARE = 1e-8
 #: Part of an item's best score from which a document is contaminated, and least words aligned.
 SCORE, LEAST_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -77,38 +74,12 @@ class Members:
         return at[good], k[good]
 
 
-def _counter(vocabulary: np.ndarray):
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def count(batches):
-        members = Members(vocabulary)
-        n, total = np.zeros(len(members.values), np.int64), 0
-        for batch in batches:
-            for _, texts in in_slices(batch, 2_000_000, 0):
-                for text in texts:
-                    ids = word_ids(words(text))
-                    total += len(ids)
-                    n += np.bincount(members.find(ids)[1], minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(members.values, np.uint64(0)).view(np.int64)), pa.array(np.append(n, total))], schema=schema)
-
-    return count
-
-
-def rare_seeds(docs: DataFrame, text: str, items: list[tuple], width: int = SEED, rare: float = RARE) -> dict[int, list[tuple[int, int]]]:
-    """Hash of each seed, to the (number of the item, position) that it occurs at."""
-    vocabulary = np.unique(np.concatenate([ids for _, ids in items]))
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_counter(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # as many rows as the block has words
-    of = {r.word: r.n for r in counted}
-    total = max(of.pop(0, 0), 1)
-    chance = {w: (of.get(int(np.uint64(w).view(np.int64)), 0) + 1) / (total + 1) for w in vocabulary}
+def seeds_of(items: list[tuple], width: int = SEED) -> dict[int, list[tuple[int, int]]]:
+    """Hash of each n-gram, to the (number of the item, position) that it occurs at."""
     out: dict[int, list] = defaultdict(list)
     for k, (_, ids) in enumerate(items):
-        grams = shingles(ids, width)
-        n = min(width, len(ids))
-        p = [np.prod([chance[w] for w in ids[i : i + n]]) for i in range(len(grams))]
-        chosen = [i for i, x in enumerate(p) if x <= rare] or range(len(grams))
-        for i in chosen:
-            out[int(grams[i])].append((k, i))
+        for i, gram in enumerate(shingles(ids, width).tolist()):
+            out[gram].append((k, i))
     return dict(out)
 
 
@@ -150,6 +121,9 @@ def hits_in(ids: np.ndarray, members: Members, seeds: dict, items: list[tuple],
                 continue
             until = s + slack // 2  # starts this near are covered by the same region
             a, b = max(0, s - slack), min(len(ids), s + len(own) + 2 * slack)
+            # Each word of the item can match once at most.
+            if np.isin(own, ids[a:b]).sum() < score * len(own):
+                continue
             got, x, y = align(own, ids[a:b])
             part = got / (MATCH * len(own))
             if part >= score and y - x >= min(LEAST_WORDS, len(own)) and (found is None or part > found[1]):
@@ -186,22 +160,22 @@ def _remover(column: int, seeds: dict, items: list[tuple], width: int, score: fl
     return remove
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SEED, rare: float = RARE, score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SEED, score: float = SCORE) -> DataFrame:
     """(id, item_id, score, start, end): each document and item that it holds, with the words aligned."""
     kind, item_kind = docs.schema[id].dataType, items.schema[item_id].dataType
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ddl = f"id {kind.simpleString()}, item {item_kind.simpleString()}, score double, start long, end long"
     out = docs.sparkSession.createDataFrame([], ddl)
     for block in blocks(items, item_id, item_text):
-        seeds = rare_seeds(docs, text, block, width, rare)
+        seeds = seeds_of(block, width)
         out = out.unionAll(own.mapInArrow(_matcher(seeds, block, width, score, to_arrow_type(kind), to_arrow_type(item_kind)), ddl))
     return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "score", "start", "end")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SEED, rare: float = RARE, score: float = SCORE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = SEED, score: float = SCORE) -> DataFrame:
     """Documents that hold none of the items, with their own columns."""
     out = docs
     for block in blocks(items, item_id, item_text):
-        seeds = rare_seeds(docs, text, block, width, rare)
+        seeds = seeds_of(block, width)
         out = out.mapInArrow(_remover(docs.columns.index(text), seeds, block, width, score), docs.schema)
     return out

@@ -451,6 +451,18 @@ def test_contamination(spark):
     assert contamination.contaminated(docs.limit(0), bench).count() == 0 and contamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_of_frequent_words(spark):
+    rnd = random.Random(12)
+    item = [f"w{rnd.randrange(40)}" for _ in range(30)]
+    item[10] = "unusual"
+    copy = [*item[:10], "changed", *item[11:]]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    docs = table(spark, [" ".join(words(rnd, 200, 40)) for _ in range(60)] + [" ".join(words(rnd, 50, 40) + copy + words(rnd, 50, 40))])
+    got = {r.doc_id: r.score for r in contamination.contaminated(docs, bench).collect()}
+    assert got[60] >= brute_align(item, copy) / (2 * len(item)) > 0.9
+    assert {r.doc_id for r in contamination.decontaminate(docs, bench).collect()} == set(range(61)) - set(got)
+
+
 # Languages
 
 
