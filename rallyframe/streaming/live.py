@@ -61,41 +61,68 @@ class FrameReader(SimpleDataSourceStreamReader):
 
 
 FLUSHED = "session string, flush_no int, camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
-STATE = "rows string, flush_no int, last_flush double, seen string"
+STATE = "rows string, flush_no int, last_flush double, seen string, fresh int"
 
 
-def flushes(rows: DataFrame, cameras: int = 2, s: Settings = DEFAULTS) -> DataFrame:
+def flushes(rows: DataFrame, cameras: int = 2, s: Settings = DEFAULTS, timeout: bool = False) -> DataFrame:
     """Snapshots of the buffered rows, whenever a flush is due, numbered; a stream of (session, flush_no, detection).
 
     rows: a stream of detections with session and arrived (seconds). All cameras of a session share one state, since a
     flush needs all of them: enough rows in each, then all quiet, or too long since the last. After a flush the
     last s.overlap_s stay buffered. Later rows of a frame replace earlier ones.
+
+    The end of a session is a row with a null frame_id; with timeout, also no row for s.force_s of processing time.
+    What is buffered then makes a final flush, however little it is, if anything came since the last. Timeouts need a
+    stream that goes on: with them Spark never ends an available-now run. Such a run keeps the rest of a session
+    without an end row in its checkpoint, for the next run.
     """
     import json
 
     keep = int(s.fps * s.overlap_s)
 
+    columns = [x.split()[0] for x in FLUSHED.split(", ")]
+
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, flush_no, last, seen = state.get if state.exists else ("{}", 0, None, "{}")
+        held, flush_no, last, seen, fresh = state.get if state.exists else ("{}", 0, None, "{}", 0)
         buffer = {c: {int(k): v for k, v in x.items()} for c, x in json.loads(held).items()}
         seen = json.loads(seen)
+
+        def snapshot() -> pd.DataFrame:
+            return pd.DataFrame([(key[0], flush_no, c, f, *v) for c in sorted(buffer) for f, v in sorted(buffer[c].items())], columns=columns)
+
+        if state.hasTimedOut:
+            if fresh:
+                flush_no += 1
+                yield snapshot()
+            # The number stays, so that later rows of the session don't repeat one.
+            state.update(("{}", flush_no, None, "{}", 0))
+            return
         for pdf in batches:
             for r in pdf.sort_values("arrived", kind="stable").itertuples(index=False):
+                if pd.isna(r.frame_id):
+                    if fresh:
+                        flush_no += 1
+                        yield snapshot()
+                    buffer, last, seen, fresh = {}, None, {}, 0
+                    continue
                 now = float(r.arrived)
                 last = now if last is None else last
                 clean = [None if x != x else x for x in (r.ball_u, r.ball_v)]
                 buffer.setdefault(r.camera_name, {})[int(r.frame_id)] = [int(r.detected), *clean, float(r.ball_conf)]
+                fresh = 1
                 if r.detected:
                     seen[r.camera_name] = now
                 enough = len(buffer) >= cameras and min(map(len, buffer.values())) >= s.min_rows
                 quiet = bool(seen) and all(now - t >= s.quiet_s for t in seen.values())
                 if enough and (quiet or now - last >= s.force_s):
-                    flush_no, last = flush_no + 1, now
-                    yield pd.DataFrame([(key[0], flush_no, c, f, *v) for c in sorted(buffer) for f, v in sorted(buffer[c].items())], columns=[x.split()[0] for x in FLUSHED.split(", ")])
+                    flush_no, last, fresh = flush_no + 1, now, 0
+                    yield snapshot()
                     buffer = {c: dict(sorted(x.items())[-keep:]) for c, x in buffer.items()}
-        state.update((json.dumps(buffer), flush_no, last, json.dumps(seen)))
+        state.update((json.dumps(buffer), flush_no, last, json.dumps(seen), fresh))
+        if timeout and fresh:
+            state.setTimeoutDuration(int(1000 * s.force_s))
 
-    return rows.groupBy("session").applyInPandasWithState(step, FLUSHED, STATE, "append", "NoTimeout")
+    return rows.groupBy("session").applyInPandasWithState(step, FLUSHED, STATE, "append", "ProcessingTimeTimeout" if timeout else "NoTimeout")
 
 
 def run_flushes(flushed: DataFrame, process: Callable[[DataFrame], None], checkpoint: str, available_now: bool = True):

@@ -1,7 +1,9 @@
 """Alignment, crossings, rallies, sources and live flushes on small tables."""
 
+import dataclasses
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from rallyframe.operators import frames as R
 from rallyframe.operators import rallies as L
 from rallyframe.operators import sync as Y
 from rallyframe.operators.windows import spaced
+from rallyframe.settings import DEFAULTS
 from rallyframe.sources import sinks
 from rallyframe.sources import tables as T
 from rallyframe.streaming import live
@@ -170,6 +173,36 @@ def test_live_flush_equals_the_batch_rows(spark, tmp_path):
     assert seen and seen[0] == (2 * (259 + 250) + 2, 509) or seen[0][1] in (509, 510)
 
 
+LIVE = "session string, arrived double, camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
+
+
+def test_final_flush_has_the_rest(spark, tmp_path):
+    rows = [("s", k / 25.0, c, k, 1 if k < 260 else 0, 1.0 * k, 2.0, 0.9) for k in range(560) for c in ("a", "b")] + [("s", 99.0, None, None, None, None, None, None)]
+    rows += [("short", 1.0 + k, "a", k, 1, 1.0, 2.0, 0.9) for k in range(5)] + [("short", 9.0, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, LIVE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    q = live.run_flushes(live.flushes(spark.readStream.schema(LIVE).parquet(f"{tmp_path}/in")), lambda df: seen.append({(r.camera_name, r.frame_id) for r in df.collect()}), f"{tmp_path}/state")
+    assert q.awaitTermination(120)
+    assert {(c, k) for c in "ab" for k in range(560)} == set().union(*(x for x in seen if len(x) > 5))
+    assert {("a", k) for k in range(5)} in seen
+
+
+def test_a_silent_session_is_flushed(spark, tmp_path):
+    rows = [("s", 1.0 + k, "a", k, 1, 1.0, 2.0, 0.9) for k in range(5)]
+    spark.createDataFrame(rows, LIVE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    settings = dataclasses.replace(DEFAULTS, force_s=2.0)
+    q = live.run_flushes(live.flushes(spark.readStream.schema(LIVE).parquet(f"{tmp_path}/in"), s=settings, timeout=True), lambda df: seen.append({r.frame_id for r in df.collect()}), f"{tmp_path}/state", available_now=False)
+    try:
+        for _ in range(60):
+            if seen:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert seen == [set(range(5))]
+
+
 def test_frame_source(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text("".join(json.dumps({"camera_name": "a", "frame_id": k, "detected": 1, "ball_u": 1.0, "ball_v": 2.0, "ball_conf": 0.5}) + "\n" for k in range(7)))
     live.register(spark)
