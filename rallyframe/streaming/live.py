@@ -73,7 +73,7 @@ def flushes(rows: DataFrame, cameras: int = 2, s: Settings = DEFAULTS, timeout:
 
     The end of a session is a row with a null frame_id; with timeout, also no row for s.force_s of processing time.
     What is buffered then makes a final flush, however little it is, if anything came since the last. Timeouts need a
-    stream that goes on: with them Spark never ends an available-now run. Such a run keeps the rest of a session
+    stream that goes on: with them an available-now run did not end in a trial of 150 s. Such a run keeps the rest of a session
     without an end row in its checkpoint, for the next run.
     """
     import json
