@@ -3,22 +3,30 @@
 A text's tokens are its word shingles. For each of a few hash functions, the Cartesian tree over the
 tokens' hashes gives the compact windows: (left, smallest, right), such that every run of tokens between
 left and right that holds the smallest has it as its min-hash. Only windows as wide as the shortest passage
-matter, about two for each such width. Windows with the same min-hash are joined with the first of them;
-where, for a pair of documents, windows of enough hash functions overlap along one diagonal, the
-passages between are verified on the texts: at least `words` words, and shingle sets as similar as asked.
+matter, about two for each such width. Two texts that share a passage have windows of one min-hash around it.
 
-At scale: a window is 40 bytes, and texts give about `2 * FUNCTIONS / words` windows a word. Windows are
-shuffled, texts only those of candidates. All windows that share a min-hash are joined with the first, not
-with each other, so a passage shared by very many documents costs one row for each; those that share it
-meet in one component. Lists are collected per pair of documents, and bounded by a document's length.
+Links are found in two steps. First, windows of a min-hash are joined with those of one text, the centre; where, for a
+pair of texts, windows of enough hash functions overlap along one diagonal, the passages between are verified on the
+texts: at least `words` words, and shingle sets as similar as asked. Then what this left apart is compared with
+each other: windows of two functions that overlap make a sharper key, and of each such key the places that lie in no
+verified passage, or in texts of other components, meet all places of the key in blocks of bounded size. So a link is lost
+only where fewer than two functions agree on it: 2.7 % for a shortest passage at a similarity of exactly 0.8.
+
+At scale: equal texts are one text, and no copies become pairs. A window is 28 bytes, and texts give about
+`2 * FUNCTIONS / words` windows a word. Windows are shuffled, texts only those of candidates. A min-hash shared by a third of
+all texts costs a row for each in the first step; in the second, only places left apart are compared, in tasks of bounded
+size, and no pair becomes a row unless it joins two components or verifies a place for the first time. Lists are
+collected per text or pair of texts, and bounded by a text's length.
 
 Defined cases: null texts and texts of fewer words have no passage; a passage repeated inside one text
-counts, if its places are a passage apart; rows with null id are left out; rows that share an id count as one
-document; an empty table gives an empty result.
+counts, if its places are a passage apart, also with words inserted or left out; rows with null id are left out; rows that
+share an id count as one document; repeated rows give one row; of equal hashes the leftmost token counts; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 
@@ -30,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import in_slices, keep_ids, written
 from .components import components
+from .minhash import common_counts
 from .tokens import shingles, word_ids, words_of
 
 WORDS, WIDTH, PERCENT = 50, 5, 80
@@ -37,112 +46,170 @@ WORDS, WIDTH, PERCENT = 50, 5, 80
 FUNCTIONS, AGREE = 4, 2
 #: Tokens by which edits may shift one place against the other.
 SHIFT = 16
+#: Places of one side of a block, and tokens on either side of a place that are compared there, as passages' widths.
+BLOCK, AROUND = 512, 2
 _random = np.random.default_rng(20240611)
 TIMES = _random.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of a sort key that hold a token's place; the others hold the start of its hash.
+PLACE = np.uint64(28)
+
+
+def hashes(values: np.ndarray, f: int) -> np.ndarray:
+    h = values * TIMES[f]
+    h ^= h >> np.uint64(32)
+    h *= TIMES[f]
+    return (h & ~np.uint64(7)) | np.uint64(f)
+
 
+def smallest(h: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Places, in order, of the leftmost smallest of the `least` hashes from each start on."""
+    n = len(h)
+    key = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, np.uint64)
+    key[:n] = (h >> PLACE << PLACE) | np.arange(n, dtype=np.uint64)
+    rows = key.reshape(-1, least)
+    before = np.minimum.accumulate(rows, axis=1).ravel()
+    after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(after[starts], before[starts + least - 1]) & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
-def compact_windows(values: np.ndarray, least: int):
-    """Lists of key, lo, at, hi of the windows of `least` tokens or more, hi exclusive; the function's number is in a key's low bits.
 
-    Equal smallest tokens share a window: it stands for all runs that hold any of them. The last
-    list has the places of each window's smallest token.
+def tree(order: list, at: list, text: list, bounds: list):
+    """The Cartesian tree over these tokens, from left to right: (kept, lo, hi, again) of its nodes.
+
+    A node spans the tokens between the next smaller ones on both sides, within its text. Equal tokens without
+    a smaller one between them are one node, the first of them; again is the last of them.
     """
-    keys, los, ats, his, places = [], [], [], [], []
-    ties = len(np.unique(values)) < len(values)
+    kept, lo, hi, again = [], [], [], []
+    stack: list[int] = []  # numbers of open nodes, from small to large
+    last = -1
+    for i, x in enumerate(order):
+        p = at[i]
+        if text[i] != last:
+            for node in stack:
+                hi[node] = bounds[last + 1]
+            stack, last = [], text[i]
+        while stack and order[kept[stack[-1]]] > x:
+            hi[stack.pop()] = p
+        if stack and order[kept[stack[-1]]] == x:
+            again[stack[-1]] = p
+            continue
+        lo.append(again[stack[-1]] + 1 if stack else bounds[last])
+        stack.append(len(kept))
+        kept.append(i)
+        hi.append(p)
+        again.append(p)
+    for node in stack:
+        hi[node] = bounds[last + 1]
+    return kept, lo, hi, again
+
+
+def compact_windows(tokens: list[np.ndarray], least: int):
+    """(text, key, lo, at, hi, again) as arrays: the windows of `least` tokens or more of each text, hi exclusive, sorted by text.
+
+    The function's number is in a key's low bits. Texts have `least` tokens or more.
+    """
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    values, of = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes)
+    starts = np.flatnonzero(bounds[of + 1] - np.arange(len(values)) >= least)
+    parts = []
     for f in range(FUNCTIONS):
-        h = values * TIMES[f]
-        h ^= h >> np.uint64(32)
-        h *= TIMES[f]
-        h = (h & ~np.uint64(7)) | np.uint64(f)
-        todo = [(0, len(h))] if len(h) >= least else []
-        while todo:
-            lo, hi = todo.pop()
-            part = h[lo:hi]
-            at = lo + int(part.argmin())
-            if ties and h[at] in part[at - lo + 1 :]:
-                all_ = (lo + np.flatnonzero(part == h[at])).tolist()
-            else:
-                all_ = [at]
-            keys.append(h[at])
-            los.append(lo)
-            ats.append(at)
-            his.append(hi)
-            places.append(all_)
-            edges = [lo - 1, *all_, hi]
-            todo += [(x + 1, y) for x, y in zip(edges, edges[1:], strict=False) if y - x - 1 >= least]
-    return np.array(keys, np.uint64).view(np.int64), los, ats, his, places
-
-
-def own_repeats(values: np.ndarray, keys, places, words: int, least: int, percent: int, gap: int) -> list[tuple[int, int, int, int]]:
-    """Passages that repeat inside the text, `words` tokens apart or more: (start, end, first start, first end) in tokens."""
-    at: dict[int, list[int]] = {}
-    for key, where in zip(keys.tolist(), places, strict=True):
-        at.setdefault(key, []).extend(where)
-    shifts = set()
-    for where in at.values():
-        where.sort()
-        i = -1
-        for p in where if len(where) > 1 else ():
-            while i + 1 < len(where) and where[i + 1] <= p - words:
-                i += 1
-            if i >= 0:
-                shifts.add(p - where[i])
-    out = []
-    for d in sorted(shifts):
-        for a, b in dense(values[d:] == values[:-d], gap):
-            own, first = values[a + d : b + d], values[a:b]
-            if b - a >= least:
-                both = len(np.intersect1d(own, first))
-                if 100 * both >= percent * (len(np.unique(own)) + len(np.unique(first)) - both):
-                    out.append((a + d, b + d, a, b))
+        h = hashes(values, f)
+        at = smallest(h, starts, least)
+        kept, lo, hi, again = tree((h[at] >> PLACE).tolist(), at.tolist(), of[at].tolist(), bounds.tolist())
+        at = at[kept]
+        first = bounds[of[at]]
+        parts.append((of[at], h[at].view(np.int64), np.array(lo, np.int64) - first, at - first, np.array(hi, np.int64) - first, np.array(again, np.int64) - first))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    by_text = np.argsort(columns[0], kind="stable")
+    return [c[by_text] for c in columns]
+
+
+def own_repeats(values: np.ndarray, at: np.ndarray, words: int, least: int, percent: int, gap: int) -> list[tuple[int, int, int, int]]:
+    """Passages that repeat inside the text, `words` tokens apart or more: (start, end, first start, first end) in tokens.
+
+    at: places of windows' smallest tokens. Where such a token stands `words` tokens apart, the tokens that recur at about
+    this distance are verified like passages of two texts.
+    """
+    _, code, n = np.unique(values, return_inverse=True, return_counts=True)
+    picked = np.zeros(len(n), bool)
+    picked[code[at]] = True
+    places = np.flatnonzero((picked & (n > 1))[code])
+    places = places[np.argsort(code[places], kind="stable")]
+    shifts: set[int] = set()
+    for where in np.split(places, np.flatnonzero(np.diff(code[places])) + 1) if len(places) else ():
+        before = np.searchsorted(where, where - words, "right") - 1  # the nearest that is far enough
+        shifts.update((where - where[before])[before >= 0].tolist())
+    out, group = [], []
+    for d in [*sorted(shifts), None]:
+        if group and (d is None or d - group[-1] > SHIFT):
+            seen = np.zeros(len(values), bool)
+            for x in group:
+                seen[x:] |= values[x:] == values[:-x]
+            for a, b in dense(seen, gap):
+                low = max(0, a - group[-1] - gap)
+                for p, q, x, y in verified(values[a:b], values[low : b - group[0] + gap], least, percent, gap) if b - a >= least else ():
+                    if a + p - (low + x) >= words:
+                        out.append((a + p, a + q, low + x, low + y))
+            group = []
+        group.append(d)
     return out
 
 
+CUT = "node long, digest binary, n_words int, keys array<long>, lo array<int>, at array<int>, hi array<int>, own array<array<int>>"
+
+
 def _cutter(words: int, width: int, percent: int, id_type: pa.DataType):
     ints, own_type = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
-    schema = pa.schema([("id", id_type), ("keys", pa.list_(pa.int64())), ("lo", ints), ("at", ints), ("hi", ints), ("own", own_type)])
+    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int32()), ("keys", pa.list_(pa.int64())), ("lo", ints), ("at", ints), ("hi", ints), ("own", own_type), ("id", id_type)])
     least = words - width + 1
 
     def cut(batches):
         for batch in batches:
             for start, texts in in_slices(batch, 2_000_000, 1):
-                rows = []
-                for i, text in enumerate(texts):
-                    found = words_of(text)
-                    if len(found) >= words:
-                        values = shingles(word_ids(found), width)
-                        *windows, places = compact_windows(values, least)
-                        own = own_repeats(values, windows[0], places, words, least, percent, 2 * width)
-                        rows.append((batch.column(0)[start + i].as_py(), *windows, [[a, b + width - 1, x, y + width - 1] for a, b, x, y in own]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                split = [(i, word_ids(w)) for i, w in ((i, words_of(t)) for i, t in enumerate(texts)) if len(w) >= words]
+                if not split:
+                    continue
+                tokens = [shingles(ids, width) for _, ids in split]
+                of, key, lo, at, hi, again = compact_windows(tokens, least)
+                ends = np.searchsorted(of, np.arange(len(tokens) + 1))
+                twice = set(of[again != at].tolist())
+                pairs = np.lexsort((key, of))
+                twice |= set(of[pairs[1:]][(np.diff(key[pairs]) == 0) & (np.diff(of[pairs]) == 0)].tolist())
+                own = [[[a, b + width - 1, x, y + width - 1] for a, b, x, y in own_repeats(tokens[k], at[ends[k] : ends[k + 1]], words, least, percent, 2 * width)] if k in twice else [] for k in range(len(tokens))]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, t)) for c, t in ((key, pa.int64()), *((c, pa.int32()) for c in (lo, at, hi)))]
+                rows = pa.array([start + i for i, _ in split])
+                digest = [hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest() for i, _ in split]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(digest, pa.binary()), pa.array([len(ids) for _, ids in split], pa.int32()), *lists, pa.array(own, own_type), batch.column(2).take(rows)], schema=schema)
 
     return cut
 
 
-def regions(collisions: list[dict], least: int, agree: int = AGREE) -> list[tuple[int, int, int, int]]:
-    """Where, in both texts, windows of enough functions overlap along one diagonal."""
-    out, run = [], []
+def regions(collisions: list[tuple], least: int, agree: int = AGREE) -> list[tuple[int, int, int, int]]:
+    """Where, in both texts, windows of enough functions overlap along one diagonal. collisions: (f, lo, at, hi, rlo, rat, rhi)."""
+    out: list[tuple[int, int, int, int]] = []
 
-    def flush() -> None:
+    def chains(run: list[tuple]) -> None:
         """Of windows along one diagonal, chains that overlap by a passage's width."""
-        chain: list[dict] = []
-        for w in [*sorted(run, key=lambda w: w["lo"]), None]:
-            if w and (not chain or w["lo"] + least <= max(x["hi"] for x in chain)):
-                chain.append(w)
-                continue
-            if len({x["f"] for x in chain}) >= agree:
-                out.append((min(x["lo"] for x in chain), max(x["hi"] for x in chain), min(x["rlo"] for x in chain), max(x["rhi"] for x in chain)))
-            chain = [w]
-
-    last = None
-    for c in sorted(collisions, key=lambda c: c["at"] - c["rat"]):
-        if last is not None and c["at"] - c["rat"] - last > SHIFT:
-            flush()
+        run.sort(key=lambda w: w[1])
+        k = 0
+        while k < len(run):
+            f, lo, _, hi, rlo, _, rhi = run[k]
+            seen, k = {f}, k + 1
+            while k < len(run) and run[k][1] + least <= hi:
+                w = run[k]
+                seen.add(w[0])
+                hi, rlo, rhi, k = max(hi, w[3]), min(rlo, w[4]), max(rhi, w[6]), k + 1
+            if len(seen) >= agree:
+                out.append((lo, hi, rlo, rhi))
+
+    run: list[tuple] = []
+    for c in sorted(collisions, key=lambda c: c[2] - c[5]):
+        if run and c[2] - c[5] - (run[-1][2] - run[-1][5]) > SHIFT:
+            chains(run)
             run = []
         run.append(c)
-        last = c["at"] - c["rat"]
-    flush()
+    chains(run)
     return out
 
 
@@ -241,72 +308,237 @@ def verified(s: np.ndarray, r: np.ndarray, least: int, percent: int, gap: int) -
     return out
 
 
-def _finder(least: int, id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("rep", id_type), ("regions", pa.list_(pa.list_(pa.int32())))])
+def _tuples(lists: pa.Array) -> list[list[tuple]]:
+    """Rows of a list<struct> column, as lists of tuples of numbers."""
+    flat = lists.flatten()
+    rows = list(zip(*(flat.field(k).to_pylist() for k in range(flat.type.num_fields)), strict=True))
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+    return [rows[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+PAIR = "node long, rep long, regions array<struct<lo:int,hi:int,rlo:int,rhi:int>>"
+REGION = pa.struct([(n, pa.int32()) for n in ("lo", "hi", "rlo", "rhi")])
+PASSAGE = "node long, start int, end int, rep long, rstart int, rend int"
+PASSAGES = pa.schema([("node", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("rep", pa.int64()), ("rstart", pa.int32()), ("rend", pa.int32())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _finder(least: int):
+    schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("regions", pa.list_(REGION))])
 
     def find(batches):
         for batch in batches:
-            found = [regions(x.as_py(), least) for x in batch.column(2)]
+            found = [regions(x, least) for x in _tuples(batch.column(2))]
             keep = pa.array([bool(x) for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([x for x in found if x], schema.field("regions").type)], schema=schema)
+            listed = [[dict(zip(("lo", "hi", "rlo", "rhi"), r, strict=True)) for r in x] for x in found if x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(listed, pa.list_(REGION))], schema=schema)
 
     return find
 
 
-def _verifier(words: int, width: int, percent: int, id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("start", pa.int32()), ("end", pa.int32()), ("rep", id_type), ("rstart", pa.int32()), ("rend", pa.int32())])
+def _verifier(words: int, width: int, percent: int):
     least = words - width + 1
 
     def verify(batches):
         lately: dict = {}
 
-        def tokens(id, text) -> np.ndarray:
-            key = (id, len(text))
-            if key not in lately:
+        def tokens(node: int, text) -> np.ndarray:
+            if node not in lately:
                 if len(lately) >= 200:
                     lately.clear()
-                lately[key] = (text, shingles(word_ids(words_of(text)), width))
-            held, values = lately[key]
-            return values if held == text else shingles(word_ids(words_of(text)), width)
+                lately[node] = shingles(word_ids(words_of(text.as_py())), width)
+            return lately[node]
 
         for batch in batches:
-            ids, reps, found, texts, rep_texts = batch.columns
+            nodes, reps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for i in range(batch.num_rows):
-                id, rep, text, rep_text = ids[i].as_py(), reps[i].as_py(), texts[i].as_py(), rep_texts[i].as_py()
-                theirs = tokens(rep, rep_text)
-                if text == rep_text:
-                    rows.append((id, 0, len(theirs) + width - 1, rep, 0, len(theirs) + width - 1))
-                    continue
-                own = tokens(id, text)
-                for lo, hi, rlo, rhi in found[i].as_py():
+            for i, found in enumerate(_tuples(batch.column(2))):
+                own, theirs = tokens(nodes[i], batch.column(3)[i]), tokens(reps[i], batch.column(4)[i])
+                for lo, hi, rlo, rhi in found:
                     for a, b, x, y in verified(own[lo:hi], theirs[rlo:rhi], least, percent, 2 * width):
-                        rows.append((id, lo + a, lo + b + width - 1, rep, rlo + x, rlo + y + width - 1))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows.append((nodes[i], lo + a, lo + b + width - 1, reps[i], rlo + x, rlo + y + width - 1))
+            yield _rows(rows, PASSAGES)
 
     return verify
 
 
+def sharper(windows: list[tuple], spans: list[tuple], least: int, width: int) -> list[tuple]:
+    """(key, at, open) where windows of two functions overlap: the key of both, the first smallest token, whether it is in no span.
+
+    windows: (key, lo, at, hi); spans in words. Runs between that hold both smallest tokens have both min-hashes.
+    """
+    out = []
+    by = sorted(windows, key=lambda w: w[2])
+    places = [w[2] for w in by]
+    covered = sorted(spans)
+    for k, (key, lo, at, hi) in enumerate(by):
+        for j in range(k + 1, bisect_left(places, hi)):
+            other, lo2, at2, hi2 = by[j]
+            if other & 7 == key & 7 or lo2 > at or min(hi, hi2) - max(lo, lo2) < least:
+                continue
+            both = (min(key, other) * 0x9E3779B97F4A7C15 ^ max(key, other)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+            closed = any(a <= at and at2 < b - width + 1 for a, b in covered)
+            out.append((both - 2**63, at, not closed))
+    return out
+
+
+PLACES = "node long, part long, key long, at int, open boolean"
+
+
+def _sharpener(words: int, width: int):
+    schema = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("open", pa.bool_())])
+
+    def sharpen(batches):
+        for batch in batches:
+            nodes, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            windows, spans = _tuples(batch.column(2)), _tuples(batch.column(3))
+            rows = []
+            for node, part, w, s in zip(nodes, parts, windows, spans, strict=True):
+                rows += [(node, part, *x) for x in sharper(w, s, words - width + 1, width)]
+                if len(rows) > 100_000:
+                    yield _rows(rows, schema)
+                    rows = []
+            yield _rows(rows, schema)
+
+    return sharpen
+
+
+def _slicer(least: int, width: int):
+    """Of texts (node, text, places), the tokens around each place."""
+    schema = pa.schema([("node", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def cut(batches):
+        for batch in batches:
+            for start, texts in in_slices(batch, 1_000_000, 1):
+                rows = []
+                for i, text in enumerate(texts, start):
+                    values = shingles(word_ids(words_of(text)), width).view(np.int64)
+                    for at in batch.column(2)[i].as_py():
+                        low = max(0, at - AROUND * least)
+                        rows.append((batch.column(0)[i].as_py(), at, low, values[low : at + AROUND * least]))
+                yield _rows(rows, schema)
+
+    return cut
+
+
+def apart(xs: list[tuple], ys: list[tuple], least: int, width: int, percent: int):
+    """Passages between places of xs and of ys: (node, part, open, low, tokens) each.
+
+    Only such as join components that nothing before joined, or as verify an open place for the first time.
+    """
+    need = percent * least / 100
+    enough = [[min(need, percent / 100 * len(np.unique(r[4]))) for r in side] for side in (xs, ys)]
+    common = common_counts([np.unique(r[4]) for r in xs], [np.unique(r[4]) for r in ys])
+    joined: dict = {}
+    still = [[r[2] for r in side] for side in (xs, ys)]
+
+    def root(p):
+        while joined.get(p, p) != p:
+            p = joined[p]
+        return p
+
+    likely = common >= np.minimum(np.array(enough[0])[:, None], np.array(enough[1])[None, :])
+    for i, j in zip(*np.nonzero(likely), strict=True):
+        x, y = xs[i], ys[j]
+        if x[0] == y[0]:
+            continue
+        p, q = root(x[1]), root(y[1])
+        if p == q and not still[0][i] and not still[1][j]:
+            continue
+        found = verified(x[4], y[4], least, percent, 2 * width)
+        for a, b, u, v in found:
+            yield x[0], x[3] + a, x[3] + b + width - 1, y[0], y[3] + u, y[3] + v + width - 1
+        if found:
+            still[0][i] = still[1][j] = False
+            joined[max(p, q)] = min(p, q)
+
+
+def _linker(least: int, width: int, percent: int):
+    def link(batches):
+        key, sides, out = None, ([], []), []
+        for batch in batches:
+            at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            first, node, part, opened, low = (batch.column(k).to_pylist() for k in range(3, 8))
+            lists = batch.column(8)
+            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            for k in range(batch.num_rows):
+                if at[k] != key:
+                    out += apart(*sides, least, width, percent) if all(sides) else ()
+                    key, sides = at[k], ([], [])
+                sides[not first[k]].append((node[k], part[k], opened[k], low[k], flat[ends[k] : ends[k + 1]].copy()))
+            yield _rows(out, PASSAGES)
+            out = []
+        yield _rows(list(apart(*sides, least, width, percent)) if all(sides) else [], PASSAGES)
+
+    return link
+
+
+def texts_of(own: DataFrame, member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (one column, distinct); of rows that share an id, the one with the node's digest."""
+    wanted = member.join(nodes, "node", "left_semi").select("node", "id", "digest")
+    rows = keep_ids(own, wanted.select("id").distinct(), "id").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return rows.join(wanted, ["id", "digest"]).dropDuplicates(["node"]).select("node", "text")
+
+
+def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataFrame, words: int, width: int, percent: int) -> DataFrame:
+    """Passages that the join with centres left out. windows: (key, node, lo, at, hi); between: passages found."""
+    least = words - width + 1
+    parts = components(between.select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    spans = between.select("node", "start", "end").union(between.select("rep", "rstart", "rend")).distinct()
+    spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = windows.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "at", "hi")).alias("windows"))
+    each = listed.join(spans, "node", "left").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "windows", "spans")
+    places = written(each.mapInArrow(_sharpener(words, width), PLACES).distinct(), "places")
+    keys = places.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("open").alias("any_open"), F.min("part").alias("home"), F.max("part").alias("other"), F.min("node").alias("low"), F.max("node").alias("high"))
+    keys = keys.filter("low <> high and (any_open or home <> other)").select("key", "home", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = written(places.join(keys, "key").select("key", "home", "blocks", "node", "part", "at", "open"), "apart")
+    wanted = met.groupBy("node").agg(F.collect_set("at").alias("places"))
+    sliced = texts_of(own, member, met.select("node").distinct()).join(wanted, "node").select("node", "text", "places")
+    sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<long>"), "slices")
+    mine, every = F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = met.filter("open or part <> home").select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("first"), "node", "part", "open", "at")
+    y = met.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "node", "part", "open", "at").select(*x.columns)
+    both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "node", "part", "open", "low", "tokens")
+    both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return both.mapInArrow(_linker(least, width, percent), PASSAGE)
+
+
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, start, end, rep, rstart, rend): passages, in words, with their first place."""
-    kind = docs.schema[id].dataType
-    name = kind.simpleString()
+    """(id, start, end, rep, rstart, rend): passages, in words, with another place of each; rep is not the larger id. Equal texts are linked with one of them."""
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("id is not null")
-    cut = written(own.mapInArrow(_cutter(words, width, percent, to_arrow_type(kind)), f"id {name}, keys array<long>, lo array<int>, at array<int>, hi array<int>, own array<array<int>>"), "windows")
-    window = cut.select("id", F.explode(F.arrays_zip("keys", "lo", "at", "hi")).alias("w")).select(F.col("w.keys").alias("key"), F.struct("id", F.col("w.at").alias("at"), F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi")).alias("w"))
-    first = window.groupBy("key").agg(F.min("w").alias("r"), F.count("*").alias("n")).filter("n > 1").select("key", "r")
-    met = window.join(first, "key").filter("w.id <> r.id")
-    each = F.struct(F.expr("cast(key & 7 as int)").alias("f"), F.col("w.lo").alias("lo"), F.col("w.at").alias("at"), F.col("w.hi").alias("hi"), F.col("r.lo").alias("rlo"), F.col("r.at").alias("rat"), F.col("r.hi").alias("rhi"))
-    pairs = met.groupBy(F.col("w.id").alias("id"), F.col("r.id").alias("rep")).agg(F.collect_list(each).alias("found"), F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("functions"))
-    pairs = pairs.filter(F.bit_count("functions") >= AGREE).select("id", "rep", "found").mapInArrow(_finder(words - width + 1, to_arrow_type(kind)), f"id {name}, rep {name}, regions array<array<int>>")
-    pairs = written(pairs, "pairs")
-    texts = written(keep_ids(own, pairs.select("id").union(pairs.select("rep")).distinct(), "id"), "texts")
-    full = pairs.join(texts, "id").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text")), "rep")
-    full = full.select("id", "rep", "regions", "text", "rep_text")
-    between = full.mapInArrow(_verifier(words, width, percent, to_arrow_type(kind)), f"id {name}, start int, end int, rep {name}, rstart int, rend int")
-    within = cut.select("id", F.explode("own").alias("p")).selectExpr("id", "p[0] start", "p[1] end", "id rep", "p[2] rstart", "p[3] rend")
-    return between.union(within).distinct()
+    kind = own.schema["id"].dataType
+    numbered = own.select(F.monotonically_increasing_id().alias("node"), "text", "id")
+    cut = written(numbered.mapInArrow(_cutter(words, width, percent, to_arrow_type(kind)), f"{CUT}, id {kind.simpleString()}"), "windows")
+    first = cut.groupBy("digest").agg(F.min("node").alias("rep"))
+    member = written(cut.select("node", "id", "digest", "n_words").join(first, "digest"), "member")
+    window = cut.select("node", F.explode(F.arrays_zip("keys", "lo", "at", "hi")).alias("w")).select(F.col("w.keys").alias("key"), "node", F.col("w.lo").alias("lo"), F.col("w.at").alias("at"), F.col("w.hi").alias("hi"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """Keys of two nodes or more, with the smallest."""
+        return rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center")
+
+    copies = member.filter("node <> rep")
+    met = written(window.join(shared(window), "key").drop("center").join(copies.select("node"), "node", "left_anti"), "met")
+    met = written(met.join(shared(met), "key"), "shared")
+    r = met.filter("node = center").select("key", F.struct("lo", "at", "hi").alias("r"))
+    each = F.struct(F.expr("cast(key & 7 as int)").alias("f"), "lo", "at", "hi", F.col("r.lo").alias("rlo"), F.col("r.at").alias("rat"), F.col("r.hi").alias("rhi"))
+    pairs = met.filter("node <> center").join(r, "key").groupBy("node", F.col("center").alias("rep")).agg(F.collect_list(each).alias("found"), F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("functions"))
+    pairs = written(pairs.filter(F.bit_count("functions") >= AGREE).select("node", "rep", "found").mapInArrow(_finder(words - width + 1), PAIR), "pairs")
+    texts = written(texts_of(own, member, pairs.select("node").union(pairs.select("rep")).distinct()), "texts")
+    full = pairs.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "regions", "text", "rep_text")
+    between = written(full.mapInArrow(_verifier(words, width, percent), PASSAGE), "between")
+    between = between.union(missed(own, member, met.drop("center"), between, words, width, percent)).distinct()
+    name = member.select("node", "id")
+    ours = between.join(name, "node").join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", "start", "end", "rep_id", "rstart", "rend")
+    equal = copies.join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", F.lit(0).alias("start"), F.col("n_words").alias("end"), "rep_id", F.lit(0).alias("rstart"), F.col("n_words").alias("rend")).filter("id <> rep_id")
+    within = cut.select("id", F.explode("own").alias("p")).selectExpr("id", "p[0] start", "p[1] end", "id rep_id", "p[2] rstart", "p[3] rend")
+    swap = F.col("id") < F.col("rep_id")
+    turned = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(n) for a, b, n in (("id", "rep_id", "id"), ("start", "rstart", "start"), ("end", "rend", "end"), ("rep_id", "id", "rep"), ("rstart", "start", "rstart"), ("rend", "end", "rend"))]
+    return ours.union(equal).union(within).select(*turned).distinct()
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -226,19 +226,67 @@ def test_no_passage_of_lines_alone():
 
 
 def test_compact_windows_stand_for_every_run():
-    rnd = np.random.default_rng(3)
-    values = rnd.integers(0, 30, 60).astype(np.uint64)
-    keys, los, ats, his, _ = passages.compact_windows(values, 10)
-    for f in range(passages.FUNCTIONS):
-        own = [(k, a, b) for k, a, b in zip(keys.tolist(), los, his, strict=True) if k & 7 == f]
-        for a in range(50):
-            for b in range(a + 10, 61):
-                h = values[a:b] * passages.TIMES[f]
-                h ^= h >> np.uint64(32)
-                h *= passages.TIMES[f]
-                low = int(((h & ~np.uint64(7)) | np.uint64(f)).min().view(np.int64))
-                if int(((h & ~np.uint64(7)) | np.uint64(f)).view(np.int64).min()) == low:
-                    assert any(k == low and x <= a and b <= y for k, x, y in own)
+    rng = np.random.default_rng(3)
+    texts = [*(rng.integers(0, 30, n).astype(np.uint64) for n in (60, 10, 37)), np.full(25, 7, np.uint64)]
+    of, key, lo, at, hi, _ = passages.compact_windows(texts, 10)
+    for k, values in enumerate(texts):
+        own = [(w[1], w[2], w[4]) for w in zip(of, key, lo, at, hi, strict=True) if w[0] == k]
+        assert all(y - x >= 10 for _, x, y in own)
+        for f in range(passages.FUNCTIONS):
+            h = passages.hashes(values, f)
+            for a in range(len(values) - 9):
+                for b in range(a + 10, len(values) + 1):
+                    low = h[a:b].min().view(np.int64)
+                    assert sum(w == low and x <= a and b <= y for w, x, y in own) == 1
+
+
+def family(rnd, size, edits, n):
+    """Texts around edited copies of one passage."""
+    base, out = words(rnd, size), []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rnd.randrange(size)] = f"e{rnd.randrange(10**6)}"
+        out.append(" ".join(words(rnd, rnd.randrange(20, 120)) + copy + words(rnd, rnd.randrange(20, 120))))
+    return out
+
+
+def test_families_of_edited_copies_against_all_pairs(spark):
+    rnd = random.Random(31)
+    kinds = [(60, 1), (60, 1), (60, 2), (120, 2), (200, 4), (55, 1)]
+    texts = [t for size, edits in kinds for t in family(rnd, size, edits, 30)]
+    tokens = [passages.shingles(passages.word_ids(passages.words_of(t)), 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if i // 30 == j // 30 and passages.verified(tokens[i], tokens[j], passages.WORDS - 4, 80, 10)]
+    # A line that all texts hold, and copies of whole texts, must neither hide links nor make any.
+    line = " ".join(words(rnd, 12))
+    texts = [f"{t} {line}" for t in texts] + [f"{texts[0]} {line}", f"{' '.join(words(rnd, 90))} {line} {' '.join(words(rnd, 60))}"]
+    got = {r.doc_id: r for r in passages.substring_dedup(table(spark, texts)).collect()}
+    linked = [i in got and j in got and got[i].component_id == got[j].component_id for i, j in pairs]
+    want = {k for p in pairs for k in p}
+    assert len(pairs) > 1500 and sum(linked) >= 0.99 * len(pairs) and len(want & set(got)) >= 0.99 * len(want)
+    assert all(r.component_id // 30 == k // 30 for k, r in got.items() if k < 180) and 181 not in got
+    assert got[180].component_id == got[0].component_id == 0 and got[180].n_removable == len(texts[0].split()) and got[0].n_removable == 0
+
+
+@pytest.mark.parametrize(("size", "where"), [(60, 30), (80, 40), (98, 50), (120, 1)])
+def test_a_repeat_inside_a_text_with_a_word_put_in(spark, size, where):
+    rnd = random.Random(size)
+    base = words(rnd, size)
+    text = [*words(rnd, 30), *base, *words(rnd, 40), *base[:where], "new", *base[where:], *words(rnd, 20)]
+    values = passages.shingles(passages.word_ids([w.encode() for w in text]), 5)
+    _, _, _, at, _, _ = passages.compact_windows([values], passages.WORDS - 4)
+    got = passages.own_repeats(values, at, 50, passages.WORDS - 4, 80, 10)
+    assert max(b - a for a, b, _, _ in got) >= size - 4 - min(where, 10) and all(a - x >= 50 for a, _, x, _ in got)
+    assert passages.own_repeats(values[: 30 + size], at[at < 30 + size], 50, passages.WORDS - 4, 80, 10) == []
+
+
+def test_passages_of_odd_rows(spark):
+    rnd = random.Random(15)
+    shared = " ".join(words(rnd, 60))
+    rows = [(None, shared), (4, shared), (4, shared), (4, " ".join(words(rnd, 70))), (2, f"{shared} more"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS).withColumn("node", F.lit("x")).withColumn("rep", F.lit(1))
+    got = [(r.doc_id, r.component_id, r.n_passages, r.n_removable) for r in passages.substring_dedup(docs).orderBy("doc_id").collect()]
+    assert got == [(2, 2, 1, 0), (4, 2, 1, 60)]
 
 
 # Secrets and personal data
