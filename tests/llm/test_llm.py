@@ -82,9 +82,9 @@ def test_votes_find_the_bad(spark):
     assert right / 4000 > 0.95 and abs(prior - 0.85) < 0.06
 
 
-def test_quality_is_native(spark, sf_dir):
-    judged, _ = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"])
-    assert not re.search("Python|Pandas|Arrow", judged._jdf.queryExecution().executedPlan().toString())
+def test_quality_is_native(spark, sf_dir, monkeypatch):
+    plans = plans_of(monkeypatch, quality, lambda: quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"])[0])
+    assert len(plans) == 2 and "regexp_extract_all" in plans[0] and not any(re.search(NOT_NATIVE, p) for p in plans)
 
 
 # Near duplicates
@@ -400,24 +400,100 @@ def test_hosts_and_rules(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
-def test_propagation_equals_iteration(spark):
-    rnd = random.Random(7)
-    hosts = [f"h{k}" for k in range(12)]
-    edges = Counter((a, b) for a, b in ((rnd.choice(hosts), rnd.choice(hosts)) for _ in range(60)) if a != b)
-    seeds = {h: (1 / 3 if k < 3 else 0.0, 0.5 if k > 9 else 0.0) for k, h in enumerate(hosts)}
-    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust0 double, distrust0 double"), spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")).collect()}
-    out, back = Counter(), Counter()
-    for (a, b), n in edges.items():
-        out[a] += n
-        back[b] += n
-    t = dict(seeds)
-    for _ in range(200):
-        new = {h: [0.15 * s[0], 0.15 * s[1]] for h, s in seeds.items()}
-        for (a, b), n in edges.items():
-            new[b][0] += 0.85 * t[a][0] * n / out[a]
-            new[a][1] += 0.85 * t[b][1] * n / back[b]
-        t = {h: tuple(v) for h, v in new.items()}
-    assert all(math.isclose(got[h][i], t[h][i], abs_tol=0.02) for h in hosts for i in (0, 1))
+def made_web(seed, hosts=50, pages=260):
+    """Pages of hosts with allowed, blocked and mixed seeds, cycles, hosts without links out and a link to nowhere."""
+    rnd = random.Random(seed)
+    names = [f"h{k}.{rnd.choice(['com', 'net', 'info'])}" for k in range(hosts)]
+    rows = []
+    for k in range(pages):
+        host = rnd.choice(names)
+        to = "" if names.index(host) % 6 == 0 else "".join(f'<a href="http://{rnd.choice([*names, "outside.io"])}/x">y</a>' for _ in range(rnd.randrange(3)))
+        rows.append((k, f"http://{host}{rnd.choice(['/de/', '/fr/', '/x/', '/y'])}{k}", to))
+    return rows
+
+
+def brute_verdicts(rows, rounds=2000):
+    """Restart, follow links, and give back to the seeds what has no link to follow; until nothing changes."""
+    pages = [(k, re.match("http://([^/]*)(.*)", u).groups(), re.findall("//([^/]*)/", h)) for k, u, h in rows]
+    said = {k: "block" if p.startswith("/de/") and h.endswith(".com") else "allow" if p.startswith("/fr/") and h.endswith(".com") else None for k, (h, p), _ in pages}
+    own = defaultdict(list)
+    for k, (h, _), _ in pages:
+        own[h].append(said[k])
+    links = Counter((h, to) for _, (h, _), out in pages for to in out if to != h)
+    hosts = sorted(set(own) | {h for e in links for h in e})
+    scores = []
+    for what, turn in (("allow", False), ("block", True)):
+        seed = {h: own[h].count(what) / len(own[h]) if own.get(h) else 0.0 for h in hosts}
+        total, out = sum(seed.values()), Counter()
+        edges = Counter({(b, a) if turn else (a, b): n for (a, b), n in links.items()})
+        for (a, _), n in edges.items():
+            out[a] += n
+        now = dict(seed)
+        for _ in range(rounds):
+            lost = sum(v for h, v in now.items() if not out[h])
+            new = {h: 0.15 * seed[h] + 0.85 * (lost * seed[h] / total if total else 0.0) for h in hosts}
+            for (a, b), n in edges.items():
+                new[b] += 0.85 * now[a] * n / out[a]
+            now = new
+        scores.append(now)
+    verdict = {h: "block" if scores[1][h] > 0 and scores[1][h] >= 0.6 * (scores[0][h] + scores[1][h]) else "allow" for h in hosts}
+    return {k: said[k] or verdict[h] for k, (h, _), _ in pages}, scores
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_on_a_made_web_equal_iteration_and_sql(spark, seed):
+    rows = made_web(seed)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("trust", F.lit("x"))
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df).collect()}
+    want, _ = brute_verdicts(rows)
+    assert got == want and len(set(got.values())) == 2
+    db = duckdb.connect()
+    db.register("pages", df.select("page_id", "url", "html").toPandas())
+    assert dict(db.sql(f"select page_id, verdict from ({urls.SQL})").fetchall()) == want
+
+
+def test_scores_add_up_to_the_seeds(spark):
+    rows = made_web(4)
+    _, (trust, distrust) = brute_verdicts(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = df.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    said = urls.rule_of(F.col("host"), F.col("path"))[1]
+    seeds = seen.withColumn("said", said).groupBy("host").agg(*[F.avg(F.when(F.col("said") == w, 1.0).otherwise(0.0)).alias(n) for w, n in (("allow", "trust0"), ("block", "distrust0"))])
+    got = urls.propagate(seeds, urls.host_links(df, "url", "html"), threshold=0.5).collect()
+    for c, want in (("trust", trust), ("distrust", distrust)):
+        assert math.isclose(sum(r[c] for r in got), sum(want.values()), rel_tol=1e-9)
+        assert all(math.isclose(r[c], want[r.host], rel_tol=0.1, abs_tol=1e-4) for r in got)
+
+
+def test_equal_seeds_do_not_block(spark):
+    rows = [(k, f"http://{h}.com/{p}/{k}", None) for h in "ab" for k, p in enumerate(["de", "fr", "x"], 10 * (h == "b"))] + [(90, "http://c.com/de/1", None), (91, "http://c.com/x", None), (91, "http://c.com/x", None), (None, "http://c.com/x", "z" * 300_000)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.page_id].add(r.verdict)
+    assert len(got) == len(rows) and by[2] == by[12] == {"allow"} and by[91] == by[None] == {"block"}
+
+
+def plans_of(monkeypatch, module, run):
+    """Physical plans of all tables that run() writes and of what it returns."""
+    seen, plain = [], module.written
+
+    def written(df, label):
+        seen.append(df)
+        return plain(df, label)
+
+    monkeypatch.setattr(module, "written", written)
+    seen.append(run())
+    return [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+
+
+NOT_NATIVE = "Python|Pandas|Arrow|MapPartitions|ExternalRDD|Scan ExistingRDD"
+
+
+def test_urls_are_native(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(made_web(5), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plans = plans_of(monkeypatch, urls, lambda: urls.judge_urls(spark.read.parquet(f"{tmp_path}/pages.parquet")))
+    assert len(plans) >= 5 and not any(re.search(NOT_NATIVE, p) for p in plans)
 
 
 def test_links_carry_blame(spark):
