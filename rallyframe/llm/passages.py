@@ -46,8 +46,8 @@ WORDS, WIDTH, PERCENT = 50, 5, 80
 FUNCTIONS, AGREE = 4, 2
 #: Tokens by which edits may shift one place against the other.
 SHIFT = 16
-#: Places of one side of a block, and tokens on either side of a place that are compared there, as passages' widths.
-BLOCK, AROUND = 512, 2
+#: Places of one side of a block; tokens on either side of a place that are compared there, as shortest passages' widths.
+BLOCK, AROUND = 2048, 1
 _random = np.random.default_rng(20240611)
 TIMES = _random.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of a sort key that hold a token's place; the others hold the start of its hash.
@@ -366,23 +366,24 @@ def _verifier(words: int, width: int, percent: int):
     return verify
 
 
-def sharper(windows: list[tuple], spans: list[tuple], least: int, width: int) -> list[tuple]:
-    """(key, at, open) where windows of two functions overlap: the key of both, the first smallest token, whether it is in no span.
+def sharper(node: int, windows: list[tuple], spans: list[tuple], least: int, width: int) -> list[tuple]:
+    """(key, at, open) where windows of two functions overlap: the key of both, the middle of their smallest tokens, whether these are in no span.
 
-    windows: (key, lo, at, hi); spans in words. Runs between that hold both smallest tokens have both min-hashes.
+    windows: (key, lo, at, hi, center); spans in words. Runs that hold both smallest tokens have both min-hashes. Where both
+    min-hashes have one centre, all their texts have been compared with it: it is left out itself.
     """
     out = []
     by = sorted(windows, key=lambda w: w[2])
     places = [w[2] for w in by]
     covered = sorted(spans)
-    for k, (key, lo, at, hi) in enumerate(by):
+    for k, (key, lo, at, hi, center) in enumerate(by):
         for j in range(k + 1, bisect_left(places, hi)):
-            other, lo2, at2, hi2 = by[j]
-            if other & 7 == key & 7 or lo2 > at or min(hi, hi2) - max(lo, lo2) < least:
+            other, lo2, at2, hi2, center2 = by[j]
+            if other & 7 == key & 7 or lo2 > at or min(hi, hi2) - max(lo, lo2) < least or center == center2 == node:
                 continue
             both = (min(key, other) * 0x9E3779B97F4A7C15 ^ max(key, other)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
             closed = any(a <= at and at2 < b - width + 1 for a, b in covered)
-            out.append((both - 2**63, at, not closed))
+            out.append((both - 2**63, (at + at2) // 2, not closed))
     return out
 
 
@@ -398,7 +399,7 @@ def _sharpener(words: int, width: int):
             windows, spans = _tuples(batch.column(2)), _tuples(batch.column(3))
             rows = []
             for node, part, w, s in zip(nodes, parts, windows, spans, strict=True):
-                rows += [(node, part, *x) for x in sharper(w, s, words - width + 1, width)]
+                rows += [(node, part, *x) for x in sharper(node, w, s, words - width + 1, width)]
                 if len(rows) > 100_000:
                     yield _rows(rows, schema)
                     rows = []
@@ -408,15 +409,15 @@ def _sharpener(words: int, width: int):
 
 
 def _slicer(least: int, width: int):
-    """Of texts (node, text, places), the tokens around each place."""
-    schema = pa.schema([("node", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """Of texts (node, text, places), the tokens around each place, 32 bits of each."""
+    schema = pa.schema([("node", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("tokens", pa.list_(pa.int32()))])
 
     def cut(batches):
         for batch in batches:
             for start, texts in in_slices(batch, 1_000_000, 1):
                 rows = []
                 for i, text in enumerate(texts, start):
-                    values = shingles(word_ids(words_of(text)), width).view(np.int64)
+                    values = (shingles(word_ids(words_of(text)), width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     for at in batch.column(2)[i].as_py():
                         low = max(0, at - AROUND * least)
                         rows.append((batch.column(0)[i].as_py(), at, low, values[low : at + AROUND * least]))
@@ -464,7 +465,7 @@ def _linker(least: int, width: int, percent: int):
             at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
             first, node, part, opened, low = (batch.column(k).to_pylist() for k in range(3, 8))
             lists = batch.column(8)
-            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             for k in range(batch.num_rows):
                 if at[k] != key:
                     out += apart(*sides, least, width, percent) if all(sides) else ()
@@ -485,12 +486,12 @@ def texts_of(own: DataFrame, member: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataFrame, words: int, width: int, percent: int) -> DataFrame:
-    """Passages that the join with centres left out. windows: (key, node, lo, at, hi); between: passages found."""
+    """Passages that the join with centres left out. windows: (key, node, lo, at, hi, center); between: passages found."""
     least = words - width + 1
     parts = components(between.select(F.col("rep").alias("a"), F.col("node").alias("b")))
     spans = between.select("node", "start", "end").union(between.select("rep", "rstart", "rend")).distinct()
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    listed = windows.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "at", "hi")).alias("windows"))
+    listed = windows.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "at", "hi", "center")).alias("windows"))
     each = listed.join(spans, "node", "left").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "windows", "spans")
     places = written(each.mapInArrow(_sharpener(words, width), PLACES).distinct(), "places")
     keys = places.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("open").alias("any_open"), F.min("part").alias("home"), F.max("part").alias("other"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -498,10 +499,14 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     met = written(places.join(keys, "key").select("key", "home", "blocks", "node", "part", "at", "open"), "apart")
     wanted = met.groupBy("node").agg(F.collect_set("at").alias("places"))
     sliced = texts_of(own, member, met.select("node").distinct()).join(wanted, "node").select("node", "text", "places")
-    sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<long>"), "slices")
+    sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<int>").withColumn("content", F.xxhash64("tokens", F.size("tokens"))), "slices")
     mine, every = F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x = met.filter("open or part <> home").select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("first"), "node", "part", "open", "at")
-    y = met.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "node", "part", "open", "at").select(*x.columns)
+    # Equal tokens of one component: two of them stand for all, so that each place meets one of another text.
+    ends = [f(F.struct("node", "at")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))]
+    y = met.join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "content").agg(*ends)
+    y = y.select("key", "blocks", "part", "open", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "p.node", "p.at")
+    y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "node", "part", "open", "at").select(*x.columns)
     both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "node", "part", "open", "low", "tokens")
     both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return both.mapInArrow(_linker(least, width, percent), PASSAGE)
@@ -531,7 +536,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     texts = written(texts_of(own, member, pairs.select("node").union(pairs.select("rep")).distinct()), "texts")
     full = pairs.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "regions", "text", "rep_text")
     between = written(full.mapInArrow(_verifier(words, width, percent), PASSAGE), "between")
-    between = between.union(missed(own, member, met.drop("center"), between, words, width, percent)).distinct()
+    between = between.union(missed(own, member, met, between, words, width, percent)).distinct()
     name = member.select("node", "id")
     ours = between.join(name, "node").join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", "start", "end", "rep_id", "rstart", "rend")
     equal = copies.join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", F.lit(0).alias("start"), F.col("n_words").alias("end"), "rep_id", F.lit(0).alias("rstart"), F.col("n_words").alias("rend")).filter("id <> rep_id")
