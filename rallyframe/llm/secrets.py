@@ -8,8 +8,9 @@ At scale: texts are shuffled once, by digest, with copies merged before the shuf
 a third of all paths is scanned once and sent once per task. The join back carries digests and findings
 only, and Spark can split it where one blob has very many paths. Scans stream through Arrow batches.
 
-Defined cases: null text is the empty blob; blobs of any length are scanned whole; repeated rows each
-get the blob's findings; an empty table gives an empty result and leaves the ledger as it is.
+Defined cases: null text is the empty blob; blobs of any length are scanned whole, in time linear in their length; repeated
+rows, and rows with null id, each get the blob's findings; spans with one start are listed in the order of the kinds; an empty
+table gives an empty result and leaves the ledger as it is; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +26,32 @@ from pyspark.sql import functions as F
 from .common import fresh_path
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+#: Three parts of at least ten letters, digits, - and _, the first from a word's start on with eyJ; looked for at the start of each maximal run.
+HEAD = re.compile(r"\beyJ(?=[A-Za-z0-9_-]{10})")
+TOKENS = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{10,}+))")
+
+
+class Jwt:
+    """Web tokens, leftmost and not overlapping, each run of characters looked at a fixed number of times."""
+
+    pattern, flags = TOKENS.pattern + HEAD.pattern, 0
+
+    @staticmethod
+    def spans(text: str):
+        last = 0
+        for m in TOKENS.finditer(text) if "eyJ" in text else ():
+            if m.start(1) >= last and (head := HEAD.search(text, m.start(1), m.end(1))):
+                last = m.end(3)
+                yield head.start(), last
+
+
 #: Kinds in the order in which equal starts are listed; pattern, group that counts, its least length. The first three are the base, the rest are the method's own.
 RULES = (
     ("assign", ASSIGN, 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),  # finds the same as runs of any length with the short ones dropped
     ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0, 1),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 1),
+    ("jwt", Jwt, 0, 1),
 )
 BASE = 3
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -43,7 +63,13 @@ def version_of(rules=RULES) -> str:
 
 def find(text: str, rules=RULES) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all spans, sorted."""
-    return sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(rules) for m in pattern.finditer(text) if len(m[group]) >= least)
+    out = []
+    for k, (_, pattern, group, least) in enumerate(rules):
+        if hasattr(pattern, "spans"):
+            out += [(a, k, b) for a, b in pattern.spans(text)]
+        else:
+            out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    return sorted(out)
 
 
 def joined(spans, rules=RULES) -> str:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -323,6 +324,32 @@ def test_secrets(spark):
     assert secrets.scan_versions(docs.limit(0), fresh_path(spark, "ledger")).count() == 0
 
 
+JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+
+
+def test_web_tokens_equal_the_plain_pattern():
+    rnd = random.Random(6)
+    bits = ["eyJ", "a" * 10, "-", ".", "b" * 9, "_x", " ", "\u00e9", ".eyJ" + "c" * 10, "z" * 12]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+        assert list(secrets.Jwt.spans(text)) == [m.span() for m in JWT.finditer(text)], text
+
+
+@pytest.mark.parametrize("part", ["-eyJaaaaaaaaaaaa", "eyJaaaaaaaaaaaa.", "eyJaaaaaaaaaaaa.bbbbbbbbbbb.", "password ", "token" + " " * 50, "AKIA", "abcdef01", "-----BEGIN A PRIVATE KEY"])
+def test_hostile_texts_take_linear_time(part):
+    text = part * (10_000_000 // len(part))
+    began = time.perf_counter()
+    secrets.find(text)
+    assert time.perf_counter() - began < 10
+
+
+def test_secrets_of_odd_rows(spark):
+    rows = [(None, "token = abcdefgh"), (1, "token = abcdefgh"), (1, "token = abcdefgh"), (1, None), (2, "AKIA" + "Q" * 16 + "e" * 24)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS).withColumn("n_assign", F.lit("x")).withColumn("rule_version", F.lit(1))
+    got = sorted(((r.doc_id, r.n_assign, r.spans) for r in secrets.scan_versions(docs, fresh_path(spark, "ledger")).collect()), key=repr)
+    assert got == sorted([(None, 1, "assign:0:16"), (1, 1, "assign:0:16"), (1, 1, "assign:0:16"), (1, 0, ""), (2, 0, "access:0:20,hex:20:44")], key=repr)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
