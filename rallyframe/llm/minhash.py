@@ -13,11 +13,13 @@ come out as from all pairs. At a similarity of 0.8 the bands miss a pair with a
 
 At scale: one pass over the texts, without a shuffle of them; what is shuffled are 16 bytes per text
 and band, and packed signatures. Texts are fetched for candidates only. Buckets are joined, not
-collected, so Spark can split a hot one.
+collected, so Spark can split a hot one; where rows of a bucket meet each other they are salted into tasks of bounded size.
 
 Defined cases: a text without words, and null, has no shingles, links with nothing and stays. Rows
 that share an id count as one document. A row with null id is never linked, and stays. Texts of
-fewer words than a shingle have one shingle, the whole. Empty tables give empty results.
+fewer words than a shingle have one shingle, the whole. Texts of any length are compared whole. Of equal texts, and in ties, the
+smallest id stands for all. Empty tables give empty results. Other columns are not read, whatever their names; the filter
+passes them through.
 """
 
 from __future__ import annotations
@@ -156,6 +158,13 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
 
 #: Texts and shingles of one side of a block at most, but for a single text.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 100_000
+#: Rows of a bucket whose signatures meet in one task.
+SALTED = 512
+
+
+def on(x: DataFrame, y: DataFrame, more: Column) -> Column:
+    """Rows of a bucket that meet in one pair of salts, and `more`."""
+    return (x.band == y.band) & (x.i == y.i) & (x.j == y.j) & more
 
 
 def missed(source: DataFrame, shared: DataFrame, own: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,21 +175,28 @@ def missed(source: DataFrame, shared: DataFrame, own: DataFrame, parts: DataFram
     pair of blocks, where all pairs are compared in full; only links that join components come out,
     fewer than a block's texts. So many texts that are almost similar enough cost no row per pair.
     """
-    placed = shared.filter("size > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "center", F.coalesce("component", "rep").alias("part"))
-    placed = placed.join(parts.select(F.col("node").alias("center"), F.col("component").alias("home")), "center", "left").select("band", "rep", "part", F.coalesce("home", "center").alias("home"))
-    placed = placed.join(placed.filter("part <> home").select("band").distinct(), "band", "left_semi")
-    placed = written(placed.join(own, "rep").select("band", "rep", "part", "home", F.struct("n", "sig").alias("own")), "placed")
-
-    def side(name: str) -> DataFrame:
-        return placed.select("band", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "part", "home", "own")])
+    # Rows of a large bucket are dealt out by salt: `salts` follows from the bucket's size.
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    salted = shared.filter("size > 2").select("band", "rep", "center", salts.alias("salts"), F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"))
+    placed = salted.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "salts", "salt", "rep", "center", F.coalesce("component", "rep").alias("part"))
+    placed = placed.join(parts.select(F.col("node").alias("center"), F.col("component").alias("home")), "center", "left").select("band", "salts", "salt", "rep", "part", F.coalesce("home", "center").alias("home"))
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    placed = placed.join(placed.filter("part <> home").select("band", "salts").distinct().select("band", each.alias("salt")), ["band", "salt"], "left_semi")
+    placed = written(placed.join(own, "rep").select("band", "salts", "salt", "rep", "part", "home", F.struct("n", "sig").alias("own")), "placed")
+
+    def side(name: str, rows: DataFrame, mine: str, other: str) -> DataFrame:
+        """Rows of one side, each for all salts of the other."""
+        return rows.select("band", F.col("salt").alias(mine), each.alias(other), "salts", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "part", "own")])
 
     different = plausible(percent, "own_x", "own_y") & (F.col("part_x") != F.col("part_y"))
-    x, y = side("x").filter("part_x <> home_x"), side("y")
-    left = written(x.join(y, (x.band == y.band) & different, "left_semi").select("band", F.col("rep_x").alias("rep"), F.col("part_x").alias("part"), F.col("own_x.n").alias("n")), "apart")
+    x, y = side("x", placed.filter("part <> home"), "i", "j"), side("y", placed, "j", "i")
+    left = x.join(y.drop("salts"), on(x, y, different), "left_semi").select("band", F.col("rep_x").alias("rep"), F.col("part_x").alias("part"), F.col("own_x.n").alias("n"), F.col("i").alias("salt"), "salts")
+    left = written(left.distinct(), "apart")
     if not left.limit(1).count():
         return left.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    again = left.join(own.select("rep", F.struct("n", "sig").alias("own_x")), "rep").select("band", F.col("part").alias("part_x"), "own_x")
-    right = written(y.join(again, (y.band == again.band) & different, "left_semi").select("band", F.col("rep_y").alias("rep"), F.col("part_y").alias("part"), F.col("own_y.n").alias("n")), "others")
+    again = side("x", left.join(own.select("rep", F.struct("n", "sig").alias("own")), "rep"), "i", "j")
+    right = y.join(again.drop("salts"), on(y, again, different), "left_semi").select("band", F.col("rep_y").alias("rep"), F.col("part_y").alias("part"), F.col("own_y.n").alias("n"))
+    left, right = left.drop("salt", "salts"), written(right.distinct(), "others")
     blocks = right.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -327,3 +343,21 @@ def near_duplicate_filter(docs: DataFrame, id: str = "doc_id", text: str = "text
     once = out.join(stay, F.col(f"`{id}`") == F.col(kept), "left_semi").groupBy(F.col(f"`{id}`")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in whole])).alias(kept))
     once = once.select(F.col(f"`{id}`"), F.col(f"{kept}.*")).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.join(stay, F.col(f"`{id}`") == F.col(kept), "left_anti").unionByName(once)
+
+
+def sql(width: int, percent: int) -> str:
+    """The same rows in SQL, from all pairs of texts that share a shingle. Ids are not null and not repeated."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+t AS (SELECT w, min(doc_id) AS rep FROM w WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT rep, unnest(list_distinct(CASE WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i : i + {width - 1}], ' ')) END)) AS s FROM t),
+n AS (SELECT rep, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM x a JOIN x b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep, rep AS other FROM n UNION SELECT r.rep, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT rep, min(other) AS component FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component, w.doc_id) AS component_id, coalesce(c.component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN t ON t.w = w.w LEFT JOIN n ON n.rep = t.rep LEFT JOIN c ON c.rep = t.rep
+"""
