@@ -55,4 +55,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_warc, op3_substring_dedup, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op8_url_filters": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op4_secret_scan": secrets.SQL, "op6_mixing": mixing.SQL, "op7_minhash_near_dedup": minhash.sql(4, 80), "op8_url_filters": urls.SQL}

@@ -121,3 +121,35 @@ def scan_versions(versions: DataFrame, ledger: str, path: str = "doc_id", text:
 def scan_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A first scan, with a ledger of its own in the shared folder."""
     return scan_versions(docs, fresh_path(spark, "ledger")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+#: The patterns for SQL, with the group whose length counts.
+IN_SQL = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"(AKIA[A-Z0-9]+)",
+    "hex": r"([0-9a-f]+)",
+    "pem": r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)",
+    "jwt": r"(\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})",
+}
+
+
+def _sql() -> str:
+    """The same rows in SQL: a span starts after all that stands before it, in matches and between them."""
+    length = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: len(x))), 0)"
+    spans = []
+    for k, (name, pattern) in enumerate(IN_SQL.items()):
+        p = pattern.replace("'", "''")
+        whole = p.replace("(", "(?:").replace("(?:?", "(?")  # a split at a pattern with groups would return these too
+        spans.append(
+            f"SELECT row, {k} AS k, '{name}' AS kind, CAST({length('gaps[: i]')} + {length('whole[: i - 1]')} AS BIGINT) AS a, len(whole[i]) AS n FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM ("
+            f"SELECT row, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', 1) AS part, regexp_split_to_array(t, '{whole}') AS gaps FROM d)) WHERE len(part[i]) >= {RULES[k][3]}"
+        )
+    listed = lambda which: f"coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k){which}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(spans)})
+SELECT any_value(d.doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in ("assign", "access", "hex"))}, sha256({listed(f" FILTER (k < {BASE})")}) AS base_sha256, {listed("")} AS spans
+FROM d LEFT JOIN s ON s.row = d.row GROUP BY d.row
+"""
+
+
+SQL = _sql()

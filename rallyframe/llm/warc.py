@@ -10,11 +10,12 @@ keep the HTTP head (with the payload's length), its digest, and the id referred
 
 At scale: payloads are not shuffled unless the table of repeated digests is large; then that join
 can be split by Spark, so one payload that fills a third of all rows does no harm. Reading sorts index
-rows only. Archives lie in the folder all executors share, through any file system that pyarrow knows.
+rows only, into ranges whose number follows from the bytes to read. Archives lie in the folder all executors share, through any file system that pyarrow knows.
 
 Defined cases: null html is an empty payload, and empty payloads are equal; null urls have no target
-header; rows with equal id and payload are each a response if that id is the largest; of a group
-whose ids are all null each is a response; an empty table gives no archive and an empty result.
+header; payloads of any length are written and read whole, one at a time; rows with equal id and payload are each a response if
+that id is the largest; of a group whose ids are all null each is a response; an empty table gives no archive and an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import fresh_path, written
 BROADCAST_DIGESTS = 200_000
 #: Largest byte range read at once, and largest gap read over.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Compressed bytes that a reading task gets, more only where there would be over MOST_TASKS.
+TASK_BYTES, MOST_TASKS = 1 << 20, 50_000
 ID = "urn:x-page:"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, intact boolean"
@@ -163,7 +166,9 @@ def _reader(with_payload: bool):
 
 def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of index point to; intact tells whether the payload has its digest."""
-    where = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(MOST_TASKS, -(-total // TASK_BYTES)))
+    where = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return where.mapInArrow(_reader(with_payload), RECORD)
 
 
@@ -173,3 +178,14 @@ def round_trip(spark: SparkSession, pages: DataFrame, id: str = "page_id") -> Da
     got = read_warc(index, with_payload=False)
     sound = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a payload lost its digest: "), F.col("page_id").cast("string"))))
     return got.select(F.col("page_id").alias(id), "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: The same rows in SQL; 5 hexadecimal digits of a digest are 4 letters of base 32.
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS x FROM g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(x, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
