@@ -27,7 +27,7 @@ gives an empty result; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -38,7 +38,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import in_slices, keep_ids, written
 from .components import components
-from .minhash import common_counts
 from .tokens import shingles, word_ids, words_of
 
 WORDS, WIDTH, PERCENT = 50, 5, 80
@@ -367,7 +366,7 @@ def _verifier(words: int, width: int, percent: int):
 
 
 def sharper(node: int, windows: list[tuple], spans: list[tuple], least: int, width: int) -> list[tuple]:
-    """(key, at, open) where windows of two functions overlap: the key of both, the middle of their smallest tokens, whether these are in no span.
+    """(key, at, open) where windows of two functions overlap: the key of both, the middle of their smallest tokens, whether there is room around it for a passage that touches no span.
 
     windows: (key, lo, at, hi, center); spans in words. Runs that hold both smallest tokens have both min-hashes. Where both
     min-hashes have one centre, all their texts have been compared with it: it is left out itself.
@@ -375,15 +374,27 @@ def sharper(node: int, windows: list[tuple], spans: list[tuple], least: int, wid
     out = []
     by = sorted(windows, key=lambda w: w[2])
     places = [w[2] for w in by]
-    covered = sorted(spans)
+    starts, ends = [], []  # of the tokens that spans cover, merged
+    for a, b in sorted((a, b - width + 1) for a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def room(p: int) -> bool:
+        k = bisect_right(starts, p)
+        before = ends[k - 1] if k else -least
+        return before <= p and (starts[k] if k < len(starts) else p + least) - before >= least
+
     for k, (key, lo, at, hi, center) in enumerate(by):
         for j in range(k + 1, bisect_left(places, hi)):
             other, lo2, at2, hi2, center2 = by[j]
             if other & 7 == key & 7 or lo2 > at or min(hi, hi2) - max(lo, lo2) < least or center == center2 == node:
                 continue
             both = (min(key, other) * 0x9E3779B97F4A7C15 ^ max(key, other)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-            closed = any(a <= at and at2 < b - width + 1 for a, b in covered)
-            out.append((both - 2**63, (at + at2) // 2, not closed))
+            middle = (at + at2) // 2
+            out.append((both - 2**63, middle, room(middle)))
     return out
 
 
@@ -426,36 +437,74 @@ def _slicer(least: int, width: int):
     return cut
 
 
+def stretches(xs: list[np.ndarray], ys: list[np.ndarray], least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all x and y: whether x has a stretch of `least` tokens or more of which `percent` stand in y, and 100 times 2 in (100 / percent + 1).
+
+    Two stretches with sets so similar have `percent` of each in the other, and of the smaller one the second part.
+    Texts with a token twice pass both.
+    """
+    longest = max(map(len, xs))
+    padded, raw = np.zeros((len(xs), longest), np.int64), np.tile(np.arange(longest) + (1 << 40), (len(xs), 1))
+    known, code = np.unique(np.concatenate(ys), return_inverse=True)  # number 0 is left for tokens that no y has
+    inside = np.zeros((len(ys), len(known) + 1), np.bool_)
+    inside[np.repeat(np.arange(len(ys)), [len(y) for y in ys]), code + 1] = True
+    for k, x in enumerate(xs):
+        at = np.searchsorted(known, x)
+        at[at == len(known)] = 0
+        padded[k, : len(x)], raw[k, : len(x)] = np.where(known[at] == x, at + 1, 0), x
+    out = np.zeros((2, len(xs), len(ys)), np.bool_)
+    step = max(1, 1_000_000 // (len(ys) * longest))
+    for k in range(0, len(xs) if longest >= least else 0, step):
+        seen = inside[:, padded[k : k + step]]  # by y, x and place
+        for which, (part, whole) in enumerate(((percent, 100), (2 * percent, 100 + percent))):
+            sums = np.zeros((*seen.shape[:2], longest + 1), np.int32)
+            np.cumsum(np.where(seen, np.int32(whole - part), np.int32(-part)), axis=2, out=sums[:, :, 1:], dtype=np.int32)
+            low = np.minimum.accumulate(sums, axis=2)
+            out[which, k : k + step] = (sums[:, :, least:] >= low[:, :, : longest + 1 - least]).any(axis=2).T
+            if not out[which, k : k + step].any():
+                break
+    ordered = np.sort(raw, axis=1)
+    out[:, (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)] = True
+    return out[0], out[1]
+
+
 def apart(xs: list[tuple], ys: list[tuple], least: int, width: int, percent: int):
-    """Passages between places of xs and of ys: (node, part, open, low, tokens) each.
+    """Passages between places of xs and of ys: (node, part, open, place, low, tokens) each.
 
     Only such as join components that nothing before joined, or as verify an open place for the first time.
     """
-    need = percent * least / 100
-    enough = [[min(need, percent / 100 * len(np.unique(r[4]))) for r in side] for side in (xs, ys)]
-    common = common_counts([np.unique(r[4]) for r in xs], [np.unique(r[4]) for r in ys])
     joined: dict = {}
-    still = [[r[2] for r in side] for side in (xs, ys)]
+    still: dict = {r[0]: {} for side in (xs, ys) for r in side}
+    for side in (xs, ys):
+        for r in side:
+            still[r[0]][r[3]] = r[2]
 
     def root(p):
         while joined.get(p, p) != p:
             p = joined[p]
         return p
 
-    likely = common >= np.minimum(np.array(enough[0])[:, None], np.array(enough[1])[None, :])
-    for i, j in zip(*np.nonzero(likely), strict=True):
-        x, y = xs[i], ys[j]
-        if x[0] == y[0]:
-            continue
-        p, q = root(x[1]), root(y[1])
-        if p == q and not still[0][i] and not still[1][j]:
+    for first, second in ((a, b) for a in range(0, len(xs), 256) for b in range(0, len(ys), 256)):
+        some, part = xs[first : first + 256], ys[second : second + 256]
+        in_x, much_x = stretches([r[5] for r in some], [r[5] for r in part], least, percent)
+        rows = np.flatnonzero(in_x.any(axis=1))
+        if not len(rows):
             continue
-        found = verified(x[4], y[4], least, percent, 2 * width)
-        for a, b, u, v in found:
-            yield x[0], x[3] + a, x[3] + b + width - 1, y[0], y[3] + u, y[3] + v + width - 1
-        if found:
-            still[0][i] = still[1][j] = False
-            joined[max(p, q)] = min(p, q)
+        in_y, much_y = stretches([r[5] for r in part], [some[i][5] for i in rows], least, percent)
+        likely = in_x[rows] & in_y.T & (much_x[rows] | much_y.T)
+        for i, j in zip(*np.nonzero(likely), strict=True):
+            x, y = some[rows[i]], part[j]
+            if x[0] == y[0]:
+                continue
+            p, q = root(x[1]), root(y[1])
+            if p == q and not still[x[0]][x[3]] and not still[y[0]][y[3]]:
+                continue
+            found = verified(x[5], y[5], least, percent, 2 * width)
+            for a, b, u, v in found:
+                yield x[0], x[4] + a, x[4] + b + width - 1, y[0], y[4] + u, y[4] + v + width - 1
+            if found:
+                still[x[0]][x[3]] = still[y[0]][y[3]] = False
+                joined[max(p, q)] = min(p, q)
 
 
 def _linker(least: int, width: int, percent: int):
@@ -463,14 +512,14 @@ def _linker(least: int, width: int, percent: int):
         key, sides, out = None, ([], []), []
         for batch in batches:
             at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            first, node, part, opened, low = (batch.column(k).to_pylist() for k in range(3, 8))
-            lists = batch.column(8)
+            first, node, part, opened, place, low = (batch.column(k).to_pylist() for k in range(3, 9))
+            lists = batch.column(9)
             flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             for k in range(batch.num_rows):
                 if at[k] != key:
                     out += apart(*sides, least, width, percent) if all(sides) else ()
                     key, sides = at[k], ([], [])
-                sides[not first[k]].append((node[k], part[k], opened[k], low[k], flat[ends[k] : ends[k + 1]].copy()))
+                sides[not first[k]].append((node[k], part[k], opened[k], place[k], low[k], flat[ends[k] : ends[k + 1]].copy()))
             yield _rows(out, PASSAGES)
             out = []
         yield _rows(list(apart(*sides, least, width, percent)) if all(sides) else [], PASSAGES)
@@ -507,7 +556,7 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     y = met.join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "content").agg(*ends)
     y = y.select("key", "blocks", "part", "open", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "p.node", "p.at")
     y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "node", "part", "open", "at").select(*x.columns)
-    both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "node", "part", "open", "low", "tokens")
+    both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "node", "part", "open", "at", "low", "tokens")
     both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return both.mapInArrow(_linker(least, width, percent), PASSAGE)
 
