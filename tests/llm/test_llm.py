@@ -614,6 +614,56 @@ def test_contamination_of_frequent_words(spark):
     assert {r.doc_id for r in contamination.decontaminate(docs, bench).collect()} == set(range(61)) - set(got)
 
 
+def brute_spans(item, text):
+    """The best score of the item anywhere in the text, as a part of its best."""
+    return brute_align(item, text) / (2 * len(item))
+
+
+def test_contamination_against_alignment_with_whole_texts(spark):
+    rnd = random.Random(21)
+    items = [words(rnd, rnd.randrange(3, 45), 300) for _ in range(25)] + [["one"], ["two", "words"]]
+    items[7] = list(items[3])
+    texts = [*ODD]
+    for _ in range(120):
+        copy = list(rnd.choice(items))
+        for _ in range(rnd.randrange(0, 1 + len(copy) // 2)):
+            k = rnd.randrange(len(copy))
+            copy[k : k + rnd.randrange(2)] = [f"e{rnd.randrange(999)}"] * rnd.randrange(4)
+            copy = copy or ["x"]
+        texts.append(" ".join(words(rnd, rnd.randrange(60), 300) + copy + words(rnd, rnd.randrange(60), 300)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = table(spark, texts, seeds="x")
+    docs = docs.union(docs.filter("doc_id = 20")).union(spark.createDataFrame([(None, texts[20], "en", "s", 1)], DOCS).withColumn("seeds", F.lit("x")))
+    got = defaultdict(list)
+    for r in contamination.contaminated(docs, bench).collect():
+        got[r.doc_id, r.item_id].append(r.score)
+    checked = 0
+    for d, text in enumerate(texts):
+        w = [x.decode() for x in contamination.words(text)]
+        grams = lambda x: {tuple(x[i : i + 4]) for i in range(len(x) - 3)}
+        for k, item in enumerate(items):
+            seed = grams(item) & grams(w) if len(item) >= 4 else w == item
+            part = brute_spans(item, w) if seed and len(w) < 500 else 0.0
+            checked += part >= 0.5
+            assert ((d, k) in got) == (part >= 0.5), (d, k, part)
+            assert not got.get((d, k)) or all(abs(x - part) < 1e-9 for x in got[d, k])
+    assert checked > 60 and all(len(got[20, k]) == 2 for d, k in list(got) if d == 20) and {k for d, k in got if d is None} == {k for d, k in got if d == 20}
+    clean = contamination.decontaminate(docs, bench)
+    assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((r.doc_id for r in docs.collect() if not any(d == r.doc_id for d, k in got if got[d, k])), key=repr)
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    rnd = random.Random(22)
+    items = [words(rnd, 20) for _ in range(9)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = table(spark, [" ".join(words(rnd, 30) + items[k % 9]) for k in range(20)])
+    whole = sorted(contamination.contaminated(docs, bench).collect())
+    monkeypatch.setattr(contamination, "BLOCK_ITEMS", 2)
+    assert len(list(contamination.blocks(bench, "item_id", "text"))) == 5
+    assert sorted(contamination.contaminated(docs, bench).collect()) == whole and len(whole) == 20
+    assert contamination.decontaminate(docs, bench).count() == 0
+
+
 # Languages
 
 
