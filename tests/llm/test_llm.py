@@ -391,6 +391,82 @@ def test_personal_data_and_terms(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def brute_terms(texts):
+    """Spans of revealing terms of each text, restated with plain loops."""
+    edge = ".,;:!?()[]{}\"'"
+    rows = []
+    for t in texts:
+        t = t or ""
+        spans = base_spans(t, PERSONAL)
+        words_ = [(m[0].strip(edge), m.end() - len(m[0].lstrip(edge))) for m in GAP.finditer(t) if m[0].strip(edge)]
+        words_ = [(w.lower(), a, a + len(w)) for w, a in words_]
+        free = [w for w in words_ if not any(s < w[2] and w[1] < e for s, _, e in spans)]
+        near = []
+        for s, k, e in spans:
+            around = [w for w in words_ if w[2] <= s][-8:] + [w for w in words_ if w[1] >= e][:8]
+            around = tuple(w[0] for w in around if w in free)
+            near.append(((k, t[s:e].lower()), around))
+        rows.append((words_, free, near))
+    contexts, n_term, n_entity, n_pair = defaultdict(set), Counter(), Counter(), Counter()
+    for words_, _, near in rows:
+        terms = {w[0] for w in words_}
+        n_term.update(terms)
+        for entity in {e for e, around in near if around}:
+            n_entity[entity] += 1
+            n_pair.update((entity, x) for x in terms)
+        for entity, around in near:
+            for x in around:
+                contexts[entity, x].add(around)
+    n = len(texts)
+    reveals = defaultdict(set)
+    for (entity, x), seen in contexts.items():
+        info = math.log(n / n_entity[entity])
+        if len(seen) >= 3 and info > 0 and math.log(n_pair[entity, x] * n / (n_entity[entity] * n_term[x])) / info >= 0.8:
+            reveals[entity].add(x)
+    out = []
+    for _, free, near in rows:
+        known = set().union(*(reveals[e] for e, around in near if around))
+        out.append([f"term:{a}:{b}" for x, a, b in free if x in known])
+    return out
+
+
+def personal_texts():
+    rnd = random.Random(41)
+    who = ["jan.doe@mail.example.com", "10.1.2.3", "+1 (017) 555-7713"]
+    texts = [*ODD]
+    for k in range(24):
+        name, entity = [["Zanzibar", "Li"], ["beta\u00a0gamma", "x" * 80], ["\u00c9MILE"] * 2][k % 3][k // 3 % 2], who[k % 3]
+        body = [*words(rnd, 9, 40), f"({name}),", entity, *words(rnd, 9, 40)]
+        texts.append(" ".join([*words(rnd, rnd.randrange(9), 40), *body, *words(rnd, 30, 40), name.upper() if k % 2 else name, "end."]))
+    texts += [" ".join(["Zanzibar"[: rnd.randrange(4, 9)], *words(rnd, 40, 40)]) for _ in range(60)]
+    return texts + [texts[len(ODD)]] * 2
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_terms_equal_plain_loops(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+        monkeypatch.setattr(pii, "HELD_TERMS", 5)
+        monkeypatch.setattr(pii, "FEW_TEXTS", 0)
+    texts = personal_texts()
+    docs = table(spark, texts, text_key="x", n_term=1)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 30, None).otherwise(F.col("doc_id")))
+    want = brute_terms(texts)
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert len(got) == len(texts) and sum(map(bool, want)) > 10
+    for k, w in enumerate(want):
+        r = got[None if k == 30 else k]
+        assert sorted(x for x in r.spans.split(",") if x.startswith("term")) == sorted(w) and r.n_term == len(w), k
+    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    for k, w in enumerate(want):
+        r = clean[None if k == 30 else k]
+        left = r.text or ""
+        assert r.text_key == "x" and not pii.find(left)
+        for x in w:
+            _, a, b = x.split(":")
+            assert not re.search(rf"(?<!\S)\W*{re.escape(texts[k][int(a) : int(b)])}\W*(?!\S)", left)
+
+
 # Mixing
 
 
