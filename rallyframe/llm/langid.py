@@ -3,20 +3,24 @@
 The pieces are those of a fixed public vocabulary. For each language their probabilities are learned
 by expectation-maximisation; the probability of a word is the sum over all its segmentations, by a
 forward pass over its characters; that of a text is the product over its words. The language with the
-largest posterior, under equal priors, is predicted, and the posterior is the score.
-
-The fit uses at most about `sample` labelled rows a language, chosen by hash; a documented bound, so
-the driver gets the word counts of that many rows however large the corpus. Every row is then
-scored whole, in one pass without a shuffle: words are scored once a slice, many at a time, with numpy.
-
-Defined cases: null text, or text without a letter, is `und` with score 0; runs of more than 32
-characters without white space are scored in parts of 32; unlabelled rows are scored but not learned
-from; without any labelled row all is `und`; repeated rows count as often as they occur.
+largest posterior, under equal priors, is predicted, and the posterior is the score. Words are runs of anything but ASCII
+white space, in lower case, cut by one function for learning and scoring.
+
+The fit uses at most about `sample` labelled rows a language, chosen by hash, and `MOST_LANGUAGES` languages at most; documented
+bounds, so the driver gets the word counts of that many rows however large the corpus. Every row is then
+scored whole, in one pass without a shuffle: words are scored once a slice, many at a time, with numpy. Words of more than
+`LONGEST` characters are scored one by one, in time linear in their length, with chances rescaled as they shrink.
+
+Defined cases: null text, or text without a letter, is `und` with score 0; unlabelled rows are scored but not learned
+from; more labels than `MOST_LANGUAGES` raise an error; of languages that are equally likely the first by code point is
+predicted; without any labelled row all is `und`; repeated rows count as often as they occur; rows with null id are not held
+out; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -29,6 +33,7 @@ from .common import in_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 300
+MOST_LANGUAGES = 500
 ROUNDS = 4
 LONGEST = 32
 SPACE = "▁"
@@ -117,10 +122,63 @@ def forward(codes: np.ndarray, table: Pieces, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def pieces_in(word: str, table: Pieces) -> np.ndarray:
+    """Of one word, with SPACE before it: the number of the piece of each length from each place on, or -1."""
+    codes = code_points([word], len(word))[0].astype(np.uint64)
+    out = np.full((len(codes), table.longest), -1, np.int64)
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(min(table.longest, len(codes))):
+        h = (h[: len(codes) - n] ^ codes[n:]) * TIMES
+        h ^= h >> np.uint64(32)
+        out[: len(h), n] = table.index(h)
+    return out
+
+
+def rescaled(found: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums of one word: alpha[end, language], each row less its own scale, and the logs of the scales."""
+    n, longest = found.shape
+    alpha, scale = np.zeros((n + 1, p.shape[1])), np.zeros((n + 1, p.shape[1]))
+    alpha[0] = 1.0
+    near = np.zeros((longest, p.shape[1]))  # the last rows of alpha, latest first, all on the latest scale
+    near[0] = 1.0
+    for end in range(1, n + 1):
+        m = min(longest, end)
+        k = found[np.arange(end - 1, end - 1 - m, -1), np.arange(m)]
+        value = near[0] * UNKNOWN
+        if (k >= 0).any():
+            value = value + (near[:m] * np.where(k[:, None] >= 0, p[k], 0.0)).sum(axis=0)
+        near[1:] = near[:-1]
+        near[0] = value
+        near /= value
+        alpha[end], scale[end] = 1.0, scale[end - 1] + np.log(value)
+    return alpha, scale
+
+
+def long_counts(word: str, table: Pieces, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in n (by language) of a long word, over all its segmentations."""
+    found = pieces_in(word, table)
+    _, ahead = rescaled(found, p)
+    # The same sums from the right: a piece that ends at a place starts at its mirror.
+    size, longest = found.shape
+    turned = np.full_like(found, -1)
+    for length in range(1, min(longest, size) + 1):
+        turned[: size - length + 1, length - 1] = found[: size - length + 1, length - 1][::-1]
+    _, behind = rescaled(turned, p)
+    got = np.zeros_like(p)
+    for length in range(1, min(longest, size) + 1):
+        start = np.flatnonzero(found[: size - length + 1, length - 1] >= 0)
+        k = found[start, length - 1]
+        part = np.exp(ahead[start] + np.log(p[k]) + behind[size - start - length] - ahead[size])
+        np.add.at(got, k, n * part)
+    return got
+
+
 def log_chances(words: list[str], table: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log of the probability of each word, of at most LONGEST characters, in each language."""
+    """Log of the probability of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     length = np.fromiter(map(len, words), np.int64, len(words))
+    for i in np.flatnonzero(length > LONGEST):
+        out[i] = rescaled(pieces_in(words[i], table), p)[1][-1]
     low = 0
     for high in LENGTHS:
         at = np.flatnonzero((length > low) & (length <= high))
@@ -135,6 +193,7 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
     """Piece probabilities by language, from word counts by language. Pieces in no word are left out."""
     langs = sorted(counts)
     words = sorted(set(chain.from_iterable(counts.values())))
+    longer = [w for w in words if len(w) > LONGEST]
     full, used = Pieces(pieces), np.zeros(len(pieces), np.bool_)
     groups = []
     low = 0
@@ -146,6 +205,9 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
     for _, codes in groups:
         for *_, k in full.edges(codes):
             used[k] = True
+    for w in longer:
+        k = pieces_in(w, full)
+        used[k[k >= 0]] = True
     table = Pieces([full.names[k] for k in np.flatnonzero(used)])
     weight = [np.array([[counts[x].get(w, 0) for x in langs] for w in part], float).reshape(len(part), len(langs)) for part, _ in groups]
     p = np.full((max(len(table.names), 1), len(langs)), 1.0 / max(len(table.names), 1))
@@ -164,26 +226,27 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
                 flow = p[k] * beta[j][rows]
                 beta[i][rows] += flow
                 np.add.at(got, k, flow * alpha[i][rows])
+        for w in longer if table.names else ():
+            got += long_counts(w, table, p, np.array([counts[x].get(w, 0) for x in langs], float))
         p = got / got.sum(axis=0)
     return table, p, langs
 
 
-def parts(words: list[str]) -> list[str]:
-    if all(len(w) <= LONGEST for w in words):
-        return words
-    return [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+def words_in(text: str | None) -> list[bytes]:
+    """Words in lower case, in UTF-8."""
+    return (text or "").lower().encode().split()
 
 
 def scores(texts: list[str | None], table: Pieces, p: np.ndarray) -> np.ndarray:
     """Log of each text's probability in each language."""
     import pandas as pd
 
-    split = [parts((t or "").lower().split()) for t in texts]
+    split = [words_in(t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     out = np.zeros((len(texts), p.shape[1]))
     if sizes.sum():
         code, distinct = pd.factorize(np.fromiter(chain.from_iterable(split), object, int(sizes.sum())))
-        each = log_chances(list(distinct), table, p)[code]
+        each = log_chances([w.decode() for w in distinct], table, p)[code]
         full = np.flatnonzero(sizes)
         out[full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes[full])[:-1])))
     return out
@@ -205,6 +268,16 @@ def _predictor(table: Pieces, p: np.ndarray, langs: list[str], id_type: pa.DataT
     return predict
 
 
+def _counter(batches):
+    """Of labelled texts (lang, text): how often each word stands in them."""
+    for batch in batches:
+        held: Counter = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.update((lang, w) for w in words_in(text))
+        lang, word = zip(*held, strict=True) if held else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([w.decode() for w in word], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+
+
 def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -212,17 +285,18 @@ def held_out(id: Column) -> Column:
 def train(docs: DataFrame, id: str, text: str, lang: str, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> tuple[Pieces, np.ndarray, list[str]]:
     """Learns from about `sample` rows of each language that aren't held out."""
     rows = docs.filter(~held_out(F.col(f"`{id}`"))).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(n) > MOST_LANGUAGES:
+        raise ValueError(f"{len(n)} labels are more than {MOST_LANGUAGES}")
     if not n:
         return Pieces([]), np.zeros((1, 0)), []
     part = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, sample / v))) for k, v in n.items()))
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
     chosen = rows.filter(drawn < F.element_at(part, F.col("lang")))
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = chosen.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {k: {} for k in n}
     for r in words.toLocalIterator():
-        for w in parts([r.word]):
-            counts[r.lang][w] = counts[r.lang].get(w, 0) + r.n
+        counts[r.lang][r.word] = r.n
     return learn(counts, pieces_of(vocabulary))
 
 

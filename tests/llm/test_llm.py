@@ -760,6 +760,90 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got), [brute(langid.SPACE + word, k) for k in (0, 1)])
 
 
+def made_pieces():
+    return [langid.SPACE, *"abcde", "ab", "bc", "cde", langid.SPACE + "a", langid.SPACE + "abc", "eab"]
+
+
+def test_long_words_are_summed_whole():
+    table_ = langid.Pieces(made_pieces())
+    p = np.random.default_rng(3).random((len(table_.names), 3)) / 9
+    rnd = random.Random(3)
+    for n in (1, 5, 31, 32, 33, 100, 400):
+        word = "".join(rnd.choice("abcdex") for _ in range(n))
+        text = langid.SPACE + word
+        at = {x: k for k, x in enumerate(table_.names)}
+        want = []
+        for lang in range(3):  # exact fractions would do the same; logs of sums in high precision
+            a = [1.0] + [0.0] * len(text)
+            log = 0.0
+            for end in range(1, len(text) + 1):
+                a[end] = a[end - 1] * langid.UNKNOWN + sum(a[end - k] * p[at[text[end - k : end]], lang] for k in range(1, min(4, end) + 1) if text[end - k : end] in at)
+                if a[end] < 1e-200:
+                    log += math.log(1e-200)
+                    a = [x / 1e-200 for x in a]
+            want.append(math.log(a[-1]) + log)
+        assert np.allclose(langid.log_chances([word], table_, p)[0], want, rtol=1e-9)
+    assert np.isfinite(langid.log_chances(["q" * 300_000], table_, p)).all()
+
+
+def test_counts_of_long_words_equal_those_of_short_ones():
+    table_ = langid.Pieces(made_pieces())
+    p = np.random.default_rng(4).random((len(table_.names), 2)) / 9
+    word = "abcdeabxcde"
+    at = {x: k for k, x in enumerate(table_.names)}
+    text, want, total = langid.SPACE + word, np.zeros_like(p), np.zeros(2)
+
+    def walk(end, weight, used):
+        if end == len(text):
+            total[:] += weight
+            for k in used:
+                want[k] += weight
+            return
+        walk(end + 1, weight * langid.UNKNOWN, used)
+        for n in range(1, 5):
+            if text[end : end + n] in at and end + n <= len(text):
+                walk(end + n, weight * p[at[text[end : end + n]]], [*used, at[text[end : end + n]]])
+
+    walk(0, np.ones(2), [])
+    assert np.allclose(langid.long_counts(word, table_, p, np.array([1.0, 2.0])), want / total * [1.0, 2.0])
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "pieces_of", lambda _: made_pieces())
+    rnd = random.Random(12)
+    rows = []
+    for k in range(80):
+        lang = "xy"[k % 2]
+        text = " ".join("".join(rnd.choice("abcab" if lang == "x" else "cdeab") for _ in range(rnd.choice([2, 5, 40]))) for _ in range(6))
+        rows.append((k, text.upper() if k % 5 == 0 else text.replace(" ", "\u00a0", 1), lang if k < 60 else None, "s", 1))
+    rows += [(None, "abc", "x", "s", 1), (1, rows[1][1], "y", "s", 1), (900, None, "x", "s", 1), (901, "", None, "s", 1), (902, "123", "x", "s", 1), (903, "\u00e9" * 100, "x", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1))
+    table_, p, langs = langid.train(docs, "doc_id", "text", "lang", sample=10**6)
+    at = {x: k for k, x in enumerate(table_.names)}
+    got = langid.predict_languages(docs, sample=10**6).collect()
+    assert len(got) == len(rows) and langs == ["x", "y"]
+    by = {(d, t): None for d, t, *_ in rows}
+    for d, t in by:
+        total = np.zeros(2)
+        for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()):
+            text, a = langid.SPACE + w, [np.ones(2)]
+            for end in range(1, len(text) + 1):
+                a.append(a[end - 1] * langid.UNKNOWN + sum((a[end - k] * p[at[text[end - k : end]]] for k in range(1, min(4, end) + 1) if text[end - k : end] in at), np.zeros(2)))
+            total += np.log(a[-1]) if len(text) < 60 else langid.log_chances([w], table_, p)[0]
+        letters = any(c.isalpha() for c in t or "")
+        best = max(range(2), key=lambda k: (total[k], -k))
+        by[d, t] = (langs[best] if letters else "und", 1 / np.exp(total - total.max()).sum() if letters else 0.0)
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, []).append((r.lang_pred, round(r.score, 9)))
+    for (d, t), (lang, score) in by.items():
+        assert (lang, round(score, 9)) in seen[d], (d, t)
+    assert langid.predict_languages(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="labels"):
+        monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+        langid.predict_languages(docs)
+
+
 def test_languages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, "en", "s", 1), (10**6 + 1, " 12 !", None, "s", 1), (10**6 + 2, "x" * 50_000, None, "s", 1), (None, "the and of", None, "s", 1)], DOCS)
