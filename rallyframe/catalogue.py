@@ -178,7 +178,7 @@ def sync_offset(spark, sf_dir):
     return tau_of(spark, sf_dir).select("tau", F.round("peak", 4).alias("peak"), G.interpretation(A, B, F.col("tau")).alias("interpretation"))
 
 
-@query("SELECT round(max(corr) / (avg(abs(corr)) + 1e-9), 4) AS snr, max(corr) / (avg(abs(corr)) + 1e-9) < 3.0 AS weak FROM (SELECT l.lag, sum(a.z * b.z) AS corr FROM (SELECT unnest(generate_series(-400, 400)) AS lag) l, zs a, zs b WHERE a.camera_name = 'cam66' AND b.camera_name = 'cam68' AND b.frame_id = a.frame_id - l.lag GROUP BY l.lag)")
+@query("SELECT round(max(corr) / (avg(abs(corr)) + 1e-9), 4) AS snr, max(corr) / (avg(abs(corr)) + 1e-9) < 3.0 AS weak FROM (SELECT a.frame_id - b.frame_id AS lag, sum(a.z * b.z) AS corr FROM zs a, zs b WHERE a.camera_name = 'cam66' AND b.camera_name = 'cam68' GROUP BY 1)")
 def signal_to_noise(spark, sf_dir):
     return Y.signal_to_noise(Y.full_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B)).withColumn("snr", F.round("snr", 4))
 

@@ -1,8 +1,8 @@
 """Ordered rules that flag implausible ball detections, and gap filling.
 
 Each rule sees the detections that survived the rules before it; the first rule that hits a row names it.
-Survivors and the rest lie in different window partitions of the same hash partitioning, so a chain of
-rules shuffles once. Only the fixpoint and the path fold leave the JVM, per camera.
+Survivors and the rest lie in different window partitions of the same hash partitioning. Only the fixpoint leaves the JVM,
+in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine, distance, rounded, speed, thresholds
 from ..settings import DEFAULTS, KEYS, Settings
-from .windows import along, backwards, islands, so_far
+from .windows import along, backwards, in_pieces, islands, so_far, spaced
 
 FLAGS = ("clean_u", "clean_v", "is_outlier", "outlier_rule")
 
@@ -83,20 +83,17 @@ def kinematic_pass(df: DataFrame, cameras: DataFrame | None = None, keys: Sequen
     return flag(df, F.col("_rule").isNotNull(), F.col("_rule")).drop("_alive", "_p", "_q", "_rule", "_alpha", "_beta", "_y_near", "_y_far")
 
 
-def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
-    """Passes until none flags a row, at most s.passes; per camera, each pass vectorised.
+def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS, size: int = 8192, halo: int = 256) -> DataFrame:
+    """Passes until none flags a row, at most s.passes, over pieces of the survivors, each pass vectorised.
 
-    A pass reads the survivors of the one before, so rows of one camera meet in one task, as they do
-    in a window. All columns of df go through Python: hand it the narrow table that clean() makes.
+    A pass looks at the survivors beside a row, so what is unknown beyond a piece reaches one survivor further in each pass: a
+    piece is sure of its own rows if more survivors than passes are left in the halo.
     """
     import numpy as np
 
-    def settle(pdf):
-        pdf = pdf.sort_values("frame_id", kind="stable").reset_index(drop=True)
-        live = np.flatnonzero((pdf["detected"].to_numpy(float) == 1) & ~pdf["is_outlier"].to_numpy(bool))
-        u, v, f = (pdf[c].to_numpy(float) for c in ("ball_u", "ball_v", "frame_id"))
-        rule = pdf["outlier_rule"].to_numpy(object).copy()
-        a, b = pdf["_alpha"].to_numpy(float), pdf["_beta"].to_numpy(float)
+    def settle(pdf, inside, first, last):
+        u, v, f, a, b = (pdf[c].to_numpy(float) for c in ("ball_u", "ball_v", "frame_id", "_alpha", "_beta"))
+        live, rule = np.arange(len(pdf)), np.full(len(pdf), "", object)
         top = np.maximum(s.floor_px, a * v + b)
         snap, iso = np.where(np.isnan(a + b), s.flat_snap, top * s.snap_mult), np.where(np.isnan(a + b), s.flat_iso, top * s.iso_mult)
         for _ in range(s.passes):
@@ -118,27 +115,15 @@ def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Se
                 break
             rule[live[hit != ""]] = hit[hit != ""]
             live = live[hit == ""]
-        return marked(pdf, rule)
+        own = np.flatnonzero(inside)
+        low, high = (own[0], own[-1]) if len(own) else (0, 0)
+        sure = (first or (live < low).sum() > s.passes) and (last or (live > high).sum() > s.passes)
+        return pdf.assign(_rule=rule)[inside & (rule != "")][[*keys, "frame_id", "_rule"]], sure
 
-    return through(with_calibration(df, cameras), df, keys, settle)
-
-
-def marked(pdf, rule):
-    """pdf with the flags that follow from each row's rule."""
-    out = rule != ""
-    pdf["outlier_rule"], pdf["is_outlier"] = rule, out
-    pdf.loc[out, ["clean_u", "clean_v"]] = None
-    return pdf
-
-
-def through(wide: DataFrame, like: DataFrame, keys: Sequence[str], step) -> DataFrame:
-    """step on each camera's rows; returns the columns of `like`, dealt out by camera again for the windows to come.
-
-    Windows over survivors also partition by a flag that each rule changes; rows dealt by camera alone
-    serve all of them, so the rules that follow add sorts but no exchange.
-    """
-    names = like.columns
-    return wide.groupBy(*keys).applyInPandas(lambda pdf: step(pdf)[names], like.schema).repartition(*keys)
+    live = with_calibration(df.filter(alive()).select(*keys, "frame_id", "ball_u", "ball_v"), cameras).withColumn("_pos", F.row_number().over(along(keys)) - 1)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    found = in_pieces(live, keys, "_pos", settle, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_id {kinds['frame_id']}", "_rule string"]), size, halo)
+    return flag(df.join(found, [*keys, "frame_id"], "left"), F.col("_rule").isNotNull(), F.col("_rule")).drop("_rule")
 
 
 def static_cluster(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
@@ -188,33 +173,24 @@ def half_court(df: DataFrame, cameras: DataFrame | None, keys: Sequence[str] = K
 def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
     """Where survivors jump between two heights, the cluster of lower mean confidence in a short look-ahead.
 
-    A decision covers s.path_window survivors, and the next is looked for after them, so which jumps
-    decide is a fold; it runs per camera.
+    A decision covers s.path_window survivors, and the next is looked for after them: of the jumps those count that are
+    spaced by so many survivors.
     """
-    import numpy as np
-
-    def choose(pdf):
-        pdf = pdf.sort_values("frame_id", kind="stable").reset_index(drop=True)
-        live = np.flatnonzero((pdf["detected"].to_numpy(float) == 1) & ~pdf["is_outlier"].to_numpy(bool))
-        v, conf = pdf["ball_v"].to_numpy(float)[live], pdf["ball_conf"].to_numpy(float)[live]
-        lose = np.zeros(len(live), bool)
-        jumps = np.flatnonzero(np.abs(np.diff(v)) >= s.path_px) if len(live) >= 4 else []
-        free = 0
-        for i in jumps:
-            if i < free:
-                continue
-            part = slice(i, min(i + s.path_window, len(v)))
-            first = np.abs(v[part] - v[i]) <= np.abs(v[part] - v[i + 1])
-            if first.all() or not first.any():
-                continue
-            a, b = np.nanmean(conf[part][first]), np.nanmean(conf[part][~first])
-            lose[part] |= ~first if a >= b else first
-            free = i + s.path_window
-        rule = pdf["outlier_rule"].to_numpy(object).copy()
-        rule[live[lose]] = "low_conf_path"
-        return marked(pdf, rule)
-
-    return through(df, df, keys, choose)
+    w = along(keys)
+    v = F.col("ball_v")
+    live = df.filter(alive()).select(*keys, "frame_id", "ball_v", "ball_conf")
+    live = live.withColumns({"_pos": F.row_number().over(w), "_next": F.lead("ball_v").over(w), "_n": F.count("*").over(Window.partitionBy(*keys))})
+    jumps = live.filter((F.col("_n") >= 4) & (F.abs(v - F.col("_next")) >= s.path_px)).select(*keys, "_pos", F.col("ball_v").alias("_a"), F.col("_next").alias("_b"))
+    jumps = spaced(jumps, keys, "_pos", s.path_window).withColumn("_jump", F.col("_pos"))
+    at = F.when(F.col("_jump").isNotNull(), F.struct("_jump", "_a", "_b"))
+    judged = live.join(jumps, [*keys, "_pos"], "left").withColumn("_at", at)
+    after = F.last("_at", ignorenulls=True).over(along(keys, "_pos").rowsBetween(1 - s.path_window, 0))
+    judged = judged.withColumn("_at", after).filter("_at is not null").select(*keys, "frame_id", "ball_conf", F.col("_at._jump").alias("_jump"), (F.abs(v - F.col("_at._a")) <= F.abs(v - F.col("_at._b"))).alias("_first"))
+    window = Window.partitionBy(*keys, "_jump")
+    mean = lambda which: F.avg(F.when(which, F.col("ball_conf"))).over(window)
+    judged = judged.withColumn("_wins", mean(F.col("_first")) >= mean(~F.col("_first")))
+    lost = judged.filter(F.col("_wins") != F.col("_first")).select(*keys, "frame_id", F.lit(True).alias("_lost"))
+    return flag(df.join(lost, [*keys, "frame_id"], "left"), F.col("_lost"), "low_conf_path").drop("_lost")
 
 
 def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:

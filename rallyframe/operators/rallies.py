@@ -78,10 +78,15 @@ def rallies(df: DataFrame, hits: DataFrame, keys: Sequence[str] = KEYS, s: Setti
     gap, pre, post = int(s.rally_gap_s * s.fps), int(s.before_s * s.fps), int(s.after_s * s.fps)
     groups = islands(hits, F.coalesce(F.col("frame_id") - F.lag("frame_id").over(w) > gap, F.lit(True)), "rally_id", w)
     groups = groups.groupBy(*keys, "rally_id").agg((F.min("frame_id") - pre).alias("_a"), (F.max("frame_id") + post).alias("_b"))
-    # Frames of a camera may have holes: the first and last that exist inside the widened group.
-    frames = df.select(*keys, "frame_id")
-    inside = frames.join(F.broadcast(groups), list(keys)).filter("frame_id between _a and _b")
-    out = inside.groupBy(*keys, "rally_id").agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"))
+    # Frames of a camera may have holes: the next that exists after a group's start, and the last before its end, are carried along.
+    frames = df.select(*keys, "frame_id", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("rally_id"))
+    marks = groups.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("frame_id"), F.lit(1).alias("_k")), F.struct(F.col("_b").alias("frame_id"), F.lit(2).alias("_k")))).alias("_m"), F.col("rally_id").cast("long").alias("rally_id"))
+    both = frames.unionByName(marks.select(*keys, "_m.frame_id", "_m._k", "rally_id"))
+    frame = F.when(F.col("_k") == 0, F.col("frame_id"))
+    upto = so_far(Window.partitionBy(*keys).orderBy("frame_id", "_k"))
+    since = so_far(Window.partitionBy(*keys).orderBy(F.col("frame_id").desc(), "_k"))
+    both = both.withColumns({"_end": F.last(frame, ignorenulls=True).over(upto), "_start": F.last(frame, ignorenulls=True).over(since)})
+    out = both.filter("_k > 0").groupBy(*keys, "rally_id").agg(F.max(F.when(F.col("_k") == 1, F.col("_start"))).alias("start_frame"), F.max(F.when(F.col("_k") == 2, F.col("_end"))).alias("end_frame")).filter("start_frame <= end_frame")
     r = along(keys, "rally_id")
     out = out.withColumns({"_next": F.lead("start_frame").over(r), "_last": F.lag("end_frame").over(r)})
     end = F.when(F.col("end_frame") >= F.col("_next"), F.floor((F.col("end_frame") + F.col("_next")) / 2)).otherwise(F.col("end_frame"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, interpretation
 from ..settings import DEFAULTS, Settings
-from .windows import along
+from .windows import along, in_pieces
 
 
 def length_of(df: DataFrame) -> DataFrame:
@@ -33,51 +33,78 @@ def accel_signal(df: DataFrame, n_frames: DataFrame | None = None) -> DataFrame:
 
 def z_score(signal: DataFrame) -> DataFrame:
     """With z: less the mean, over the population deviation unless that is next to nothing."""
-    w = Window.partitionBy("camera_name")
-    mean, sd = F.avg("accel").over(w), F.stddev_pop("accel").over(w)
-    return signal.withColumns({"_m": mean, "_s": sd}).withColumn("z", F.when(F.col("_s") < 1e-9, F.col("accel") - F.col("_m")).otherwise((F.col("accel") - F.col("_m")) / F.when(F.col("_s") >= 1e-9, F.col("_s")))).drop("_m", "_s")
+    stats = signal.groupBy("camera_name").agg(F.avg("accel").alias("_m"), F.stddev_pop("accel").alias("_s"))
+    own = signal.join(F.broadcast(stats), "camera_name")  # a row a camera
+    return own.withColumn("z", F.when(F.col("_s") < 1e-9, F.col("accel") - F.col("_m")).otherwise((F.col("accel") - F.col("_m")) / F.when(F.col("_s") >= 1e-9, F.col("_s")))).drop("_m", "_s")
 
 
-def lag_correlation(signal: DataFrame, a: str, b: str, max_lag: int | None = DEFAULTS.max_lag) -> DataFrame:
-    """(lag, corr): sum over frames of a at f times b at f - lag. All lags if max_lag is None.
+def lag_correlation(signal: DataFrame, a: str, b: str, max_lag: int = DEFAULTS.max_lag, block: int = 1024) -> DataFrame:
+    """(lag, corr): sum over frames of a at f times b at f - lag, for lags up to max_lag both ways.
 
-    Each frame of a meets the bounded number of lags, then one frame of b by equality.
+    Blocks of a's frames meet the frames of b within reach, which are at most two blocks' rows; each block gives a row a lag.
     """
-    z = z_score(signal)
-    left = z.filter(F.col("camera_name") == a).select(F.col("frame_id").alias("fa"), F.col("z").alias("za"))
-    right = z.filter(F.col("camera_name") == b).select(F.col("frame_id").alias("fb"), F.col("z").alias("zb"))
-    if max_lag is None:
-        n = (signal.agg(F.max("frame_id")).first()[0] or 0)
-        max_lag = int(n)
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
-    pairs = left.select("fa", "za", lags.alias("lag")).withColumn("fb", F.col("fa") - F.col("lag")).join(right, "fb")
-    return pairs.groupBy("lag").agg(F.sum(F.col("za") * F.col("zb")).alias("corr"))
-
-
-def full_correlation(signal: DataFrame, a: str, b: str) -> DataFrame:
-    """(lag, corr) over all lags at which a frame of a meets one of b, by Fourier transform of the two cameras' frames."""
     import numpy as np
     import pandas as pd
 
+    block = max(block, 2 * max_lag)
+
     def correlate(pdf):
-        x, y = (pdf[pdf["camera_name"] == c] for c in (a, b))
-        if x.empty or y.empty:
-            return pd.DataFrame({"lag": np.array([], np.int64), "corr": np.array([], float)})
-        low_x, low_y = int(x["frame_id"].min()), int(y["frame_id"].min())
-        i, j = x["frame_id"].to_numpy() - low_x, y["frame_id"].to_numpy() - low_y
-        n = int(i.max() + j.max()) + 1
-        size = 1 << (n - 1).bit_length()
+        first = int(pdf["_block"].iloc[0]) * block
+        rows = {}
+        for name, camera, low, size in (("a", a, first, block), ("b", b, first - max_lag, block + 2 * max_lag)):
+            own = pdf[pdf["camera_name"] == camera]
+            rows[name], rows[f"{name}_known"] = np.zeros(size), np.zeros(size)
+            at = own["frame_id"].to_numpy() - low
+            rows[name][at], rows[f"{name}_known"][at] = own["z"].to_numpy(float), 1.0
+        # Of b, frame f - lag stands at f - first - lag + max_lag.
+        lags = np.arange(-max_lag, max_lag + 1)
+        sums, met = (np.correlate(rows[f"b{k}"], rows[f"a{k}"], "valid")[::-1] for k in ("", "_known"))
+        return pd.DataFrame({"lag": lags[met > 0], "corr": sums[met > 0]})
+
+    z = z_score(signal).filter(F.col("camera_name").isin(a, b)).select("camera_name", "frame_id", "z")
+    f = F.col("frame_id")
+    own = F.array(F.floor(f / block))
+    reach = F.sequence(F.floor((f - max_lag) / block), F.floor((f + max_lag) / block))
+    dealt = z.withColumn("_block", F.explode(F.when(F.col("camera_name") == a, own).otherwise(reach)))
+    return dealt.groupBy("_block").applyInPandas(correlate, "lag int, corr double").groupBy("lag").agg(F.sum("corr").alias("corr"))
+
+
+def full_correlation(signal: DataFrame, a: str, b: str, block: int = 1 << 16) -> DataFrame:
+    """(lag, corr) over all lags at which a frame of a meets one of b.
+
+    Blocks of frames become arrays; each block of a meets each of b in a Fourier transform of its own, so a task holds two
+    blocks however long the signals are. The work grows with the square of the number of blocks.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def product(u, v):
+        size = 1 << (len(u) + len(v) - 2).bit_length()
+        return np.roll(np.fft.irfft(np.fft.rfft(u, size) * np.conj(np.fft.rfft(v, size)), size), len(v) - 1)[: len(u) + len(v) - 1]
+
+    def correlate(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                sides = []
+                for frames, z in ((r.fa, r.za), (r.fb, r.zb)):
+                    low = int(min(frames))
+                    at = np.asarray(frames) - low
+                    sides.append((low, np.bincount(at, np.asarray(z, float)), np.bincount(at).astype(float)))
+                (low_a, za, na), (low_b, zb, nb) = sides
+                met = np.rint(product(na, nb)) > 0
+                lags = np.arange(len(za) + len(zb) - 1) - (len(zb) - 1) + low_a - low_b
+                yield pd.DataFrame({"lag": lags[met], "corr": product(za, zb)[met]})
 
-        def product(u, v):
-            left, right = np.bincount(i, u, size), np.bincount(j, v, size)
-            return np.roll(np.fft.irfft(np.fft.rfft(left) * np.conj(np.fft.rfft(right)), size), int(j.max()))[:n]
+    z = z_score(signal).withColumn("_block", F.floor(F.col("frame_id") / block))
 
-        met = np.rint(product(np.ones(len(i)), np.ones(len(j)))) > 0
-        lags = np.arange(n) - int(j.max()) + low_x - low_y
-        return pd.DataFrame({"lag": lags[met], "corr": product(x["z"].to_numpy(float), y["z"].to_numpy(float))[met]})
+    def blocks(camera: str, x: str) -> DataFrame:
+        own = z.filter(F.col("camera_name") == camera)
+        return own.groupBy(F.col("_block").alias(f"b{x}")).agg(F.collect_list("frame_id").alias(f"f{x}"), F.collect_list("z").alias(f"z{x}"))
 
-    both = z_score(signal).filter(F.col("camera_name").isin(a, b)).select("camera_name", "frame_id", "z")
-    return both.groupBy().applyInPandas(correlate, "lag long, corr double")
+    left, right = blocks(a, "a"), blocks(b, "b")
+    others = right.agg(F.collect_list("bb").alias("all"))  # numbers of blocks, not their frames
+    pairs = left.crossJoin(F.broadcast(others)).select("ba", "fa", "za", F.explode("all").alias("bb")).join(right, "bb").select("fa", "za", "fb", "zb")
+    return pairs.repartition(F.col("fa")[0], F.col("fb")[0]).mapInPandas(correlate, "lag long, corr double").groupBy("lag").agg(F.sum("corr").alias("corr"))
 
 
 def best_lag(corr: DataFrame, max_lag: int = DEFAULTS.max_lag) -> DataFrame:
@@ -104,46 +131,63 @@ def shifted(signal: DataFrame, tau: DataFrame, b: str) -> DataFrame:
     return signal.select("camera_name", "frame_id").join(moved, ["camera_name", "frame_id"], "left").fillna(0.0, ["accel"])
 
 
-def peaks(signal: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def peaks(signal: DataFrame, s: Settings = DEFAULTS, size: int = 8192, halo: int = 512) -> DataFrame:
     """(camera_name, frame_id, accel) of impacts: local maxima, high and prominent enough, the higher first where two are near.
 
-    Which of near ones stay depends on those already taken, so it runs per camera, on maxima.
+    Which of near ones stay depends on those already taken, so it runs on pieces of a camera's frames. A piece is sure if
+    on both sides of its frames there is a stretch without maxima in the halo, and each maximum has fallen far enough, or met a
+    higher one, before the halo ends.
     """
     import numpy as np
 
-    def pick(pdf):
-        pdf = pdf.sort_values("frame_id").reset_index(drop=True)
+    def tops_of(x):
+        """Middles of plateaus that are higher than what is beside them."""
+        start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        end = np.concatenate((start[1:], [len(x)])) - 1
+        level = x[start]
+        top = np.zeros(len(start), bool)
+        top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+        return (start[top] + end[top]) // 2
+
+    def low(x, t, step):
+        """(lowest value between t and the next higher one, whether the end was met) in one direction."""
+        found, k = x[t], t + step
+        while 0 <= k < len(x):
+            if x[k] > x[t]:
+                return found, False
+            found = min(found, x[k])
+            if x[t] - found >= s.peak_prominence:
+                return found, False
+            k += step
+        return found, True
+
+    def pick(pdf, inside, first, last):
         x = pdf["accel"].to_numpy(float)
-        tops, i = [], 1
-        while i < len(x) - 1:  # a plateau counts once, at its middle
-            if x[i] > x[i - 1]:
-                j = i
-                while j < len(x) - 1 and x[j + 1] == x[i]:
-                    j += 1
-                if j < len(x) - 1 and x[j + 1] < x[i]:
-                    tops.append((i + j) // 2)
-                i = j + 1
-            else:
-                i += 1
-        tops = np.array([t for t in tops if x[t] >= s.peak_height], int)
+        tops = tops_of(x)
+        tops = tops[x[tops] >= s.peak_height]
         keep = np.ones(len(tops), bool)
         for k in np.argsort(x[tops], kind="stable")[::-1]:
             if keep[k]:
-                near = np.abs(tops - tops[k]) < s.peak_distance
+                near = (tops >= tops[k] - s.peak_distance + 1) & (tops < tops[k] + s.peak_distance)
                 near[k] = False
                 keep[near] = False
+        own = np.flatnonzero(inside)
+        a, b = (own[0], own[-1]) if len(own) else (0, 0)
+        # Gaps without a maximum that reach into the halo: beyond them nothing bears on the piece.
+        marks = np.concatenate(([0], tops, [len(x) - 1]))
+        gaps = marks[:-1][np.diff(marks) >= s.peak_distance], marks[1:][np.diff(marks) >= s.peak_distance]
+        sure = (first or (gaps[1] <= a).any() or not (tops <= a).any()) and (last or (gaps[0] >= b).any() or not (tops >= b).any())
         out = []
         for t in tops[keep]:
-            left, right = x[:t], x[t + 1 :]
-            higher = np.flatnonzero(left > x[t])
-            low_left = left[higher[-1] + 1 if len(higher) else 0 :].min(initial=x[t])
-            higher = np.flatnonzero(right > x[t])
-            low_right = right[: higher[0] if len(higher) else len(right)].min(initial=x[t])
-            if x[t] - max(low_left, low_right) >= s.peak_prominence:
+            if not inside[t]:
+                continue
+            (left, left_end), (right, right_end) = low(x, t, -1), low(x, t, 1)
+            sure &= (first or not left_end) and (last or not right_end)
+            if x[t] - max(left, right) >= s.peak_prominence:
                 out.append(t)
-        return pdf.loc[out, ["camera_name", "frame_id", "accel"]]
+        return pdf.loc[out, ["camera_name", "frame_id", "accel"]], bool(sure)
 
-    return signal.groupBy("camera_name").applyInPandas(pick, "camera_name string, frame_id long, accel double")
+    return in_pieces(signal.select("camera_name", "frame_id", "accel"), ["camera_name"], "frame_id", pick, "camera_name string, frame_id long, accel double", size, halo)
 
 
 def sync_report(tau: DataFrame, found: DataFrame, a: str, b: str) -> DataFrame:

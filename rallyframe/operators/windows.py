@@ -1,12 +1,13 @@
-"""Windows along a camera's frames, and the one fold that windows can't express."""
+"""Windows along a camera's frames, folds over short runs, and steps over pieces of a camera."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from ..settings import KEYS
 
 
@@ -35,17 +36,46 @@ def islands(df: DataFrame, starts: Column, name: str, w: WindowSpec) -> DataFram
 def spaced(df: DataFrame, keys: Sequence[str], order: str, gap: int) -> DataFrame:
     """Rows accepted from left to right, each at least `gap` after the last that was accepted.
 
-    What is accepted depends on what was: a fold, run per key over the candidates' own few columns.
+    What is accepted depends on what was, but a row that is `gap` after the one before it always is. So rows fall into
+    short runs, and the fold goes over each run alone.
     """
+    w = along(keys, order)
+    others = [c for c in df.columns if c not in keys and c != order]
+    runs = islands(df, F.coalesce(F.col(order) - F.lag(order).over(w) >= gap, F.lit(True)), "_run", w)
+    runs = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("_all"))
+    kind = runs.schema["_all"].dataType
 
-    def accept(pdf):
-        pdf = pdf.sort_values(order)
-        keep, last = [], None
-        for x in pdf[order]:
-            good = last is None or x - last >= gap
-            keep.append(good)
-            if good:
-                last = x
-        return pdf[keep]
-
-    return df.groupBy(*keys).applyInPandas(accept, df.schema)
+    def accept(kept: Column, row: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))[order]
+        return F.when(last.isNull() | (row[order] - last >= gap), F.concat(kept, F.array(row))).otherwise(kept)
+
+    kept = runs.select(*keys, F.explode(F.aggregate("_all", F.array().cast(kind), accept)).alias("_r"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def in_pieces(df: DataFrame, keys: Sequence[str], place: str, step: Callable, schema: str, size: int = 8192, halo: int = 512) -> DataFrame:
+    """step on pieces of `size` places of each key, with `halo` places more on either side, so no task holds a whole camera.
+
+    step(pdf, inside, first, last) gets a piece in order of `place`, which of its rows are the piece's own, and whether the
+    key's first and last rows are in it. It returns rows of `schema`, and whether the halo was wide enough to be sure of
+    them. If it wasn't anywhere, all is done again with a halo eight times as wide; one as wide as a camera always is enough.
+    """
+    ends = df.groupBy(*keys).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    at = F.floor(F.col(place) / size)
+    while True:
+        pieces = F.sequence(F.floor((F.col(place) - halo) / size), F.floor((F.col(place) + halo) / size))
+        spread = df.join(ends, list(keys)).withColumn("_piece", F.explode(F.filter(pieces, lambda p: p.between(F.floor(F.col("_first") / size), F.floor(F.col("_last") / size)))))
+        spread = spread.withColumn("_own", at == F.col("_piece"))
+
+        def run(pdf):
+            pdf = pdf.sort_values(place, kind="stable").reset_index(drop=True)
+            first, last = pdf[place].iloc[0] == pdf["_first"].iloc[0], pdf[place].iloc[-1] == pdf["_last"].iloc[0]
+            out, sure = step(pdf, pdf["_own"].to_numpy(bool), bool(first), bool(last))
+            if sure or not pdf["_own"].any():
+                return out.assign(_sure=True)
+            return out.head(0).reindex(range(1)).assign(_sure=False)
+
+        out = stored(spread.groupBy(*keys, "_piece").applyInPandas(run, f"{schema}, _sure boolean"), "pieces")
+        if not out.filter("not _sure").limit(1).count():
+            return out.drop("_sure")
+        halo *= 8
