@@ -8,9 +8,10 @@ matter, about two for each such width. Two texts that share a passage have windo
 Links are found in two steps. First, windows of a min-hash are joined with those of one text, the centre; where, for a
 pair of texts, windows of enough hash functions overlap along one diagonal, the passages between are verified on the
 texts: at least `words` words, and shingle sets as similar as asked. Then what this left apart is compared with
-each other: windows of two functions that overlap make a sharper key, and of each such key the places that lie in no
-verified passage, or in texts of other components, meet all places of the key in blocks of bounded size. So a link is lost
-only where fewer than two functions agree on it: 2.7 % for a shortest passage at a similarity of exactly 0.8.
+each other: windows of two functions that overlap make a sharper key. Of each such key, the places in texts of other
+components than the key's home meet all places of the key in blocks of bounded size; places of one component that lie in no
+verified passage, with room for one, meet one of them. So a link between components is lost only where fewer than two functions
+agree on it: 2.7 % for a shortest passage at a similarity of exactly 0.8.
 
 At scale: equal texts are one text, and no copies become pairs. A window is 28 bytes, and texts give about
 `2 * FUNCTIONS / words` windows a word. Windows are shuffled, texts only those of candidates. A min-hash shared by a third of
@@ -221,9 +222,17 @@ def dense(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + 1) for x in np.split(at, cut)]
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y))
-    return 100 * both >= percent * (len(np.unique(x)) + len(np.unique(y)) - both)
+def marks(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n codes stand in x."""
+    out = np.zeros(n, np.bool_)
+    out[x] = True
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int, n: int) -> bool:
+    """x and y as codes below n."""
+    in_x, in_y = marks(x, n), marks(y, n)
+    return 100 * np.count_nonzero(in_x & in_y) >= percent * np.count_nonzero(in_x | in_y)
 
 
 def token_pairs(s: np.ndarray, r: np.ndarray) -> list[tuple[int, int]]:
@@ -256,19 +265,38 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def in_order(s: np.ndarray, r: np.ndarray, least: int, percent: int) -> tuple[int, int, int, int] | None:
+def once(s: np.ndarray, r: np.ndarray, n: int) -> np.ndarray | None:
+    """Places of equal tokens, if no token of s or r stands there twice and they come in one order; else None."""
+    if np.bincount(s).max() > 1 or np.bincount(r).max() > 1:
+        return None
+    where = np.full(n, -1, np.int64)
+    where[r] = np.arange(len(r))
+    j = where[s]
+    i = np.flatnonzero(j >= 0)
+    return np.stack((i, j[i]), axis=1) if (np.diff(j[i]) > 0).all() else None
+
+
+def in_order(s: np.ndarray, r: np.ndarray, least: int, percent: int, n: int) -> tuple[int, int, int, int] | None:
     """The longest similar stretch along a chain of equal tokens; a chain that has none gives way to the next."""
-    pairs = token_pairs(s, r)
-    while len(chain := longest_chain(pairs)) * 100 >= percent * least:
-        at = np.array(chain)
+
+    def longest(at: np.ndarray) -> tuple[int, int, int, int] | None:
         # Tokens between two pairs are similar where (100 + percent) times the pairs reach percent times both lengths.
         level = (100 + percent) * np.arange(len(at)) - percent * at.sum(axis=1)
         first = np.searchsorted(-np.minimum.accumulate(level), -(level + 100 - percent))
         size = (at - at[first]).min(axis=1) + 1
         k = int(size.argmax())
-        (a, x), (b, y) = chain[first[k]], chain[k]
-        if size[k] >= least and similar(s[a : b + 1], r[x : y + 1], percent):
+        (a, x), (b, y) = at[first[k]].tolist(), at[k].tolist()
+        if size[k] >= least and similar(s[a : b + 1], r[x : y + 1], percent, n):
             return a, b + 1, x, y + 1
+        return None
+
+    at = once(s, r, n)
+    if at is not None:
+        return longest(at) if len(at) * 100 >= percent * least else None
+    pairs = token_pairs(s, r)
+    while len(chain := longest_chain(pairs)) * 100 >= percent * least:
+        if found := longest(np.array(chain)):
+            return found
         used = set(chain)
         pairs = [p for p in pairs if p not in used]
     return None
@@ -280,27 +308,29 @@ def verified(s: np.ndarray, r: np.ndarray, least: int, percent: int, gap: int) -
     A run of s that isn't similar to any run of r is trimmed to what it has in common with each of them; where
     nothing is left to trim, the longest stretch in one order is taken, and the rest is looked at again.
     """
+    known, codes = np.unique(np.concatenate((s, r)), return_inverse=True)
+    s, r, n = codes[: len(s)], codes[len(s) :], len(known)
     out, met = [], set()
-    todo = [(a, b, 0, len(r)) for a, b in dense(np.isin(s, r), gap)]
+    todo = [(a, b, 0, len(r)) for a, b in dense(marks(r, n)[s], gap)]
     while todo:
         state = a, b, x, y = todo.pop()
         if min(b - a, y - x) < least or state in met:
             continue
         met.add(state)
         own = s[a:b]
-        runs = [(x + u, x + v) for u, v in dense(np.isin(r[x:y], own), gap) if v - u >= least]
-        if same := next((run for run in sorted(runs, key=lambda z: z[0] - z[1]) if similar(own, r[slice(*run)], percent)), None):
+        runs = [(x + u, x + v) for u, v in dense(marks(own, n)[r[x:y]], gap) if v - u >= least]
+        if same := next((run for run in sorted(runs, key=lambda z: z[0] - z[1]) if similar(own, r[slice(*run)], percent, n)), None):
             out.append((a, b, *same))
             continue
-        smaller = [(a + p, a + q, u, v) for u, v in runs for p, q in dense(np.isin(own, r[u:v]), gap)]
+        smaller = [(a + p, a + q, u, v) for u, v in runs for p, q in dense(marks(r[u:v], n)[own], gap)]
         if smaller != [state]:
             todo += smaller
-        elif part := in_order(own, r[x:y], least, percent):
+        elif part := in_order(own, r[x:y], least, percent, n):
             p, q, u, v = part
             out.append((a + p, a + q, x + u, x + v))
             todo += [(a, a + p, x, y), (a + q, b, x, y)]
         else:
-            at = np.flatnonzero(np.isin(own, r[x:y]))
+            at = np.flatnonzero(marks(r[x:y], n)[own])
             k = int(np.diff(at).argmax()) if len(at) > 1 else 0
             if len(at) > 1 and at[k + 1] - at[k] > 1:
                 todo += [(a + int(at[0]), a + int(at[k]) + 1, x, y), (a + int(at[k + 1]), a + int(at[-1]) + 1, x, y)]
@@ -468,60 +498,60 @@ def stretches(xs: list[np.ndarray], ys: list[np.ndarray], least: int, percent: i
     return out[0], out[1]
 
 
-def apart(xs: list[tuple], ys: list[tuple], least: int, width: int, percent: int):
-    """Passages between places of xs and of ys: (node, part, open, place, low, tokens) each.
+def apart(xs: list[dict], ys: list[dict], least: int, width: int, percent: int):
+    """Passages between places of xs and of ys, each with node, part, open, at, low and tokens.
 
-    Only such as join components that nothing before joined, or as verify an open place for the first time.
+    Only such as join components that nothing before joined, or as verify an open place for the first time. Texts of different
+    components are compared where x is away from the key's home; other open places meet the second centre.
     """
     joined: dict = {}
-    still: dict = {r[0]: {} for side in (xs, ys) for r in side}
-    for side in (xs, ys):
-        for r in side:
-            still[r[0]][r[3]] = r[2]
+    still = {(r["node"], r["at"]): r["open"] for side in (xs, ys) for r in side}
 
     def root(p):
         while joined.get(p, p) != p:
             p = joined[p]
         return p
 
-    for first, second in ((a, b) for a in range(0, len(xs), 256) for b in range(0, len(ys), 256)):
-        some, part = xs[first : first + 256], ys[second : second + 256]
-        in_x, much_x = stretches([r[5] for r in some], [r[5] for r in part], least, percent)
+    def compare(xs: list[dict], ys: list[dict]):
+        tokens = [[r["tokens"] for r in side] for side in (xs, ys)]
+        in_x, much_x = stretches(*tokens, least, percent)
         rows = np.flatnonzero(in_x.any(axis=1))
         if not len(rows):
-            continue
-        in_y, much_y = stretches([r[5] for r in part], [some[i][5] for i in rows], least, percent)
-        likely = in_x[rows] & in_y.T & (much_x[rows] | much_y.T)
-        for i, j in zip(*np.nonzero(likely), strict=True):
-            x, y = some[rows[i]], part[j]
-            if x[0] == y[0]:
-                continue
-            p, q = root(x[1]), root(y[1])
-            if p == q and not still[x[0]][x[3]] and not still[y[0]][y[3]]:
+            return
+        in_y, much_y = stretches(tokens[1], [tokens[0][i] for i in rows], least, percent)
+        for i, j in zip(*np.nonzero(in_x[rows] & in_y.T & (much_x[rows] | much_y.T)), strict=True):
+            x, y = xs[rows[i]], ys[j]
+            p, q = root(x["part"]), root(y["part"])
+            here, there = (x["node"], x["at"]), (y["node"], y["at"])
+            if here[0] == there[0] or p == q and not (y["second"] and (still[here] or still[there])):
                 continue
-            found = verified(x[5], y[5], least, percent, 2 * width)
+            found = verified(x["tokens"], y["tokens"], least, percent, 2 * width)
             for a, b, u, v in found:
-                yield x[0], x[4] + a, x[4] + b + width - 1, y[0], y[4] + u, y[4] + v + width - 1
+                yield here[0], x["low"] + a, x["low"] + b + width - 1, there[0], y["low"] + u, y["low"] + v + width - 1
             if found:
-                still[x[0]][x[3]] = still[y[0]][y[3]] = False
+                still[here] = still[there] = False
                 joined[max(p, q)] = min(p, q)
 
+    second = [r for r in ys if r["second"]]
+    for some, others in (([r for r in xs if r["away"]], ys), ([r for r in xs if r["open"] and not r["away"]], second)):
+        for a in range(0, len(some), 256):
+            for b in range(0, len(others), 256):
+                yield from compare(some[a : a + 256], others[b : b + 256])
+
 
 def _linker(least: int, width: int, percent: int):
     def link(batches):
-        key, sides, out = None, ([], []), []
+        key, sides = None, ([], [])
         for batch in batches:
-            at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            first, node, part, opened, place, low = (batch.column(k).to_pylist() for k in range(3, 9))
-            lists = batch.column(9)
-            flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-            for k in range(batch.num_rows):
-                if at[k] != key:
+            out, tokens = [], batch.column(batch.num_columns - 1)
+            flat, ends = tokens.flatten().to_numpy(), np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
+            for k, row in enumerate(batch.select(range(batch.num_columns - 1)).to_pylist()):
+                at = row["key"], row["i"], row["j"]
+                if at != key:
                     out += apart(*sides, least, width, percent) if all(sides) else ()
-                    key, sides = at[k], ([], [])
-                sides[not first[k]].append((node[k], part[k], opened[k], place[k], low[k], flat[ends[k] : ends[k + 1]].copy()))
+                    key, sides = at, ([], [])
+                sides[not row["first"]].append(row | {"tokens": flat[ends[k] : ends[k + 1]].copy()})
             yield _rows(out, PASSAGES)
-            out = []
         yield _rows(list(apart(*sides, least, width, percent)) if all(sides) else [], PASSAGES)
 
     return link
@@ -543,20 +573,22 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     listed = windows.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "at", "hi", "center")).alias("windows"))
     each = listed.join(spans, "node", "left").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "windows", "spans")
     places = written(each.mapInArrow(_sharpener(words, width), PLACES).distinct(), "places")
-    keys = places.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("open").alias("any_open"), F.min("part").alias("home"), F.max("part").alias("other"), F.min("node").alias("low"), F.max("node").alias("high"))
-    keys = keys.filter("low <> high and (any_open or home <> other)").select("key", "home", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = written(places.join(keys, "key").select("key", "home", "blocks", "node", "part", "at", "open"), "apart")
+    keys = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("second"), F.max(F.when(F.col("open"), F.col("node"))).alias("last"), F.min("part").alias("home"), F.max("part").alias("other"), F.min("node").alias("low"), F.max("node").alias("high"))
+    keys = keys.filter("low <> high and (second <> last or home <> other)").select("key", "home", "second", (F.col("home") != F.col("other")).alias("several"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = places.join(keys, "key").withColumn("second", F.coalesce((F.col("node") == F.col("second")) & F.col("open"), F.lit(False)))
+    met = written(met.filter("several or open").select("key", "several", "blocks", "node", "part", "at", "open", "second", (F.col("part") != F.col("home")).alias("away")), "apart")
     wanted = met.groupBy("node").agg(F.collect_set("at").alias("places"))
     sliced = texts_of(own, member, met.select("node").distinct()).join(wanted, "node").select("node", "text", "places")
     sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<int>").withColumn("content", F.xxhash64("tokens", F.size("tokens"))), "slices")
     mine, every = F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = met.filter("open or part <> home").select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("first"), "node", "part", "open", "at")
+    same = ("node", "part", "open", "second", "at")
+    x = met.filter("away or open and not second").select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("first"), "away", *same)
     # Equal tokens of one component: two of them stand for all, so that each place meets one of another text.
     ends = [f(F.struct("node", "at")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))]
-    y = met.join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "content").agg(*ends)
-    y = y.select("key", "blocks", "part", "open", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "p.node", "p.at")
-    y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "node", "part", "open", "at").select(*x.columns)
-    both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "node", "part", "open", "at", "low", "tokens")
+    y = met.filter("several or second").join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "second", "content").agg(*ends)
+    y = y.select("key", "blocks", "part", "open", "second", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "second", "p.node", "p.at")
+    y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), F.lit(False).alias("away"), *same).select(*x.columns)
+    both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "away", "node", "part", "open", "second", "at", "low", "tokens")
     both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return both.mapInArrow(_linker(least, width, percent), PASSAGE)
 
