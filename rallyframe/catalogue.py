@@ -21,7 +21,7 @@ from .sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-A, B = "cam66", "cam68"
+A, B = "cam1", "cam2"
 BALLS = ("camera_name", "frame_id", "detected", "ball_u", "ball_v", "ball_conf")
 SHOULDERS = [f"{p}_{j}_{x}" for p in ("p0", "p1") for j in ("ls", "rs") for x in "uv"]
 
@@ -127,7 +127,7 @@ def rule_counts(spark, sf_dir):
     return C.rule_counts(cleaned_of(spark, sf_dir))
 
 
-@query("SELECT outlier_rule, count(*) FILTER (camera_name = 'cam66') AS cam66, count(*) FILTER (camera_name = 'cam68') AS cam68 FROM it WHERE is_outlier GROUP BY 1")
+@query("SELECT outlier_rule, count(*) FILTER (camera_name = 'cam1') AS cam1, count(*) FILTER (camera_name = 'cam2') AS cam2 FROM it WHERE is_outlier GROUP BY 1")
 def rule_pivot(spark, sf_dir):
     return C.rule_pivot(cleaned_of(spark, sf_dir), [A, B])
 
@@ -173,22 +173,22 @@ def tau_of(spark, sf_dir) -> DataFrame:
     return Y.best_lag(Y.lag_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B))
 
 
-@query("SELECT tau, round(peak, 4) AS peak, CASE WHEN tau >= 0 THEN 'cam68 lags cam66 by ' ELSE 'cam68 leads cam66 by ' END || abs(tau) || ' frames' AS interpretation FROM tau")
+@query("SELECT tau, round(peak, 4) AS peak, CASE WHEN tau >= 0 THEN 'cam2 lags cam1 by ' ELSE 'cam2 leads cam1 by ' END || abs(tau) || ' frames' AS interpretation FROM tau")
 def sync_offset(spark, sf_dir):
     return tau_of(spark, sf_dir).select("tau", F.round("peak", 4).alias("peak"), G.interpretation(A, B, F.col("tau")).alias("interpretation"))
 
 
-@query("SELECT round(max(corr) / (avg(abs(corr)) + 1e-9), 4) AS snr, max(corr) / (avg(abs(corr)) + 1e-9) < 3.0 AS weak FROM (SELECT a.frame_id - b.frame_id AS lag, sum(a.z * b.z) AS corr FROM zs a, zs b WHERE a.camera_name = 'cam66' AND b.camera_name = 'cam68' GROUP BY 1)")
+@query("SELECT round(max(corr) / (avg(abs(corr)) + 1e-9), 4) AS snr, max(corr) / (avg(abs(corr)) + 1e-9) < 3.0 AS weak FROM (SELECT a.frame_id - b.frame_id AS lag, sum(a.z * b.z) AS corr FROM zs a, zs b WHERE a.camera_name = 'cam1' AND b.camera_name = 'cam2' GROUP BY 1)")
 def signal_to_noise(spark, sf_dir):
     return Y.signal_to_noise(Y.full_correlation(Y.accel_signal(cleaned_of(spark, sf_dir)), A, B)).withColumn("snr", F.round("snr", 4))
 
 
-@query("SELECT camera_name, frame_id, CASE WHEN camera_name = 'cam68' THEN frame_id - tau ELSE frame_id END AS aligned_frame_id FROM it, tau")
+@query("SELECT camera_name, frame_id, CASE WHEN camera_name = 'cam2' THEN frame_id - tau ELSE frame_id END AS aligned_frame_id FROM it, tau")
 def aligned_frames(spark, sf_dir):
     return batch.align(cleaned_of(spark, sf_dir), A, B).select("camera_name", "frame_id", "aligned_frame_id")
 
 
-@query("SELECT s.camera_name, s.frame_id, coalesce(m.accel, 0.0) AS accel FROM sig s LEFT JOIN (SELECT camera_name, CASE WHEN camera_name = 'cam68' THEN frame_id + tau ELSE frame_id END AS frame_id, accel FROM sig, tau) m USING (camera_name, frame_id)")
+@query("SELECT s.camera_name, s.frame_id, coalesce(m.accel, 0.0) AS accel FROM sig s LEFT JOIN (SELECT camera_name, CASE WHEN camera_name = 'cam2' THEN frame_id + tau ELSE frame_id END AS frame_id, accel FROM sig, tau) m USING (camera_name, frame_id)")
 def shifted_signal(spark, sf_dir):
     return Y.shifted(Y.accel_signal(cleaned_of(spark, sf_dir)), tau_of(spark, sf_dir), B)
 
@@ -383,24 +383,24 @@ def compare_joints(spark, sf_dir):
     return out.select("camera_name", *[F.round(c, 6).alias(c) for c in ("p0_ls_mae_px", "p0_rs_mae_px", "p0_avg_joint_mae_px", "p1_avg_joint_mae_px")])
 
 
-@query("SELECT count(*) AS n_common FROM (SELECT frame_id FROM det WHERE camera_name = 'cam66' INTERSECT SELECT frame_id FROM det WHERE camera_name = 'cam68')")
+@query("SELECT count(*) AS n_common FROM (SELECT frame_id FROM det WHERE camera_name = 'cam1' INTERSECT SELECT frame_id FROM det WHERE camera_name = 'cam2')")
 def frame_intersection(spark, sf_dir):
     df = detections_of(spark, sf_dir)
     return R.common_frames(df.filter(F.col("camera_name") == A), df.filter(F.col("camera_name") == B))
 
 
-@query("SELECT DISTINCT outlier_rule AS rule FROM it WHERE camera_name = 'cam66' AND is_outlier UNION SELECT DISTINCT outlier_rule FROM it WHERE camera_name = 'cam68' AND is_outlier")
+@query("SELECT DISTINCT outlier_rule AS rule FROM it WHERE camera_name = 'cam1' AND is_outlier UNION SELECT DISTINCT outlier_rule FROM it WHERE camera_name = 'cam2' AND is_outlier")
 def rule_union(spark, sf_dir):
     hit = cleaned_of(spark, sf_dir).filter("is_outlier").select("camera_name", F.col("outlier_rule").alias("rule"))
     return hit.filter(F.col("camera_name") == A).select("rule").union(hit.filter(F.col("camera_name") == B).select("rule")).distinct()
 
 
-@query("SELECT x AS camera_name FROM (VALUES ('cam66'), ('cam68'), ('cam70')) t(x) EXCEPT SELECT DISTINCT camera_name FROM det")
+@query("SELECT x AS camera_name FROM (VALUES ('cam1'), ('cam2'), ('cam3')) t(x) EXCEPT SELECT DISTINCT camera_name FROM det")
 def missing_cameras(spark, sf_dir):
-    return R.missing_cameras(spark.createDataFrame([("cam66",), ("cam68",), ("cam70",)], "camera_name string"), detections_of(spark, sf_dir))
+    return R.missing_cameras(spark.createDataFrame([("cam1",), ("cam2",), ("cam3",)], "camera_name string"), detections_of(spark, sf_dir))
 
 
-@query("SELECT d.camera_name, d.frame_id, coalesce(c.serial, 'UNKNOWN_' || d.camera_name) AS serial, coalesce(c.y_net, 260.0) AS y_net FROM det d LEFT JOIN (SELECT * FROM cams WHERE camera_name = 'cam66') c USING (camera_name)")
+@query("SELECT d.camera_name, d.frame_id, coalesce(c.serial, 'UNKNOWN_' || d.camera_name) AS serial, coalesce(c.y_net, 260.0) AS y_net FROM det d LEFT JOIN (SELECT * FROM cams WHERE camera_name = 'cam1') c USING (camera_name)")
 def camera_lookup(spark, sf_dir):
     dim = F.broadcast(T.cameras(spark, T.DEMO_CAMERAS[:1]).select("camera_name", "serial", "y_net"))
     return detections_of(spark, sf_dir).select("camera_name", "frame_id").join(dim, "camera_name", "left").select("camera_name", "frame_id", F.coalesce("serial", F.concat(F.lit("UNKNOWN_"), F.col("camera_name"))).alias("serial"), F.coalesce("y_net", F.lit(260.0)).alias("y_net"))
@@ -484,7 +484,7 @@ def calibration(spark, sf_dir):
 
 @query("SELECT label, 'uploads/cal_' || label || '.json' AS path, count(*) AS n, bool_or(stream) AS stream FROM (SELECT regexp_extract('out/x/' || camera_name || '_video_' || event_id || '.mp4', '([^/_]*)_[^/]*$', 1) AS label, lower('RTSP://h/' || camera_name) LIKE 'rtsp://%' AS stream FROM ev) GROUP BY 1", True)
 def labels_of_files(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CASE WHEN user_id % 4 < 2 THEN 'cam66' ELSE 'cam68' END AS camera_name")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CASE WHEN user_id % 4 < 2 THEN 'cam1' ELSE 'cam2' END AS camera_name")
     label = T.camera_label(F.concat(F.lit("out/x/"), F.col("camera_name"), F.lit("_video_"), F.col("event_id").cast("string"), F.lit(".mp4")))
     e = e.select(label.alias("label"), T.is_stream(F.concat(F.lit("RTSP://h/"), F.col("camera_name"))).alias("stream"))
     return e.groupBy("label").agg(F.count("*").alias("n"), F.bool_or("stream").alias("stream")).select("label", T.calibration_path(F.col("label")).alias("path"), "n", "stream")

@@ -131,6 +131,7 @@ def panel(moved: DataFrame, hits: DataFrame, keys: Sequence[str] = KEYS) -> Data
     return out.select(*keys, "frame_id", "shown_rally", F.when(shown, F.col("shots")).otherwise(0).cast("int").alias("shots"), F.when(shown, F.col("dist_m")).otherwise(0.0).alias("dist_m"), F.coalesce("last_speed", F.lit(0.0)).alias("last_speed"))
 
 
+#: Fields of a report that are always 0; the names in payloads() are as fixed.
 ZEROS = ("firstServeSuccessRate", "returnFirstSuccessRate", "baselineShotRate", "baselineWinRate", "netPointRate", "netPointWinRate", "aceCount", "netApproaches")
 
 

@@ -21,9 +21,9 @@ def r(x: str, places: int) -> str:
 
 STAGES: dict[str, str] = {}
 STAGES["cams"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in DEMO_CAMERAS) + ") t(camera_name, serial, y_net, y_far, px_width_far, y_near, px_width_near, alpha, beta, fps, v_max_ms, court_width_m, h)"
-STAGES["ev"] = "SELECT event_id, CASE WHEN user_id % 4 < 2 THEN 'cam66' ELSE 'cam68' END AS camera_name, event_type, value, user_id FROM events"
+STAGES["ev"] = "SELECT event_id, CASE WHEN user_id % 4 < 2 THEN 'cam1' ELSE 'cam2' END AS camera_name, event_type, value, user_id FROM events"
 STAGES["en"] = "SELECT camera_name, CAST(row_number() OVER (PARTITION BY camera_name ORDER BY event_id) - 1 AS BIGINT) AS rn, event_type, value, user_id FROM ev"
-STAGES["det"] = """SELECT camera_name, rn + CASE WHEN camera_name='cam68' THEN 7 ELSE 0 END AS frame_id,
+STAGES["det"] = """SELECT camera_name, rn + CASE WHEN camera_name='cam2' THEN 7 ELSE 0 END AS frame_id,
  CAST(CASE WHEN event_type='error' AND user_id % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS detected,
  CAST(CASE WHEN rn % 400 >= 380 THEN 900 ELSE 900 + 4*abs((rn*2) % 120 - 60) + CASE WHEN value > 160 THEN 600 ELSE 0 END + user_id % 5 END AS DOUBLE) AS ball_u,
  CAST(CASE WHEN rn % 400 >= 380 THEN 500 ELSE 90 + 6*abs(rn % 160 - 80) + user_id % 7 + CASE WHEN value > 220 THEN 700 ELSE 0 END END AS DOUBLE) AS ball_v,
@@ -100,7 +100,7 @@ STAGES["nf"] = "SELECT coalesce(max(frame_id), -1) + 1 AS n FROM it"
 STAGES["ds"] = "SELECT c.camera_name, CAST(g.f AS BIGINT) AS frame_id FROM (SELECT DISTINCT camera_name FROM it) c, (SELECT unnest(generate_series(0, (SELECT n FROM nf) - 1)) AS f) g"
 STAGES["sig"] = "SELECT camera_name, frame_id, coalesce(sqrt(du*du + dv*dv), 0.0) AS accel FROM (SELECT camera_name, frame_id, (lead(u) OVER w - u) - (u - lag(u) OVER w) AS du, (lead(v) OVER w - v) - (v - lag(v) OVER w) AS dv FROM (SELECT ds.camera_name, ds.frame_id, interp_u AS u, interp_v AS v FROM ds LEFT JOIN (SELECT * FROM it WHERE interp_u IS NOT NULL) k USING (camera_name, frame_id)) WINDOW w AS (PARTITION BY camera_name ORDER BY frame_id))"
 STAGES["zs"] = "SELECT camera_name, frame_id, accel, CASE WHEN s < 1e-9 THEN accel - m ELSE (accel - m) / s END AS z FROM (SELECT *, avg(accel) OVER (PARTITION BY camera_name) AS m, stddev_pop(accel) OVER (PARTITION BY camera_name) AS s FROM sig)"
-STAGES["corr"] = f"SELECT l.lag, sum(a.z * b.z) AS corr FROM (SELECT CAST(unnest(generate_series(-{S.max_lag}, {S.max_lag})) AS INTEGER) AS lag) l, zs a, zs b WHERE a.camera_name = 'cam66' AND b.camera_name = 'cam68' AND b.frame_id = a.frame_id - l.lag GROUP BY l.lag"
+STAGES["corr"] = f"SELECT l.lag, sum(a.z * b.z) AS corr FROM (SELECT CAST(unnest(generate_series(-{S.max_lag}, {S.max_lag})) AS INTEGER) AS lag) l, zs a, zs b WHERE a.camera_name = 'cam1' AND b.camera_name = 'cam2' AND b.frame_id = a.frame_id - l.lag GROUP BY l.lag"
 STAGES["tau"] = "SELECT lag AS tau, corr AS peak FROM corr ORDER BY corr DESC, lag LIMIT 1"
 # Motion.
 STAGES["rx"] = "SELECT *, CAST(row_number() OVER (PARTITION BY camera_name ORDER BY frame_id) - 1 AS BIGINT) AS row_idx FROM it"

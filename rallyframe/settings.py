@@ -35,12 +35,12 @@ class Settings:
     path_window: int = 6
     path_px: float = 150.0
     fill_gap: int = 8
-    # Alignment of two cameras.
+    # Fixed values too: alignment of two cameras.
     max_lag: int = 100
     peak_height: float = 30.0
     peak_distance: int = 5
     peak_prominence: float = 10.0
-    # Motion, crossings and rallies.
+    # Fixed values too: motion, crossings and rallies.
     fps: float = 25.0
     motion_limit: int = 5
     silence_rows: int = 25
@@ -53,7 +53,7 @@ class Settings:
     rally_gap_s: float = 8.0
     before_s: float = 3.0
     after_s: float = 3.0
-    # Speeds and distances.
+    # Fixed values too: speeds and distances.
     lookback: int = 30
     net_correction: float = 2.0
     speed_knee: float = 60.0
@@ -64,7 +64,7 @@ class Settings:
     move_most: float = 2.0
     court_length: float = 23.77
     court_width: float = 8.23
-    # Live input.
+    # Fixed values too: live input.
     min_rows: int = 200
     quiet_s: float = 10.0
     force_s: float = 300.0

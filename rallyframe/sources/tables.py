@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,13 +90,13 @@ def events_to_detections(events: DataFrame) -> DataFrame:
 
     Two cameras; one starts 7 frames late. There are misses, low confidences, jumps and still phases.
     """
-    camera = F.when(F.col("user_id") % 4 < 2, "cam66").otherwise("cam68")
+    camera = F.when(F.col("user_id") % 4 < 2, "cam1").otherwise("cam2")
     rn = (F.row_number().over(Window.partitionBy("camera_name").orderBy("event_id")) - 1).cast("bigint")
     e = events.select("event_id", camera.alias("camera_name"), "event_type", "value", "user_id").withColumn("rn", rn)
     still = "rn % 400 >= 380"
     return e.selectExpr(
         "camera_name",
-        "rn + CASE WHEN camera_name = 'cam68' THEN 7 ELSE 0 END AS frame_id",
+        "rn + CASE WHEN camera_name = 'cam2' THEN 7 ELSE 0 END AS frame_id",
         "CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 0 ELSE 1 END AS detected",
         f"CAST(CASE WHEN {still} THEN 900 ELSE 900 + 4 * abs((rn * 2) % 120 - 60) + CASE WHEN value > 160 THEN 600 ELSE 0 END + user_id % 5 END AS DOUBLE) AS ball_u",
         f"CAST(CASE WHEN {still} THEN 500 ELSE 90 + 6 * abs(rn % 160 - 80) + user_id % 7 + CASE WHEN value > 220 THEN 700 ELSE 0 END END AS DOUBLE) AS ball_v",
@@ -114,8 +115,8 @@ def events_to_detections(events: DataFrame) -> DataFrame:
 CAMERA = "camera_name string, serial string, y_net double, y_far double, px_width_far double, y_near double, px_width_near double, alpha double, beta double, fps double, v_max_ms double, court_width_m double, h array<double>"
 #: Two cameras that go with the synthetic track: the far baseline at v = 90, the near one at v = 570.
 DEMO_CAMERAS = [
-    ("cam66", "SN-66", 330.0, 90.0, 400.0, 570.0, 900.0, 0.05, 30.0, 25.0, 55.6, 10.97, [0.0105, 0.0002, -4.2, 0.0004, 0.047, -3.9, 0.00001, 0.0002, 1.0]),
-    ("cam68", "SN-68", 300.0, 95.0, 410.0, 580.0, 880.0, 0.06, 28.0, 25.0, 55.6, 10.97, [0.0098, -0.0001, -3.8, 0.0001, 0.049, -4.1, -0.00002, 0.00015, 1.0]),
+    ("cam1", "SN-1", 330.0, 90.0, 400.0, 570.0, 900.0, 0.05, 30.0, 25.0, 55.6, 10.97, [0.0105, 0.0002, -4.2, 0.0004, 0.047, -3.9, 0.00001, 0.0002, 1.0]),
+    ("cam2", "SN-2", 300.0, 95.0, 410.0, 580.0, 880.0, 0.06, 28.0, 25.0, 55.6, 10.97, [0.0098, -0.0001, -3.8, 0.0001, 0.049, -4.1, -0.00002, 0.00015, 1.0]),
 ]
 
 
@@ -164,18 +165,98 @@ def read_homography(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("camera_name", "x")).select("camera_name", F.flatten("x.H_image_to_world").alias("h")).filter(F.size("h") == 9)
 
 
+def read_cameras(spark: SparkSession, registry: list[tuple], folder: str, homography: str) -> DataFrame:
+    """The camera dimension from files. registry: (camera_name, serial, y_net); folder: cal_<camera>.json of each.
+
+    A camera without a calibration file, or without a matrix, has nulls there.
+    """
+    own = spark.createDataFrame(registry, "camera_name string, serial string, y_net double")
+    found = read_json(spark, f"{folder}/cal_*.json", CALIBRATION)
+    known = [c.split(" ")[0] for c in CALIBRATION.split(", ")]
+    if found is None:
+        found = spark.createDataFrame([], f"camera_name string, {CALIBRATION}")
+    else:
+        found = found.select(F.regexp_extract(F.input_file_name(), r"cal_([^/]*)\.json$", 1).alias("camera_name"), *known)
+    out = own.join(found, "camera_name", "left").join(read_homography(spark, homography), "camera_name", "left")
+    return out.select(*[c.split(" ")[0] for c in CAMERA.split(", ")])
+
+
+def first_of(df: DataFrame, *names: str) -> Column:
+    """The first of these columns that df has."""
+    for n in names:
+        if n in df.columns:
+            return F.col(n)
+    raise ValueError(f"none of {', '.join(names)} is a column")
+
+
+def named_as_usual(df: DataFrame) -> DataFrame:
+    """df with frame_id, interp_u and interp_v, from the other names that they may have."""
+    return df.withColumns({"frame_id": first_of(df, "frame_id", "frame").cast("long"), "interp_u": first_of(df, "interp_u", "x").cast("double"), "interp_v": first_of(df, "interp_v", "y").cast("double")})
+
+
+#: Places of the joints among the 17 of a pose model, from 0.
+POSE_JOINTS = {"ls": 5, "rs": 6, "le": 7, "re": 8, "lw": 9, "rw": 10}
+
+
+def joints_of(points: Column) -> Column:
+    """The six joints of a pose of 17 points, array<struct<u, v, conf>>; null where the model gave none."""
+    return F.struct(*[F.get(points, F.lit(POSE_JOINTS[j])).alias(j) for j in JOINTS])
+
+
+def of_cameras(df: DataFrame, labels: Iterable[str] | None) -> DataFrame:
+    """Rows of the named cameras; of all, if none is named."""
+    return df if not labels else df.filter(F.col("camera_name").isin(*labels))
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Detections as they are written to text: fixed decimals, 2 for places, 4 for confidences, 1 for boxes; null is empty."""
+    places = {"ball_u": 2, "ball_v": 2, "ball_conf": 4} | {c: 4 if c.endswith("conf") else 2 for c, _ in JOINT_COLUMNS} | {c: 1 for c, _ in BOX_COLUMNS}
+    return df.withColumns({c: F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{n}f", F.col(c))) for c, n in places.items() if c in df.columns})
+
+
+def nested_yaml(text: str) -> dict:
+    """Mappings by indentation, with numbers, truth values and strings as leaves; no lists."""
+    root: dict = {}
+    stack = [(-1, root)]
+    for line in text.splitlines():
+        body = re.match(r"""(?:[^'"#]|'[^']*'|"[^"]*"|(?<=\S)#|['"])*""", line)[0].rstrip()  # up to a comment
+        if not body.strip():
+            continue
+        depth = len(body) - len(body.lstrip())
+        name, colon, value = body.strip().partition(":")
+        if not colon or name.startswith("-"):
+            raise ValueError(f"only mappings are read: {line!r}")
+        while stack[-1][0] >= depth:
+            stack.pop()
+        value = value.strip()
+        if value:
+            quoted = value[0] in "'\"" and value[-1] == value[0]
+            stack[-1][1][name] = value[1:-1] if quoted else plain(value)
+        else:
+            stack[-1][1][name] = {}
+            stack.append((depth, stack[-1][1][name]))
+    return root
+
+
+def plain(value: str):
+    if value.lower() in ("true", "false", "null", "~"):
+        return {"true": True, "false": False}.get(value.lower())
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            pass
+    return value
+
+
 def load_config(path: str) -> dict:
-    """Settings from JSON or flat YAML. A blank home is the file's folder; a relative one starts there."""
+    """Settings from JSON or YAML mappings. A blank home is the file's folder; a relative one starts there."""
     with open(path) as f:
         text = f.read()
     try:
         found = json.loads(text)
     except ValueError:
-        found = {}
-        for line in text.splitlines():
-            name, colon, value = line.split("#")[0].partition(":")
-            if colon and not line.startswith((" ", "-")):
-                found[name.strip()] = value.strip().strip("'\"")
+        found = nested_yaml(text)
     base = os.path.dirname(os.path.abspath(path))
     home = os.path.normpath(os.path.join(base, found.get("home") or "."))
     return found | {"home": home}
@@ -196,6 +277,21 @@ def resolve_source(override: str | None, force_local: bool, stream: str | None,
     raise FileNotFoundError(local or "no local file is configured")
 
 
+def probe_stream(url: str, timeout: float = 5.0) -> bool:
+    """Whether a stream's server answers within the timeout; a probe for resolve_source."""
+    import socket
+    from urllib.parse import urlsplit
+
+    at = urlsplit(url)
+    try:
+        with socket.create_connection((at.hostname, at.port or 554), timeout) as s:
+            s.settimeout(timeout)
+            s.sendall(f"OPTIONS {at.scheme}://{at.hostname}{at.path} RTSP/1.0\r\nCSeq: 1\r\n\r\n".encode())
+            return s.recv(64).startswith(b"RTSP/")
+    except OSError:
+        return False
+
+
 def camera_label(path: Column) -> Column:
     """The file name's stem up to its first underscore."""
     return F.substring_index(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""), "_", 1)
@@ -210,16 +306,19 @@ def is_stream(url: Column) -> Column:
 
 
 def video_frames(spark: SparkSession, path: str, decode, schema: str = "camera_name string, frame_id bigint, image binary") -> DataFrame:
-    """Frames of whole video files. decode(path, bytes) yields (frame_id, image bytes); it is a plug-in."""
+    """Frames of video files. decode(path) yields (frame_id, image bytes); it is a plug-in, and opens the file itself.
+
+    Only paths are listed and dealt out, a file a task, so files may be of any size.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+            for file in pdf["path"]:
                 label = os.path.splitext(os.path.basename(file))[0].split("_")[0]
                 part = []
-                for frame_id, image in decode(file, content):
+                for frame_id, image in decode(file):
                     part.append((label, frame_id, image))
                     if len(part) >= 64:
                         yield pd.DataFrame(part, columns=["camera_name", "frame_id", "image"])
@@ -227,4 +326,5 @@ def video_frames(spark: SparkSession, path: str, decode, schema: str = "camera_n
                 if part:
                     yield pd.DataFrame(part, columns=["camera_name", "frame_id", "image"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, files.count()), "path").mapInPandas(run, schema)

@@ -1,23 +1,32 @@
-"""Live input: a source that reads frames as they come, buffers per camera, and flushes through the batch plans."""
+"""Live input: a source that reads frames as decoders write them, buffers per session, and flushes through the batch plans."""
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..settings import DEFAULTS, Settings
+from ..settings import DEFAULTS, JOINTS, Settings
+from ..sources.tables import DETECTIONS, KEYPOINTS
 
-ROWS = "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
+log = logging.getLogger(__name__)
+ROWS = f"session string, arrived double, {DETECTIONS}"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+VALUES = NAMES[4:]
+TEXT = ("session", "camera_name")
 
 
 class FrameSource(DataSource):
-    """Rows of a directory of JSON lines written by decoders, from frame numbers on; option path, rows_per_batch.
+    """Rows of JSON lines that decoders append to the files of a folder, a file a camera; option path: the folder, or a file.
 
-    The offset is the number of rows read so far, which keeps increasing if a decoder reconnects.
+    A decoder that reconnects appends to its file or starts another; frame numbers go on. The offset is how many bytes of
+    each file were read, up to the last whole line, so nothing is read twice and a half-written line waits. Each file is a
+    partition of its own. The folder must be one that driver and executors share.
     """
 
     @classmethod
@@ -27,77 +36,114 @@ class FrameSource(DataSource):
     def schema(self) -> str:
         return ROWS
 
-    def simpleStreamReader(self, schema):  # noqa: N802
-        return FrameReader(self.options)
+    def streamReader(self, schema):  # noqa: N802
+        return FrameReader(self.options["path"])
 
 
-class FrameReader(SimpleDataSourceStreamReader):
-    def __init__(self, options):
-        self.path, self.most = options["path"], int(options.get("rows_per_batch", "1000"))
+class Span(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
-    def initialOffset(self):  # noqa: N802
-        return {"row": 0}
-
-    def _rows(self, start: int, end: int | None) -> list[tuple]:
-        import json
-
-        out = []
-        with open(self.path) as f:
-            for k, line in enumerate(f):
-                if k < start:
-                    continue
-                if k >= (start + self.most if end is None else end):
-                    break
-                x = json.loads(line)
-                out.append((x["camera_name"], x["frame_id"], int(x.get("detected") or 0), x.get("ball_u"), x.get("ball_v"), float(x.get("ball_conf") or 0.0)))
-        return out
 
-    def read(self, start):
-        rows = self._rows(start["row"], None)
-        return iter(rows), {"row": start["row"] + len(rows)}
+class FrameReader(DataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
+        self.seen: dict[str, int] = {}
 
-    def readBetweenOffsets(self, start, end):  # noqa: N802
-        return iter(self._rows(start["row"], end["row"]))
+    def _system(self):
+        from pyarrow import fs
 
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
 
-FLUSHED = "session string, flush_no int, camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
-STATE = "rows string, flush_no int, last_flush double, seen string, fresh int"
+    def initialOffset(self):  # noqa: N802
+        return {}
+
+    def latestOffset(self):  # noqa: N802
+        from pyarrow import fs
+
+        system, root = self._system()
+        info = system.get_file_info(root)
+        files = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        for f in files:
+            if f.is_file and f.size > self.seen.get(f.path, 0):
+                self.seen[f.path] = self._whole_lines(system, f.path, self.seen.get(f.path, 0), f.size)
+        return dict(self.seen)
+
+    @staticmethod
+    def _whole_lines(system, path: str, start: int, end: int) -> int:
+        """Where the last whole line between start and end ends."""
+        with system.open_input_file(path) as f:
+            while end > start:
+                part = f.read_at(min(1 << 16, end - start), max(start, end - (1 << 16)))
+                if (at := part.rfind(b"\n")) >= 0:
+                    return end - len(part) + at + 1
+                end -= len(part)
+        return start
+
+    def partitions(self, start, end):
+        self.seen = {**end, **self.seen}
+        return [Span(path, start.get(path, 0), n) for path, n in sorted(end.items()) if n > start.get(path, 0)]
+
+    def read(self, partition):
+        system, _ = self._system()
+        with system.open_input_file(partition.path) as f:
+            lines = f.read_at(partition.end - partition.start, partition.start).splitlines()
+        for line in lines:
+            x = json.loads(line)
+            if x.get("frame_id") is not None:
+                x["detected"], x["ball_conf"] = int(x.get("detected") or 0), float(x.get("ball_conf") or 0.0)
+            yield tuple(None if x.get(c) is None else x[c] if c in (*TEXT, "frame_id", "detected") else float(x[c]) for c in NAMES)
+
+
+FLUSHED = f"session string, flush_no int, {DETECTIONS}"
+STATE = "rows string, flush_no int, last_flush double, seen string, fresh int, latest double, wait double"
 
 
 def flushes(rows: DataFrame, cameras: int = 2, s: Settings = DEFAULTS, timeout: bool = False) -> DataFrame:
     """Snapshots of the buffered rows, whenever a flush is due, numbered; a stream of (session, flush_no, detection).
 
-    rows: a stream of detections with session and arrived (seconds). All cameras of a session share one state, since a
-    flush needs all of them: enough rows in each, then all quiet, or too long since the last. After a flush the
-    last s.overlap_s stay buffered. Later rows of a frame replace earlier ones.
+    rows: a stream of detections with session and arrived (seconds); columns of ROWS that it lacks are null. All cameras of a
+    session share one state, since a flush needs all of them: enough rows in each, then all quiet, or too long since the last.
+    After a flush the last s.overlap_s stay buffered. Later rows of a frame replace earlier ones.
 
-    The end of a session is a row with a null frame_id; with timeout, also no row for s.force_s of processing time.
-    What is buffered then makes a final flush, however little it is, if anything came since the last. Timeouts need a
+    The end of a session is a row with a null frame_id. With timeout, silence counts too: when the cameras would have been quiet
+    long enough, or the last flush is too long ago, a flush comes without a further row; and no row for s.force_s ends the session.
+    What is buffered at the end makes a final flush, however little it is, if anything came since the last. Timeouts need a
     stream that goes on: with them an available-now run did not end in a trial of 150 s. Such a run keeps the rest of a session
     without an end row in its checkpoint, for the next run.
     """
-    import json
-
     keep = int(s.fps * s.overlap_s)
-
     columns = [x.split()[0] for x in FLUSHED.split(", ")]
+    rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in ROWS.split(", "))])
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, flush_no, last, seen, fresh = state.get if state.exists else ("{}", 0, None, "{}", 0)
+        held, flush_no, last, seen, fresh, latest, wait = state.get if state.exists else ("{}", 0, None, "{}", 0, None, 0.0)
         buffer = {c: {int(k): v for k, v in x.items()} for c, x in json.loads(held).items()}
         seen = json.loads(seen)
 
         def snapshot() -> pd.DataFrame:
-            return pd.DataFrame([(key[0], flush_no, c, f, *v) for c in sorted(buffer) for f, v in sorted(buffer[c].items())], columns=columns)
+            out = pd.DataFrame([(key[0], flush_no, c, f, *v) for c in sorted(buffer) for f, v in sorted(buffer[c].items())], columns=columns)
+            return out.astype({c: "float64" for c in columns[5:]})
+
+        def due(now: float) -> bool:
+            enough = len(buffer) >= cameras and min(map(len, buffer.values())) >= s.min_rows
+            return enough and (bool(seen) and all(now - t >= s.quiet_s for t in seen.values()) or now - last >= s.force_s)
+
+        def trimmed() -> dict:
+            return {c: dict(sorted(x.items())[-keep:]) for c, x in buffer.items()}
 
         if state.hasTimedOut:
-            if fresh:
-                flush_no += 1
+            now = (latest or 0.0) + wait
+            if buffer and fresh and due(now):
+                flush_no, last, fresh = flush_no + 1, now, 0
                 yield snapshot()
-            # The number stays, so that later rows of the session don't repeat one.
-            state.update(("{}", flush_no, None, "{}", 0))
-            return
-        for pdf in batches:
+                buffer = trimmed()
+            if wait >= s.force_s:  # the session is over
+                if fresh:
+                    flush_no += 1
+                    yield snapshot()
+                buffer, last, seen, fresh = {}, None, {}, 0
+        for pdf in batches if not state.hasTimedOut else ():
             for r in pdf.sort_values("arrived", kind="stable").itertuples(index=False):
                 if pd.isna(r.frame_id):
                     if fresh:
@@ -105,34 +151,47 @@ def flushes(rows: DataFrame, cameras: int = 2, s: Settings = DEFAULTS, timeout:
                         yield snapshot()
                     buffer, last, seen, fresh = {}, None, {}, 0
                     continue
-                now = float(r.arrived)
+                now = latest = float(r.arrived)
+                wait = 0.0
                 last = now if last is None else last
-                clean = [None if x != x else x for x in (r.ball_u, r.ball_v)]
-                buffer.setdefault(r.camera_name, {})[int(r.frame_id)] = [int(r.detected), *clean, float(r.ball_conf)]
+                values = [None if x is None or x != x else x for x in r[4:]]
+                buffer.setdefault(r.camera_name, {})[int(r.frame_id)] = [int(values[0] or 0), *values[1:]]
                 fresh = 1
-                if r.detected:
+                if values[0]:
                     seen[r.camera_name] = now
-                enough = len(buffer) >= cameras and min(map(len, buffer.values())) >= s.min_rows
-                quiet = bool(seen) and all(now - t >= s.quiet_s for t in seen.values())
-                if enough and (quiet or now - last >= s.force_s):
+                if due(now):
                     flush_no, last, fresh = flush_no + 1, now, 0
                     yield snapshot()
-                    buffer = {c: dict(sorted(x.items())[-keep:]) for c, x in buffer.items()}
-        state.update((json.dumps(buffer), flush_no, last, json.dumps(seen), fresh))
-        if timeout and fresh:
-            state.setTimeoutDuration(int(1000 * s.force_s))
+                    buffer = trimmed()
+        if timeout and buffer:
+            # The next moment at which silence alone makes a flush due, or ends the session.
+            now = (latest or 0.0) + wait
+            moments = [last + s.force_s, (latest or 0.0) + s.force_s, max(seen.values(), default=now) + s.quiet_s]
+            later = min((m for m in moments if m > now + 0.001), default=now + s.force_s)
+            wait += later - now
+            state.update((json.dumps(buffer), flush_no, last, json.dumps(seen), fresh, latest, wait))
+            state.setTimeoutDuration(max(1, int(1000 * (later - now))))
+        else:
+            # The number stays, so that later rows of the session don't repeat one.
+            state.update((json.dumps(buffer), flush_no, last, json.dumps(seen), fresh, latest, wait))
 
     return rows.groupBy("session").applyInPandasWithState(step, FLUSHED, STATE, "append", "ProcessingTimeTimeout" if timeout else "NoTimeout")
 
 
 def run_flushes(flushed: DataFrame, process: Callable[[DataFrame], None], checkpoint: str, available_now: bool = True):
-    """Feeds each snapshot to `process`, the batch plan; a failing snapshot is left, as its rows are in the next one's overlap."""
+    """Feeds each snapshot to `process`, the batch plan. One that fails is logged and left; the others, and the stream, go on.
+
+    The rows of the last s.overlap_s of a snapshot that failed come again with the next one; the earlier ones don't.
+    """
 
     def each(df: DataFrame, _batch: int) -> None:
         df = df.persist()
         try:
             for row in df.select("session", "flush_no").distinct().orderBy("session", "flush_no").collect():  # a few flushes a batch
-                process(df.filter((F.col("session") == row.session) & (F.col("flush_no") == row.flush_no)).drop("session", "flush_no"))
+                try:
+                    process(df.filter((F.col("session") == row.session) & (F.col("flush_no") == row.flush_no)).drop("session", "flush_no"))
+                except Exception:  # noqa: BLE001  a failed flush must not end the stream
+                    log.exception("flush %s of session %s failed", row.flush_no, row.session)
         finally:
             df.unpersist()
 
@@ -176,9 +235,6 @@ def estimate_poses(images: DataFrame, estimator: Callable[[bytes], list[dict]],
 
     estimator(image) returns dicts with the joints (u, v, conf) and bbox (x1, y1, x2, y2) that it saw.
     """
-    from ..settings import JOINTS
-    from ..sources.tables import KEYPOINTS
-
     def run(batches):
         for pdf in batches:
             rows = []

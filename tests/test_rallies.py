@@ -15,6 +15,7 @@ from rallyframe.operators import frames as R
 from rallyframe.operators import rallies as L
 from rallyframe.operators import sync as Y
 from rallyframe.operators.windows import spaced
+from rallyframe.plans import live as live_plan
 from rallyframe.settings import DEFAULTS
 from rallyframe.sources import sinks
 from rallyframe.sources import tables as T
@@ -106,9 +107,9 @@ def test_unknown_speed_is_zero(spark):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("cam66", 0, 1, 10.5, 20.25, 0.9), ("cam66", 1, 0, None, None, 0.0)], "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double")
+    df = spark.createDataFrame([("cam1", 0, 1, 10.5, 20.25, 0.9), ("cam1", 1, 0, None, None, 0.0)], "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double")
     sinks.write_csv(df.drop("camera_name"), f"{tmp_path}/out")
-    got = T.read_detections_csv(spark, f"{tmp_path}/out", "cam66").select(*df.columns).orderBy("frame_id").collect()
+    got = T.read_detections_csv(spark, f"{tmp_path}/out", "cam1").select(*df.columns).orderBy("frame_id").collect()
     assert got == df.orderBy("frame_id").collect()
 
 
@@ -138,13 +139,13 @@ def test_source_resolution(tmp_path):
 
 
 def test_post_is_dry_without_a_sender_and_survives_errors(spark):
-    df = spark.createDataFrame([("a", 1, "{}"), ("a", 2, "bad")], "camera_name string, rally_id int, payload string")
+    df = spark.createDataFrame([("a", 1, 10, "{}"), ("a", 2, 20, "bad")], "camera_name string, rally_id int, start_frame long, payload string")
     assert sinks.post(df).filter("sent").count() == 2
 
-    def sender(text):
+    def sender(text, key):
         if text == "bad":
             raise OSError
-        return 201
+        return 201 if key == "a-10" else 500
 
     assert sinks.sent_counts(sinks.post(df, sender)).filter("camera_name is null").first().n_sent == 1
 
@@ -168,9 +169,9 @@ def test_live_flush_equals_the_batch_rows(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = live.flushes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
     seen = []
-    live.run_flushes(stream, lambda df: seen.append((df.count(), df.agg(F.max("frame_id")).first()[0])), f"{tmp_path}/state").awaitTermination(120)
-    # Detections end at frame 259; ten seconds later both cameras are quiet and all rows so far are flushed.
-    assert seen and seen[0] == (2 * (259 + 250) + 2, 509) or seen[0][1] in (509, 510)
+    live.run_flushes(stream, lambda df: seen.append(sorted((r.camera_name, r.frame_id, r.ball_u) for r in df.collect())), f"{tmp_path}/state").awaitTermination(120)
+    # Detections end at frame 259; ten seconds later both cameras are quiet and all rows so far are flushed: camera a's come first.
+    assert seen[0] == [(c, k, 1.0 * k) for c, last in (("a", 509), ("b", 508)) for k in range(last + 1)]
 
 
 LIVE = "session string, arrived double, camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
@@ -203,15 +204,160 @@ def test_a_silent_session_is_flushed(spark, tmp_path):
     assert seen == [set(range(5))]
 
 
-def test_frame_source(spark, tmp_path):
-    (tmp_path / "f.jsonl").write_text("".join(json.dumps({"camera_name": "a", "frame_id": k, "detected": 1, "ball_u": 1.0, "ball_v": 2.0, "ball_conf": 0.5}) + "\n" for k in range(7)))
+def written_lines(rows):
+    return "".join(json.dumps(r) + "\n" for r in rows)
+
+
+def test_frame_source_reads_whole_lines_once(spark, tmp_path):
+    folder, state = tmp_path / "frames", str(tmp_path / "state")
+    folder.mkdir()
+    row = lambda c, k: {"session": "s", "arrived": float(k), "camera_name": c, "frame_id": k, "detected": 1, "ball_u": 1.0 * k, "p0_ls_u": 5}
+    (folder / "a.jsonl").write_text(written_lines([row("a", k) for k in range(4)]) + '{"session": "s", "arr')
     live.register(spark)
-    q = spark.readStream.format("court_frames").option("path", f"{tmp_path}/f.jsonl").option("rows_per_batch", "3").load().writeStream.format("memory").queryName("live_rows").start()
-    try:
-        for _ in range(60):
-            q.processAllAvailable()
-            if spark.table("live_rows").count() >= 7:
-                break
-        assert spark.table("live_rows").count() == 7
-    finally:
+    seen = []
+
+    def go():
+        stream = spark.readStream.format("court_frames").option("path", str(folder)).load()
+        q = stream.writeStream.foreachBatch(lambda df, _: seen.extend((r.camera_name, r.frame_id, r.ball_u, r.p0_ls_u, r.ball_conf) for r in df.collect())).option("checkpointLocation", state).start()
+        q.processAllAvailable()
         q.stop()
+
+    go()
+    want = [("a", k, 1.0 * k, 5.0, 0.0) for k in range(4)]
+    assert sorted(seen) == want
+    # The decoder finishes its line and reconnects, with a file of its own; another camera comes. The query starts again.
+    with open(folder / "a.jsonl", "a") as f:
+        f.write('ived": 4, "camera_name": "a", "frame_id": 4, "detected": 1, "ball_u": 4.0, "p0_ls_u": 5}\n')
+    (folder / "a2.jsonl").write_text(written_lines([row("a", 5)]))
+    (folder / "b.jsonl").write_text(written_lines([row("b", 0)]))
+    go()
+    assert sorted(seen) == [*want, ("a", 4, 4.0, 5.0, 0.0), ("a", 5, 5.0, 5.0, 0.0), ("b", 0, 0.0, 5.0, 0.0)]
+
+
+def test_live_run_equals_the_batch_run(spark, sf_dir, tmp_path):
+    """Two cameras streamed to the end, with a flush that fails; the payloads are those of the batch."""
+    rows = catalogue.detections_of(spark, sf_dir)
+    start = "2024-05-01T10:00:00Z"
+    stream = rows.select(F.lit("s").alias("session"), (F.col("frame_id") / 25.0).alias("arrived"), "*")
+    one = stream.filter("camera_name = 'cam1' and frame_id < 30").withColumn("session", F.lit("broken"))
+    ends = spark.createDataFrame([("s", 1e6), ("broken", 1e6)], "session string, arrived double")
+    stream.unionByName(one).unionByName(ends, allowMissingColumns=True).coalesce(1).write.parquet(f"{tmp_path}/in")
+    live_rows = spark.readStream.schema(stream.schema).parquet(f"{tmp_path}/in")
+    q = live_plan.run(live_rows, T.cameras(spark), "cam1", "cam2", f"{tmp_path}/out", None, start)
+    assert q.awaitTermination(300) and q.exception() is None
+    got = {(r.camera_name, r.start_frame): json.loads(r.payload) for r in spark.read.json(f"{tmp_path}/out/reports").collect()}
+    _, reports = live_plan.snapshot(rows, T.cameras(spark), "cam1", "cam2", start)
+    want = {(r.camera_name, r.start_frame): json.loads(r.payload) for r in reports.collect()}
+    assert got == want and got
+    assert {(r.camera_name, r.start_frame) for r in spark.read.parquet(f"{tmp_path}/out/posted").collect()} == set(want)
+    # A later flush with the same rallies posts nothing.
+    assert sinks.post_new(reports, f"{tmp_path}/out/posted").count() == 0
+
+
+def test_post_new_tries_again_what_was_not_sent(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 10, "{}"), ("a", 2, 20, "{}")], "camera_name string, rally_id int, start_frame long, payload string")
+    first = sinks.post_new(df, f"{tmp_path}/ledger", lambda text, key: 200 if key == "a-10" else 500)
+    assert {(r.start_frame, r.sent) for r in first.collect()} == {(10, True), (20, False)}
+    assert [r.start_frame for r in sinks.post_new(df, f"{tmp_path}/ledger", lambda text, key: 204).collect()] == [20]
+    assert sinks.post_new(df, f"{tmp_path}/ledger").count() == 0
+
+
+def test_results_by_number_of_cameras(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "camera_name string, frame_id long")
+    aligned = df.withColumn("aligned_frame_id", F.col("frame_id"))
+    assert sinks.write_results(df, aligned, f"{tmp_path}/none") == 0 and not (tmp_path / "none").exists()
+    assert sinks.write_results(df.filter("camera_name <> 'c'"), aligned.filter("camera_name <> 'c'"), f"{tmp_path}/two") == 2
+    assert "aligned_frame_id" in spark.read.option("header", True).csv(f"{tmp_path}/two").columns
+    assert sinks.write_results(df.filter("camera_name = 'a'"), None, f"{tmp_path}/one") == 1
+
+
+def test_camera_dimension_from_files(spark, tmp_path):
+    cal = {"y_far": 90.0, "px_width_far": 400.0, "y_near": 570.0, "px_width_near": 900.0, "alpha": 0.05, "beta": 30.0, "fps": 25.0, "v_max_ms": 55.6, "court_width_m": 10.97, "clicks_px": [[1.0, 2.0]]}
+    (tmp_path / "cal_a.json").write_text(json.dumps(cal, indent=1))
+    (tmp_path / "h.json").write_text(json.dumps({"a": {"H_image_to_world": [[1, 2, 3], [4, 5, 6], [7, 8, 9]]}, "court_dimensions": {"x": 1}}))
+    got = {r.camera_name: r for r in T.read_cameras(spark, [("a", "S1", 330.0), ("b", None, None)], str(tmp_path), f"{tmp_path}/h.json").collect()}
+    assert (got["a"].alpha, got["a"].y_net, got["a"].h) == (0.05, 330.0, [float(k) for k in range(1, 10)]) and got["b"].alpha is None and got["b"].h is None
+    assert T.read_cameras(spark, [("a", "S1", 1.0)], f"{tmp_path}/no", f"{tmp_path}/h.json").first().alpha is None
+
+
+def test_nested_config(tmp_path):
+    (tmp_path / "c.yaml").write_text("home: ''\n# note\ncameras:\n  a:\n    serial: 'S #1'\n    y_net: 238\n    local: true\n  b:\n    y_net: 2.5  # net\nfps: 25\n")
+    got = T.load_config(str(tmp_path / "c.yaml"))
+    assert got["cameras"] == {"a": {"serial": "S #1", "y_net": 238, "local": True}, "b": {"y_net": 2.5}} and got["fps"] == 25 and got["home"] == str(tmp_path)
+    (tmp_path / "d.yaml").write_text("a:\n  - 1\n")
+    with pytest.raises(ValueError, match="mappings"):
+        T.load_config(str(tmp_path / "d.yaml"))
+
+
+def test_columns_by_other_names(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "frame int, x double, y double")
+    assert tuple(T.named_as_usual(df).select("frame_id", "interp_u", "interp_v").first()) == (1, 2.0, 3.0)
+    with pytest.raises(ValueError, match="frame_id"):
+        T.named_as_usual(df.drop("frame"))
+
+
+def test_joints_of_a_pose_and_text(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda k: F.struct((k * 1.0).alias("u"), F.lit(2.0).alias("v"), F.lit(0.5).alias("conf"))).alias("k"))
+    j = df.select(T.joints_of(F.col("k")).alias("j")).first().j
+    assert [j[n].u for n in ("ls", "rs", "le", "re", "lw", "rw")] == [5.0, 6.0, 7.0, 8.0, 9.0, 10.0]
+    row = T.as_text(spark.createDataFrame([(1.5, None, 0.25)], "ball_u double, ball_v double, ball_conf double")).first()
+    assert tuple(row) == ("1.50", "", "0.2500")
+
+
+def test_probe_needs_an_answer():
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+    port = server.getsockname()[1]
+    threading.Thread(target=lambda: (c := server.accept()[0]).sendall(b"RTSP/1.0 200 OK\r\n") or c.close(), daemon=True).start()
+    assert T.probe_stream(f"rtsp://127.0.0.1:{port}/x", 3.0)
+    server.close()
+    assert not T.probe_stream(f"rtsp://127.0.0.1:{port}/x", 0.5)
+
+
+def test_peaks_in_pieces_equal_those_of_the_whole(spark):
+    rnd = random.Random(17)
+    x = [0.0] * 3000
+    for _ in range(500):
+        k = rnd.randrange(2990)
+        for i in range(rnd.randrange(1, 6)):
+            x[k + i] = float(rnd.randrange(0, 90, 10))
+    signal = spark.createDataFrame([(c, k, v) for c in "ab" for k, v in enumerate(x)], "camera_name string, frame_id long, accel double")
+    whole = sorted((r.camera_name, r.frame_id) for r in Y.peaks(signal).collect())
+    assert sorted((r.camera_name, r.frame_id) for r in Y.peaks(signal, size=100, halo=8).collect()) == whole
+    # The same by the definition: plateaus, height, distance by height, prominence.
+    tops, i = [], 1
+    while i < len(x) - 1:
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j < len(x) - 1 and x[j + 1] < x[i]:
+            tops.append((i + j) // 2)
+        i = j + 1
+    tops = [t for t in tops if x[t] >= 30]
+    gone = set()
+    for t in sorted(tops, key=lambda t: (x[t], t), reverse=True):
+        if t not in gone:
+            gone |= {o for o in tops if o != t and abs(o - t) < 5}
+    want = []
+    for t in (t for t in tops if t not in gone):
+        left, right = t, t
+        while left > 0 and x[left - 1] <= x[t]:
+            left -= 1
+        while right < len(x) - 1 and x[right + 1] <= x[t]:
+            right += 1
+        if x[t] - max(min(x[left : t + 1]), min(x[t : right + 1])) >= 10:
+            want.append(t)
+    assert [f for c, f in whole if c == "a"] == want and len(want) > 100
+
+
+def test_correlation_by_blocks(spark):
+    rnd = random.Random(3)
+    a, b = ([rnd.random() for _ in range(700)] for _ in "ab")
+    signal = spark.createDataFrame([(c, k, v) for c, s in (("x", a), ("y", b)) for k, v in enumerate(s)], "camera_name string, frame_id long, accel double")
+    z = [(np.array(s) - np.mean(s)) / np.std(s) for s in (a, b)]
+    want = np.correlate(z[0], z[1], "full")
+    for corr, lags in ((Y.lag_correlation(signal, "x", "y", 40, block=100), range(-40, 41)), (Y.full_correlation(signal, "x", "y", block=128), range(-699, 700))):
+        got = {r.lag: r["corr"] for r in corr.collect()}
+        assert set(got) == set(lags) and all(abs(got[k] - want[k + 699]) < 1e-6 for k in lags)

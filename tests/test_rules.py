@@ -13,7 +13,7 @@ from rallyframe.sources import tables as T
 SCHEMA = "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
 
 
-def track(spark, points, camera="cam66"):
+def track(spark, points, camera="cam1"):
     """points: (frame, u, v[, conf[, detected]])."""
     return spark.createDataFrame([(camera, p[0], p[4] if len(p) > 4 else 1, p[1], p[2], p[3] if len(p) > 3 else 0.9) for p in points], SCHEMA)
 
@@ -23,7 +23,7 @@ def rules(df):
 
 
 def cams(spark, y_net=300.0, y_far=100.0, y_near=500.0, alpha=None, beta=None):
-    return T.cameras(spark, [("cam66", "S", y_net, y_far, 1.0, y_near, 1.0, alpha, beta, 25.0, 50.0, 10.0, None)])
+    return T.cameras(spark, [("cam1", "S", y_net, y_far, 1.0, y_near, 1.0, alpha, beta, 25.0, 50.0, 10.0, None)])
 
 
 def test_bounds_are_inside(spark):
@@ -121,6 +121,36 @@ def test_fixpoint_against_loops(spark):
     assert want and got == want
 
 
+def test_fixpoint_in_pieces_equals_that_of_the_whole(spark):
+    rnd = random.Random(9)
+    rows = [(c, k, 1, 500.0 + rnd.uniform(-15, 15) + 400 * (rnd.random() < 0.3), 500.0 + rnd.uniform(-15, 15), 0.9) for c in ("cam1", "cam2") for k in range(900) if rnd.random() < 0.9]
+    df = C.gate(spark.createDataFrame(rows, SCHEMA))
+    key = lambda d: sorted((r.camera_name, r.frame_id, r.outlier_rule) for r in d.collect())
+    whole = key(C.kinematic_fixpoint(df, cams(spark)))
+    # A halo that is too narrow is seen, and widened.
+    assert key(C.kinematic_fixpoint(df, cams(spark), size=64, halo=4)) == whole and sum(bool(r) for *_, r in whole) > 100
+
+
+def test_path_rule_against_a_loop(spark):
+    rnd = random.Random(10)
+    rows = [(f"c{c}", k, 1, 1.0, float(rnd.choice((100, 140, 300, 420))), rnd.choice((0.6, 0.7, 0.8))) for c in range(6) for k in range(60)]
+    got = {(r.camera_name, r.frame_id) for r in C.low_conf_path(C.gate(spark.createDataFrame(rows, SCHEMA))).filter("is_outlier").collect()}
+    want = set()
+    for c in range(6):
+        own, i = [r for r in rows if r[0] == f"c{c}"], 0
+        while i < len(own) - 1:
+            if abs(own[i][4] - own[i + 1][4]) < S.path_px:
+                i += 1
+                continue
+            part = own[i : i + S.path_window]
+            first = [r for r in part if abs(r[4] - own[i][4]) <= abs(r[4] - own[i + 1][4])]
+            other = [r for r in part if r not in first]
+            mean = lambda x: sum(r[5] for r in x) / len(x)
+            want |= {r[:2] for r in (other if mean(first) >= mean(other) else first)}
+            i += S.path_window
+    assert got == want and want
+
+
 def test_empty_table(spark):
     assert C.clean(spark.createDataFrame([], SCHEMA), cams(spark)).count() == 0
 
