@@ -195,13 +195,13 @@ def missed(source: DataFrame, shared: DataFrame, own: DataFrame, parts: DataFram
     if not left.limit(1).count():
         return left.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     again = side("x", left.join(own.select("rep", F.struct("n", "sig").alias("own")), "rep"), "i", "j")
-    right = y.join(again.drop("salts"), on(y, again, different), "left_semi").select("band", F.col("rep_y").alias("rep"), F.col("part_y").alias("part"), F.col("own_y.n").alias("n"))
-    left, right = left.drop("salt", "salts"), written(right.distinct(), "others")
-    blocks = right.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    right = y.join(again.drop("salts"), on(y, again, different), "left_semi").select("band", F.col("rep_y").alias("rep"), F.col("part_y").alias("part"), F.col("own_y.n").alias("n"), F.col("j").alias("salt"), "salts")
+    right = written(right.distinct(), "others")
+    blocks = right.groupBy("band", "salts").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).select("band", each.alias("salt"), "blocks")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    first = left.join(blocks, "band").select("band", "rep", "part", mine.alias("i"), every.alias("j"), F.lit(True).alias("x"))
-    second = right.join(blocks, "band").select("band", "rep", "part", mine.alias("j"), every.alias("i"), F.lit(False).alias("x")).select("band", "rep", "part", "i", "j", "x")
+    first = left.join(blocks, ["band", "salt"]).select("band", "rep", "part", mine.alias("i"), every.alias("j"), F.lit(True).alias("x"))
+    second = right.join(blocks, ["band", "salt"]).select("band", "rep", "part", mine.alias("j"), every.alias("i"), F.lit(False).alias("x")).select("band", "rep", "part", "i", "j", "x")
     kind = source.schema["id"].dataType
     name = kind.simpleString()
     ids = left.select("rep").union(right.select("rep")).distinct()
