@@ -24,8 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path for a table of this application."""
+    return f"{shared_dir(spark)}/rallyframe/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written once and read from there: plans stay short, and what several later stages read is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/rallyframe/{label}-{uuid.uuid4().hex}"
+    """df, written once and read from there: plans stay short, a lost executor loses nothing, and what several later stages read is computed once.
+
+    Results of the engine read such tables, so they stay until clear() is called.
+    """
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application stored; to be called when no result of it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rallyframe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
