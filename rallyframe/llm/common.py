@@ -2,53 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.storage import fresh_path, stored
+
+__all__ = ["GAP", "WORD", "fresh", "fresh_path", "in_slices", "keep_ids", "let", "table", "word_count", "words_of", "written"]
+#: Tables between steps lie in the shared folder; a lost executor loses nothing.
+written = stored
 
 #: White space between words, and a run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a stated id set that may be sent to every executor: 8 bytes each, so 8 MB at most.
-BROADCAST_IDS = 1_000_000
+#: Bytes of a set of ids that may be sent to every executor; an id takes ID_BYTES there, and a text as many more as it is long.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests in local mode) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="rallyframe-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    sc.setCheckpointDir(f"file://{made}")
-    return sc.getCheckpointDir()
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rallyframe/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}
@@ -79,15 +53,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of df whose key is in ids (one column, distinct).
 
-    ids go to every executor if they are counted and found to be few; beyond that both sides
+    ids go to every executor if they are measured and found to be small; beyond that both sides
     are shuffled on the key.
     """
     name = ids.columns[0]
     ids = ids.withColumnRenamed(name, key)
-    if ids.limit(limit + 1).count() <= limit:
+    length = F.lit(0) if isinstance(ids.schema[key].dataType, T.NumericType) else F.length(F.col(key).cast("string"))
+    head = ids.limit(most // ID_BYTES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("chars")).first()
+    if ID_BYTES * head.n + 4 * head.chars <= most:
         ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")
 

@@ -8,12 +8,15 @@ so each source gives its budget to the word.
 
 At scale: the key space is cut into 4096 ranges per source. Sums of each range and a running sum over
 them give where a range starts; within a range rows are sorted by key. So no task sorts more than a
-4096th of a source, and a source with a third of all rows is no bottleneck. One shuffle by (source,
-range); the tables of ranges and of sources have one row each and are all that meets in one task.
-
-Defined cases: a null or empty text has size 0 and is never taken; null is a source of its own, last
-in order; equal keys (repeated rows) are ordered by id and size, so reruns agree; an empty
-table gives an empty result. Columns with clashing names are kept apart by fresh names.
+4096th of a source, and a source with a third of all rows is no bottleneck. Keys are drawn from id and text, so rows without
+an id, or with one id, are dealt out too; only rows that are equal in both share a range, and meet in one task. One shuffle by
+(source, range). What meets in one task else is a row a source, in the windows of targets(), and the 4096 ranges of a source;
+a source is a table or site, thousands at most.
+
+Defined cases: a null or empty text has size 0 and is never taken; texts of any length are counted whole; null is a source of
+its own, last in order; equal keys (repeated rows) are ordered by id and size, so reruns agree; an empty
+table gives an empty result. Columns with clashing names are kept apart by fresh names; those named like a result are not
+carried.
 """
 
 from __future__ import annotations
@@ -53,17 +56,17 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """
     added = ("size", "source_size", "target", "taken")
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
-    s, k, r = fresh(docs, "of_source", "sort_key", "key_range")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit(""))).cast("binary"))
+    s, k, r, at = fresh(docs, "of_source", "sort_key", "key_range", "own_id")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))).cast("binary"))
     # A null source must meet itself in joins: a leading letter tells null from any string.
     named = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("null"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id}`").alias("_at"), named.alias(s), word_count(F.col(f"`{text}`")).alias("size"), key.alias(k)).withColumn(r, F.substring(k, 1, 3))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id}`").alias(at), named.alias(s), word_count(F.col(f"`{text}`")).alias("size"), key.alias(k)).withColumn(r, F.substring(k, 1, 3))
     ranges = docs.select(named.alias("s"), key.alias("k"), word_count(F.col(f"`{text}`")).alias("n")).groupBy("s", F.substring("k", 1, 3).alias("r")).agg(F.sum("n").alias("n"))
     plan = targets(ranges.groupBy("s").agg(F.sum("n").alias("source_size")).select(F.when(F.col("s") != "null", F.expr("substring(s, 2)")).alias("source"), "source_size"), weights, cap, share)
     plan = plan.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("ps"), "source_size", "target")
     along = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).join(plan, F.col("s") == F.col("ps")).select(F.col("s").alias(s), F.col("r").alias(r), "start", "source_size", "target")
-    within = Window.partitionBy(s, r).orderBy(k, F.col("_at").cast("string"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(s, r).orderBy(k, F.col(at).cast("string"), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, [s, r])
     return placed.select(*[F.col(f"`{c}`") for c in carry], "size", "source_size", "target", taken(F.col("size"), F.col("before") + F.col("start"), F.col("source_size"), F.col("target")).alias("taken"))
 
@@ -78,7 +81,7 @@ def taken(size: Column, before: Column, source_size: Column, target: Column) ->
 #: The same rows in SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
   CAST(3 * source_size AS DOUBLE) AS most, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),

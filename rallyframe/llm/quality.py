@@ -10,8 +10,8 @@ of votes occurs, at most 3 ** rules rows however large the corpus, so that table
 driver. The verdict is then an expression over a document's own votes.
 
 Defined cases: a null or empty text has no words and fails the base rules; texts of any length are
-judged whole; repeated rows are judged alike and all stay; an empty table gives an empty result.
-Columns whose names clash with the ones used here are left alone.
+judged whole; repeated rows, and rows with null id, are judged alike and all stay; a posterior of exactly the threshold passes;
+an empty table gives an empty result. Columns whose names clash with the ones used here are left alone.
 """
 
 from __future__ import annotations

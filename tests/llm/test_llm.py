@@ -488,8 +488,9 @@ def test_terms_equal_plain_loops(spark, monkeypatch, few):
 def test_mixing_equals_sql(spark):
     rnd = random.Random(1)
     rows = [(rnd.randrange(60), None if rnd.random() < 0.05 else " ".join(words(rnd, rnd.randrange(40))), "en", rnd.choice(["a", "b", "\u00e9", "", None, "null", "snull"]), 1) for _ in range(300)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("k", F.lit(1))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"k": F.lit(1), "size": F.lit("x"), "Taken": F.lit("y"), "of_source": F.lit(2)})
     got = sorted(tuple(r) for r in mixing.mix(docs, carry=["doc_id"]).collect())
+    assert mixing.mix(docs).columns == [c for c in docs.columns if c not in ("size", "Taken")] + ["size", "source_size", "target", "taken"]
     db = duckdb.connect()
     db.register("documents", docs.toPandas().astype({"doc_id": "int64"}))
     want = sorted(tuple(r) for r in db.sql(mixing.SQL).fetchall())
@@ -502,6 +503,8 @@ def test_mixing_equals_sql(spark):
         assert r.taken <= 3 * r.size
     assert all(abs(taken - target) <= 1 for taken, target in by.values())
     assert mixing.mix(docs.limit(0)).count() == 0
+    none = mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert none.filter("doc_id is null").count() == 300 and none.agg(F.sum("taken")).first()[0] > 0
 
 
 # URLs
@@ -592,6 +595,69 @@ def test_equal_seeds_do_not_block(spark):
     assert len(got) == len(rows) and by[2] == by[12] == {"allow"} and by[91] == by[None] == {"block"}
 
 
+def brute_votes(text):
+    """The rules, restated: -1 bad, 0 abstains, 1 good."""
+    text = text or ""
+    n, chars, symbols, dup, again = brute_features(text)
+    rows = [x for x in text.split("\n") if GAP.search(x)]
+    upper, punct = sum("A" <= c <= "Z" for c in text), sum(c in ".,;:!?" for c in text)
+    ended = sum(bool(re.search(r"[.!?][\x20\x09\x0B-\x0D]*$", x)) for x in text.split("\n"))
+    both = [
+        (n < 20, n >= 50),
+        (chars < 3 * n or 10 * chars > 85 * n, 4 * n <= chars <= 7 * n),
+        (10 * symbols > n, symbols == 0),
+        (10 * dup > 3 * len(rows), 10 * dup <= len(rows)),
+        (10 * again > 3 * n, 20 * again <= n),
+        (10 * upper > 3 * chars, 10 * upper <= chars),
+        (5 * punct > 4 * n, 100 * punct >= 3 * n and 2 * punct <= n),
+        (ended == 0, 2 * ended >= len(rows) > 0),
+    ]
+    return [-1 if bad else 1 if good else 0 for bad, good in both], n < 20 or 100 * again > 30 * n
+
+
+def brute_posteriors(votes):
+    """Expectation-maximisation over rows, with the bound on false alarms."""
+    v = np.array(votes) + 1
+    prior, chance = 0.85, np.array([[[0.3, 0.2, 0.5], [0.002, 0.1, 0.898]]] * v.shape[1])
+    last = -math.inf
+    for _ in range(60):
+        like = np.stack([np.log(1 - prior if side == 0 else prior) + sum(np.log(chance[j, side, v[:, j]]) for j in range(v.shape[1])) for side in (0, 1)])
+        total = np.logaddexp(*like)
+        good = np.exp(like[1] - total)
+        prior = min(max((good.sum() + 1) / (len(v) + 2), 0.01), 0.99)
+        for j in range(v.shape[1]):
+            for side, w in ((0, 1 - good), (1, good)):
+                seen = np.array([w[v[:, j] == k].sum() + 0.5 for k in range(3)])
+                chance[j, side] = seen / seen.sum()
+            bad = min(chance[j, 1, 0], 0.004)
+            chance[j, 1] = [bad, *(chance[j, 1, 1:] * (1 - bad) / chance[j, 1, 1:].sum())]
+        if total.sum() - last < 1e-7 * abs(total.sum()):
+            break
+        last = total.sum()
+    like = [math.log(1 - prior if side == 0 else prior) + sum(np.log(chance[j, side, v[:, j]]) for j in range(v.shape[1])) for side in (0, 1)]
+    return 1 / (1 + np.exp(like[0] - like[1]))
+
+
+def test_verdicts_equal_fitting_over_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(None, "x", "en", "s", 1), (10**6, None, "en", "s", 1), (0, "word " * 40, None, None, None), (10**6 + 1, "Many words here are fine. " * 2000, "en", "s", 1)], DOCS)
+    docs = docs.union(odd).union(docs.limit(3)).withColumn("posterior", F.lit("x"))
+    rows = docs.collect()
+    judged = [brute_votes(r.text) for r in rows]
+    want = brute_posteriors([v for v, _ in judged])
+    by = defaultdict(list)
+    for r, (_, failed), p in zip(rows, judged, want, strict=True):
+        by[r.doc_id, r.text].append((round(float(p), 6), bool(not failed and p >= 0.5)))
+    out, name = quality.judge(docs, "text", ["doc_id", "text"])
+    got = defaultdict(list)
+    for r in out.select("doc_id", "text", f"{name}.posterior", f"{name}.kept").collect():
+        got[r.doc_id, r.text].append((round(r.posterior, 6), r.kept))
+    assert set(got) == set(by) and all(len(got[k]) == len(by[k]) for k in by)
+    assert all(abs(a[0] - b[0]) < 1e-4 and a[1] == b[1] for k in by for a, b in zip(got[k], by[k], strict=True))
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(k for x in by.values() for _, k in x)
+
+
 def plans_of(monkeypatch, module, run):
     """Physical plans of all tables that run() writes and of what it returns."""
     seen, plain = [], module.written
