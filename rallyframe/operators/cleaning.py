@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine, distance, rounded, speed, thresholds
+from ..plans.storage import stored
 from ..settings import DEFAULTS, KEYS, Settings
 from .windows import along, backwards, in_pieces, islands, so_far, spaced
 
@@ -178,6 +179,7 @@ def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAU
     """
     w = along(keys)
     v = F.col("ball_v")
+    df = stored(df, "rules")  # read three times below
     live = df.filter(alive()).select(*keys, "frame_id", "ball_v", "ball_conf")
     live = live.withColumns({"_pos": F.row_number().over(w), "_next": F.lead("ball_v").over(w), "_n": F.count("*").over(Window.partitionBy(*keys))})
     jumps = live.filter((F.col("_n") >= 4) & (F.abs(v - F.col("_next")) >= s.path_px)).select(*keys, "_pos", F.col("ball_v").alias("_a"), F.col("_next").alias("_b"))

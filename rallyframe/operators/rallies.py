@@ -20,14 +20,16 @@ def numbered(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def fill_by_rows(df: DataFrame, columns: Sequence[str], limit: int = DEFAULTS.motion_limit, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fills the first `limit` rows of each gap on the line, by rows, between its ends; after the last value with that."""
     w, back = so_far(along(keys)), so_far(backwards(keys))
+    at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("row_idx").alias("i"), F.col(c).alias("x"))) for c in columns}
+    df = df.withColumns({f"_p_{c}": F.last(x, ignorenulls=True).over(w) for c, x in at.items()})
+    df = df.withColumns({f"_q_{c}": F.last(x, ignorenulls=True).over(back) for c, x in at.items()})
+    out = {}
     for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col("row_idx").alias("i"), F.col(c).alias("x")))
-        df = df.withColumn("_at", at).withColumns({"_p": F.last("_at", ignorenulls=True).over(w), "_q": F.last("_at", ignorenulls=True).over(back)})
-        p, q = F.col("_p"), F.col("_q")
+        p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
         step = F.col("row_idx") - p["i"]
         line = p["x"] + (q["x"] - p["x"]) / F.when(q["i"] != p["i"], q["i"] - p["i"]) * step
-        df = df.withColumn(c, F.coalesce(F.col(c), F.when(step <= limit, F.coalesce(line, p["x"])))).drop("_at", "_p", "_q")
-    return df
+        out[c] = F.coalesce(F.col(c), F.when(step <= limit, F.coalesce(line, p["x"])))
+    return df.withColumns(out).drop(*[f"_{x}_{c}" for x in "pq" for c in columns])
 
 
 def motion(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
