@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.storage import fresh_path, stored
+from ..plans.storage import discard, fresh_path, stored
 
-__all__ = ["GAP", "WORD", "fresh", "fresh_path", "in_slices", "keep_ids", "let", "table", "word_count", "words_of", "written"]
+__all__ = ["GAP", "WORD", "discard", "fresh", "fresh_path", "in_slices", "keep_ids", "let", "table", "word_count", "words_of", "written"]
 #: Tables between steps lie in the shared folder; a lost executor loses nothing.
 written = stored
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import in_slices, keep_ids, written
+from .common import discard, in_slices, keep_ids, written
 from .components import components
 from .tokens import shingles, word_ids, words_of
 
@@ -401,7 +401,7 @@ def sharper(node: int, windows: list[tuple], spans: list[tuple], least: int, wid
     windows: (key, lo, at, hi, center); spans in words. Runs that hold both smallest tokens have both min-hashes. Where both
     min-hashes have one centre, all their texts have been compared with it: it is left out itself.
     """
-    out = []
+    out = set()
     by = sorted(windows, key=lambda w: w[2])
     places = [w[2] for w in by]
     starts, ends = [], []  # of the tokens that spans cover, merged
@@ -424,8 +424,8 @@ def sharper(node: int, windows: list[tuple], spans: list[tuple], least: int, wid
                 continue
             both = (min(key, other) * 0x9E3779B97F4A7C15 ^ max(key, other)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
             middle = (at + at2) // 2
-            out.append((both - 2**63, middle, room(middle)))
-    return out
+            out.add((both - 2**63, middle, room(middle)))
+    return list(out)
 
 
 PLACES = "node long, part long, key long, at int, open boolean"
@@ -483,16 +483,18 @@ def stretches(xs: list[np.ndarray], ys: list[np.ndarray], least: int, percent: i
         at[at == len(known)] = 0
         padded[k, : len(x)], raw[k, : len(x)] = np.where(known[at] == x, at + 1, 0), x
     out = np.zeros((2, len(xs), len(ys)), np.bool_)
-    step = max(1, 1_000_000 // (len(ys) * longest))
+    step = max(1, 2_000_000 // (len(ys) * longest))
     for k in range(0, len(xs) if longest >= least else 0, step):
         seen = inside[:, padded[k : k + step]]  # by y, x and place
-        for which, (part, whole) in enumerate(((percent, 100), (2 * percent, 100 + percent))):
-            sums = np.zeros((*seen.shape[:2], longest + 1), np.int32)
-            np.cumsum(np.where(seen, np.int32(whole - part), np.int32(-part)), axis=2, out=sums[:, :, 1:], dtype=np.int32)
-            low = np.minimum.accumulate(sums, axis=2)
-            out[which, k : k + step] = (sums[:, :, least:] >= low[:, :, : longest + 1 - least]).any(axis=2).T
-            if not out[which, k : k + step].any():
-                break
+        # A stretch has no fewer tokens in common than the shortest needs.
+        j, i = np.nonzero(100 * np.count_nonzero(seen, axis=2) >= percent * least)
+        for at in range(0, len(i), 20_000):
+            some, x, y = seen[j[at : at + 20_000], i[at : at + 20_000]], k + i[at : at + 20_000], j[at : at + 20_000]
+            for which, (part, whole) in enumerate(((percent, 100), (2 * percent, 100 + percent))):
+                sums = np.zeros((len(some), longest + 1), np.int32)
+                np.cumsum(np.where(some, np.int32(whole - part), np.int32(-part)), axis=1, out=sums[:, 1:], dtype=np.int32)
+                low = np.minimum.accumulate(sums, axis=1)
+                out[which, x, y] = (sums[:, least:] >= low[:, : longest + 1 - least]).any(axis=1)
     ordered = np.sort(raw, axis=1)
     out[:, (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)] = True
     return out[0], out[1]
@@ -518,9 +520,11 @@ def apart(xs: list[dict], ys: list[dict], least: int, width: int, percent: int):
         rows = np.flatnonzero(in_x.any(axis=1))
         if not len(rows):
             return
-        in_y, much_y = stretches(tokens[1], [tokens[0][i] for i in rows], least, percent)
-        for i, j in zip(*np.nonzero(in_x[rows] & in_y.T & (much_x[rows] | much_y.T)), strict=True):
-            x, y = xs[rows[i]], ys[j]
+        columns = np.flatnonzero(in_x.any(axis=0))
+        in_y, much_y = stretches([tokens[1][j] for j in columns], [tokens[0][i] for i in rows], least, percent)
+        here = np.ix_(rows, columns)
+        for i, j in zip(*np.nonzero(in_x[here] & in_y.T & (much_x[here] | much_y.T)), strict=True):
+            x, y = xs[rows[i]], ys[columns[j]]
             p, q = root(x["part"]), root(y["part"])
             here, there = (x["node"], x["at"]), (y["node"], y["at"])
             if here[0] == there[0] or p == q and not (y["second"] and (still[here] or still[there])):
@@ -532,11 +536,15 @@ def apart(xs: list[dict], ys: list[dict], least: int, width: int, percent: int):
                 still[here] = still[there] = False
                 joined[max(p, q)] = min(p, q)
 
+    # Places that are both away meet twice, once in each order: the smaller text's turn is enough.
+    xs, ys = (sorted(side, key=lambda r: r["node"]) for side in (xs, ys))
     second = [r for r in ys if r["second"]]
     for some, others in (([r for r in xs if r["away"]], ys), ([r for r in xs if r["open"] and not r["away"]], second)):
         for a in range(0, len(some), 256):
             for b in range(0, len(others), 256):
-                yield from compare(some[a : a + 256], others[b : b + 256])
+                left, right = some[a : a + 256], others[b : b + 256]
+                if not (right[-1]["node"] < left[0]["node"] and all(r["away"] for r in right)):
+                    yield from compare(left, right)
 
 
 def _linker(least: int, width: int, percent: int):
@@ -572,11 +580,12 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     listed = windows.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "at", "hi", "center")).alias("windows"))
     each = listed.join(spans, "node", "left").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "windows", "spans")
-    places = written(each.mapInArrow(_sharpener(words, width), PLACES).distinct(), "places")
+    places = written(each.mapInArrow(_sharpener(words, width), PLACES), "places")
     keys = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("second"), F.max(F.when(F.col("open"), F.col("node"))).alias("last"), F.min("part").alias("home"), F.max("part").alias("other"), F.min("node").alias("low"), F.max("node").alias("high"))
     keys = keys.filter("low <> high and (second <> last or home <> other)").select("key", "home", "second", (F.col("home") != F.col("other")).alias("several"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = places.join(keys, "key").withColumn("second", F.coalesce((F.col("node") == F.col("second")) & F.col("open"), F.lit(False)))
     met = written(met.filter("several or open").select("key", "several", "blocks", "node", "part", "at", "open", "second", (F.col("part") != F.col("home")).alias("away")), "apart")
+    discard(places)
     wanted = met.groupBy("node").agg(F.collect_set("at").alias("places"))
     sliced = texts_of(own, member, met.select("node").distinct()).join(wanted, "node").select("node", "text", "places")
     sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<int>").withColumn("content", F.xxhash64("tokens", F.size("tokens"))), "slices")
@@ -585,9 +594,9 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     x = met.filter("away or open and not second").select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("first"), "away", *same)
     # Equal tokens of one component: two of them stand for all, so that each place meets one of another text.
     ends = [f(F.struct("node", "at")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))]
-    y = met.filter("several or second").join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "second", "content").agg(*ends)
-    y = y.select("key", "blocks", "part", "open", "second", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "second", "p.node", "p.at")
-    y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), F.lit(False).alias("away"), *same).select(*x.columns)
+    y = met.filter("several or second").join(sliced.select("node", "at", "content"), ["node", "at"]).groupBy("key", "blocks", "part", "open", "second", "away", "content").agg(*ends)
+    y = y.select("key", "blocks", "part", "open", "second", "away", F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("key", "blocks", "part", "open", "second", "away", "p.node", "p.at")
+    y = y.select("key", mine.alias("j"), every.alias("i"), F.lit(False).alias("first"), "away", *same).select(*x.columns)
     both = x.unionByName(y).join(sliced, ["node", "at"]).select("key", "i", "j", "first", "away", "node", "part", "open", "second", "at", "low", "tokens")
     both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return both.mapInArrow(_linker(least, width, percent), PASSAGE)
@@ -608,8 +617,11 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
         return rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center")
 
     copies = member.filter("node <> rep")
-    met = written(window.join(shared(window), "key").drop("center").join(copies.select("node"), "node", "left_anti"), "met")
-    met = written(met.join(shared(met), "key"), "shared")
+    held = written(window.join(shared(window), "key").drop("center").join(copies.select("node"), "node", "left_anti"), "met")
+    own_places = written(cut.filter(F.size("own") > 0).select("id", "own"), "own")
+    discard(cut)
+    met = written(held.join(shared(held), "key"), "shared")
+    discard(held)
     r = met.filter("node = center").select("key", F.struct("lo", "at", "hi").alias("r"))
     each = F.struct(F.expr("cast(key & 7 as int)").alias("f"), "lo", "at", "hi", F.col("r.lo").alias("rlo"), F.col("r.at").alias("rat"), F.col("r.hi").alias("rhi"))
     pairs = met.filter("node <> center").join(r, "key").groupBy("node", F.col("center").alias("rep")).agg(F.collect_list(each).alias("found"), F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("functions"))
@@ -617,11 +629,12 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     texts = written(texts_of(own, member, pairs.select("node").union(pairs.select("rep")).distinct()), "texts")
     full = pairs.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "regions", "text", "rep_text")
     between = written(full.mapInArrow(_verifier(words, width, percent), PASSAGE), "between")
+    discard(texts)
     between = between.union(missed(own, member, met, between, words, width, percent)).distinct()
     name = member.select("node", "id")
     ours = between.join(name, "node").join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", "start", "end", "rep_id", "rstart", "rend")
     equal = copies.join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", F.lit(0).alias("start"), F.col("n_words").alias("end"), "rep_id", F.lit(0).alias("rstart"), F.col("n_words").alias("rend")).filter("id <> rep_id")
-    within = cut.select("id", F.explode("own").alias("p")).selectExpr("id", "p[0] start", "p[1] end", "id rep_id", "p[2] rstart", "p[3] rend")
+    within = own_places.select("id", F.explode("own").alias("p")).selectExpr("id", "p[0] start", "p[1] end", "id rep_id", "p[2] rstart", "p[3] rend")
     swap = F.col("id") < F.col("rep_id")
     turned = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(n) for a, b, n in (("id", "rep_id", "id"), ("start", "rstart", "start"), ("end", "rend", "end"), ("rep_id", "id", "rep"), ("rstart", "start", "rstart"), ("rend", "end", "rend"))]
     return ours.union(equal).union(within).select(*turned).distinct()
