@@ -343,6 +343,37 @@ def payload_json(spark, sf_dir):
     return payloads_of(spark, sf_dir)
 
 
+def court(x: str, y: str, a: str = "x", b: str = "y") -> str:
+    return _COURT(x, y).replace(" AS x,", f" AS {a},").removesuffix(" AS y") + f" AS {b}"
+
+
+_SIDE = "struct<totalShots:int,totalDistance:double,avgMoveSpeed:double,maxMoveSpeed:double,aceCount:int>"
+_HITS = "array<struct<x:double,y:double,type:string,speed:double,handType:string>>"
+_TRACK = "array<struct<x:double,y:double,type:string,speed:int,timestamp:bigint,farCountPerson_x:double,farCountPerson_y:double,nearCountPerson_x:double,nearCountPerson_y:double>>"
+_REPORT = f"struct<content:struct<mete:struct<farCount:{_SIDE},nearCount:{_SIDE}>,resultmatrix:{_HITS},trackMatrix:{_TRACK}>>"
+
+
+def parsed_payloads(spark, sf_dir) -> DataFrame:
+    return payloads_of(spark, sf_dir).select("camera_name", "rally_id", F.from_json("payload", _REPORT).alias("p")).select("camera_name", "rally_id", "p.content.*")
+
+
+@query(f"SELECT camera_name, rally_id, CAST(row_number() OVER (PARTITION BY camera_name, rally_id ORDER BY frame_id) - 1 AS INTEGER) AS place, frame_id AS timestamp, 'running' AS type, 0 AS speed, {court('ball_x', 'ball_y')}, {court('far_x', 'far_y', 'farCountPerson_x', 'farCountPerson_y')}, {court('near_x', 'near_y', 'nearCountPerson_x', 'nearCountPerson_y')} FROM lo WHERE rally_id IS NOT NULL AND ball_x IS NOT NULL")
+def payload_tracks(spark, sf_dir):
+    return parsed_payloads(spark, sf_dir).select("camera_name", "rally_id", F.posexplode("trackMatrix").alias("place", "t")).select("camera_name", "rally_id", "place", "t.*")
+
+
+@query(f"SELECT camera_name, rally_id, CAST(row_number() OVER (PARTITION BY camera_name, rally_id ORDER BY frame_id) - 1 AS INTEGER) AS place, 'hit' AS type, 'forehand' AS handType, {r('ball_kmh', 1)} AS speed, {court('ball_x', 'ball_y')} FROM sp WHERE rally_id IS NOT NULL AND ball_x IS NOT NULL AND (camera_name, frame_id) IN (SELECT (camera_name, frame_id) FROM cr)")
+def payload_hits(spark, sf_dir):
+    return parsed_payloads(spark, sf_dir).select("camera_name", "rally_id", F.posexplode("resultmatrix").alias("place", "t")).select("camera_name", "rally_id", "place", "t.*")
+
+
+@query("SELECT p.camera_name, p.rally_id, p.role, b.total_shots, p.total_distance, p.avg_move_speed, p.max_move_speed, 0 AS ace_count FROM ps p JOIN bs b USING (camera_name, rally_id)")
+def payload_players(spark, sf_dir):
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("role"), F.col(f"mete.{n}Count").alias("s")) for n in ("far", "near")]))
+    rows = parsed_payloads(spark, sf_dir).select("camera_name", "rally_id", both.alias("b")).select("camera_name", "rally_id", "b.role", "b.s.*")
+    return rows.toDF("camera_name", "rally_id", "role", "total_shots", "total_distance", "avg_move_speed", "max_move_speed", "ace_count")
+
+
 @query("SELECT camera_name, count(*) AS n_sent FROM ra GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM ra")
 def payloads_sent(spark, sf_dir):
     return sinks.sent_counts(sinks.post(payloads_of(spark, sf_dir)))
@@ -490,22 +521,38 @@ def labels_of_files(spark, sf_dir):
     return e.groupBy("label").agg(F.count("*").alias("n"), F.bool_or("stream").alias("stream")).select("label", T.calibration_path(F.col("label")).alias("path"), "n", "stream")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events", False)
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events", False)
 def iso_times(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", G.iso_seconds(F.col("ts")).alias("iso"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", G.iso_seconds(F.col("ts")).alias("iso"))
+    return e.withColumn("seconds", F.unix_seconds(G.parse_iso(F.col("iso"))))
+
+
+_KNOWN = {f"{p}_{j}" for p in ("p0", "p1") for j in ("ls", "rs")}
+
 
+def _joint(c: str) -> str:
+    known = c.rsplit("_", 1)[0] in _KNOWN
+    return f"{'NULL::DOUBLE' if not known else '0.87654::DOUBLE' if c.endswith('conf') else f'{c} / 3'} AS {c}"
 
-@query("SELECT camera_name, frame_id, detected, CASE WHEN detected = 1 THEN ball_u END AS ball_u, CASE WHEN detected = 1 THEN ball_v END AS ball_v, p0_ls_u, p1_rs_v FROM det")
+
+_JOINTS_SQL = ", ".join(_joint(c) for c, _ in T.JOINT_COLUMNS)
+_ROUNDED = ", ".join(f"{r(c, 4 if c.endswith('conf') else 2)} AS {c}" for c, _ in T.JOINT_COLUMNS)
+_BOXES = ", ".join(f"{r(f'CASE WHEN frame_id % 2 = 0 THEN frame_id * {k + 1} / 7.0::DOUBLE END', 1)} AS {c}" for k, (c, _) in enumerate(T.BOX_COLUMNS))
+
+
+@query(f"SELECT camera_name, frame_id, detected, CASE WHEN detected = 1 THEN {r('ball_u / 7', 2)} END AS ball_u, CASE WHEN detected = 1 THEN {r('ball_v / 7', 2)} END AS ball_v, {r('ball_conf / 3', 4)} AS ball_conf, {_ROUNDED}, {_BOXES} FROM (SELECT camera_name, frame_id, detected, ball_u, ball_v, ball_conf, {_JOINTS_SQL} FROM det)")
 def flattened_frames(spark, sf_dir):
-    joint = lambda p, j: f"named_struct('u', {p}_{j}_u, 'v', {p}_{j}_v, 'conf', cast(0.9 as double))"
+    joint = lambda p, j: f"named_struct('u', {p}_{j}_u / 3, 'v', {p}_{j}_v / 3, 'conf', cast(0.87654 as double))"
     none = "cast(null as struct<u:double,v:double,conf:double>)"
-    player = lambda p: f"named_struct('ls', {joint(p, 'ls')}, 'rs', {joint(p, 'rs')}, 'le', {none}, 're', {none}, 'lw', {none}, 'rw', {none}, 'bbox', cast(null as struct<x1:double,y1:double,x2:double,y2:double>))"
-    nested = detections_of(spark, sf_dir).selectExpr("camera_name", "frame_id", "named_struct('detected', detected = 1, 'u', ball_u, 'v', ball_v, 'conf', ball_conf) as ball", f"array({player('p0')}, {player('p1')}) as players")
-    return T.flatten_frames(nested).select("camera_name", "frame_id", "detected", "ball_u", "ball_v", "p0_ls_u", "p1_rs_v")
+    box = lambda k: "if(frame_id % 2 = 0, named_struct(" + ", ".join(f"'{x}', frame_id * {k + i} / cast(7 as double)" for i, x in enumerate(("x1", "y1", "x2", "y2"), 1)) + "), null)"
+    player = lambda p, k: f"named_struct('ls', {joint(p, 'ls')}, 'rs', {joint(p, 'rs')}, 'le', {none}, 're', {none}, 'lw', {none}, 'rw', {none}, 'bbox', {box(k)})"
+    nested = detections_of(spark, sf_dir).selectExpr("camera_name", "frame_id", "named_struct('detected', detected = 1, 'u', ball_u / 7, 'v', ball_v / 7, 'conf', ball_conf / 3) as ball", f"array({player('p0', 0)}, {player('p1', 4)}) as players")
+    return T.flatten_frames(nested)
+
+
+_SEEN = f"detected = 1 AND ball_conf >= {S.conf_thr}"
 
 
-@query(f"SELECT camera_name, frame_id, CASE WHEN detected = 1 AND ball_conf >= {S.conf_thr} THEN 1 ELSE 0 END AS detected, CASE WHEN detected = 1 AND ball_conf >= {S.conf_thr} THEN ball_u END AS ball_u FROM det")
+@query(f"SELECT camera_name, frame_id, CASE WHEN {_SEEN} THEN 1 ELSE 0 END AS detected, CASE WHEN {_SEEN} THEN ball_u END AS ball_u, CASE WHEN {_SEEN} THEN ball_v END AS ball_v, ball_conf FROM det")
 def detection_gate(spark, sf_dir):
-    seen = (F.col("detected") == 1) & (F.col("ball_conf") >= S.conf_thr)
-    return detections_of(spark, sf_dir).select("camera_name", "frame_id", F.when(seen, 1).otherwise(0).alias("detected"), F.when(seen, F.col("ball_u")).alias("ball_u"))
+    return R.gated(detections_of(spark, sf_dir).select(*BALLS))

@@ -87,6 +87,12 @@ def from_heat(peak: DataFrame, width: int, height: int, frame_width: int, frame_
     return peak.select("camera_name", "frame_id", seen.cast("int").alias("detected"), F.when(seen, u).alias("ball_u"), F.when(seen, v).alias("ball_v"), F.col("conf").alias("ball_conf"))
 
 
+def gated(df: DataFrame, threshold: float = DEFAULTS.conf_thr) -> DataFrame:
+    """Detections by a model's confidence: below the threshold nothing is detected, and there is no place."""
+    seen = (F.coalesce(F.col("detected"), F.lit(0)) == 1) & F.coalesce(F.col("ball_conf") >= threshold, F.lit(False))
+    return df.withColumns({"detected": seen.cast("int"), "ball_u": F.when(seen, F.col("ball_u")), "ball_v": F.when(seen, F.col("ball_v"))})
+
+
 def common_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many frames both have."""
     return a.select("frame_id").intersect(b.select("frame_id")).agg(F.count("*").alias("n_common"))
