@@ -61,12 +61,12 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
         counted = let(order, lambda s: F.aggregate(equal(s), start, add, lambda state: state["n"]))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(counted)
 
-    def of(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - (width - 1))
-        hashes = F.transform(at, lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(F.size(w) < width, F.lit(0)).otherwise(let(hashes, covered))
+    def of(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(h) - width)
+        hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+        return F.when(F.size(h) < width, F.lit(0)).otherwise(let(hashes, covered))
 
-    return let(words, of)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)  # each word is hashed once
 
 
 def features(text: Column) -> Column:
