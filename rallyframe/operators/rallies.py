@@ -110,6 +110,14 @@ def rally_of_frames(df: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS)
     return both.withColumn("rally_id", F.when(F.col("frame_id") <= F.col("_r.end_frame"), F.col("_r.rally_id"))).drop("_r", "_k")
 
 
+def frames_inside(df: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows of the frames from start to end; a range without any raises."""
+    out = df.filter(F.col("frame_id").between(start, end))
+    if not out.limit(1).count():
+        raise ValueError(f"no frame from {start} to {end}")
+    return out
+
+
 def crossings_per_rally(found: DataFrame, hits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """shots of each rally, 0 if none."""
     inside = rally_of_frames(hits, found, keys).filter("rally_id is not null").groupBy(*keys, "rally_id").agg(F.count("*").alias("shots"))

@@ -91,6 +91,35 @@ def test_fill_by_rows_like_a_limited_line(spark):
     assert got == [None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, None, None, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, None]
 
 
+def test_frames_inside_a_range(spark):
+    df = spark.range(10).withColumnRenamed("id", "frame_id")
+    assert L.frames_inside(df, 3, 5).count() == 3
+    with pytest.raises(ValueError, match="no frame"):
+        L.frames_inside(df, 20, 30)
+
+
+def test_rallies_over_frames_with_holes(spark):
+    rnd = random.Random(6)
+    rows, hits = [], []
+    for c in "abc":
+        own = sorted(rnd.sample(range(3000), 1200))
+        rows += [(c, f) for f in own]
+        hits += [(c, f) for f in sorted(rnd.sample(own, 9))]
+    schema = "camera_name string, frame_id long"
+    got = {(r.camera_name, r.rally_id): (r.start_frame, r.end_frame) for r in L.rallies(spark.createDataFrame(rows, schema), spark.createDataFrame(hits, schema)).collect()}
+    want = {}
+    for c in "abc":
+        groups: list[list[int]] = []
+        for f in (f for k, f in hits if k == c):
+            if not groups or f - groups[-1][-1] > 200:
+                groups.append([])
+            groups[-1].append(f)
+        for k, g in enumerate(groups, 1):
+            inside = [f for x, f in rows if x == c and g[0] - 75 <= f <= g[-1] + 75]
+            want[c, k] = (inside[0], inside[-1])
+    assert got == want
+
+
 def test_merge_empty_rallies(spark):
     df = spark.createDataFrame([("a", k + 1, 10 * k, 10 * k + 9, s) for k, s in enumerate((0, 2, 0, 0, 1, 0))], "camera_name string, rally_id int, start_frame long, end_frame long, shots long")
     got = [(r.rally_id, r.start_frame, r.end_frame, r.shots) for r in L.merge_empty(df).orderBy("rally_id").collect()]
