@@ -10,7 +10,7 @@ keep the HTTP head (with the payload's length), its digest, and the id referred
 
 At scale: payloads are not shuffled unless the table of repeated digests is large; then that join
 can be split by Spark, so one payload that fills a third of all rows does no harm. Reading sorts index
-rows only, into ranges whose number follows from the bytes to read. Archives lie in the folder all executors share, through any file system that pyarrow knows.
+rows only: stretches of files are dealt out to tasks whose number follows from the bytes to read. Archives lie in the folder all executors share, through any file system that pyarrow knows.
 
 Defined cases: null html is an empty payload, and empty payloads are equal; null urls have no target
 header; payloads of any length are written and read whole, one at a time; rows with equal id and payload are each a response if
@@ -36,7 +36,7 @@ from .common import fresh_path, written
 BROADCAST_DIGESTS = 200_000
 #: Largest byte range read at once, and largest gap read over.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
-#: Compressed bytes that a reading task gets, more only where there would be over MOST_TASKS.
+#: Bytes of a stretch of a file that one task reads, and of all that a task gets, more only where there would be over MOST_TASKS.
 TASK_BYTES, MOST_TASKS = 1 << 20, 50_000
 ID = "urn:x-page:"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
@@ -168,7 +168,7 @@ def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of index point to; intact tells whether the payload has its digest."""
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, min(MOST_TASKS, -(-total // TASK_BYTES)))
-    where = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    where = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / TASK_BYTES)).sortWithinPartitions("file", "offset")
     return where.mapInArrow(_reader(with_payload), RECORD)
 
 
