@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, langid, minhash, mixing, passages, pii, quality, secrets, urls, warc
+from . import clustering, contamination, langid, minhash, mixing, packing, passages, pii, quality, resampling, secrets, urls, warc
 from .common import table
 
 
@@ -51,8 +51,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc, op3_substring_dedup, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination)
+    for f in (
+        *(op1_language_id, op2_warc, op3_substring_dedup, op4_secret_scan, op5_pii, op6_mixing, op7_minhash_near_dedup, op8_url_filters),
+        *(op9_quality_rules, op10_decontamination, op11_packing, op12_importance_resampling, op13_centroid_clustering),
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
+    "op4_secret_scan": secrets.SQL,
+    "op6_mixing": mixing.SQL,
+    "op7_minhash_near_dedup": minhash.sql(4, 80),
+    "op8_url_filters": urls.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_centroid_clustering": clustering.sql(),
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op4_secret_scan": secrets.SQL, "op6_mixing": mixing.SQL, "op7_minhash_near_dedup": minhash.sql(4, 80), "op8_url_filters": urls.SQL}
