@@ -25,10 +25,13 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import json
+from array import array
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +42,12 @@ from .common import in_slices
 CAPACITY, END = 2048, 1
 #: Pieces of a group, about; bytes of text a token stands for at least, when groups are sized.
 GROUP, FEWEST = 2048, 3
-#: Entries of a task's table of words, and the longest word kept there.
-MOST_WORDS, LONG_WORD = 200_000, 64
+#: Entries of a task's tables of words and of their parts, and the longest kept there.
+MOST_WORDS, LONG_WORD = 300_000, 64
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: White space, and characters that are their own composition and whose lower case is one character whatever stands around them.
+PLAIN = regex.compile(r"[\x09-\x0D\x20-\x7E\u00A1-\u012F\u0131-\u0148\u014A-\u017E]+")
 _loaded: dict[bytes, object] = {}
 
 
@@ -57,29 +62,60 @@ def tokenizer(source: str):
     return _loaded[key]
 
 
-class Words(dict):
-    """The packed ids of words met so far; emptied when full, so memory is bounded."""
+class Kept(dict):
+    """make(word) of words met so far; emptied when full, so memory is bounded."""
 
-    def __init__(self, encoder, kind):
+    def __init__(self, make):
         super().__init__()
-        self.encoder, self.kind = encoder, kind
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.make = make
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.make(word)
         if len(word) <= LONG_WORD:
             if len(self) >= MOST_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+
+class Words:
+    """Packed ids of texts. The tokenizer drops white space and joins nothing across it, so words are encoded alone, and kept.
+
+    Most words of a large corpus are rare ones, met for the first time. In plain characters, which the tokenizer's normalizers only
+    lower-case, they are parted by the tokenizer's own pattern, and the parts given to its model; so what is alike in words, as a
+    name with a comma, is encoded once. Other words are encoded as they are.
+    """
+
+    def __init__(self, encoder, kind):
+        self.encoder, self.kind, self.split = encoder, kind, None
+        about = json.loads(encoder.to_str())
+        steps = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+        norms = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
+        self.special = [x["content"] for x in about["added_tokens"]]
+        known = [x["type"] for x in steps] == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"] and not about["post_processor"]
+        if known and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
+            from tokenizers import pre_tokenizers
+
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=steps[1]["add_prefix_space"], use_regex=steps[1]["use_regex"])
+            self.split = regex.compile(steps[0]["pattern"]["Regex"])
+            self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if not chr(c).isspace()}
+        tokenize = encoder.model.tokenize
+        self.parts = Kept(lambda part: array(kind.char, [t.id for t in tokenize(part.translate(self.letters))]).tobytes())
+        self.lower = Kept(lambda word: b"".join(map(self.parts.__getitem__, self.split.findall(word))))
+        self.whole = Kept(self.encode)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def plain(self, text: str) -> bool:
+        return bool(self.split and PLAIN.fullmatch(text)) and not any(s in text for s in self.special)
+
     def ids(self, text: str | None) -> bytes:
-        """Packed ids of the text. The tokenizer drops white space and joins nothing across it, so words are encoded alone."""
-        if any(c in text for c in _ODD) if text else True:
+        if not text or any(c in text for c in _ODD):
             return self.encode(text or "")
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.plain(text):
+            return b"".join(map(self.lower.__getitem__, text.lower().split()))
+        return b"".join(self.lower[w.lower()] if self.plain(w) else self.whole[w] for w in text.split())
 
 
 def _cutter(source, capacity: int, end: int, groups: int, kind: np.dtype, schema: pa.Schema):

@@ -83,6 +83,21 @@ def test_packing_of_no_documents(spark):
     assert [(r.start, r.length, r.doc_tokens, r.offset) for r in one] == [(0, 1, 1, 0)]
 
 
+def test_words_like_the_whole_encoding(sf_dir):
+    import pyarrow.parquet as pq
+
+    encoder = packing.tokenizer(open(PATH, encoding="utf-8").read())
+    words = packing.Words(encoder, np.dtype("<u2"))
+    assert words.split
+    rnd = random.Random(12)
+    ranges = [range(0x21, 0x7F), range(0xA0, 0x180), range(0x21, 0x180), range(0x300, 0x400), range(0x20, 0xD7FF)]
+    texts = ["".join(chr(rnd.choice(r)) for _ in range(rnd.randrange(1, 30))) for r in ranges for _ in range(3000)]
+    texts += [t for t in ODD if t is not None] + ["ΑΣ ΑΣΑ", "don't WE'LL o'clock's '", "x" * 65, "É" * 64]
+    texts += [t for t in pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() if t is not None]
+    for text in texts:
+        assert words.ids(text) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), repr(text[:60])
+
+
 def test_differencing_like_the_plain_method():
     """Against partitions held as whole lists of windows, merged in opposite order."""
     rnd = random.Random(9)
