@@ -42,24 +42,13 @@ from .common import in_slices
 CAPACITY, END = 2048, 1
 #: Pieces of a group, about; bytes of text a token stands for at least, when groups are sized.
 GROUP, FEWEST = 2048, 3
-#: Entries of a task's tables of words and of their parts, and the longest kept there.
+#: Entries of a process's tables of words and of their parts, and the longest kept there.
 MOST_WORDS, LONG_WORD = 300_000, 64
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: White space, and characters that are their own composition and whose lower case is one character whatever stands around them.
 PLAIN = regex.compile(r"[\x09-\x0D\x20-\x7E\u00A1-\u012F\u0131-\u0148\u014A-\u017E]+")
-_loaded: dict[bytes, object] = {}
-
-
-def tokenizer(source: str):
-    """The tokenizer of a file's text, made once in a Python process."""
-    from tokenizers import Tokenizer
-
-    key = blake2b(source.encode()).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(source)
-    return _loaded[key]
+_loaded: dict[tuple, Words] = {}
 
 
 class Kept(dict):
@@ -118,9 +107,21 @@ class Words:
         return b"".join(self.lower[w.lower()] if self.plain(w) else self.whole[w] for w in text.split())
 
 
+def words_of(source: str, kind: np.dtype | None = None) -> Words:
+    """The words of a tokenizer's file, given as text: one table in a Python process, for all tasks that it runs. kind: of packed ids, else the narrowest."""
+    from tokenizers import Tokenizer
+
+    key = blake2b(source.encode()).digest(), kind
+    if key not in _loaded:
+        _loaded.clear()
+        encoder = Tokenizer.from_str(source)
+        _loaded[key] = Words(encoder, kind or np.dtype("<u2" if encoder.get_vocab_size() <= 1 << 16 else "<u4"))
+    return _loaded[key]
+
+
 def _cutter(source, capacity: int, end: int, groups: int, kind: np.dtype, schema: pa.Schema):
     def cut(batches):
-        words = Words(tokenizer(source.value), kind)
+        words = words_of(source.value, kind)
         close, step, task, at = np.array([end], kind).tobytes(), capacity * kind.itemsize, TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, texts in in_slices(batch, 1_000_000, 1):
@@ -233,7 +234,7 @@ def sequences(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    kind = np.dtype("<u2" if max(tokenizer(source).get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
+    kind = words_of(source).kind if end < 1 << 16 else np.dtype("<u4")
     size = docs.select(F.col(f"`{text}`").alias("text")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     groups = max(1, -(-(size.n + size.b // (FEWEST * capacity)) // GROUP))
     id_type = to_arrow_type(docs.schema[id].dataType)

@@ -86,8 +86,8 @@ def test_packing_of_no_documents(spark):
 def test_words_like_the_whole_encoding(sf_dir):
     import pyarrow.parquet as pq
 
-    encoder = packing.tokenizer(open(PATH, encoding="utf-8").read())
-    words = packing.Words(encoder, np.dtype("<u2"))
+    words = packing.words_of(open(PATH, encoding="utf-8").read())
+    encoder = words.encoder
     assert words.split
     rnd = random.Random(12)
     ranges = [range(0x21, 0x7F), range(0xA0, 0x180), range(0x21, 0x180), range(0x300, 0x400), range(0x20, 0xD7FF)]
