@@ -46,4 +46,4 @@ def run(rows: DataFrame, cameras: DataFrame, a: str, b: str, folder: str, sender
         sinks.post_new(reports, f"{folder}/posted", sender)
         reports.write.mode("append").json(f"{folder}/reports")
 
-    return live.run_flushes(live.flushes(rows, 2, s, timeout), process, f"{folder}/state", available_now)
+    return live.run_flushes(live.flushes(rows, 2, s, timeout), process, f"{folder}/state", available_now, timeout)

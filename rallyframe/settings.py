@@ -69,6 +69,12 @@ class Settings:
     quiet_s: float = 10.0
     force_s: float = 300.0
     overlap_s: float = 30.0
+    # Fixed values too: what the ball's model is given. The mask is top, left, bottom, right; means and deviations are of red, green, blue.
+    model_height: int = 288
+    model_width: int = 512
+    clock_mask: tuple[int, int, int, int] = (0, 0, 41, 603)
+    image_mean: tuple[float, float, float] = (0.485, 0.456, 0.406)
+    image_std: tuple[float, float, float] = (0.229, 0.224, 0.225)
 
 
 DEFAULTS = Settings()

@@ -29,14 +29,49 @@ KEYPOINTS = "struct<" + ",".join(f"{j}:struct<u:double,v:double,conf:double>" fo
 FRAME_RESULTS = f"camera_name string, frame_id bigint, ball struct<detected:boolean,u:double,v:double,conf:double>, players array<{KEYPOINTS}>"
 
 
+#: Kinds of header that a folder may have; each is a scan of its files.
+MOST_HEADERS = 200
+
+
+def header_groups(spark: SparkSession, path: str, must_have: str = "frame_id") -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of each kind of header among the CSV files of a path: one scan as text, a row a file.
+
+    The header is a file's first line that isn't blank; it names the column `must_have`. A file whose first line doesn't raises an error, as rows can't
+    be told from it; files without any line are left out.
+    """
+    # A line's place is where its block starts, then its order within that; a task keeps one line a file.
+    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at")
+    lines = spark.read.text(path).select("value", "_metadata.file_path", at).filter("trim(value) <> ''")
+    first = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header").limit(MOST_HEADERS + 1).collect()
+    if len(groups) > MOST_HEADERS:
+        raise ValueError(f"{path} has more than {MOST_HEADERS} kinds of header")
+    out = []
+    for row in groups:
+        names = [c.strip().strip('"') for c in row.header.lstrip("\ufeff").split(",")]
+        if must_have not in names:
+            raise ValueError(f"{row.files[0]} has no header with {must_have}: {row.header:.80}")
+        if len({c.lower() for c in names}) < len(names):
+            raise ValueError(f"{row.files[0]} names a column twice: {row.header:.80}")
+        out.append((names, row.files))
+    return out
+
+
 def read_detections_csv(spark: SparkSession, path: str, camera: str | None = None, columns: str | None = None) -> DataFrame:
-    """Detections with their fixed schema; columns the file lacks are null, and blanks are null."""
-    header = spark.read.text(path).first()
-    have = [c.strip() for c in (header[0] if header else "").split(",")]
-    known = dict(x.split(" ", 1) for x in (columns or DETECTIONS).split(", "))
-    raw = spark.read.schema(ddl((c, "string") for c in have)).option("header", True).csv(path)
-    casts = [F.col(c).try_cast(known[c]).alias(c) if c in known else F.col(c) for c in have]
-    return with_defaults(complete(raw.select(*casts), columns or DETECTIONS, camera))
+    """Detections of CSV files with their fixed schema; columns a file lacks are null, and blanks and values of another type too.
+
+    Files may have their columns in any order, and other columns too, which are kept as text: files of one header are one scan, and
+    scans are put together by name. A folder without rows gives an empty table.
+    """
+    schema = columns or DETECTIONS
+    known = dict(x.split(" ", 1) for x in schema.split(", "))
+    out = None
+    for have, files in header_groups(spark, path):
+        raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in have])).option("header", True).csv(files)
+        casts = [F.col(f"`{c}`").try_cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in have]
+        part = with_defaults(complete(raw.select(*casts), schema, camera))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return with_defaults(complete(spark.createDataFrame([], schema), schema, camera)) if out is None else out
 
 
 def complete(df: DataFrame, columns: str = DETECTIONS, camera: str | None = None) -> DataFrame:

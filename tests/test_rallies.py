@@ -390,3 +390,25 @@ def test_correlation_by_blocks(spark):
     for corr, lags in ((Y.lag_correlation(signal, "x", "y", 40, block=100), range(-40, 41)), (Y.full_correlation(signal, "x", "y", block=128), range(-699, 700))):
         got = {r.lag: r["corr"] for r in corr.collect()}
         assert set(got) == set(lags) and all(abs(got[k] - want[k + 699]) < 1e-6 for k in lags)
+
+
+def test_csv_folder_with_varying_headers(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("frame_id,detected,ball_u,ball_v,ball_conf\n1,1,10.0,20.0,0.9\n2,0,,,\n")
+    (folder / "b.csv").write_text("ball_conf,ball_u,frame_id,ball_v,detected\n0.8,11.0,3,21.0,1\n")
+    (folder / "c.csv").write_text('note,"frame_id",detected,ball_v,ball_u\nhello,4,1,22.0,12.0\n')  # no confidence, and a column of its own
+    (folder / "d.csv").write_text("frame_id,detected,ball_u,ball_v,ball_conf\n5,1,x,23.0,0.7\n")  # as a
+    (folder / "e.csv").write_text("")
+    (folder / "f.csv").write_text("ball_u,frame_id\n")
+    got = T.read_detections_csv(spark, str(folder), "cam1")
+    rows = {r.frame_id: (r.camera_name, r.detected, r.ball_u, r.ball_v, r.ball_conf, r.note) for r in got.collect()}
+    assert rows == {1: ("cam1", 1, 10.0, 20.0, 0.9, None), 2: ("cam1", 0, None, None, 0.0, None), 3: ("cam1", 1, 11.0, 21.0, 0.8, None), 4: ("cam1", 1, 12.0, 22.0, 0.0, "hello"), 5: ("cam1", 1, None, 23.0, 0.7, None)}
+    assert [len(files) for _, files in T.header_groups(spark, str(folder))] == [1, 1, 2, 1]
+    (folder / "g.csv").write_text("1,2\n3,4\n")
+    with pytest.raises(ValueError, match="no header"):
+        T.read_detections_csv(spark, str(folder))
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "x.csv").write_text("")
+    assert T.read_detections_csv(spark, str(empty), "cam1").count() == 0
