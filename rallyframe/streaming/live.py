@@ -349,24 +349,24 @@ def run_flushes(flushed: DataFrame, process: Callable[[DataFrame], None], checkp
     writer = flushed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if not available_now:
         return writer.trigger(processingTime="2 seconds").start()
-    query = writer.trigger(availableNow=True).start()
-    if timeout:
-        # With timers Spark always plans another batch: the run is over when one had no rows, in which due timers fired.
-        threading.Thread(target=_stop_when_idle, args=(query,), daemon=True).start()
+    if not timeout:
+        return writer.trigger(availableNow=True).start()
+    # With timers Spark always plans another batch: the run is over when one had no rows, in which due timers fired.
+    query = writer.trigger(processingTime="2 seconds").start()
+    threading.Thread(target=_stop_when_idle, args=(query,), daemon=True).start()
     return query
 
 
 def _stop_when_idle(query) -> None:
+    """Stops the query between two triggers, after one without rows."""
     while query.isActive:
-        if any(p["numInputRows"] == 0 for p in query.recentProgress):
+        status, last = query.status, query.lastProgress
+        between = not status["isTriggerActive"] and status["message"].startswith("Waiting")
+        if between and not status["isDataAvailable"] and (last is None or last["numInputRows"] == 0):
             query.stop()
         time.sleep(0.2)
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FrameSource)
-
-
 BALLS = "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"
 
 
