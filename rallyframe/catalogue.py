@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
+from .functions import tensors as N
 from .operators import cleaning as C
 from .operators import frames as R
 from .operators import players as P
@@ -15,9 +17,11 @@ from .operators import rallies as L
 from .operators import sync as Y
 from .oracle import BALL, S, r, sql
 from .plans import batch
-from .plans.storage import stored
+from .plans.storage import fresh_path, stored
+from .sources import images as I
 from .sources import sinks
 from .sources import tables as T
+from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -506,11 +510,92 @@ def flush_decision(spark, sf_dir):
     return R.flush_decision(buffers)
 
 
-@query("SELECT camera_name, y_far, px_width_far, y_near, px_width_near, round(k * ((px_width_near - px_width_far) / (y_near - y_far)), 9) AS alpha, round(k * px_width_far - k * ((px_width_near - px_width_far) / (y_near - y_far)) * y_far, 9) AS beta FROM (SELECT *, v_max_ms / (fps * court_width_m) AS k FROM cams)")
+_CLICKS = "SELECT camera_name, fps, v_max_ms, court_width_m, list(ball_u ORDER BY frame_id) AS u, list(ball_v ORDER BY frame_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY camera_name, frame_id // 40 ORDER BY ball_v, ball_u, frame_id) AS k, frame_id // 40 AS session FROM det WHERE detected = 1) JOIN cams USING (camera_name) WHERE k <= 4 GROUP BY camera_name, session, fps, v_max_ms, court_width_m HAVING count(*) = 4"
+_ENDS = "SELECT camera_name, fps, v_max_ms, court_width_m, (v[1] + v[2]) / 2 AS y_far, abs(u[2] - u[1]) AS px_width_far, (v[3] + v[4]) / 2 AS y_near, abs(u[4] - u[3]) AS px_width_near FROM clicks"
+_ALPHA = "k * ((px_width_near - px_width_far) / nullif(y_near - y_far, 0))"
+
+
+@query(f"SELECT camera_name, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('y_far', 'px_width_far', 'y_near', 'px_width_near'))}, round(avg({_ALPHA}), 6) AS alpha, round(avg(k * px_width_far - {_ALPHA} * y_far), 6) AS beta FROM (SELECT *, v_max_ms / (fps * court_width_m) AS k FROM ({_ENDS.replace('clicks', f'({_CLICKS})')})) GROUP BY 1")
 def calibration(spark, sf_dir):
-    clicks = F.array(*[F.array(x, y) for x, y in ((F.lit(100.0), F.col("y_far")), (F.lit(100.0) + F.col("px_width_far"), F.col("y_far")), (F.lit(20.0), F.col("y_near")), (F.lit(20.0) + F.col("px_width_near"), F.col("y_near")))])
-    out = T.cameras(spark).select("camera_name", G.calibration(clicks, F.col("fps"), F.col("v_max_ms"), F.col("court_width_m")).alias("c")).select("camera_name", "c.*")
-    return out.withColumns({c: F.round(c, 9) for c in ("alpha", "beta")})
+    """Four clicks a session, taken from the table: of each stretch of 40 frames the four highest places. Means over a camera's sessions."""
+    w = Window.partitionBy("camera_name", "session").orderBy("ball_v", "ball_u", "frame_id")
+    seen = detections_of(spark, sf_dir).filter("detected = 1").withColumn("session", F.floor(F.col("frame_id") / 40))
+    clicks = seen.withColumn("k", F.row_number().over(w)).filter("k <= 4").select("camera_name", "session", F.col("frame_id").alias("click_no"), F.col("ball_u").alias("u"), F.col("ball_v").alias("v"))
+    out = G.calibrated(clicks, T.cameras(spark), ["session"])
+    values = ("y_far", "px_width_far", "y_near", "px_width_near", "alpha", "beta")
+    return out.groupBy("camera_name").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in values])
+
+
+#: A vector's components as bytes: three channels of an image of 8 by 8.
+_BYTE = "pmod(cast(floor(x * {0}) as long), 256)"
+_SMALL = replace(S, model_height=5, model_width=6, clock_mask=(0, 0, 2, 3))
+
+
+def pictures_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small image of every embedding of 64 components: (camera_name, frame_id, height, width, image)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) > 1e6)")
+    pixel = ", ".join(_BYTE.format(k) for k in (400, 700, 1000))
+    text = f"array_join(transform(flatten(transform(transform(embedding, x -> cast(x as double)), x -> array({pixel}))), b -> lpad(hex(b), 2, '0')), '')"
+    return e.selectExpr("concat('cam', label) as camera_name", "vec_id as frame_id", "8 as height", "8 as width", f"unhex({text}) as image")
+
+
+def _taps_sql(size: int, out: int, name: str) -> str:
+    """The two neighbours of each place of a resized axis, and the part of the way."""
+    at = f"least(greatest((o + 0.5::DOUBLE) * ({size}.0::DOUBLE / {out}) - 0.5::DOUBLE, 0), {size - 1})"
+    return f"(SELECT o AS {name}, CAST(floor({at}) AS INTEGER) AS {name}0, least(CAST(floor({at}) AS INTEGER) + 1, {size - 1}) AS {name}1, {at} - floor({at}) AS f{name} FROM range({out}) r(o))"
+
+
+def _pixel_sql(y: str, x: str) -> str:
+    inside = f"{y} >= {_SMALL.clock_mask[2]} OR {x} >= {_SMALL.clock_mask[3]}"
+    value = f"floor(CAST(embedding[{y} * 8 + {x} + 1] AS DOUBLE) * (400 + 300 * (2 - c)))"
+    return f"CASE WHEN {inside} THEN CAST((CAST({value} AS BIGINT) % 256 + 256) % 256 AS DOUBLE) ELSE 0.0::DOUBLE END"
+
+
+_ROW = lambda x: f"({_pixel_sql('y0', x)}) * (1 - fy) + ({_pixel_sql('y1', x)}) * fy"
+_MEAN = ", ".join(f"{m}::DOUBLE" for m in _SMALL.image_mean)
+_DEVIATION = ", ".join(f"{m}::DOUBLE" for m in _SMALL.image_std)
+
+
+@query(
+    f"""SELECT 'cam' || label AS camera_name, vec_id AS frame_id, c AS plane, y, x, round((round_even(({_ROW('x0')}) * (1 - fx) + ({_ROW('x1')}) * fx, 0) / 255 - [{_MEAN}][c + 1]) / [{_DEVIATION}][c + 1], 4) AS value
+FROM embeddings, range(3) p(c), {_taps_sql(8, 5, 'y')}, {_taps_sql(8, 6, 'x')} WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR abs(e) > 1e6)) = 0""",
+    False,
+)
+def frame_tensors(spark, sf_dir):
+    tensors = N.tensors(pictures_of(spark, sf_dir), _SMALL)
+    cells = tensors.select("camera_name", "frame_id", F.posexplode("tensor").alias("at", "value"))
+    return cells.selectExpr("camera_name", "frame_id", "cast(at div 30 as long) as plane", "cast(at % 30 div 6 as long) as y", "cast(at % 6 as long) as x", "round(cast(value as double), 4) as value")
+
+
+@query("SELECT 'cam' || label AS camera_name, vec_id AS frame_id, 8 AS height, 8 AS width, 192::BIGINT AS n_bytes, CAST((CAST(floor(CAST(embedding[64] AS DOUBLE) * 1000) AS BIGINT) % 256 + 256) % 256 AS BIGINT) AS last_byte FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR abs(e) > 1e6)) = 0 AND label IN (1, 2) AND vec_id >= 100", False)
+def frames_by_number(spark, sf_dir):
+    """All images are stored; those of two cameras from a number on are read back, by filters that reach the scan."""
+    path = fresh_path(spark, "frames")
+    I.write_frames(pictures_of(spark, sf_dir), path)
+    found = I.read_frames(spark, path).filter(F.col("camera_name").isin("cam1", "cam2") & (F.col("frame_id") >= 100))
+    return found.select("camera_name", "frame_id", "height", "width", F.length("image").cast("long").alias("n_bytes"), F.conv(F.hex(F.substring("image", -1, 1)), 16, 10).cast("long").alias("last_byte"))
+
+
+@query(f"SELECT camera_name, frame_id, CASE WHEN conf >= {S.conf_thr} THEN 1 ELSE 0 END AS detected, CASE WHEN conf >= {S.conf_thr} THEN b END AS ball_u, CASE WHEN conf >= {S.conf_thr} THEN most END AS ball_v, conf AS ball_conf FROM (SELECT *, max(b) OVER (PARTITION BY camera_name, frame_id // 3) AS most, b / 255 AS conf FROM (SELECT camera_name, frame_id, CAST((frame_id * 37 + 11) % 256 AS DOUBLE) AS b FROM det))")
+def detected_windows(spark, sf_dir):
+    """A stand-in model sees three frames at a time: a frame's brightness, and the most of its window."""
+
+    def model(images):
+        most = float(max(i[0] for i in images))
+        return [(float(i[0]), most, i[0] / 255) for i in images]
+
+    images = detections_of(spark, sf_dir).selectExpr("camera_name", "frame_id", "unhex(lpad(hex((frame_id * 37 + 11) % 256), 2, '0')) as image")
+    return live.detect_balls(images, model)
+
+
+@query("SELECT camera_name, frame_id, detected, ball_u, ball_v, CASE WHEN frame_id % 3 = 2 THEN 0.0::DOUBLE ELSE ball_conf END AS ball_conf FROM det")
+def csv_by_headers(spark, sf_dir):
+    """Detections written as CSV files of three headers, one without confidences, and read back as one folder."""
+    path, det = fresh_path(spark, "csv"), detections_of(spark, sf_dir).select(*BALLS)
+    orders = (BALLS, BALLS[::-1], ("ball_v", "frame_id", "camera_name", "detected", "ball_u"))
+    for k, columns in enumerate(orders):
+        det.filter(F.col("frame_id") % 3 == k).select(*columns).write.mode("append").option("header", True).csv(path)
+    return T.read_detections_csv(spark, path).select(*BALLS)
 
 
 @query("SELECT label, 'uploads/cal_' || label || '.json' AS path, count(*) AS n, bool_or(stream) AS stream FROM (SELECT regexp_extract('out/x/' || camera_name || '_video_' || event_id || '.mp4', '([^/_]*)_[^/]*$', 1) AS label, lower('RTSP://h/' || camera_name) LIKE 'rtsp://%' AS stream FROM ev) GROUP BY 1", True)

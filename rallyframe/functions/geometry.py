@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
@@ -39,10 +39,24 @@ def calibration(clicks: Column, fps: Column, v_max_ms: Column, width_m: Column)
     y_far, y_near = (at(0, 1) + at(1, 1)) / 2, (at(2, 1) + at(3, 1)) / 2
     far, near = F.abs(at(1, 0) - at(0, 0)), F.abs(at(3, 0) - at(2, 0))
     k = v_max_ms / (fps * width_m)
-    alpha = k * ((near - far) / (y_near - y_far))
+    alpha = k * ((near - far) / F.when(y_near != y_far, y_near - y_far))
     return F.struct(y_far.alias("y_far"), far.alias("px_width_far"), y_near.alias("y_near"), near.alias("px_width_near"), alpha.alias("alpha"), (k * far - alpha * y_far).alias("beta"))
 
 
+def calibrated(clicks: DataFrame, cameras: DataFrame, more: list[str]) -> DataFrame:
+    """(camera_name, more, y_far, px_width_far, y_near, px_width_near, alpha, beta) from a table of clicks (camera_name, more, click_no, u, v).
+
+    A calibration has four clicks, in order of click_no: far left, far right, near left, near right. Others are left out; where far and
+    near are one line alpha and beta are null. cameras: a row a camera, with fps, v_max_ms and court_width_m.
+    """
+    keys = ["camera_name", *more]
+    four = clicks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("click_no", "u", "v"))).alias("_c")).filter("size(_c) = 4")
+    about = cameras.select("camera_name", "fps", "v_max_ms", "court_width_m")
+    places = F.transform("_c", lambda c: F.array(c["u"], c["v"]))
+    found = four.join(F.broadcast(about), "camera_name").select(*keys, calibration(places, F.col("fps"), F.col("v_max_ms"), F.col("court_width_m")).alias("_k"))
+    return found.select(*keys, "_k.*")
+
+
 def to_world(u: Column, v: Column, h: Column) -> Column:
     """The court's place of a pixel, as struct<x, y>; null if a value is missing or the point is at infinity."""
     m = [F.get(h, F.lit(k)) for k in range(9)]

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, centre_y, distance
 from ..settings import DEFAULTS, JOINTS, KEYS, PLAYERS, Settings
-from .windows import along
+from .windows import along, chunked_range
 
 
 def dense(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every frame between a camera's first and last; absent ones are undetected, with confidence 0."""
-    ends = df.groupBy(*keys).agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b"))
-    spine = ends.select(*keys, F.explode(F.sequence("a", "b")).alias("frame_id"))
+    """Every frame between a camera's first and last; absent ones are undetected, with confidence 0.
+
+    Frames are made in chunks, by many tasks, so a camera of any length, or a stray number far from the others, is no row of its own.
+    """
+    ends = df.groupBy(*keys).agg(F.min("frame_id").alias("_a"), F.max("frame_id").alias("_b"))
+    spine = chunked_range(ends, "_a", "_b", "frame_id").select(*keys, "frame_id")
     fill = {c: v for c, v in (("detected", 0), ("ball_conf", 0.0)) if c in df.columns}
     return spine.join(df, [*keys, "frame_id"], "left").fillna(fill)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, interpretation
 from ..settings import DEFAULTS, Settings
-from .windows import along, in_pieces
+from .windows import along, chunked_range, in_pieces
 
 
 def length_of(df: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def accel_signal(df: DataFrame, n_frames: DataFrame | None = None) -> DataFrame:
     Of rows that share a frame the last in order of ingest_seq, if there is one, counts.
     """
     size = length_of(df) if n_frames is None else n_frames
-    spine = df.select("camera_name").distinct().crossJoin(F.broadcast(size)).filter("n_frames > 0").select("camera_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame_id"))
+    spine = df.select("camera_name").distinct().crossJoin(F.broadcast(size)).select("camera_name", F.lit(0).alias("_a"), (F.col("n_frames") - 1).alias("_b"))
+    spine = chunked_range(spine, "_a", "_b", "frame_id").select("camera_name", "frame_id")
     order = F.col("ingest_seq") if "ingest_seq" in df.columns else F.lit(0)
     known = df.filter("interp_u is not null and frame_id >= 0").groupBy("camera_name", "frame_id").agg(F.max_by(F.struct("interp_u", "interp_v"), order).alias("at"))
     dense = spine.join(known, ["camera_name", "frame_id"], "left").select("camera_name", "frame_id", F.col("at.interp_u").alias("u"), F.col("at.interp_v").alias("v"))
@@ -69,42 +70,81 @@ def lag_correlation(signal: DataFrame, a: str, b: str, max_lag: int = DEFAULTS.m
     return dealt.groupBy("_block").applyInPandas(correlate, "lag int, corr double").groupBy("lag").agg(F.sum("corr").alias("corr"))
 
 
-def full_correlation(signal: DataFrame, a: str, b: str, block: int = 1 << 16) -> DataFrame:
+def full_correlation(signal: DataFrame, a: str, b: str, block: int = 1 << 18) -> DataFrame:
     """(lag, corr) over all lags at which a frame of a meets one of b.
 
-    Blocks of frames become arrays; each block of a meets each of b in a Fourier transform of its own, so a task holds two
-    blocks however long the signals are. The work grows with the square of the number of blocks.
+    By a Fourier transform that is dealt out: the signal's places are a matrix, row by row. Groups of columns are transformed and
+    turned by their place; after a shuffle groups of rows are, which gives the spectrum; there the two signals are multiplied, and
+    the way back is the same in the other order. So a task holds groups of about `block` places, or one column or row, however long
+    the signals are, and what is shuffled grows in proportion to the frames: blocks of numbers, three times. How many frames
+    meet at a lag is computed beside the sum, from signals that are 1 where a frame is known.
+
+    Defined cases: without a frame of either camera there is no lag; frames may be missing, and cameras may cover other ranges; of frames
+    that are there twice the values are summed.
     """
     import numpy as np
     import pandas as pd
 
-    def product(u, v):
-        size = 1 << (len(u) + len(v) - 2).bit_length()
-        return np.roll(np.fft.irfft(np.fft.rfft(u, size) * np.conj(np.fft.rfft(v, size)), size), len(v) - 1)[: len(u) + len(v) - 1]
-
-    def correlate(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                sides = []
-                for frames, z in ((r.fa, r.za), (r.fb, r.zb)):
-                    low = int(min(frames))
-                    at = np.asarray(frames) - low
-                    sides.append((low, np.bincount(at, np.asarray(z, float)), np.bincount(at).astype(float)))
-                (low_a, za, na), (low_b, zb, nb) = sides
-                met = np.rint(product(na, nb)) > 0
-                lags = np.arange(len(za) + len(zb) - 1) - (len(zb) - 1) + low_a - low_b
-                yield pd.DataFrame({"lag": lags[met], "corr": product(za, zb)[met]})
-
-    z = z_score(signal).withColumn("_block", F.floor(F.col("frame_id") / block))
-
-    def blocks(camera: str, x: str) -> DataFrame:
-        own = z.filter(F.col("camera_name") == camera)
-        return own.groupBy(F.col("_block").alias(f"b{x}")).agg(F.collect_list("frame_id").alias(f"f{x}"), F.collect_list("z").alias(f"z{x}"))
-
-    left, right = blocks(a, "a"), blocks(b, "b")
-    others = right.agg(F.collect_list("bb").alias("all"))  # numbers of blocks, not their frames
-    pairs = left.crossJoin(F.broadcast(others)).select("ba", "fa", "za", F.explode("all").alias("bb")).join(right, "bb").select("fa", "za", "fb", "zb")
-    return pairs.repartition(F.col("fa")[0], F.col("fb")[0]).mapInPandas(correlate, "lag long, corr double").groupBy("lag").agg(F.sum("corr").alias("corr"))
+    spark = signal.sparkSession
+    z = z_score(signal).filter(F.col("camera_name").isin(a, b) & F.col("frame_id").isNotNull()).select("camera_name", "frame_id", "z")
+    ends = {r.camera_name: (r.low, r.high) for r in z.groupBy("camera_name").agg(F.min("frame_id").alias("low"), F.max("frame_id").alias("high")).collect()}  # two rows
+    if len(ends) < 2:
+        return spark.createDataFrame([], "lag long, corr double")
+    (low_a, high_a), (low_b, high_b) = ends[a], ends[b]
+    n_a, n_b = high_a - low_a + 1, high_b - low_b + 1
+    bits = (n_a + n_b - 2).bit_length()
+    n1, n2 = 1 << (bits + 1) // 2, 1 << bits // 2
+    wide, high = min(n2, max(1, block // n1)), min(n1, max(1, block // n2))  # columns of a group, rows of a group
+
+    def turned(rows: np.ndarray, columns: np.ndarray, sign: int) -> np.ndarray:
+        return np.exp(sign * 2j * np.pi * ((rows[:, None] * columns[None]) % (n1 * n2)) / (n1 * n2))
+
+    def parts_of(values: np.ndarray, own: int, axis: int, step: int) -> pd.DataFrame:
+        """Parts of (signals, rows, columns) along an axis, for the groups there."""
+        parts = np.split(values, values.shape[axis] // step, axis)
+        return pd.DataFrame({"to_group": range(len(parts)), "from_group": own, "part": [np.ascontiguousarray(p).tobytes() for p in parts]})
+
+    def joined(pdf: pd.DataFrame, signals: int, rows: int, columns: int, axis: int) -> np.ndarray:
+        out = np.zeros((signals, rows, columns), complex)
+        step = high if axis == 1 else wide
+        for g, held in zip(pdf["from_group"], pdf["part"], strict=True):
+            where = [slice(None)] * 3
+            where[axis] = slice(g * step, (g + 1) * step)
+            out[tuple(where)] = np.frombuffer(held, complex).reshape(out[tuple(where)].shape)
+        return out
+
+    def columns_forward(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["group"].iloc[0])
+        out = np.zeros((4, n1, wide), complex)
+        for k, (camera, low) in enumerate(((a, low_a), (b, low_b))):
+            own = pdf[pdf["camera_name"] == camera]
+            place = own["frame_id"].to_numpy() - low
+            at = (place // n2, place % n2 - g * wide)
+            np.add.at(out[k], at, own["z"].to_numpy(float))
+            np.add.at(out[2 + k], at, 1.0)
+        out = np.fft.fft(out, axis=1) * turned(np.arange(n1), np.arange(g * wide, (g + 1) * wide), -1)
+        return parts_of(out, g, 1, high)
+
+    def rows_there_and_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["to_group"].iloc[0])
+        spectrum = np.fft.fft(joined(pdf, 4, high, n2, 2), axis=2)
+        product = np.stack([spectrum[0] * np.conj(spectrum[1]), spectrum[2] * np.conj(spectrum[3])])
+        back = np.fft.ifft(product, axis=2) * turned(np.arange(g * high, (g + 1) * high), np.arange(n2), 1)
+        return parts_of(back, g, 2, wide)
+
+    def columns_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["to_group"].iloc[0])
+        sums, met = np.fft.ifft(joined(pdf, 2, n1, wide, 1), axis=1).real
+        place = np.arange(n1)[:, None] * n2 + np.arange(g * wide, (g + 1) * wide)[None]
+        lag = np.where(place < n_a, place, place - n1 * n2)
+        there = np.rint(met) > 0
+        return pd.DataFrame({"lag": lag[there] + (low_a - low_b), "corr": sums[there]})
+
+    low = F.when(F.col("camera_name") == a, F.lit(low_a)).otherwise(F.lit(low_b))
+    dealt = z.withColumn("group", F.floor((F.col("frame_id") - low) % n2 / wide).cast("long"))
+    kind = "to_group long, from_group long, part binary"
+    spectra = dealt.groupBy("group").applyInPandas(columns_forward, kind)
+    return spectra.groupBy("to_group").applyInPandas(rows_there_and_back, kind).groupBy("to_group").applyInPandas(columns_back, "lag long, corr double")
 
 
 def best_lag(corr: DataFrame, max_lag: int = DEFAULTS.max_lag) -> DataFrame:
@@ -131,12 +171,37 @@ def shifted(signal: DataFrame, tau: DataFrame, b: str) -> DataFrame:
     return signal.select("camera_name", "frame_id").join(moved, ["camera_name", "frame_id"], "left").fillna(0.0, ["accel"])
 
 
+def saddles(x, tops):
+    """Of each top the lowest value up to the next higher one, to the left and to the right, and whether instead an end was met.
+
+    A stack holds the values still without a higher one, each with the lowest since the one below it, so each value is looked at twice.
+    """
+    import numpy as np
+
+    def one_way(values: list, wanted: set):
+        lows, ends, stack = {}, {}, []
+        for k, v in enumerate(values):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            if k in wanted:
+                lows[k], ends[k] = low, not stack
+            stack.append((v, low))
+        return lows, ends
+
+    n, places = len(x), tops.tolist()
+    lows, ends = one_way(x.tolist(), set(places))
+    left, left_end = np.array([lows[t] for t in places], float), np.array([ends[t] for t in places], bool)
+    lows, ends = one_way(x[::-1].tolist(), {n - 1 - t for t in places})
+    return left, np.array([lows[n - 1 - t] for t in places], float), left_end, np.array([ends[n - 1 - t] for t in places], bool)
+
+
 def peaks(signal: DataFrame, s: Settings = DEFAULTS, size: int = 8192, halo: int = 512) -> DataFrame:
     """(camera_name, frame_id, accel) of impacts: local maxima, high and prominent enough, the higher first where two are near.
 
     Which of near ones stay depends on those already taken, so it runs on pieces of a camera's frames. A piece is sure if
     on both sides of its frames there is a stretch without maxima in the halo, and each maximum has fallen far enough, or met a
-    higher one, before the halo ends.
+    higher one, before the halo ends. A piece takes linear time, but for sorting its maxima by height.
     """
     import numpy as np
 
@@ -149,42 +214,30 @@ def peaks(signal: DataFrame, s: Settings = DEFAULTS, size: int = 8192, halo: int
         top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
         return (start[top] + end[top]) // 2
 
-    def low(x, t, step):
-        """(lowest value between t and the next higher one, whether the end was met) in one direction."""
-        found, k = x[t], t + step
-        while 0 <= k < len(x):
-            if x[k] > x[t]:
-                return found, False
-            found = min(found, x[k])
-            if x[t] - found >= s.peak_prominence:
-                return found, False
-            k += step
-        return found, True
-
     def pick(pdf, inside, first, last):
         x = pdf["accel"].to_numpy(float)
         tops = tops_of(x)
         tops = tops[x[tops] >= s.peak_height]
-        keep = np.ones(len(tops), bool)
-        for k in np.argsort(x[tops], kind="stable")[::-1]:
-            if keep[k]:
-                near = (tops >= tops[k] - s.peak_distance + 1) & (tops < tops[k] + s.peak_distance)
-                near[k] = False
-                keep[near] = False
+        keep, order = [True] * len(tops), tops.tolist()
+        for k in np.argsort(x[tops], kind="stable")[::-1].tolist():
+            if keep[k]:  # near ones are neighbours
+                for step in (-1, 1):
+                    i = k + step
+                    while 0 <= i < len(order) and abs(order[i] - order[k]) < s.peak_distance:
+                        keep[i] = False
+                        i += step
         own = np.flatnonzero(inside)
         a, b = (own[0], own[-1]) if len(own) else (0, 0)
         # Gaps without a maximum that reach into the halo: beyond them nothing bears on the piece.
         marks = np.concatenate(([0], tops, [len(x) - 1]))
         gaps = marks[:-1][np.diff(marks) >= s.peak_distance], marks[1:][np.diff(marks) >= s.peak_distance]
         sure = (first or (gaps[1] <= a).any() or not (tops <= a).any()) and (last or (gaps[0] >= b).any() or not (tops >= b).any())
-        out = []
-        for t in tops[keep]:
-            if not inside[t]:
-                continue
-            (left, left_end), (right, right_end) = low(x, t, -1), low(x, t, 1)
-            sure &= (first or not left_end) and (last or not right_end)
-            if x[t] - max(left, right) >= s.peak_prominence:
-                out.append(t)
+        tops = tops[np.array(keep, bool)]
+        tops = tops[inside[tops]]
+        left, right, left_end, right_end = saddles(x, tops)
+        # Beyond an end it could only fall further; where it has fallen far enough that doesn't matter.
+        sure &= (first or not (left_end & (x[tops] - left < s.peak_prominence)).any()) and (last or not (right_end & (x[tops] - right < s.peak_prominence)).any())
+        out = tops[x[tops] - np.maximum(left, right) >= s.peak_prominence]
         return pdf.loc[out, ["camera_name", "frame_id", "accel"]], bool(sure)
 
     return in_pieces(signal.select("camera_name", "frame_id", "accel"), ["camera_name"], "frame_id", pick, "camera_name string, frame_id long, accel double", size, halo)

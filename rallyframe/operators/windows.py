@@ -1,4 +1,4 @@
-"""Windows along a camera's frames, folds over short runs, and steps over pieces of a camera."""
+"""Windows along a camera's frames, decisions that depend on earlier ones, and steps over pieces of a camera."""
 
 from __future__ import annotations
 
@@ -33,24 +33,81 @@ def islands(df: DataFrame, starts: Column, name: str, w: WindowSpec) -> DataFram
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(so_far(w)))
 
 
-def spaced(df: DataFrame, keys: Sequence[str], order: str, gap: int) -> DataFrame:
-    """Rows accepted from left to right, each at least `gap` after the last that was accepted.
+def spaced(df: DataFrame, keys: Sequence[str], order: str, gap: int, size: int = 1 << 16) -> DataFrame:
+    """Rows accepted from left to right, each at least `gap` after the last that was accepted; of rows that share a place one can be.
 
-    What is accepted depends on what was, but a row that is `gap` after the one before it always is. So rows fall into
-    short runs, and the fold goes over each run alone.
+    What is accepted depends on what was. A chunk of `size` places is a transducer: from how many of its first places are barred, 0 to
+    gap - 1, to how many the next chunk's are. Chunks compute it alone, for all their starts at once, by following each row to the
+    next that could be accepted after it, and doubling those steps. Transducers are composed along a key, a row a chunk; then chunks are
+    run again, each from its own start. So no task holds more than some chunks, however dense the rows are, and time is linear but for a logarithm.
+
+    Defined cases: rows with a null place are never accepted; a gap of 0 or less accepts all others, one of each place; null keys are a key.
+    """
+    import numpy as np
+    import pandas as pd
+
+    gap = max(1, gap)
+    size = max(size, gap)  # so a start depends on the chunk before only
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    chunked = df.filter(F.col(order).isNotNull()).withColumn("_chunk", F.floor(F.col(order) / size).cast("long"))
+
+    def following(at: np.ndarray) -> np.ndarray:
+        """Of each place the first at `gap` or more after it; len(at) if none."""
+        return np.searchsorted(at, at + gap)
+
+    def transducer(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(pdf[order].to_numpy(np.int64)) - int(pdf["_chunk"].iloc[0]) * size
+        ends = following(at)
+        last = np.where(ends < len(at), ends, np.arange(len(at)))
+        while (last[last] != last).any():
+            last = last[last]
+        first = np.searchsorted(at, np.arange(gap))
+        barred = np.maximum(0, at[last[np.minimum(first, len(at) - 1)]] + gap - size)
+        out = pdf[[*keys, "_chunk"]].head(1).copy()
+        out["_to"] = [np.where(first < len(at), barred, 0).tolist()]
+        return out
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk", ignore_index=True)
+        barred, before, starts = 0, None, []
+        for chunk, to in zip(pdf["_chunk"], pdf["_to"], strict=True):
+            barred = barred if before is not None and chunk == before + 1 else 0
+            starts.append(barred)
+            barred, before = int(to[barred]), chunk
+        return pdf.drop(columns="_to").assign(_start=starts)
+
+    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        at, first = np.unique(pdf[order].to_numpy(np.int64), return_index=True)
+        ends = following(at)
+        k, kept = int(np.searchsorted(at, int(pdf["_chunk"].iloc[0]) * size + int(pdf["_start"].iloc[0]))), []
+        while k < len(at):
+            kept.append(first[k])
+            k = ends[k]
+        return pdf.iloc[kept].drop(columns=["_chunk", "_start"])
+
+    dealt = chunked.groupBy(*keys, "_chunk")
+    to = dealt.applyInPandas(transducer, f"{named}, _chunk long, _to array<long>")
+    starts = to.groupBy(*keys).applyInPandas(compose, f"{named}, _chunk long, _start long")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_chunk")]
+    begun = chunked.alias("l").join(starts.alias("r"), same).select("l.*", "r._start")
+    return begun.groupBy(*keys, "_chunk").applyInPandas(accept, df.schema)
+
+
+def chunked_range(ends: DataFrame, first: str, last: str, name: str, size: int = 1 << 16) -> DataFrame:
+    """ends with a row for every number from `first` to `last`, both inside, as `name`; none where either is null.
+
+    The numbers of chunks come first, then those inside each, so no row holds more than `size` numbers, or one for each
+    `size * size` of them, and chunks are dealt to tasks.
     """
-    w = along(keys, order)
-    others = [c for c in df.columns if c not in keys and c != order]
-    runs = islands(df, F.coalesce(F.col(order) - F.lag(order).over(w) >= gap, F.lit(True)), "_run", w)
-    runs = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("_all"))
-    kind = runs.schema["_all"].dataType
-
-    def accept(kept: Column, row: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))[order]
-        return F.when(last.isNull() | (row[order] - last >= gap), F.concat(kept, F.array(row))).otherwise(kept)
-
-    kept = runs.select(*keys, F.explode(F.aggregate("_all", F.array().cast(kind), accept)).alias("_r"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    whole = size * size
+    lows = lambda low, high, step: F.when(low <= high, F.sequence(low, high, F.lit(step).cast("long")))
+    a, b = F.col(first).cast("long"), F.col(last).cast("long")
+    far = ends.withColumn("_far", F.explode(lows(a, b, whole)))
+    near = far.withColumn("_low", F.explode(lows(F.col("_far"), F.least(F.col("_far") + (whole - 1), b), size)))
+    near = near.repartition(*[c for c in ends.columns if c not in (first, last)], "_low")
+    return near.withColumn(name, F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + (size - 1), b)))).drop("_far", "_low")
 
 
 def in_pieces(df: DataFrame, keys: Sequence[str], place: str, step: Callable, schema: str, size: int = 8192, halo: int = 512) -> DataFrame:
