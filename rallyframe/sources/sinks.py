@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .posts import write_posts
 
 log = logging.getLogger(__name__)
 #: The order of the columns of result files.
@@ -74,20 +75,25 @@ def post(payloads: DataFrame, sender: Callable[[str, str], int] | None = None) -
 
 
 def post_new(payloads: DataFrame, ledger: str, sender: Callable[[str, str], int] | None = None) -> DataFrame:
-    """Posts the payloads that the ledger, a folder of Parquet, doesn't list by camera and first frame; lists those that were sent.
+    """Posts the payloads that the ledger, a folder of Parquet, doesn't list by camera and first frame, and lists those that were sent.
 
-    Flushes overlap, so a rally comes with several of them; each is posted until it is sent once.
+    (camera_name, rally_id, start_frame, sent) of those it tried. Flushes overlap, so a rally comes with several of them; each is
+    posted until it is sent once, by the transactional sink of sources.posts.
     """
     spark, key = payloads.sparkSession, ["camera_name", "start_frame"]
-    try:
-        known = spark.read.schema("camera_name string, start_frame long").parquet(ledger)
-        payloads = payloads.join(known.distinct(), key, "left_anti")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    done = stored(post(payloads, sender), "posted")
-    done.filter("sent").select(*key).write.mode("append").parquet(ledger)
-    return done
+
+    def listed() -> DataFrame:
+        try:
+            return spark.read.schema("camera_name string, start_frame long").parquet(ledger).distinct()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], "camera_name string, start_frame long")
+
+    new = stored(payloads.join(listed(), key, "left_anti").select("camera_name", "rally_id", "start_frame", "payload"), "to-post")
+    write_posts(new, ledger, sender)
+    done = new.join(listed().withColumn("sent", F.lit(True)), key, "left")
+    return stored(done.select("camera_name", "rally_id", "start_frame", F.coalesce("sent", F.lit(False)).alias("sent")), "posted")
 
 
 def http_sender(url: str, timeout: float = 30.0) -> Callable[[str, str], int]:
