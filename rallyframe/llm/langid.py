@@ -19,12 +19,12 @@ out; an empty table gives an empty result; other columns are not read, whatever
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -41,7 +41,7 @@ SPACE = "▁"
 UNKNOWN, PRIOR = 1e-7, 0.1
 LENGTHS = (4, 8, 12, 18, LONGEST)
 TIMES = np.uint64(0x100000001B3)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 

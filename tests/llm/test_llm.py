@@ -337,6 +337,10 @@ def test_secrets(spark):
     assert secrets.scan_versions(more, ledger).filter("base_sha256 is null").count() == 0
     assert n == len(set(t or "" for t in texts)) and spark.read.parquet(ledger).count() == n + 1
     assert secrets.scan_versions(docs.limit(0), fresh_path(spark, "ledger")).count() == 0
+    # Two scans that began before either had appended leave each row twice.
+    spark.read.parquet(ledger).write.parquet(twice := fresh_path(spark, "ledger"))
+    spark.read.parquet(ledger).write.mode("append").parquet(twice)
+    assert sorted(map(repr, secrets.scan_versions(docs, twice).collect())) == sorted(map(repr, got))
 
 
 JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
@@ -897,7 +901,7 @@ def test_predictions_equal_brute_force(spark, monkeypatch):
         lang = "xy"[k % 2]
         text = " ".join("".join(rnd.choice("abcab" if lang == "x" else "cdeab") for _ in range(rnd.choice([2, 5, 40]))) for _ in range(6))
         rows.append((k, text.upper() if k % 5 == 0 else text.replace(" ", "\u00a0", 1), lang if k < 60 else None, "s", 1))
-    rows += [(None, "abc", "x", "s", 1), (1, rows[1][1], "y", "s", 1), (900, None, "x", "s", 1), (901, "", None, "s", 1), (902, "123", "x", "s", 1), (903, "\u00e9" * 100, "x", "s", 1)]
+    rows += [(None, "abc", "x", "s", 1), (1, rows[1][1], "y", "s", 1), (900, None, "x", "s", 1), (901, "", None, "s", 1), (902, "123", "x", "s", 1), (903, "\u00e9" * 100, "x", "s", 1), (904, "\u00b2 \u00bd", "x", "s", 1), (905, "\u2460_7 \u0f33", None, "s", 1), (906, "5\u00aa", None, "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1))
     table_, p, langs = langid.train(docs, "doc_id", "text", "lang", sample=10**6)
     at = {x: k for k, x in enumerate(table_.names)}
