@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cosine, distance, rounded, speed, thresholds
 from ..plans.storage import stored
 from ..settings import DEFAULTS, KEYS, Settings
-from .windows import along, backwards, in_pieces, islands, so_far, spaced
+from .windows import along, carried, in_pieces, islands, spaced
 
 FLAGS = ("clean_u", "clean_v", "is_outlier", "outlier_rule")
 
@@ -198,13 +198,12 @@ def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAU
 def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
     """Fills gaps of at most s.fill_gap frames between clean places, on a line; 2 places."""
     at = F.when(F.col("clean_u").isNotNull(), F.struct(F.col("frame_id").alias("f"), F.col("clean_u").alias("u"), F.col("clean_v").alias("v")))
-    df = df.withColumn("_at", at)
-    df = df.withColumn("_p", F.last("_at", ignorenulls=True).over(so_far(along(keys)))).withColumn("_q", F.last("_at", ignorenulls=True).over(so_far(backwards(keys))))
+    df = carried(df, keys, ["frame_id"], {"_p": at}, {"_q": at})
     p, q = F.col("_p"), F.col("_q")
     fill = F.col("clean_u").isNull() & p.isNotNull() & q.isNotNull() & (q["f"] - p["f"] - 1 <= s.fill_gap)
     t = (F.col("frame_id") - p["f"]) / F.when(q["f"] != p["f"], q["f"] - p["f"])
     u, v = F.when(fill, p["u"] + t * (q["u"] - p["u"])).otherwise(F.col("clean_u")), F.when(fill, p["v"] + t * (q["v"] - p["v"])).otherwise(F.col("clean_v"))
-    return df.withColumns({"interp_u": rounded(u, 2), "interp_v": rounded(v, 2), "was_interpolated": fill}).drop("_at", "_p", "_q")
+    return df.withColumns({"interp_u": rounded(u, 2), "interp_v": rounded(v, 2), "was_interpolated": fill}).drop("_p", "_q")
 
 
 def clean(df: DataFrame, cameras: DataFrame | None = None, net_rule: bool = True, threshold: float | None = None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:

@@ -9,20 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import rounded
 from ..settings import DEFAULTS, KEYS, Settings
-from .windows import along, backwards, before, islands, so_far, spaced
+from .windows import along, before, carried, islands, spaced
 
 
 def numbered(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """row_idx: the row's place in its camera, from 0."""
-    return df.withColumn("row_idx", F.row_number().over(along(keys)).cast("long") - 1)
+    return carried(df, keys, ["frame_id"], number="row_idx")
 
 
 def fill_by_rows(df: DataFrame, columns: Sequence[str], limit: int = DEFAULTS.motion_limit, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fills the first `limit` rows of each gap on the line, by rows, between its ends; after the last value with that."""
-    w, back = so_far(along(keys)), so_far(backwards(keys))
     at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("row_idx").alias("i"), F.col(c).alias("x"))) for c in columns}
-    df = df.withColumns({f"_p_{c}": F.last(x, ignorenulls=True).over(w) for c, x in at.items()})
-    df = df.withColumns({f"_q_{c}": F.last(x, ignorenulls=True).over(back) for c, x in at.items()})
+    df = carried(df, keys, ["row_idx"], {f"_p_{c}": x for c, x in at.items()}, {f"_q_{c}": x for c, x in at.items()})
     out = {}
     for c in columns:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
@@ -85,9 +83,9 @@ def rallies(df: DataFrame, hits: DataFrame, keys: Sequence[str] = KEYS, s: Setti
     marks = groups.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("frame_id"), F.lit(1).alias("_k")), F.struct(F.col("_b").alias("frame_id"), F.lit(2).alias("_k")))).alias("_m"), F.col("rally_id").cast("long").alias("rally_id"))
     both = frames.unionByName(marks.select(*keys, "_m.frame_id", "_m._k", "rally_id"))
     frame = F.when(F.col("_k") == 0, F.col("frame_id"))
-    upto = so_far(Window.partitionBy(*keys).orderBy("frame_id", "_k"))
-    since = so_far(Window.partitionBy(*keys).orderBy(F.col("frame_id").desc(), "_k"))
-    both = both.withColumns({"_end": F.last(frame, ignorenulls=True).over(upto), "_start": F.last(frame, ignorenulls=True).over(since)})
+    # Of rows of one frame a start comes first and an end last, so both see that frame.
+    both = both.withColumn("_o", F.when(F.col("_k") == 1, 0).when(F.col("_k") == 0, 1).otherwise(2))
+    both = carried(both, keys, ["frame_id", "_o"], {"_end": frame}, {"_start": frame})
     out = both.filter("_k > 0").groupBy(*keys, "rally_id").agg(F.max(F.when(F.col("_k") == 1, F.col("_start"))).alias("start_frame"), F.max(F.when(F.col("_k") == 2, F.col("_end"))).alias("end_frame")).filter("start_frame <= end_frame")
     r = along(keys, "rally_id")
     out = out.withColumns({"_next": F.lead("start_frame").over(r), "_last": F.lag("end_frame").over(r)})
@@ -101,12 +99,11 @@ def rally_of_frames(df: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS)
     """df with the rally each frame lies in, the later one where two overlap, else null.
 
     Rallies of a camera don't overlap but in hand-made tables, so the last that started decides; it is carried
-    forward by a window over frames and starts together, not by a range join.
+    forward over frames and starts together, not by a range join.
     """
     starts = found.select(*keys, F.col("start_frame").alias("frame_id"), F.struct("rally_id", "start_frame", "end_frame").alias("_r"))
     both = df.withColumn("_r", F.lit(None).cast(starts.schema["_r"].dataType)).withColumn("_k", F.lit(1)).unionByName(starts.withColumn("_k", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("frame_id", "_k", F.col("_r.rally_id"))
-    both = both.withColumn("_r", F.last("_r", ignorenulls=True).over(so_far(w))).filter("_k = 1")
+    both = carried(both.withColumn("_id", F.col("_r.rally_id")), keys, ["frame_id", "_k", "_id"], {"_r": F.col("_r")}).filter("_k = 1").drop("_id")
     return both.withColumn("rally_id", F.when(F.col("frame_id") <= F.col("_r.end_frame"), F.col("_r.rally_id"))).drop("_r", "_k")
 
 

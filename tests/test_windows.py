@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.operators import frames as R
 from rallyframe.operators import sync as Y
-from rallyframe.operators.windows import chunked_range, spaced
+from rallyframe.operators.windows import carried, chunked_range, spaced
 
 
 def accepted(places, gap):
@@ -152,3 +152,35 @@ def test_sync_report_against_its_parts(spark):
     assert r.tau_offset == -6 and r.interpretation == "y leads x by 6 frames" and len(impacts) == 10
     assert r.frames_a == impacts and r.frames_b_aligned == [k for k in impacts if k + 6 < 400]
     assert abs(r.corr_peak_value - tau.first().peak) < 1e-4
+
+
+def test_carried_like_plain_windows(spark):
+    rnd = random.Random(5)
+    rows = [(c, k, j, rnd.choice((None, None, None, float(k))), rnd.choice((None, f"v{k}"))) for c in ("a", "b", None) for k in sorted(rnd.sample(range(-300, 2000), 300)) for j in range(rnd.choice((1, 1, 2)))]
+    rows += [("gap", k, 0, 1.0 if k in (3, 90_000) else None, None) for k in (1, 3, 5, 50_000, 90_000, 90_001)]
+    df = spark.createDataFrame(rows, "camera_name string, frame_id long, j int, x double, y string")
+    got = carried(df, ["camera_name"], ["frame_id", "j"], {"p": F.col("x"), "py": F.col("y")}, {"q": F.col("x")}, "row_idx", size=64)
+    assert got.columns == [*df.columns, "p", "py", "q", "row_idx"]
+    want = set()
+    for c in ("a", "b", None, "gap"):
+        own = sorted(((k, j, x, y) for d, k, j, x, y in rows if d == c), key=lambda r: r[:2])
+        for i, (k, j, x, y) in enumerate(own):
+            known = lambda part, n: next((r[n] for r in part if r[n] is not None), None)
+            want.add((c, k, j, x, y, known(own[i::-1], 2), known(own[i::-1], 3), known(own[i:], 2), i))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+    assert carried(df.limit(0), ["camera_name"], ["frame_id"], {"p": F.col("x")}).count() == 0
+
+
+def test_one_camera_is_many_tasks(spark):
+    df = spark.range(1_000_000).selectExpr("'a' as camera_name", "id as frame_id", "if(id % 1000 = 0, id, null) as x")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = carried(df, ["camera_name"], ["frame_id"], {"p": F.col("x")}, {"q": F.col("x")}, "i", size=4096)
+        tasks = got.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n"), F.count_if((F.col("p") != F.col("frame_id") - F.col("frame_id") % 1000) | (F.col("i") != F.col("frame_id"))).alias("bad")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(t.n for t in tasks) == 1_000_000 and not sum(t.bad for t in tasks)
+    assert len(tasks) == 16 and max(t.n for t in tasks) < 200_000
