@@ -1,8 +1,8 @@
 """Ordered rules that flag implausible ball detections, and gap filling.
 
 Each rule sees the detections that survived the rules before it; the first rule that hits a row names it.
-Survivors and the rest lie in different window partitions of the same hash partitioning. Only the fixpoint leaves the JVM,
-in pieces of bounded size.
+A whole run judges the rules on survivors beside each other in pieces of bounded size, in one go (survivor_rules); each
+rule alone is a window too, in which survivors and the rest lie in different partitions of the same hash partitioning.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ def low_conf(df: DataFrame, threshold: float | None = None, keys: Sequence[str]
     """Detections below the confidence threshold; without a given one, off where confidences exceed 1.5."""
     if threshold is not None:
         return flag(df, F.col("ball_conf") < threshold, "low_conf") if threshold > 0 else df
-    top = F.max("ball_conf").over(Window.partitionBy(*keys))
-    df = df.withColumn("_top", top)
+    # The highest of each camera is a small table beside the rows, not a window along the camera.
+    top = df.groupBy(*keys).agg(F.max("ball_conf").alias("_top"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    df = df.alias("l").join(top.alias("r"), same, "left").select("l.*", "r._top")
     return flag(df, (F.coalesce("_top", F.lit(0.0)) <= 1.5) & (F.col("ball_conf") < s.conf_thr), "low_conf").drop("_top")
 
 
@@ -67,10 +69,10 @@ def kinematic_rule(s: Settings = DEFAULTS) -> Column:
 
 
 def with_calibration(df: DataFrame, cameras: DataFrame | None) -> DataFrame:
-    """_alpha, _beta, _y_near and _y_far of each row's camera; the dimension has a row a camera."""
+    """_alpha, _beta, _y_near, _y_far and _y_net of each row's camera; the dimension has a row a camera."""
     if cameras is None:
-        return df.withColumns({c: F.lit(None).cast("double") for c in ("_alpha", "_beta", "_y_near", "_y_far")})
-    dim = cameras.select("camera_name", *[F.col(c).alias(f"_{c}") for c in ("alpha", "beta", "y_near", "y_far")])
+        return df.withColumns({c: F.lit(None).cast("double") for c in ("_alpha", "_beta", "_y_near", "_y_far", "_y_net")})
+    dim = cameras.select("camera_name", *[F.col(c).alias(f"_{c}") for c in ("alpha", "beta", "y_near", "y_far", "y_net")])
     return df.join(F.broadcast(dim), "camera_name", "left")
 
 
@@ -81,17 +83,39 @@ def kinematic_pass(df: DataFrame, cameras: DataFrame | None = None, keys: Sequen
     df = with_calibration(df, cameras).withColumn("_alive", alive())
     df = df.withColumns({"_p": F.lag(at).over(w), "_q": F.lead(at).over(w)})
     df = df.withColumn("_rule", F.when(F.col("_alive"), kinematic_rule(s)))
-    return flag(df, F.col("_rule").isNotNull(), F.col("_rule")).drop("_alive", "_p", "_q", "_rule", "_alpha", "_beta", "_y_near", "_y_far")
+    return flag(df, F.col("_rule").isNotNull(), F.col("_rule")).drop("_alive", "_p", "_q", "_rule", "_alpha", "_beta", "_y_near", "_y_far", "_y_net")
 
 
 def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS, size: int = 8192, halo: int = 256) -> DataFrame:
-    """Passes until none flags a row, at most s.passes, over pieces of the survivors, each pass vectorised.
+    """Passes until none flags a row, at most s.passes, over pieces of the survivors, each pass vectorised."""
+    return _settled(df, cameras, None, keys, s, size, halo)
 
-    A pass looks at the survivors beside a row, so what is unknown beyond a piece reaches one survivor further in each pass: a
-    piece is sure of its own rows if more survivors than passes are left in the halo.
+
+def survivor_rules(df: DataFrame, cameras: DataFrame | None = None, net_rule: bool = True, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS, size: int = 8192, halo: int = 256) -> DataFrame:
+    """The fixpoint, then static runs, short segments, crossing times and half-court runs, in that order, in one go over pieces.
+
+    The rows are those of kinematic_fixpoint(), static_cluster(), short_segment(), crossing_time() and, with net_rule, half_court()
+    one after the other; but no window runs along a camera, and no table is shuffled between rules.
+    """
+    return _settled(df, cameras, net_rule, keys, s, size, halo)
+
+
+def _settled(df: DataFrame, cameras: DataFrame | None, net_rule: bool | None, keys: Sequence[str], s: Settings, size: int, halo: int) -> DataFrame:
+    """The fixpoint, and unless net_rule is None the rules after it.
+
+    A pass looks at the survivors beside a row, so what is unknown beyond a piece reaches one survivor further in each pass; a
+    rule on runs of fewer or more than n survivors needs to see n. So a piece is sure of its own rows if more survivors than all
+    that together are left in the halo.
     """
     import numpy as np
 
+    reach = s.passes + (0 if net_rule is None else s.static_len + s.seg_len + s.half_court_len + 4)
+
+    def run_sizes(starts):
+        """Of each row the number of its run, and the size of that."""
+        run = np.cumsum(starts) - 1
+        return run, np.bincount(run, minlength=1)[run]
+
     def settle(pdf, inside, first, last):
         u, v, f, a, b = (pdf[c].to_numpy(float) for c in ("ball_u", "ball_v", "frame_id", "_alpha", "_beta"))
         live, rule = np.arange(len(pdf)), np.full(len(pdf), "", object)
@@ -116,12 +140,34 @@ def kinematic_fixpoint(df: DataFrame, cameras: DataFrame | None = None, keys: Se
                 break
             rule[live[hit != ""]] = hit[hit != ""]
             live = live[hit == ""]
+
+        def mark(hit, name):
+            nonlocal live
+            rule[live[hit]] = name
+            live = live[~hit]
+
+        if net_rule is not None and len(live):
+            du, dv = np.diff(u[live]), np.diff(v[live])
+            mark(run_sizes(np.concatenate(([True], np.sqrt(du * du + dv * dv) >= s.static_px)))[1] >= s.static_len, "static_cluster")
+        if net_rule is not None and len(live):
+            mark(run_sizes(np.concatenate(([True], np.diff(f[live]) > s.seg_gap)))[1] < s.seg_len, "short_segment")
+        if net_rule is not None and len(live):
+            far = np.abs(pdf["_y_near"].to_numpy(float) - pdf["_y_far"].to_numpy(float))[live] * s.cross_part
+            mark(np.concatenate(([False], np.diff(f[live]) < s.cross_frames)) & (np.abs(np.diff(v[live], prepend=np.nan)) >= far), "crossing_time")
+        if net_rule and len(live):
+            net = pdf["_y_net"].to_numpy(float)[live]
+            near = v[live] > net
+            run, n = run_sizes(np.concatenate(([True], near[1:] != near[:-1])))
+            # A run that is cut by the piece is longer than a short one where the piece is sure.
+            inner = ((run > 0) | (not first)) & ((run < run[-1]) | (not last))
+            mark(~np.isnan(net) & inner & (n < s.half_court_len), "half_court_excursion")
         own = np.flatnonzero(inside)
         low, high = (own[0], own[-1]) if len(own) else (0, 0)
-        sure = (first or (live < low).sum() > s.passes) and (last or (live > high).sum() > s.passes)
+        sure = (first or (live < low).sum() > reach) and (last or (live > high).sum() > reach)
         return pdf.assign(_rule=rule)[inside & (rule != "")][[*keys, "frame_id", "_rule"]], sure
 
-    live = with_calibration(df.filter(alive()).select(*keys, "frame_id", "ball_u", "ball_v"), cameras).withColumn("_pos", F.row_number().over(along(keys)) - 1)
+    live = with_calibration(df.filter(alive()).select(*keys, "frame_id", "ball_u", "ball_v"), cameras)
+    live = carried(live, keys, ["frame_id"], number="_pos")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     found = in_pieces(live, keys, "_pos", settle, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_id {kinds['frame_id']}", "_rule string"]), size, halo)
     return flag(df.join(found, [*keys, "frame_id"], "left"), F.col("_rule").isNotNull(), F.col("_rule")).drop("_rule")
@@ -155,7 +201,7 @@ def crossing_time(df: DataFrame, cameras: DataFrame | None, keys: Sequence[str]
     df = with_calibration(df, cameras).withColumn("_alive", alive())
     df = df.withColumns({"_dt": F.col("frame_id") - F.lag("frame_id").over(w), "_dv": F.abs(F.col("ball_v") - F.lag("ball_v").over(w))})
     far = F.col("_dv") >= F.abs(F.col("_y_near") - F.col("_y_far")) * s.cross_part
-    return flag(df, (F.col("_dt") < s.cross_frames) & far, "crossing_time").drop("_alive", "_dt", "_dv", "_alpha", "_beta", "_y_near", "_y_far")
+    return flag(df, (F.col("_dt") < s.cross_frames) & far, "crossing_time").drop("_alive", "_dt", "_dv", "_alpha", "_beta", "_y_near", "_y_far", "_y_net")
 
 
 def half_court(df: DataFrame, cameras: DataFrame | None, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
@@ -214,10 +260,7 @@ def clean(df: DataFrame, cameras: DataFrame | None = None, net_rule: bool = True
     """
     ball = [*keys, "frame_id", "detected", "ball_u", "ball_v", "ball_conf"]
     out = out_of_bounds(low_conf(gate(df.select(*ball)), threshold, keys, s), s)
-    out = kinematic_fixpoint(out, cameras, keys, s)
-    out = crossing_time(short_segment(static_cluster(out, keys, s), keys, s), cameras, keys, s)
-    if net_rule:
-        out = half_court(out, cameras, keys, s)
+    out = survivor_rules(out, cameras, net_rule, keys, s)
     out = interpolate(low_conf_path(out, keys, s), keys, s)
     rest = [c for c in df.columns if c not in ball]
     return out.join(df.select(*keys, "frame_id", *rest), [*keys, "frame_id"]) if rest else out

@@ -158,3 +158,37 @@ def test_empty_table(spark):
 def test_clean_keeps_other_columns(spark):
     df = track(spark, [(k, 100.0 + 9 * k, 100.0 + 9 * k) for k in range(9)]).withColumn("p0_ls_u", F.lit(1.0))
     assert C.clean(df, cams(spark)).select("p0_ls_u").distinct().count() == 1
+
+
+def rally_like(rnd, n):
+    """Rows of a ball that flies, stands, jumps, is lost, and crosses the net and back."""
+    rows, u, v, frame = [], 900.0, 300.0, 0
+    while len(rows) < n:
+        kind = rnd.choice(("fly", "fly", "fly", "stand", "jump", "gap", "cross"))
+        for _ in range(rnd.randrange(1, 9)):
+            if kind == "fly":
+                u, v = u + rnd.uniform(-25, 25), min(800.0, max(60.0, v + rnd.uniform(-20, 20)))
+            elif kind == "jump":
+                u, v = rnd.uniform(300, 1500), rnd.uniform(60, 900)
+            elif kind == "cross":
+                v = rnd.choice((200.0, 260.0, 700.0))
+            elif kind == "gap":
+                frame += rnd.randrange(9)
+            rows.append((frame, u, v))
+            frame += 1
+    return rows[:n]
+
+
+@pytest.mark.parametrize(("size", "halo", "net_rule"), [(8192, 256, True), (97, 12, True), (40, 1, False)])
+def test_rules_in_one_go_equal_rules_one_by_one(spark, size, halo, net_rule):
+    rnd = random.Random(size)
+    rows = [(c, f, 1, u, v, 0.9) for c in ("cam1", "cam2", "other") for f, u, v in rally_like(rnd, 900)] + [("cam1", 10**6, 0, None, None, 0.0)]
+    df = C.out_of_bounds(C.low_conf(C.gate(spark.createDataFrame(rows, "camera_name string, frame_id long, detected int, ball_u double, ball_v double, ball_conf double"))))
+    for cameras in (T.cameras(spark), None) if net_rule else (T.cameras(spark),):
+        one = C.crossing_time(C.short_segment(C.static_cluster(C.kinematic_fixpoint(df, cameras))), cameras)
+        one = C.half_court(one, cameras) if net_rule else one
+        go = C.survivor_rules(df, cameras, net_rule, size=size, halo=halo)
+        key = lambda d: sorted((r.camera_name, r.frame_id, r.outlier_rule, r.clean_u) for r in d.collect())
+        assert key(go) == key(one)
+    found = {r.outlier_rule for r in C.survivor_rules(df, T.cameras(spark), True).select("outlier_rule").distinct().collect()}
+    assert {"static_cluster", "short_segment", "crossing_time", "half_court_excursion"} <= found
