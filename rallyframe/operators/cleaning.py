@@ -166,8 +166,9 @@ def _settled(df: DataFrame, cameras: DataFrame | None, net_rule: bool | None, ke
         sure = (first or (live < low).sum() > reach) and (last or (live > high).sum() > reach)
         return pdf.assign(_rule=rule)[inside & (rule != "")][[*keys, "frame_id", "_rule"]], sure
 
+    df = stored(df, "gated")  # read several times below
     live = with_calibration(df.filter(alive()).select(*keys, "frame_id", "ball_u", "ball_v"), cameras)
-    live = carried(live, keys, ["frame_id"], number="_pos")
+    live = carried(live, keys, ["frame_id"], number="_pos", of=df)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     found = in_pieces(live, keys, "_pos", settle, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frame_id {kinds['frame_id']}", "_rule string"]), size, halo)
     return flag(df.join(found, [*keys, "frame_id"], "left"), F.col("_rule").isNotNull(), F.col("_rule")).drop("_rule")
@@ -241,10 +242,10 @@ def low_conf_path(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAU
     return flag(df.join(lost, [*keys, "frame_id"], "left"), F.col("_lost"), "low_conf_path").drop("_lost")
 
 
-def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
-    """Fills gaps of at most s.fill_gap frames between clean places, on a line; 2 places."""
+def interpolate(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS, of: DataFrame | None = None) -> DataFrame:
+    """Fills gaps of at most s.fill_gap frames between clean places, on a line; 2 places. of: a table with as many rows a key, if that is cheaper to count."""
     at = F.when(F.col("clean_u").isNotNull(), F.struct(F.col("frame_id").alias("f"), F.col("clean_u").alias("u"), F.col("clean_v").alias("v")))
-    df = carried(df, keys, ["frame_id"], {"_p": at}, {"_q": at})
+    df = carried(df, keys, ["frame_id"], {"_p": at}, {"_q": at}, of=of)
     p, q = F.col("_p"), F.col("_q")
     fill = F.col("clean_u").isNull() & p.isNotNull() & q.isNotNull() & (q["f"] - p["f"] - 1 <= s.fill_gap)
     t = (F.col("frame_id") - p["f"]) / F.when(q["f"] != p["f"], q["f"] - p["f"])
@@ -261,7 +262,7 @@ def clean(df: DataFrame, cameras: DataFrame | None = None, net_rule: bool = True
     ball = [*keys, "frame_id", "detected", "ball_u", "ball_v", "ball_conf"]
     out = out_of_bounds(low_conf(gate(df.select(*ball)), threshold, keys, s), s)
     out = survivor_rules(out, cameras, net_rule, keys, s)
-    out = interpolate(low_conf_path(out, keys, s), keys, s)
+    out = interpolate(low_conf_path(out, keys, s), keys, s, df)
     rest = [c for c in df.columns if c not in ball]
     return out.join(df.select(*keys, "frame_id", *rest), [*keys, "frame_id"]) if rest else out
 

@@ -17,10 +17,10 @@ def numbered(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return carried(df, keys, ["frame_id"], number="row_idx")
 
 
-def fill_by_rows(df: DataFrame, columns: Sequence[str], limit: int = DEFAULTS.motion_limit, keys: Sequence[str] = KEYS) -> DataFrame:
+def fill_by_rows(df: DataFrame, columns: Sequence[str], limit: int = DEFAULTS.motion_limit, keys: Sequence[str] = KEYS, of: DataFrame | None = None) -> DataFrame:
     """Fills the first `limit` rows of each gap on the line, by rows, between its ends; after the last value with that."""
     at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("row_idx").alias("i"), F.col(c).alias("x"))) for c in columns}
-    df = carried(df, keys, ["row_idx"], {f"_p_{c}": x for c, x in at.items()}, {f"_q_{c}": x for c, x in at.items()})
+    df = carried(df, keys, ["row_idx"], {f"_p_{c}": x for c, x in at.items()}, {f"_q_{c}": x for c, x in at.items()}, of=of)
     out = {}
     for c in columns:
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
@@ -33,7 +33,7 @@ def fill_by_rows(df: DataFrame, columns: Sequence[str], limit: int = DEFAULTS.mo
 def motion(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = DEFAULTS) -> DataFrame:
     """Adds row_idx, time, v_px and is_valid: in motion, neither long silent nor long slow; gaps are filled by rows first."""
     w = along(keys)
-    df = fill_by_rows(numbered(df, keys), ["interp_u", "interp_v"], s.motion_limit, keys)
+    df = fill_by_rows(numbered(df, keys), ["interp_u", "interp_v"], s.motion_limit, keys, of=df)
     if "time" not in df.columns:
         df = df.withColumn("time", F.col("frame_id") / F.lit(s.fps))
     du, dv = (F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for c in ("interp_u", "interp_v"))
@@ -85,7 +85,7 @@ def rallies(df: DataFrame, hits: DataFrame, keys: Sequence[str] = KEYS, s: Setti
     frame = F.when(F.col("_k") == 0, F.col("frame_id"))
     # Of rows of one frame a start comes first and an end last, so both see that frame.
     both = both.withColumn("_o", F.when(F.col("_k") == 1, 0).when(F.col("_k") == 0, 1).otherwise(2))
-    both = carried(both, keys, ["frame_id", "_o"], {"_end": frame}, {"_start": frame})
+    both = carried(both, keys, ["frame_id", "_o"], {"_end": frame}, {"_start": frame}, of=df)
     out = both.filter("_k > 0").groupBy(*keys, "rally_id").agg(F.max(F.when(F.col("_k") == 1, F.col("_start"))).alias("start_frame"), F.max(F.when(F.col("_k") == 2, F.col("_end"))).alias("end_frame")).filter("start_frame <= end_frame")
     r = along(keys, "rally_id")
     out = out.withColumns({"_next": F.lead("start_frame").over(r), "_last": F.lag("end_frame").over(r)})
@@ -103,7 +103,7 @@ def rally_of_frames(df: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS)
     """
     starts = found.select(*keys, F.col("start_frame").alias("frame_id"), F.struct("rally_id", "start_frame", "end_frame").alias("_r"))
     both = df.withColumn("_r", F.lit(None).cast(starts.schema["_r"].dataType)).withColumn("_k", F.lit(1)).unionByName(starts.withColumn("_k", F.lit(0)), allowMissingColumns=True)
-    both = carried(both.withColumn("_id", F.col("_r.rally_id")), keys, ["frame_id", "_k", "_id"], {"_r": F.col("_r")}).filter("_k = 1").drop("_id")
+    both = carried(both.withColumn("_id", F.col("_r.rally_id")), keys, ["frame_id", "_k", "_id"], {"_r": F.col("_r")}, of=df).filter("_k = 1").drop("_id")
     return both.withColumn("rally_id", F.when(F.col("frame_id") <= F.col("_r.end_frame"), F.col("_r.rally_id"))).drop("_r", "_k")
 
 

@@ -33,18 +33,29 @@ def islands(df: DataFrame, starts: Column, name: str, w: WindowSpec) -> DataFram
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(so_far(w)))
 
 
-def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], forward: dict[str, Column] | None = None, backward: dict[str, Column] | None = None, number: str | None = None, size: int = 1 << 16) -> DataFrame:
+#: Rows of a key, from which on scans along it are cut into chunks; a window along a shorter one is one bounded task.
+LONG = 1 << 18
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], forward: dict[str, Column] | None = None, backward: dict[str, Column] | None = None, number: str | None = None, of: DataFrame | None = None, size: int = 1 << 16, long: int | None = None) -> DataFrame:
     """df with, of each forward column, its last value that isn't null up to the row; of each backward one, the first from the row on;
     and, as `number`, the row's place in its key, from 0. `order` is the place, a number, and columns that settle ties.
 
-    A scan of two levels: chunks of `size` places give their last and first known values and their number of rows; a window over
-    these, a row a chunk, gives each chunk what it starts from, on either side; and chunks finish alone. So a key is many tasks, none of which holds
-    more than some chunks. df is read twice, so it should be a table or a short plan on one.
+    Where a key has more than `long` (LONG) rows, a scan of two levels: chunks of `size` places give their last and first known values and their
+    number of rows; a window over these, a row a chunk, gives each chunk what it starts from, on either side; and chunks finish alone. So
+    a key of any length is many tasks, none of which holds more than some chunks. Where no key is as long, a plain window along it
+    does the same in one step. `of`, by default df, is a table with as many rows a key, which is counted for that. df is read twice, so it
+    should be a table or a short plan on one.
 
     Defined cases: null keys are a key; rows with a null place come first, as a chunk of their own.
     """
     forward, backward = forward or {}, backward or {}
     names = [*forward, *backward]
+    rows = (df if of is None else of).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+    if (rows.n or 0) <= (LONG if long is None else long):
+        up, down = (Window.partitionBy(*keys).orderBy(*[f(c) for c in order]) for f in (F.col, F.desc))
+        out = {c: F.last(x, ignorenulls=True).over(so_far(up if c in forward else down)) for c, x in (forward | backward).items()}
+        return df.withColumns(out | ({number: (F.row_number().over(up) - 1).cast("long")} if number else {}))
     df = df.withColumn("_chunk", F.floor(F.col(order[0]) / size)).withColumns({f"_x_{c}": x for c, x in (forward | backward).items()})
     at = F.struct(*order)
     ends = {f"_e_{c}": (F.max_by if c in forward else F.min_by)(F.col(f"_x_{c}"), F.when(F.col(f"_x_{c}").isNotNull(), at)) for c in names}
@@ -55,8 +66,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], forward: d
     starts = chunks.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *[x.alias(c) for c, x in starts.items()])
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_chunk")]
     begun = df.alias("l").join(starts.alias("r"), same).select("l.*", "r._before", *[f"r._s_{c}" for c in names])
-    up = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    down = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
+    up, down = (Window.partitionBy(*keys, "_chunk").orderBy(*[f(c) for c in order]) for f in (F.col, F.desc))
     out = {c: F.coalesce(F.last(f"_x_{c}", ignorenulls=True).over(so_far(up if c in forward else down)), F.col(f"_s_{c}")) for c in names}
     if number:
         out[number] = (F.row_number().over(up) - 1 + F.col("_before")).cast("long")

@@ -7,9 +7,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe import catalogue
+from rallyframe.operators import cleaning as C
 from rallyframe.operators import frames as R
+from rallyframe.operators import rallies as L
 from rallyframe.operators import sync as Y
+from rallyframe.operators import windows
 from rallyframe.operators.windows import carried, chunked_range, spaced
+from rallyframe.plans.storage import stored
+from rallyframe.sources import tables as T
 
 
 def accepted(places, gap):
@@ -154,12 +160,13 @@ def test_sync_report_against_its_parts(spark):
     assert abs(r.corr_peak_value - tau.first().peak) < 1e-4
 
 
-def test_carried_like_plain_windows(spark):
+@pytest.mark.parametrize("long", [0, 10_000])
+def test_carried_like_the_loop(spark, long):
     rnd = random.Random(5)
     rows = [(c, k, j, rnd.choice((None, None, None, float(k))), rnd.choice((None, f"v{k}"))) for c in ("a", "b", None) for k in sorted(rnd.sample(range(-300, 2000), 300)) for j in range(rnd.choice((1, 1, 2)))]
     rows += [("gap", k, 0, 1.0 if k in (3, 90_000) else None, None) for k in (1, 3, 5, 50_000, 90_000, 90_001)]
     df = spark.createDataFrame(rows, "camera_name string, frame_id long, j int, x double, y string")
-    got = carried(df, ["camera_name"], ["frame_id", "j"], {"p": F.col("x"), "py": F.col("y")}, {"q": F.col("x")}, "row_idx", size=64)
+    got = carried(df, ["camera_name"], ["frame_id", "j"], {"p": F.col("x"), "py": F.col("y")}, {"q": F.col("x")}, "row_idx", size=64, long=long)
     assert got.columns == [*df.columns, "p", "py", "q", "row_idx"]
     want = set()
     for c in ("a", "b", None, "gap"):
@@ -184,3 +191,18 @@ def test_one_camera_is_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(t.n for t in tasks) == 1_000_000 and not sum(t.bad for t in tasks)
     assert len(tasks) == 16 and max(t.n for t in tasks) < 200_000
+
+
+def test_long_cameras_have_the_same_rows(spark, sf_dir, monkeypatch):
+    """Filling, motion, rallies and the rally of a frame, by scans and by plain windows."""
+    det = catalogue.detections_of(spark, sf_dir).filter("frame_id % 37 <> 5")
+    flagged = C.out_of_bounds(C.low_conf(C.gate(det.select(*catalogue.BALLS))))
+    found = []
+    for long in (0, 1 << 18):
+        monkeypatch.setattr(windows, "LONG", long)
+        moving = stored(L.motion(C.interpolate(C.survivor_rules(flagged, T.cameras(spark)))), "moving")
+        hits = stored(L.crossings(moving, T.cameras(spark)), "hits")
+        rallies = stored(L.rallies(moving, hits), "rallies")
+        key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+        found.append([key(moving), key(rallies), key(L.rally_of_frames(moving, rallies).select("camera_name", "frame_id", "rally_id"))])
+    assert found[0] == found[1] and all(found[0])
