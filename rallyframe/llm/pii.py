@@ -255,9 +255,18 @@ def places(text: str, terms) -> list[tuple[int, int, float]]:
     part = {t["term"]: t["part"] for t in terms or ()}
     if not part:
         return []
-    taken = find(text)
-    out = [(a, b, part[h]) for h, a, b in located(text) if h in part]
-    return [(a, b, p) for a, b, p in out if not any(s < b and a < e for s, _, e in taken)]
+    taken = sorted(find(text))
+    starts, reach, far = [s for s, _, _ in taken], [], 0
+    for _, _, e in taken:
+        far = max(far, e)
+        reach.append(far)
+
+    def free(a: int, b: int) -> bool:
+        """Whether none of the entities that start before b reaches beyond a."""
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
+
+    return [(a, b, part[h]) for h, a, b in located(text) if h in part and free(a, b)]
 
 
 def _placer():

@@ -940,3 +940,17 @@ def test_languages(spark, sf_dir):
     assert rows[10**6].lang_pred == "und" and rows[10**6 + 1].lang_pred == "und" and all(0 <= r.score <= 1 for r in rows.values())
     none = langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string")).limit(5))
     assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_places_of_terms_in_a_text_full_of_entities():
+    rnd = random.Random(6)
+    bits = ["Mirabel", "a.b@c.org", "1.2.3.4", "mirabel,", "+49 170 1234567", "x", "(Mirabel)", "to:Mirabel@home.net", "4111 1111 1111 1111"]
+    term = [{"term": h, "part": 0.5} for h, _, _ in pii.located("Mirabel")]
+    for _ in range(200):
+        text = " ".join(rnd.choice(bits) for _ in range(rnd.randrange(30)))
+        taken = pii.find(text)
+        want = [(a, b, 0.5) for h, a, b in pii.located(text) if h == term[0]["term"] and not any(s < b and a < e for s, _, e in taken)]
+        assert pii.places(text, term) == want
+    began = time.monotonic()
+    assert len(pii.places("Mirabel a.b@c.org 1.2.3.4 " * 40_000, term)) == 40_000
+    assert time.monotonic() - began < 20
