@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from rallyframe import catalogue
 
 #: A spread over all stages; the driver compares the rest too.
-SOME = ("detections", "r1_low_conf", "r345_pass1", "interpolate", "clean_summary", "rule_pivot", "dense_spine", "ffill_bfill", "sync_offset", "motion_valid", "crossings", "rally_report", "player_places", "payload_digest", "payload_tracks", "payload_hits", "payload_players", "flattened_frames", "detection_gate", "iso_times", "signal_to_noise", "disambiguate", "compare_joints", "top2_dedup", "heat_peaks", "flush_decision")
+SOME = ("detections", "r1_low_conf", "r345_pass1", "interpolate", "clean_summary", "rule_pivot", "dense_spine", "ffill_bfill", "sync_offset", "motion_valid", "crossings", "rally_report", "player_places", "payload_digest", "payload_tracks", "payload_hits", "payload_players", "flattened_frames", "detection_gate", "iso_times", "signal_to_noise", "disambiguate", "compare_joints", "top2_dedup", "heat_peaks", "flush_decision", "calibration", "csv_by_headers", "frame_tensors", "frames_by_number", "detected_windows")
 
 
 def norm(v):
@@ -23,7 +23,7 @@ def rows(names, columns, found):
 @pytest.fixture(scope="module")
 def db(sf_dir):
     c = duckdb.connect()
-    for t in ("events", "documents", "pages"):
+    for t in ("events", "documents", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
 
