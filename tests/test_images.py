@@ -2,10 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rallyframe.functions import geometry as G
 from rallyframe.functions import tensors as N
 from rallyframe.settings import Settings
 from rallyframe.sources import images as I
+from rallyframe.sources import sinks
+from rallyframe.sources import tables as T
 from rallyframe.streaming import live
 
 FRAME = "camera_name string, frame_id long, height int, width int, image binary"
@@ -158,3 +162,25 @@ def test_poses_of_stored_frames(spark, store):
     frames = I.read_frames(spark, path).filter("camera_name = 'cam1' and frame_id between 20 and 22")
     got = {r.frame_id: r.players for r in live.estimate_poses(frames, estimator).collect()}
     assert sorted(got) == [20, 21, 22] and [p.bbox.y1 for p in got[20]] == [5.0, 1.0] and got[20][0].ls is None
+
+
+def test_frames_of_video_files(spark, tmp_path):
+    for name, n in (("cam1_a.mp4", 70), ("cam2_b.mp4", 3), ("cam3_c.mp4", 0)):
+        (tmp_path / name).write_text("x" * n)
+    got = T.video_frames(spark, str(tmp_path / "*.mp4"), lambda file: enumerate(open(file.removeprefix("file:"), "rb").read()[k : k + 1] for k in range(len(open(file.removeprefix("file:"), "rb").read()))))
+    assert {(r.camera_name, r.n, r.last) for r in got.groupBy("camera_name").agg(F.count("*").alias("n"), F.max("frame_id").alias("last")).collect()} == {("cam1", 70, 69), ("cam2", 3, 2)}
+
+
+def test_calibration_files_and_camera_choice(spark, tmp_path):
+    clicks = spark.createDataFrame([(c, k, u, v) for c in ("cam1", "cam2") for k, (u, v) in enumerate([(100.0, 90.0), (500.0, 92.0), (20.0, 570.0), (920.0, 574.0)])] + [("cam1", 9, 0.0, 0.0)], "camera_name string, click_no int, u double, v double")
+    found = G.calibrated(clicks.filter("click_no < 4"), T.cameras(spark), [])
+    sinks.write_calibration(found, str(tmp_path / "cal"))
+    back = {r.camera_name: r for r in spark.read.json(str(tmp_path / "cal")).collect()}
+    assert (back["cam1"].y_far, back["cam1"].px_width_far, back["cam1"].y_near, back["cam1"].px_width_near) == (91.0, 400.0, 572.0, 900.0)
+    k = 1 / (25.0 * 10.97)
+    assert abs(back["cam2"].alpha / (500.0 / 481.0) - back["cam2"].beta / (400.0 - 500.0 / 481.0 * 91.0)) < 1e-9 and back["cam2"].alpha > k
+    # Five clicks are no calibration, and one line has none.
+    assert G.calibrated(clicks, T.cameras(spark), []).filter("camera_name = 'cam1'").count() == 0
+    flat = clicks.filter("camera_name = 'cam2'").withColumn("v", F.lit(5.0))
+    assert G.calibrated(flat, T.cameras(spark), []).first().alpha is None
+    assert T.of_cameras(clicks, ["cam2"]).select("camera_name").distinct().first().camera_name == "cam2"
