@@ -24,7 +24,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -41,7 +40,6 @@ SPACE = "▁"
 UNKNOWN, PRIOR = 1e-7, 0.1
 LENGTHS = (4, 8, 12, 18, LONGEST)
 TIMES = np.uint64(0x100000001B3)
-LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
@@ -261,7 +259,7 @@ def _predictor(table: Pieces, p: np.ndarray, langs: list[str], id_type: pa.DataT
                 s = scores(texts, table, p)
                 best = s.argmax(axis=1) if langs else np.zeros(len(texts), np.int64)
                 posterior = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(texts))
-                known = [bool(langs and t and LETTER.search(t)) for t in texts]
+                known = [bool(langs and t) and any(map(str.isalpha, t)) for t in texts]
                 pred = [langs[b] if k else UND for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))], schema=schema)
 
