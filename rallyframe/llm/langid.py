@@ -255,7 +255,7 @@ def _predictor(table: Pieces, p: np.ndarray, langs: list[str], id_type: pa.DataT
 
     def predict(batches):
         for batch in batches:
-            for start, texts in in_slices(batch, 3_000_000, 1):
+            for start, texts in in_slices(batch, 1_500_000, 1):
                 s = scores(texts, table, p)
                 best = s.argmax(axis=1) if langs else np.zeros(len(texts), np.int64)
                 posterior = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(texts))
