@@ -5,15 +5,18 @@ import time
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from rallyframe import catalogue
 from rallyframe.operators import cleaning as C
 from rallyframe.operators import frames as R
+from rallyframe.operators import players as P
 from rallyframe.operators import rallies as L
 from rallyframe.operators import sync as Y
 from rallyframe.operators import windows
 from rallyframe.operators.windows import carried, chunked_range, spaced
+from rallyframe.plans import batch
 from rallyframe.plans.storage import stored
 from rallyframe.sources import tables as T
 
@@ -206,3 +209,46 @@ def test_long_cameras_have_the_same_rows(spark, sf_dir, monkeypatch):
         key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
         found.append([key(moving), key(rallies), key(L.rally_of_frames(moving, rallies).select("camera_name", "frame_id", "rally_id"))])
     assert found[0] == found[1] and all(found[0])
+
+
+def test_one_camera_is_many_tasks_in_every_step_of_a_match(spark, sf_dir, monkeypatch):
+    """Cleaning, motion, crossings, speeds, moves and the panel in chunks have the rows of one window, and no task has most rows of a camera."""
+    df, cams, found = stored(catalogue.detections_of(spark, sf_dir), "detections"), T.cameras(spark), []
+
+    def share(df):
+        own = df.filter("camera_name = 'cam1'").groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()
+        return max(r.n for r in own) / sum(r.n for r in own)
+
+    key = lambda df: sorted(map(repr, df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in sorted(df.dtypes)]).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for long, chunk in ((0, 16), (1 << 18, 1 << 16)):
+            monkeypatch.setattr(windows, "LONG", long)
+            monkeypatch.setattr(windows, "CHUNK", chunk)
+            cleaned = stored(C.clean(df, cams), "cleaned")
+            m = batch.analyse(cleaned, cams)
+            shown = P.panel(m.moved, m.crossings)
+            if chunk == 16:
+                steps = {"motion": L.motion(cleaned), "speeds": P.ball_speeds(m.located.drop("ball_kmh")), "moves": m.moved, "panel": shown}
+                assert {k: share(x) < 0.7 for k, x in steps.items()} == dict.fromkeys(steps, True)
+            found.append([key(x) for x in (m.moving, m.crossings, m.rallies, m.located, m.moved, shown, L.trajectory_rallies(m.moving))])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] and all(found[0][:-1])
+
+
+def test_pieces_of_a_camera_are_many_tasks(spark):
+    """Neither a join by camera nor a sort puts all pieces of a camera into one task."""
+    df = stored(spark.range(200_000).selectExpr("'a' as camera_name", "id as pos"), "places")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where statistics are unknown
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    try:
+        step = lambda pdf, inside, first, last: (pdf[inside].assign(task=TaskContext.get().partitionId())[["camera_name", "pos", "task"]], True)
+        out = windows.in_pieces(df, ["camera_name"], "pos", step, "camera_name string, pos long, task int")
+        tasks = [r.n for r in out.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    finally:
+        for c in ("coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.adaptive.{c}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(tasks) == 200_000 and len(tasks) > 1
