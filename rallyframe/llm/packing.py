@@ -42,7 +42,7 @@ from .common import in_slices
 CAPACITY, END = 2048, 1
 #: Pieces of a group, about; bytes of text a token stands for at least, when groups are sized.
 GROUP, FEWEST = 2048, 3
-#: Entries of a process's tables of words and of their parts, and the longest kept there.
+#: New entries, and as many old ones, of a process's tables of words and of their parts, and the longest kept there.
 MOST_WORDS, LONG_WORD = 300_000, 64
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -52,16 +52,19 @@ _loaded: dict[tuple, Words] = {}
 
 
 class Kept(dict):
-    """make(word) of words met so far; emptied when full, so memory is bounded."""
+    """make(word) of words met lately: when full, its words become the old ones and the old ones go, so memory is bounded and frequent words stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(word) <= LONG_WORD:
             if len(self) >= MOST_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -76,7 +79,7 @@ class Words:
     """
 
     def __init__(self, encoder, kind):
-        self.encoder, self.kind, self.split = encoder, kind, None
+        self.encoder, self.kind, self.split, self.runs = encoder, kind, None, False
         about = json.loads(encoder.to_str())
         steps = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
         norms = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
@@ -86,11 +89,24 @@ class Words:
             from tokenizers import pre_tokenizers
 
             as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=steps[1]["add_prefix_space"], use_regex=steps[1]["use_regex"])
-            self.split = regex.compile(steps[0]["pattern"]["Regex"])
+            pattern = steps[0]["pattern"]["Regex"]
+            self.split = regex.compile(pattern)
+            # Whether a word of letters alone is one part: nothing that the pattern tries before a run of letters starts with one.
+            first, found, _ = pattern.partition(r"|[\p{L}]+|")
+            self.runs = bool(found) and all(x[:1] == "'" for x in first.split("|"))
             self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if not chr(c).isspace()}
-        tokenize = encoder.model.tokenize
-        self.parts = Kept(lambda part: array(kind.char, [t.id for t in tokenize(part.translate(self.letters))]).tobytes())
-        self.lower = Kept(lambda word: b"".join(map(self.parts.__getitem__, self.split.findall(word))))
+        tokenize, char = encoder.model.tokenize, kind.char
+
+        def of_part(part: str) -> bytes:
+            return array(char, [t.id for t in tokenize(part.translate(self.letters))]).tobytes()
+
+        def of_word(word: str) -> bytes:
+            # A word that is one part has its entry here; only parts of several words are worth one of their own.
+            if self.runs and word.isalpha():
+                return of_part(word)
+            return b"".join(map(self.parts.__getitem__, self.split.findall(word)))
+
+        self.parts, self.lower = Kept(of_part), Kept(of_word)
         self.whole = Kept(self.encode)
 
     def encode(self, text: str) -> bytes:

@@ -280,3 +280,25 @@ def test_sql_says_the_same(spark, sf_dir):
         assert rel.columns == df.columns
         key = lambda r: tuple((x is None, x) for x in r)
         assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(rel.fetchall(), key=key)
+
+
+def test_tables_of_words_keep_frequent_ones_and_the_same_ids(monkeypatch):
+    """A full table keeps its words for another generation; words of letters alone need no table of parts; ids are the tokenizer's own."""
+    import public_tokenizers
+
+    from rallyframe.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_WORDS", 3)
+    made = []
+    kept = packing.Kept(lambda w: made.append(w) or w.encode())
+    for w in "a b c d a d b e".split():
+        assert kept[w] == w.encode()
+    assert made == ["a", "b", "c", "d", "e"]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.words_of(f.read())
+    text = "Heonea, heonea don't isaneroure. êéç $$$ thsttian 42x ª µm o'er 'sword a's"
+    assert words.ids(text) == words.encode(text)
+    words.parts.clear()
+    words.lower.clear()
+    words.ids("thsttian anhereed")
+    assert not words.parts
