@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, in_slices, keep_ids, written
+from .common import discard, in_slices, keep_ids, likely, written
 from .components import components
 from .tokens import shingles, word_ids, words_of
 
@@ -565,11 +565,14 @@ def _linker(least: int, width: int, percent: int):
     return link
 
 
-def texts_of(own: DataFrame, member: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes (one column, distinct); of rows that share an id, the one with the node's digest."""
-    wanted = member.join(nodes, "node", "left_semi").select("node", "id", "digest")
-    rows = keep_ids(own, wanted.select("id").distinct(), "id").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    return rows.join(wanted, ["id", "digest"]).dropDuplicates(["node"]).select("node", "text")
+def with_texts(rows: DataFrame, own: DataFrame, member: DataFrame) -> DataFrame:
+    """rows and the text of their node; of rows of own that share an id, the one with the node's digest.
+
+    Texts are shuffled once, those that rows ask for alone.
+    """
+    asked = written(rows.join(member.select("node", "id", "digest"), "node"), "asked")
+    found = likely(own, asked.select("id"), "id").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return found.dropDuplicates(["id", "digest"]).join(asked, ["id", "digest"]).select(*rows.columns, "text")
 
 
 def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataFrame, words: int, width: int, percent: int) -> DataFrame:
@@ -587,7 +590,7 @@ def missed(own: DataFrame, member: DataFrame, windows: DataFrame, between: DataF
     met = written(met.filter("several or open").select("key", "several", "blocks", "node", "part", "at", "open", "second", (F.col("part") != F.col("home")).alias("away")), "apart")
     discard(places)
     wanted = met.groupBy("node").agg(F.collect_set("at").alias("places"))
-    sliced = texts_of(own, member, met.select("node").distinct()).join(wanted, "node").select("node", "text", "places")
+    sliced = with_texts(wanted, own, member).select("node", "text", "places")
     sliced = written(sliced.mapInArrow(_slicer(least, width), "node long, at int, low int, tokens array<int>").withColumn("content", F.xxhash64("tokens", F.size("tokens"))), "slices")
     mine, every = F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     same = ("node", "part", "open", "second", "at")
@@ -608,28 +611,26 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     kind = own.schema["id"].dataType
     numbered = own.select(F.monotonically_increasing_id().alias("node"), "text", "id")
     cut = written(numbered.mapInArrow(_cutter(words, width, percent, to_arrow_type(kind)), f"{CUT}, id {kind.simpleString()}"), "windows")
-    first = cut.groupBy("digest").agg(F.min("node").alias("rep"))
+    first = written(cut.groupBy("digest").agg(F.min("node").alias("rep")), "first")
     member = written(cut.select("node", "id", "digest", "n_words").join(first, "digest"), "member")
-    window = cut.select("node", F.explode(F.arrays_zip("keys", "lo", "at", "hi")).alias("w")).select(F.col("w.keys").alias("key"), "node", F.col("w.lo").alias("lo"), F.col("w.at").alias("at"), F.col("w.hi").alias("hi"))
-
-    def shared(rows: DataFrame) -> DataFrame:
-        """Keys of two nodes or more, with the smallest."""
-        return rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center")
-
+    discard(first)
     copies = member.filter("node <> rep")
-    held = written(window.join(shared(window), "key").drop("center").join(copies.select("node"), "node", "left_anti"), "met")
+    # Copies go while a text's windows are one row; what is left is dealt by key once, which tells the keys that several texts have.
+    alone = keep_ids(cut.select("node", "keys", "lo", "at", "hi"), member.filter("node = rep").select("node"), "node")
+    window = alone.select("node", F.explode(F.arrays_zip("keys", "lo", "at", "hi")).alias("w")).select(F.col("w.keys").alias("key"), "node", F.col("w.lo").alias("lo"), F.col("w.at").alias("at"), F.col("w.hi").alias("hi"))
+    of_key = Window.partitionBy("key")
+    met = window.withColumn("center", F.min("node").over(of_key)).withColumn("last", F.max("node").over(of_key))
+    met = written(met.filter("center <> last").select("key", "node", "lo", "at", "hi", "center"), "shared")
     own_places = written(cut.filter(F.size("own") > 0).select("id", "own"), "own")
     discard(cut)
-    met = written(held.join(shared(held), "key"), "shared")
-    discard(held)
     r = met.filter("node = center").select("key", F.struct("lo", "at", "hi").alias("r"))
     each = F.struct(F.expr("cast(key & 7 as int)").alias("f"), "lo", "at", "hi", F.col("r.lo").alias("rlo"), F.col("r.at").alias("rat"), F.col("r.hi").alias("rhi"))
     pairs = met.filter("node <> center").join(r, "key").groupBy("node", F.col("center").alias("rep")).agg(F.collect_list(each).alias("found"), F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("functions"))
     pairs = written(pairs.filter(F.bit_count("functions") >= AGREE).select("node", "rep", "found").mapInArrow(_finder(words - width + 1), PAIR), "pairs")
-    texts = written(texts_of(own, member, pairs.select("node").union(pairs.select("rep")).distinct()), "texts")
-    full = pairs.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "regions", "text", "rep_text")
+    centres = written(with_texts(pairs.select(F.col("rep").alias("node")).distinct(), own, member), "centres")
+    full = with_texts(pairs, own, member).join(centres.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep").select("node", "rep", "regions", "text", "rep_text")
     between = written(full.mapInArrow(_verifier(words, width, percent), PASSAGE), "between")
-    discard(texts)
+    discard(centres)
     between = between.union(missed(own, member, met, between, words, width, percent)).distinct()
     name = member.select("node", "id")
     ours = between.join(name, "node").join(name.select(F.col("node").alias("rep"), F.col("id").alias("rep_id")), "rep").select("id", "start", "end", "rep_id", "rstart", "rend")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.llm import components, contamination, langid, minhash, mixing, passages, pii, quality, secrets, urls, warc
-from rallyframe.llm.common import fresh_path
+from rallyframe.llm.common import fresh_path, likely
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -305,6 +305,34 @@ def test_passages_of_odd_rows(spark):
     assert got == [(2, 2, 1, 0), (4, 2, 1, 60)]
 
 
+def test_passages_shuffle_windows_and_texts_once(spark):
+    """Of texts in near copies, with all joins shuffled: before, windows went over three times and texts five times."""
+    rnd = random.Random(7)
+    texts = [" ".join(words(rnd, 1200, 10**6)) for _ in range(200)]
+    texts += [t.replace(" ", " x ", 1) for t in texts]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = store.executorSummary("driver").totalShuffleWrite()
+        found = {(r.id, r.rep) for r in passages.repeated_passages(table(spark, texts)).select("id", "rep").collect()}
+        moved = store.executorSummary("driver").totalShuffleWrite() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == {(k + 200, k) for k in range(200)}
+    assert moved < 5.5 * sum(map(len, texts)), moved / sum(map(len, texts))
+
+
+def test_likely_keeps_every_row_asked_for_and_few_others(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("place"))
+    ids = df.filter("place % 20 = 3").select(F.col("k").alias("x"))
+    got = likely(df, ids, "k")
+    assert got.columns == df.columns
+    kept = {r.place for r in got.collect()}
+    assert set(range(3, 20_000, 20)) <= kept and len(kept) < 1500
+    assert likely(df, ids.limit(0), "k").count() == 0
+
+
 # Secrets and personal data
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
