@@ -69,12 +69,18 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)  # each word is hashed once
 
 
+def left(text: Column, others: str) -> Column:
+    """Characters that `others` leaves. regexp_count, to count them, would hold each as a string of its own."""
+    return F.length(F.regexp_replace(text, others, ""))
+
+
 def features(text: Column) -> Column:
     """All that the rules look at, as one struct of longs."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    counted = {"n_symbols": r"[#*$%&|<>]", "n_upper": r"[A-Z]", "n_punct": r"[.,;:!?]", "n_ended_lines": r"[.!?][\x20\x09\x0B-\x0D]*(\n|\z)"}
-    parts = {"word_chars": F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))} | {k: F.regexp_count(text, F.lit(v)) for k, v in counted.items()}
+    others = {"n_symbols": r"[^#*$%&|<>]+", "n_upper": r"[^A-Z]+", "n_punct": r"[^.,;:!?]+"}
+    parts = {"word_chars": F.length(text) - left(text, WORD)} | {k: left(text, v) for k, v in others.items()}
+    parts["n_ended_lines"] = F.regexp_count(text, F.lit(r"[.!?][\x20\x09\x0B-\x0D]*(\n|\z)"))
     longs = [v.cast("long").alias(k) for k, v in parts.items()]
     worded = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).cast("long").alias("again")))
     lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))

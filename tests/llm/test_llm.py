@@ -88,6 +88,12 @@ def test_quality_is_native(spark, sf_dir, monkeypatch):
     assert len(plans) == 2 and "regexp_extract_all" in plans[0] and not any(re.search(NOT_NATIVE, p) for p in plans)
 
 
+def test_quality_counts_characters_without_an_array_of_them(spark, monkeypatch):
+    docs = table(spark, ["One, two.\n#|"])
+    plans = plans_of(monkeypatch, quality, lambda: quality.judge(docs, "text", ["doc_id"])[0])
+    assert set(re.findall(r"regexp_extract_all\([^\[]*(\[[^\]]*\])", plans[0])) == {"[.!?]"}  # only ends of lines
+
+
 # Near duplicates
 
 
